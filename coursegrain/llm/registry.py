@@ -1,12 +1,18 @@
 """Queries and SQL of this subpackage."""
 
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .media import op8_jpeg_media
 from .mixing import op4_source_mix
+from .packing import op2_best_fit_packing
+from .quality import op6_quality
 from .warc import OP9_SQL, op9_warc_index
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_source_mix": op4_source_mix,
+    "op6_quality": op6_quality,
+    "op8_jpeg_media": op8_jpeg_media,
     "op9_warc_index": op9_warc_index,
 }
 
