@@ -3,6 +3,7 @@
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .media import op8_jpeg_media
 from .mixing import op4_source_mix
+from .near_dup import op10_order_minhash
 from .packing import op2_best_fit_packing
 from .quality import op6_quality
 from .warc import OP9_SQL, op9_warc_index
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op8_jpeg_media": op8_jpeg_media,
     "op9_warc_index": op9_warc_index,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE_SQL = {
