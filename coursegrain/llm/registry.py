@@ -1,5 +1,6 @@
 """Queries and SQL of this subpackage."""
 
+from .embed_dup import op5_embedding_near_dedup
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .media import op8_jpeg_media
 from .mixing import op4_source_mix
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_source_mix": op4_source_mix,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality": op6_quality,
     "op8_jpeg_media": op8_jpeg_media,
     "op9_warc_index": op9_warc_index,
