@@ -1,6 +1,7 @@
 """Queries and SQL of this subpackage."""
 
 from .embed_dup import op5_embedding_near_dedup
+from .language_model import op7_log_bilinear
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .media import op8_jpeg_media
 from .mixing import op4_source_mix
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality": op6_quality,
+    "op7_log_bilinear": op7_log_bilinear,
     "op8_jpeg_media": op8_jpeg_media,
     "op9_warc_index": op9_warc_index,
     "op10_order_minhash": op10_order_minhash,
