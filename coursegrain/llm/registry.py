@@ -8,11 +8,13 @@ from .mixing import op4_source_mix
 from .near_dup import op10_order_minhash
 from .packing import op2_best_fit_packing
 from .quality import op6_quality
+from .token_files import op3_token_files
 from .warc import OP9_SQL, op9_warc_index
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_files": op3_token_files,
     "op4_source_mix": op4_source_mix,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality": op6_quality,

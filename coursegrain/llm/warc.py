@@ -2,9 +2,10 @@
 
 Pages become WARC/1.1 records in gzip members, one record each, packed into archive blobs in
 the order of their reversed-host URL keys. The capture index holds one line for each record
-(key, id, archive, offset, length); sorted lines go into compressed blocks, and a sparse
-directory keeps the first key of each block, so that a lookup is a binary search in the
-directory, one block, a binary search in that, and a range read from the archive.
+(key, id, offset, length) in that order; its lines go into compressed blocks, kept with their
+archive in columns of their own, and a sparse directory keeps the first key of each block, so
+that a lookup is a binary search in the directory, one block, a binary search in that, and a
+range read from the archive.
 
 Archives are rows of a Parquet table in the shared folder: Spark's committer writes them, so
 a lost executor leaves no half-written archive. An archive holds ARCHIVE_BYTES at most or one
@@ -17,7 +18,6 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ BLOCK_LINES = 1000
 WARC_DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-ARCHIVES = "archive_id string, n_records int, first_key string, data binary, index array<struct<url_key:string,page_id:long,record_offset:long,record_length:long>>"
+ARCHIVES = "archive_id string, n_records int, last_key string, directory array<string>, blocks array<binary>, data binary"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, stored_bytes long"
 
 
@@ -43,23 +43,17 @@ def url_key(url):
     return F.concat(F.array_join(F.reverse(F.split(name, r"\.")), ","), port, F.lit(")"), F.when(path == "", F.lit("/")).otherwise(path))
 
 
-def with_record_types(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """pages (page_id, url, html) with payload_bytes, payload_digest, record_type, refers_to.
+def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """url_key, page_id, payload_digest, refers_to of each page that is no response.
 
-    The largest page_id of each payload of min_bytes at least is found by an aggregation that
-    combines before its shuffle, so a payload that a third of the pages have is no hot group."""
+    Payloads are only digested here, so that no shuffle carries them. The largest page_id of
+    each payload is found by an aggregation that combines before its shuffle."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    p = pages.select("page_id", "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
-    large = p.filter(F.col("payload_bytes") >= min_bytes)
-    groups = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = groups.select(F.col("payload_digest").alias("g_digest"), F.col("payload_bytes").alias("g_bytes"), "holder")
-    j = p.join(groups, (p["payload_digest"] == groups["g_digest"]) & (p["payload_bytes"] == groups["g_bytes"]), "left")
-    revisit = F.coalesce(F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")), F.lit(False))
-    return j.select(
-        "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", "payload_digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("holder")).alias("refers_to"),
-    )
+    p = pages.filter(F.octet_length("html") >= min_bytes).select(url_key(F.col("url")).alias("url_key"), "page_id", F.sha1(payload).alias("payload_digest"))
+    p = written(p, "page-digests")
+    groups = p.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    j = p.join(groups, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return j.select("url_key", "page_id", "payload_digest", "refers_to").distinct()
 
 
 def _header(fields: list[tuple[str, object]], body: bytes) -> bytes:
@@ -72,8 +66,9 @@ def _clean(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record_bytes(page_id, url, html, kind, refers_to, digest, n_bytes) -> bytes:
+def record_bytes(page_id, url, payload, kind, refers_to, digest) -> bytes:
     """One gzip member with one record."""
+    n_bytes = len(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", WARC_DATE)]
     if url is not None:
@@ -83,7 +78,7 @@ def record_bytes(page_id, url, html, kind, refers_to, digest, n_bytes) -> bytes:
     if kind == "revisit":
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
     fields.append(("Content-Type", "application/http;msgtype=response"))
-    body = http + (b"" if kind == "revisit" else (html or "").encode())
+    body = http + (b"" if kind == "revisit" else payload)
     pack = zlib.compressobj(3, zlib.DEFLATED, 31)
     return pack.compress(_header(fields, body)) + pack.flush()
 
@@ -103,73 +98,78 @@ def read_record(data: bytes) -> dict:
     return out
 
 
-def split_members(data: bytes) -> Iterator[tuple[int, int]]:
-    """offset, length of each gzip member."""
-    at = 0
-    while at < len(data):
-        d = zlib.decompressobj(31)
-        d.decompress(data[at:])
-        size = len(data) - at - len(d.unused_data)
-        yield at, size
-        at += size
-
-
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    line = pa.struct([("url_key", pa.string()), ("page_id", pa.int64()), ("record_offset", pa.int64()), ("record_length", pa.int64())])
+    """Rows sorted by url_key and page_id, what a page revisits before the page itself."""
     parts: list[bytes] = []
-    index: list[dict] = []
-    size = 0
+    lines: list[tuple] = []
+    size, place, known = 0, None, {}
 
-    def blob():
+    def archive():
         data = b"".join(parts)
-        name = hashlib.sha1(data).hexdigest()[:16]
+        cut = [lines[i : i + BLOCK_LINES] for i in range(0, len(lines), BLOCK_LINES)]
+        blocks = [zlib.compress("\n".join("\t".join(map(str, x)) for x in c).encode()) for c in cut]
         return pa.record_batch(
-            [pa.array([name]), pa.array([len(index)], pa.int32()), pa.array([index[0]["url_key"]]), pa.array([data], pa.binary()), pa.array([index], pa.list_(line))],
-            names=["archive_id", "n_records", "first_key", "data", "index"],
+            [pa.array([hashlib.sha1(data).hexdigest()[:16]]), pa.array([len(lines)], pa.int32()), pa.array([lines[-1][0]]), pa.array([[c[0][0] for c in cut]], pa.list_(pa.string())), pa.array([blocks], pa.list_(pa.binary())), pa.array([data], pa.binary())],
+            names=["archive_id", "n_records", "last_key", "directory", "blocks", "data"],
         )
 
     for b in batches:
-        for key, *row in zip(*(c.to_pylist() for c in b.columns)):
-            r = record_bytes(*row)
+        for key, page_id, url, html, digest, refers_to, is_page in zip(*(c.to_pylist() for c in b.columns)):
+            if (key, page_id) != place:
+                place, known = (key, page_id), {}
+            if not is_page:
+                known[digest] = refers_to
+                continue
+            body = (html or "").encode()
+            digest = hashlib.sha1(body).hexdigest()
+            kind = "revisit" if digest in known else "response"
+            r = record_bytes(page_id, url, body, kind, known.get(digest), digest)
             if parts and size + len(r) > ARCHIVE_BYTES:
-                yield blob()
-                parts, index, size = [], [], 0
-            index.append({"url_key": key, "page_id": row[0], "record_offset": size, "record_length": len(r)})
+                yield archive()
+                parts, lines, size = [], [], 0
+            lines.append((key.replace("\t", "%09").replace("\n", "%0A"), page_id, size, len(r)))
             parts.append(r)
             size += len(r)
     if parts:
-        yield blob()
+        yield archive()
 
 
 def write_archives(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """The archives' table: archive_id, n_records, first_key, data, index.
-
-    Null urls have the key ")/" and no target header; null html is an empty payload; rows of
-    one page_id are records of their own (with equal payloads, those of the largest page_id
-    are all responses); a null page_id is the smallest. Other columns are not looked at."""
-    typed = with_record_types(pages, min_bytes).withColumn("url_key", url_key(F.col("url")))
+    """The archives' table: archive_id, n_records, last_key, directory, blocks, data.
+
+    blocks are the compressed blocks of the capture index for the archive's records and
+    directory has the first key of each. Payloads are shuffled once, with the few columns of
+    revisits sorted in between. Null urls have the key ")/" and no target header; null html is
+    an empty payload; rows of one page_id are records of their own (with equal payloads, those
+    of the largest page_id are all responses); a null page_id is the smallest. Other columns
+    are not looked at; an empty table has no archive."""
+    none = F.lit(None)
+    later = written(revisits(pages, min_bytes), "revisits").select("url_key", "page_id", none.cast("string").alias("url"), none.cast("string").alias("html"), "payload_digest", "refers_to", F.lit(False).alias("is_page"))
+    own = pages.select(url_key(F.col("url")).alias("url_key"), F.col("page_id").cast("long").alias("page_id"), "url", "html", none.cast("string").alias("payload_digest"), none.cast("long").alias("refers_to"), F.lit(True).alias("is_page"))
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["url_key", "page_id", "url", "html", "record_type", "refers_to", "payload_digest", "payload_bytes"]
-    order = ["url_key", "page_id"]
-    ranged = typed.select(*columns).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = own.unionByName(later).repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id", "is_page")
     return written(ranged.mapInArrow(_archives, ARCHIVES), "warc")
 
 
+def _index_lines(block: bytes) -> list[list[str]]:
+    return [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads every record of every archive by its offset and length in the index."""
+    """Reads every record of every archive where the index says it is."""
+    number = lambda x: None if x == "None" else int(x)
     for b in batches:
-        for data, index in zip(b.column(0), b.column(1)):
+        for data, blocks in zip(b.column(0), b.column(1).to_pylist()):
             view = memoryview(data.as_buffer())
             rows = []
-            for line in index.as_py():
-                lo = line["record_offset"]
-                r = read_record(view[lo : lo + line["record_length"]])
+            for _, _, offset, length in (x for block in blocks for x in _index_lines(block)):
+                r = read_record(view[int(offset) : int(offset) + int(length)])
                 digest = r["WARC-Payload-Digest"].removeprefix("sha1:")
                 kind = r["WARC-Type"]
                 if kind == "response" and hashlib.sha1(r["payload"]).hexdigest() != digest:
                     raise ValueError("a payload doesn't have its digest")
                 page, refers = (r.get(k, "<urn:page:None>")[len("<urn:page:") : -1] for k in ("WARC-Record-ID", "WARC-Refers-To"))
-                rows.append((None if page == "None" else int(page), r.get("WARC-Target-URI"), kind, None if refers == "None" else int(refers), digest, int(r["X-Payload-Length"]), len(r["payload"])))
+                rows.append((number(page), r.get("WARC-Target-URI"), kind, number(refers), digest, int(r["X-Payload-Length"]), len(r["payload"])))
             types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "stored_bytes"]
             yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=names)
@@ -177,37 +177,43 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """One row for each record, as its headers and payload have it."""
-    return archives.select("data", "index").mapInArrow(_records, RECORDS)
+    return archives.select("data", "blocks").mapInArrow(_records, RECORDS)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lines: list[tuple] = []
-
-    def block(rows):
-        text = "\n".join("\t".join(map(str, r)) for r in rows)
-        return pa.record_batch([pa.array([rows[0][0]]), pa.array([rows[-1][0]]), pa.array([len(rows)], pa.int32()), pa.array([zlib.compress(text.encode())], pa.binary())], names=["first_key", "last_key", "n_lines", "block"])
-
-    for b in batches:
-        lines += zip(*(c.to_pylist() for c in b.columns))
-        while len(lines) >= BLOCK_LINES:
-            yield block(lines[:BLOCK_LINES])
-            lines = lines[BLOCK_LINES:]
-    if lines:
-        yield block(lines)
+def lookup(urls: DataFrame, archives: DataFrame) -> DataFrame:
+    """url, page_id, record_type, payload_digest of each capture of each row of urls (url).
 
+    Archives have key ranges of their own, so a url's key is looked for by a binary search in
+    the directory of an archive whose range holds it, then in one block or the next ones while
+    the key goes on, and the record is read by its range. Urls meet archives on the first part
+    of their key up to the host's end, as a url's captures share it."""
+    host = lambda c: F.substring_index(c, ")", 1)
+    wanted = urls.select("url", url_key(F.col("url")).alias("k")).distinct().withColumn("h", host(F.col("k")))
+    ranges = archives.select("archive_id", "last_key", F.element_at("directory", 1).alias("first_key"))
+    hits = ranges.join(wanted, (F.col("k") >= F.col("first_key")) & (F.col("k") <= F.col("last_key"))).groupBy("archive_id").agg(F.collect_list(F.struct("url", "k")).alias("wanted"))
 
-def capture_index(archives: DataFrame) -> DataFrame:
-    """first_key, last_key, n_lines, block: the index's blocks; the first two columns are the
-    sparse directory. Keys in a line have tabs and line ends escaped."""
-    lines = archives.select("archive_id", F.explode("index").alias("x")).select(F.regexp_replace(F.regexp_replace("x.url_key", "\t", "%09"), "\n", "%0A").alias("url_key"), "x.page_id", "archive_id", "x.record_offset", "x.record_length")
-    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["url_key", "page_id"]
-    return lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_blocks, "first_key string, last_key string, n_lines int, block binary")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for data, directory, blocks, keys in zip(b.column(0), *(b.column(i).to_pylist() for i in (1, 2, 3))):
+                view = memoryview(data.as_buffer())
+                first = [k.encode() for k in directory]
+                for w in keys:
+                    at = max(0, bisect.bisect_left(first, w["k"].encode()) - 1)
+                    while at < len(blocks) and directory[at].encode() <= w["k"].encode():
+                        for _, page, offset, length in find_lines(blocks[at], w["k"]):
+                            r = read_record(view[int(offset) : int(offset) + int(length)])
+                            rows.append((w["url"], None if page == "None" else int(page), r["WARC-Type"], r["WARC-Payload-Digest"].removeprefix("sha1:")))
+                        at += 1
+            types = [pa.string(), pa.int64(), pa.string(), pa.string()]
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["url", "page_id", "record_type", "payload_digest"])
+
+    return archives.join(hits, "archive_id").select("data", "directory", "blocks", "wanted").mapInArrow(read, "url string, page_id long, record_type string, payload_digest string")
 
 
 def find_lines(block: bytes, key: str) -> list[list[str]]:
     """The lines of a block that have the key, by binary search."""
-    lines = [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
+    lines = _index_lines(block)
     keys = [x[0].encode() for x in lines]
     at = bisect.bisect_left(keys, key.encode())
     out = []
@@ -217,48 +223,10 @@ def find_lines(block: bytes, key: str) -> list[list[str]]:
     return out
 
 
-def lookup(urls: DataFrame, index: DataFrame, archives: DataFrame) -> DataFrame:
-    """url, page_id, record_type, payload_digest of each capture of each row of urls (url).
-
-    The directory (one short row for each block) is searched by the reader of each url; only
-    blocks and archives that hold a hit are read."""
-    directory = index.select("first_key", "last_key", F.col("block"))
-    wanted = urls.select("url", url_key(F.col("url")).alias("k")).distinct()
-    hits = wanted.join(directory, (F.col("k") >= F.col("first_key")) & (F.col("k") <= F.col("last_key")))
-
-    def search(batches):
-        for b in batches:
-            rows = [(u, x[2], int(x[3]), int(x[4])) for u, k, block in zip(*(c.to_pylist() for c in b.columns)) for x in find_lines(block, k)]
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.string(), pa.int64(), pa.int64()])], names=["url", "archive_id", "at", "size"])
-
-    places = hits.select("url", "k", "block").mapInArrow(search, "url string, archive_id string, at long, size long")
-    ranges = places.join(archives.select("archive_id", "data"), "archive_id").select("url", F.expr("substring(data, cast(at + 1 as int), cast(size as int))").alias("record"))
-
-    def read(batches):
-        for b in batches:
-            rows = [(u, read_record(r)) for u, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            ids = [r["WARC-Record-ID"][len("<urn:page:") : -1] for _, r in rows]
-            yield pa.record_batch([pa.array([u for u, _ in rows], pa.string()), pa.array([None if i == "None" else int(i) for i in ids], pa.int64()), pa.array([r["WARC-Type"] for _, r in rows], pa.string()), pa.array([r["WARC-Payload-Digest"].removeprefix("sha1:") for _, r in rows], pa.string())], names=["url", "page_id", "record_type", "payload_digest"])
-
-    return ranges.mapInArrow(read, "url string, page_id long, record_type string, payload_digest string")
-
-
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records are found through the capture index: its lines, read from its compressed
-    blocks, say where each archive has its records."""
+    """Every record is read where the index's blocks say it is."""
     archives = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    index = written(capture_index(archives), "capture-index")
-
-    def unpack(batches):
-        for b in batches:
-            for block in b.column(0).to_pylist():
-                rows = [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
-                yield pa.record_batch([pa.array([r[2] for r in rows], pa.string()), pa.array([int(r[3]) for r in rows], pa.int64()), pa.array([int(r[4]) for r in rows], pa.int64())], names=["archive_id", "record_offset", "record_length"])
-
-    lines = index.select("block").mapInArrow(unpack, "archive_id string, record_offset long, record_length long")
-    per_archive = lines.groupBy("archive_id").agg(F.collect_list(F.struct("record_offset", "record_length")).alias("index"))
-    found = read_archives(archives.select("archive_id", "data").join(per_archive, "archive_id").select("data", "index"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP9_SQL = """
