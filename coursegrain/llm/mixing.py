@@ -19,7 +19,8 @@ from .common import table, text_or_empty, word_count, written
 MAX_COPIES = 3.0
 SEED = "mix-1"
 CELLS = 4096
-#: Inclusion odds of a document against one of average length: the longer, the less likely.
+FEW_SOURCES = 50_000
+#: Inclusion odds grow as this power of a document's length.
 LENGTH_POWER = 0.25
 
 
@@ -55,55 +56,76 @@ def _uniform(*parts: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def sampled(sizes: DataFrame, targets: DataFrame, max_copies: float = MAX_COPIES, seed: str = SEED) -> DataFrame:
-    """sizes (doc_id, source, text_key, size) with source_size, target and copies.
+def with_source_rows(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+    """rows with the columns of by_source, which has one row for each source (null is one).
 
-    copies counts whole copies of a document in the mix: floor(ratio) certain ones, one more
-    where the sample takes it, max_copies at most. The sample stops at the document that would
-    pass the target; one more document, that whose size is nearest to what is then missing,
-    is taken if it brings the sum nearer. Documents of no words get the certain copies only.
-    Rows that are alike in every column are told apart by nothing but their place."""
-    d = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"]), "inner").drop(targets["source"])
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    d = d.withColumn("certain", F.least(F.floor(ratio + F.lit(1e-9)), F.lit(int(max_copies))).cast("long"))
-    d = d.withColumn("part", F.greatest(ratio - F.col("certain"), F.lit(0.0)))
-    d = d.withColumn("missing", F.greatest(F.col("target") - F.col("source_size") * F.col("certain"), F.lit(0.0)))
-    # Inclusion odds: those of the part, less for long documents; the shares stay below 1.
-    odds = F.col("part") / F.greatest(F.lit(1.0) - F.col("part"), F.lit(1e-12)) / F.pow(F.greatest(F.col("size"), F.lit(1)).cast("double"), F.lit(LENGTH_POWER))
+    Up to FEW_SOURCES rows are broadcast; more are joined by a shuffle."""
+    n = by_source.count()
+    right = by_source.withColumnRenamed("source", "_source")
+    right = F.broadcast(right) if n <= FEW_SOURCES else right
+    return rows.join(right, rows["source"].eqNullSafe(right["_source"]), "left").drop("_source")
+
+
+def _ranked(d: DataFrame, seed: str) -> DataFrame:
+    """d (doc_id, source, text_key, size, part, ...) with rank and cell; null outside the sample."""
+    ratio = F.col("part") / F.greatest(F.lit(1.0) - F.col("part"), F.lit(1e-12))
+    # Inclusion odds: those of the part, more for long documents, which leaves short ones to fill up.
+    odds = ratio * F.pow(F.greatest(F.col("size"), F.lit(1)).cast("double"), F.lit(LENGTH_POWER))
     u = _uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_key").cast("string"))
-    open_ = (F.col("part") > 1e-9) & (F.col("size") > 0) & (F.col("certain") < int(max_copies))
-    d = d.withColumn("rank", F.when(open_, u / (F.lit(1.0) - u) / odds))
+    drawn = (F.col("part") > 1e-9) & (F.col("size") > 0)
+    d = d.withColumn("rank", F.when(drawn, u / (F.lit(1.0) - u) / odds))
     # Odds to (0, 1), so that cells of equal width hold like numbers of documents.
-    scale = F.col("part") / F.greatest(F.lit(1.0) - F.col("part"), F.lit(1e-12))
-    x = F.col("rank") * scale / F.lit(4.0)
-    d = d.withColumn("cell", F.floor(x / (x + F.lit(1.0)) * F.lit(CELLS)))
-    d = written(d, "mix-ranked")
+    x = F.col("rank") * ratio * F.lit(4.0)
+    return d.withColumn("cell", F.floor(x / (x + F.lit(1.0)) * F.lit(CELLS)))
+
 
-    by_cell = d.filter(F.col("cell").isNotNull()).groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.first("missing").alias("missing"))
+def mixing_plan(sizes: DataFrame, max_copies: float = MAX_COPIES, seed: str = SEED) -> DataFrame:
+    """What decides about a source's documents, one row for each source.
+
+    certain whole copies; then documents of a cell before cut_cell, or of that cell up to
+    cut_rank, have one more; and so has the document named by last, whose size is nearest to
+    what is then missing, if it brings the sum nearer."""
+    t = source_targets(sizes, max_copies)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    t = t.withColumn("certain", F.least(F.floor(ratio + F.lit(1e-9)), F.lit(int(max_copies))).cast("long"))
+    t = t.withColumn("part", F.when(F.col("certain") < int(max_copies), F.greatest(ratio - F.col("certain"), F.lit(0.0))).otherwise(F.lit(0.0)))
+    t = written(t.withColumn("missing", F.greatest(F.col("target") - F.col("source_size") * F.col("certain"), F.lit(0.0))), "mix-targets")
+    d = _ranked(with_source_rows(sizes, t.select("source", "part", "missing")), seed).filter(F.col("rank").isNotNull())
+
+    by_cell = d.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.first("missing").alias("missing"))
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     by_cell = by_cell.withColumn("reached", F.sum("cell_size").over(upto))
     # The first cell that passes what is missing; every cell before it is taken whole.
-    cut = by_cell.filter(F.col("reached") > F.col("missing")).groupBy("source").agg(F.min_by(F.struct("cell", (F.col("reached") - F.col("cell_size")).alias("reached_before")), "cell").alias("c"))
-    cut = cut.select(F.col("source").alias("cut_source"), F.col("c.cell").alias("cut_cell"), F.col("c.reached_before").alias("reached_before"))
-    d = d.join(cut, d["source"].eqNullSafe(cut["cut_source"]), "left").drop("cut_source")
-
-    at_cut = F.col("cell").isNotNull() & (F.col("cell") == F.col("cut_cell"))
-    before = F.col("cell").isNotNull() & (F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")))
-    order = Window.partitionBy("source").orderBy("rank", F.col("doc_id").isNull(), "doc_id", "text_key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = d.filter(at_cut).withColumn("reached", F.sum("size").over(order) + F.col("reached_before"))
-    inside = inside.withColumn("extra", (F.col("reached") <= F.col("missing")).cast("int")).drop("reached")
-    rest = d.filter(~at_cut | F.col("cut_cell").isNull()).withColumn("extra", before.cast("int"))
-    both = written(rest.unionByName(inside), "mix-taken")
-
-    gap = both.filter(F.col("rank").isNotNull()).groupBy("source").agg(F.first("missing").alias("missing"), F.sum(F.col("size") * F.col("extra")).alias("got"))
-    gap = gap.select(F.col("source").alias("gap_source"), (F.col("missing") - F.col("got")).alias("gap"))
-    free = both.filter(F.col("rank").isNotNull() & (F.col("extra") == 0))
-    free = free.join(gap, free["source"].eqNullSafe(gap["gap_source"]), "inner")
-    last = free.filter(F.col("size") < 2 * F.col("gap")).groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "text_key")).alias("last"))
-    last = last.select(F.col("source").alias("last_source"), "last")
-    out = both.join(last, both["source"].eqNullSafe(last["last_source"]), "left")
-    is_last = F.coalesce((F.col("extra") == 0) & (F.col("rank") == F.col("last.rank")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("text_key") == F.col("last.text_key")), F.lit(False))
-    return out.withColumn("copies", F.col("certain") + F.col("extra") + is_last.cast("int")).drop("last", "last_source", "extra", "rank", "cell", "cut_cell", "reached_before", "missing", "part", "certain")
+    passed = F.col("reached") > F.col("missing")
+    cut = by_cell.groupBy("source").agg(F.min(F.when(passed, F.col("cell"))).alias("cut_cell"), F.coalesce(F.max(F.when(~passed, F.col("reached"))), F.lit(0)).alias("reached_before"))
+    cut = written(cut, "mix-cells")
+
+    inside = with_source_rows(d, cut).filter(F.col("cell") == F.col("cut_cell"))
+    ranks = inside.groupBy("source", "rank").agg(F.sum("size").alias("size"), F.first("missing").alias("missing"), F.first("reached_before").alias("reached_before"))
+    order = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = ranks.withColumn("reached", F.sum("size").over(order) + F.col("reached_before")).filter(F.col("reached") <= F.col("missing"))
+    ranks = ranks.groupBy("source").agg(F.max("rank").alias("cut_rank"), F.max("reached").alias("reached"))
+    cut = with_source_rows(cut, written(ranks, "mix-ranks"))
+    cut = with_source_rows(cut.select("source", "cut_cell", "cut_rank", F.coalesce("reached", "reached_before").alias("got")), t.select("source", "missing"))
+    cut = written(cut.select("source", "cut_cell", "cut_rank", (F.col("missing") - F.col("got")).alias("gap")), "mix-cuts")
+
+    free = with_source_rows(d.drop("missing"), cut).filter(~_taken() & (F.col("size") < 2 * F.col("gap")))
+    last = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "text_key")).alias("last"))
+    plan = with_source_rows(with_source_rows(t, cut.drop("gap")), written(last, "mix-last"))
+    return written(plan.drop("missing"), "mix-plan")
+
+
+def _taken() -> Column:
+    cell, cut = F.col("cell"), F.col("cut_cell")
+    return F.coalesce(cut.isNull() | (cell < cut) | ((cell == cut) & (F.col("rank") <= F.col("cut_rank"))), F.lit(False))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
+    """rows (doc_id, source, text_key, size, ...) with source_size, target and copies."""
+    d = _ranked(with_source_rows(rows, plan), seed)
+    last = (F.col("rank") == F.col("last.rank")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("text_key") == F.col("last.text_key"))
+    extra = F.col("rank").isNotNull() & (_taken() | F.coalesce(last, F.lit(False)))
+    return d.withColumn("copies", F.col("certain") + extra.cast("int")).drop("certain", "part", "cut_cell", "cut_rank", "last", "rank", "cell")
 
 
 def doc_sizes(docs: DataFrame) -> DataFrame:
@@ -113,11 +135,22 @@ def doc_sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, max_copies: float = MAX_COPIES, seed: str = SEED) -> DataFrame:
     """doc_id, source, text_key, size, source_size, target, copies for each row of docs.
 
-    Null texts have size 0; a null source is a source, the last one; rows of one doc_id are
-    rows of their own (alike rows at the cut are both taken or both left); other columns are
+    copies counts the whole copies of a document in the mix, max_copies at most; documents of
+    no words have the certain ones only. Null texts have size 0; a null source is a source,
+    the last one; rows alike in doc_id and text are taken or left together; other columns are
     not looked at; an empty table has no rows."""
     sizes = written(doc_sizes(docs), "mix-sizes")
-    return sampled(sizes, source_targets(sizes, max_copies), max_copies, seed)
+    return with_copies(sizes, mixing_plan(sizes, max_copies, seed), seed)
+
+
+def mixed_documents(docs: DataFrame, max_copies: float = MAX_COPIES, seed: str = SEED) -> DataFrame:
+    """docs with each row as often as the mix takes it; no text is shuffled."""
+    sizes = written(doc_sizes(docs), "mix-sizes")
+    plan = mixing_plan(sizes, max_copies, seed)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(own, "doc_id", "source", F.xxhash64(text_or_empty()).alias("text_key"), word_count(F.col("text")).alias("size"))
+    copies = with_copies(rows, plan, seed).filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copies.select("_row.*")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
