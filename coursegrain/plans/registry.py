@@ -1,4 +1,8 @@
 """Queries and SQL of the library."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import sampling
+
+_PARTS = (sampling,)
+
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLE_SQL = {name: s for part in _PARTS for name, s in part.ORACLE_SQL.items()}
