@@ -1,8 +1,8 @@
 """Queries and SQL of the library."""
 
-from . import sampling
+from . import documents, sampling
 
-_PARTS = (sampling,)
+_PARTS = (sampling, documents)
 
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLE_SQL = {name: s for part in _PARTS for name, s in part.ORACLE_SQL.items()}
