@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def token_count(text: Column) -> Column:
@@ -27,3 +29,26 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
+
+
+@F.pandas_udf(T.DoubleType())
+def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """200 * longest common subsequence / (length + length) of the lower-cased strings; 100 for two empty ones, null for a null."""
+
+    def one(x, y):
+        if x is None or y is None:
+            return None
+        x, y = x.lower(), y.lower()
+        if not x and not y:
+            return 100.0
+        places: dict[str, int] = {}
+        for j, c in enumerate(y):
+            places[c] = places.get(c, 0) | 1 << j
+        full = (1 << len(y)) - 1
+        row = full
+        for c in x:
+            u = row & places.get(c, 0)
+            row = ((row + u) | (row - u)) & full
+        return 200.0 * (len(y) - row.bit_count()) / (len(x) + len(y))
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")

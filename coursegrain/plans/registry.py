@@ -1,8 +1,8 @@
 """Queries and SQL of the library."""
 
-from . import documents, sampling
+from . import corpus, documents, sampling
 
-_PARTS = (sampling, documents)
+_PARTS = (sampling, documents, corpus)
 
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLE_SQL = {name: s for part in _PARTS for name, s in part.ORACLE_SQL.items()}
