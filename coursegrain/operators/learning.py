@@ -76,3 +76,48 @@ def lapses(reviews: DataFrame) -> DataFrame:
     upto = Window.partitionBy("card_id").orderBy("reviewed_at", "review_id").rowsBetween(Window.unboundedPreceding, 0)
     seconds = F.unix_timestamp(F.col("due_at").cast("timestamp")) - F.unix_timestamp(F.col("reviewed_at").cast("timestamp"))
     return reviews.select("review_id", "card_id", F.sum((F.col("rating") == 1).cast("int")).over(upto).alias("lapses"), F.round(seconds / 86400.0, 6).alias("interval_days"))
+
+
+def answer_source(answers: DataFrame, questions: DataFrame, chunks: DataFrame, most: int = 2000) -> DataFrame:
+    """answer_id, chunk_id, document_id, page_start, page_end, text of the first passage cited."""
+    cited = questions.select("question_id", F.get("source_chunk_ids", F.lit(0)).alias("chunk_id"))
+    j = answers.select("answer_id", "question_id").join(cited, "question_id", "left").join(chunks.select("chunk_id", "document_id", "page_start", "page_end", "text"), "chunk_id", "left")
+    return j.select("answer_id", "chunk_id", "document_id", "page_start", "page_end", F.left("text", F.lit(most)).alias("text"))
+
+
+def _latest(attempts: DataFrame) -> DataFrame:
+    order = Window.partitionBy("quiz_id").orderBy(F.desc("started_at"), F.desc("attempt_id"))
+    return attempts.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+
+
+def resume_attempts(attempts: DataFrame, answers: DataFrame, totals: DataFrame) -> DataFrame:
+    """quiz_id, attempt_id, answered, answered_ids of the latest open attempt that isn't complete."""
+    last = _latest(attempts.filter("open"))
+    given = answers.groupBy("attempt_id").agg(F.count(F.lit(1)).alias("answered"), F.array_sort(F.collect_list("question_id")).alias("answered_ids"))
+    j = last.join(given, "attempt_id", "left").join(totals, "quiz_id").withColumn("answered", F.coalesce("answered", F.lit(0)))
+    return j.filter(F.col("answered") < F.col("total")).select("quiz_id", "attempt_id", "answered", F.coalesce("answered_ids", F.array().cast("array<long>")).alias("answered_ids"))
+
+
+def quiz_progress(attempts: DataFrame, answers: DataFrame, totals: DataFrame) -> DataFrame:
+    """quiz_id, total, answered (0 where the latest attempt is finished), in_progress."""
+    given = answers.groupBy("attempt_id").agg(F.count(F.lit(1)).alias("answered"))
+    j = totals.join(_latest(attempts), "quiz_id", "left").join(given, "attempt_id", "left")
+    live = F.coalesce("open", F.lit(False))
+    n = F.when(live, F.coalesce("answered", F.lit(0))).otherwise(F.lit(0))
+    return j.select("quiz_id", "total", n.alias("answered"), (live & (n < F.col("total"))).alias("in_progress"))
+
+
+def attempt_results(answers: DataFrame) -> DataFrame:
+    """attempt_id, topic_id, answered, correct, and the attempt's answered and score."""
+    by_topic = answers.groupBy("attempt_id", "topic_id").agg(F.count(F.lit(1)).alias("answered"), F.count_if("is_correct").alias("correct"))
+    own = Window.partitionBy("attempt_id")
+    total, right = F.sum("answered").over(own), F.sum("correct").over(own)
+    return by_topic.select("attempt_id", "topic_id", "answered", "correct", total.alias("attempt_answered"), F.coalesce(F.try_divide(right, total), F.lit(0.0)).alias("score"))
+
+
+def course_inventory(documents: DataFrame, chunks: DataFrame, cards: DataFrame) -> DataFrame:
+    """course_id with its documents, topics, passages and cards."""
+    d = documents.groupBy("course_id").agg(F.count(F.lit(1)).alias("documents"))
+    c = chunks.groupBy("course_id").agg(F.countDistinct("topic_id").alias("topics"), F.count(F.lit(1)).alias("chunks"))
+    k = cards.groupBy("course_id").agg(F.count(F.lit(1)).alias("cards"))
+    return d.join(c, "course_id", "left").join(k, "course_id", "left").na.fill(0)

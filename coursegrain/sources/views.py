@@ -103,7 +103,7 @@ def quizzes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "lineitem")
     return q.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("question_id"),
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("question_id"),
         F.col("l_orderkey").alias("quiz_id"),
         F.col("l_linenumber").alias("order_index"),
         F.array(F.col("l_partkey")).alias("source_chunk_ids"),
@@ -139,7 +139,7 @@ SQL_VIEWS = {
         SELECT v.vec_id - o.o AS query_id, i, sum(x) AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) v, range(0, 6) o(o) GROUP BY ALL)
         WHERE query_id >= 0 GROUP BY query_id""",
     "v_quiz": r"""SELECT o_orderkey AS quiz_id, CAST(o_custkey % 20 AS INT) AS course_id, o_orderdate AS created_at, o_totalprice AS duration_ms, o_orderstatus AS status FROM orders""",
-    "v_question": r"""SELECT l_orderkey * 10 + l_linenumber AS question_id, l_orderkey AS quiz_id, l_linenumber AS order_index, [l_partkey] AS source_chunk_ids,
+    "v_question": r"""SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS question_id, l_orderkey AS quiz_id, l_linenumber AS order_index, [l_partkey] AS source_chunk_ids,
         [l_linenumber] AS page_refs, 'stem ' || l_returnflag || ' ' || l_linestatus || ' ' || l_partkey AS stem, CAST(l_suppkey % 10 AS INT) AS topic_id FROM lineitem""",
 }
 
