@@ -31,7 +31,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.top_k)
     return j.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.top_k, reach: float = 1.1, tables: int = 8, width: float = 1.0) -> DataFrame:
+def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.top_k, reach: float = 1.35, tables: int = 8, width: float = 2.0) -> DataFrame:
     """As vector_topk without restrictions, from random-projection buckets: hits may be missed.
 
     Vectors are normalised, so the distance gives the cosine: 1 - d * d / 2."""
