@@ -4,7 +4,8 @@ Word counts are gathered from all training texts. The words of highest count, th
 text and "any other word" are the model's classes. Two context classes are mapped to vectors,
 added up and multiplied with the vector of the next class, plus its bias. Every partition of
 the training texts is run through in numpy minibatches, each token against noise from the
-unigram distribution, from one common start; the parameters are averaged by tokens. Batched
+unigram distribution (tokens alike in their class and context are one step of that weight),
+from one common start; the parameters are averaged by tokens. Batched
 matrix products then give the normaliser of every pair of context classes, so that scores are
 log-probabilities of a proper distribution. Other words share their class's probability by
 their counts.
@@ -31,8 +32,10 @@ DICTIONARY = 200_000
 LONGEST = 64
 DIM = 16
 NOISE = 48
-BATCH = 4096
-RATE = 0.08
+BATCH = 512
+#: Tokens of a partition whose alike steps are taken as one.
+GROUP = 1_000_000
+RATE = 0.1
 SMOOTH = 0.1
 HELD_OUT = 0
 FOLDS = 10
@@ -76,11 +79,14 @@ def initial(log_share: np.ndarray) -> dict[str, np.ndarray]:
     return {"near": small(), "far": small(), "out": small(), "bias": log_share.astype(np.float32)}
 
 
-def train(classes: np.ndarray, p: dict[str, np.ndarray], squares: dict[str, np.ndarray], share: np.ndarray, r: np.random.Generator) -> None:
-    """One pass of noise-contrastive steps over rows (far, near, next), in place."""
+def train(classes: np.ndarray, p: dict[str, np.ndarray], squares: dict[str, np.ndarray], share: np.ndarray, r: np.random.Generator, weight: np.ndarray | None = None) -> None:
+    """One pass of noise-contrastive steps over rows (far, near, next), in place.
+
+    A row of weight k is k rows alike."""
     log_noise = np.log(share * NOISE).astype(np.float32)
     for lo in range(0, len(classes), BATCH):
         rows = classes[lo : lo + BATCH]
+        k = np.ones(len(rows), np.float32) if weight is None else weight[lo : lo + BATCH].astype(np.float32)
         far, near, nxt = rows[:, 0], rows[:, 1], rows[:, 2]
         noise = r.choice(len(share), NOISE, p=share)
         q = p["near"][near] + p["far"][far]
@@ -88,19 +94,28 @@ def train(classes: np.ndarray, p: dict[str, np.ndarray], squares: dict[str, np.n
         good = 1 / (1 + np.exp(-((q * own).sum(1) + p["bias"][nxt] - log_noise[nxt])))
         out = p["out"][noise]
         bad = 1 / (1 + np.exp(-(q @ out.T + p["bias"][noise] - log_noise[noise])))
-        g, n = good - 1, len(rows)
+        g, n = (good - 1) * k, k.sum()
+        bad *= k[:, None]
         dq = g[:, None] * own + bad @ out
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        grad = {name: np.zeros_like(v) for name, v in p.items()}
         np.add.at(grad["near"], near, dq)
         np.add.at(grad["far"], far, dq)
         np.add.at(grad["out"], nxt, g[:, None] * q)
         np.add.at(grad["out"], noise, bad.T @ q)
         grad["bias"] += np.bincount(nxt, weights=g, minlength=len(share)).astype(np.float32)
         np.add.at(grad["bias"], noise, bad.sum(0))
-        for k, v in p.items():
-            d = grad[k] / n
-            squares[k] += d * d
-            v -= RATE * d / np.sqrt(squares[k])
+        for name, v in p.items():
+            d = grad[name] / n
+            squares[name] += d * d
+            v -= RATE * d / np.sqrt(squares[name])
+
+
+def grouped(rows: np.ndarray, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in random order, and how often each is there."""
+    key, times = np.unique((rows[:, 0] * CLASSES + rows[:, 1]) * CLASSES + rows[:, 2], return_counts=True)
+    order = r.permutation(len(key))
+    key, times = key[order], times[order]
+    return np.stack([key // CLASSES**2, key // CLASSES % CLASSES, key % CLASSES], axis=1), times
 
 
 def contexts(class_rows: list[np.ndarray]) -> np.ndarray:
@@ -174,13 +189,13 @@ def fit(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
             for t in b.column(0).to_pylist():
                 held.append(vocab.class_row(words_of(t)))
                 size += len(held[-1])
-                if size >= 50 * BATCH:
-                    rows = contexts(held)
-                    train(rows, p, squares, vocab.share, r)
-                    n, held, size = n + len(rows), [], 0
-        rows = contexts(held)
-        train(rows, p, squares, vocab.share, r)
-        n += len(rows)
+                if size >= GROUP:
+                    rows, times = grouped(contexts(held), r)
+                    train(rows, p, squares, vocab.share, r, times)
+                    n, held, size = n + size, [], 0
+        rows, times = grouped(contexts(held), r)
+        train(rows, p, squares, vocab.share, r, times)
+        n += size
         if n:
             yield pa.record_batch([pa.array([n], pa.int64()), pa.array([join(p).astype(np.float64).tobytes()], pa.binary())], names=["n", "p"])
 
