@@ -71,7 +71,7 @@ def _ranked(d: DataFrame, seed: str) -> DataFrame:
     ratio = F.col("part") / F.greatest(F.lit(1.0) - F.col("part"), F.lit(1e-12))
     # Inclusion odds: those of the part, more for long documents, which leaves short ones to fill up.
     odds = ratio * F.pow(F.greatest(F.col("size"), F.lit(1)).cast("double"), F.lit(LENGTH_POWER))
-    u = _uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_key").cast("string"))
+    u = _uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_key"))
     drawn = (F.col("part") > 1e-9) & (F.col("size") > 0)
     d = d.withColumn("rank", F.when(drawn, u / (F.lit(1.0) - u) / odds))
     # Odds to (0, 1), so that cells of equal width hold like numbers of documents.
@@ -129,7 +129,7 @@ def with_copies(rows: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame
 
 
 def doc_sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.xxhash64(text_or_empty()).alias("text_key"), word_count(F.col("text")).alias("size"))
+    return docs.select("doc_id", "source", F.md5(text_or_empty().cast("binary")).alias("text_key"), word_count(F.col("text")).alias("size"))
 
 
 def mix(docs: DataFrame, max_copies: float = MAX_COPIES, seed: str = SEED) -> DataFrame:
@@ -148,7 +148,7 @@ def mixed_documents(docs: DataFrame, max_copies: float = MAX_COPIES, seed: str =
     sizes = written(doc_sizes(docs), "mix-sizes")
     plan = mixing_plan(sizes, max_copies, seed)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(own, "doc_id", "source", F.xxhash64(text_or_empty()).alias("text_key"), word_count(F.col("text")).alias("size"))
+    rows = docs.select(own, "doc_id", "source", F.md5(text_or_empty().cast("binary")).alias("text_key"), word_count(F.col("text")).alias("size"))
     copies = with_copies(rows, plan, seed).filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return copies.select("_row.*")
 
@@ -156,3 +156,40 @@ def mixed_documents(docs: DataFrame, max_copies: float = MAX_COPIES, seed: str =
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP4_SQL = f"""
+WITH sizes AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS weight
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source)),
+w AS (
+  SELECT *, source_size * 3.0::DOUBLE AS most, source_size * 3.0::DOUBLE / weight AS stops FROM s),
+l AS (
+  SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY stops, source IS NULL, source)),
+t AS (
+  SELECT source, source_size, round(least(most, coalesce((SELECT arg_min(level, stops) FROM l WHERE level <= stops), 1e300) * weight), 6) AS target FROM l),
+p AS (
+  SELECT *, least(CAST(floor(ratio + 1e-9) AS BIGINT), 3) AS certain,
+            CASE WHEN floor(ratio + 1e-9) < 3 THEN greatest(ratio - floor(ratio + 1e-9), 0) ELSE 0 END AS part
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t)),
+d AS (
+  SELECT z.doc_id, z.text_key, z.size, p.*, greatest(target - source_size * certain, 0) AS missing,
+         (CAST('0x' || substr(md5('{SEED}|' || coalesce(CAST(z.doc_id AS VARCHAR), 'null') || '|' || z.text_key), 1, 13) AS BIGINT)::DOUBLE + 0.5) / {2**52}::DOUBLE AS u
+  FROM sizes z JOIN p ON z.source IS NOT DISTINCT FROM p.source),
+r AS (
+  SELECT *, CASE WHEN part > 1e-9 AND size > 0 THEN u / (1 - u) / (part / greatest(1 - part, 1e-12) * pow(size::DOUBLE, {LENGTH_POWER})) END AS rank FROM d),
+c AS (
+  SELECT *, sum(size) FILTER (rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank NULLS LAST RANGE UNBOUNDED PRECEDING) AS reached FROM r),
+x AS (
+  SELECT *, rank IS NOT NULL AND reached <= missing AS taken_in FROM c),
+g AS (
+  SELECT *, missing - coalesce(max(CASE WHEN taken_in THEN reached END) OVER (PARTITION BY source), 0) AS gap FROM x),
+e AS (
+  SELECT *, CASE WHEN rank IS NOT NULL AND NOT taken_in AND size < 2 * gap
+                 THEN row_number() OVER (PARTITION BY source, rank IS NOT NULL AND NOT taken_in AND size < 2 * gap ORDER BY abs(gap - size), rank, doc_id, text_key) = 1 ELSE false END AS is_last FROM g)
+SELECT doc_id, size, source_size, target, CAST((certain + CASE WHEN taken_in OR is_last THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM e
+"""

@@ -4,7 +4,7 @@ from .embed_dup import op5_embedding_near_dedup
 from .language_model import op7_log_bilinear
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .media import op8_jpeg_media
-from .mixing import op4_source_mix
+from .mixing import OP4_SQL, op4_source_mix
 from .near_dup import op10_order_minhash
 from .packing import op2_best_fit_packing
 from .quality import op6_quality
@@ -26,5 +26,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op4_source_mix": OP4_SQL,
     "op9_warc_index": OP9_SQL,
 }
