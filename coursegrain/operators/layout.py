@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 # Gutters and row bands in EMU, and the depth of cuts.
 COLUMN_GUTTER = ROW_GUTTER = 365760
 ROW_BAND = 109728
@@ -29,16 +31,20 @@ def dominant_gap(gaps: DataFrame, by: list[str], floor: int) -> DataFrame:
 def xy_cut(boxes: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """boxes (slide, left, top, width, height, text) with block, a path of 0 and 1 in reading order.
 
-    Each round cuts every block once: at a dominant gap between columns, else between rows. The
-    plan has a bounded number of rounds; a block without a gap stays as it is."""
+    Each round cuts every block once: at a dominant gap between columns, else between rows. Rounds
+    are written, so that the plan doesn't grow with them; they end when no block has a gap."""
     d = boxes.withColumn("block", F.lit(""))
     by = ["slide", "block"]
     for _ in range(depth):
         x = dominant_gap(interval_gaps(d.withColumn("right", F.col("left") + F.col("width")), by, "left", "right"), by, COLUMN_GUTTER).select(*by, F.col("middle").alias("x_at"))
         y = dominant_gap(interval_gaps(d.withColumn("bottom", F.col("top") + F.col("height")), by, "top", "bottom"), by, ROW_GUTTER).select(*by, F.col("middle").alias("y_at"))
-        d = d.join(x, by, "left").join(y, by, "left")
+        cuts = written(x.join(y, by, "full"), "cuts")
+        if cuts.isEmpty():
+            break
+        d = d.join(cuts, by, "left")
         step = F.when(F.col("x_at").isNotNull(), (F.col("left") >= F.col("x_at")).cast("int")).when(F.col("y_at").isNotNull(), (F.col("top") >= F.col("y_at")).cast("int"))
         d = d.withColumn("block", F.concat("block", F.coalesce(step.cast("string"), F.lit("")))).drop("x_at", "y_at")
+        d = written(d, "blocks")
     return d
 
 

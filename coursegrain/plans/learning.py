@@ -209,7 +209,7 @@ def dominant_gap(spark, sf_dir):
 
 
 def xy_cut(spark, sf_dir):
-    return Y.xy_cut(boxes(spark, sf_dir), 3).select("slide", "text", "block")
+    return Y.xy_cut(boxes(spark, sf_dir)).select("slide", "text", "block")
 
 
 def row_band(spark, sf_dir):
