@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage."""
 
-from .embed_dup import op5_embedding_near_dedup
+from .embed_dup import OP5_SQL, op5_embedding_near_dedup
 from .language_model import op7_log_bilinear
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .media import op8_jpeg_media
@@ -27,5 +27,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
     "op4_source_mix": OP4_SQL,
+    "op5_embedding_near_dedup": OP5_SQL,
     "op9_warc_index": OP9_SQL,
 }
