@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 END_ID = 1
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 500_000
 LONG_CHUNK = 200
 # Marks of ASCII, and what Python takes for white space but the tokenizer doesn't.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
