@@ -43,6 +43,7 @@ def pieces(docs: DataFrame, seq_len: int = SEQ_LEN, path: str | None = None) ->
                     for c, v in zip(out, (doc, key, i, lo, len(part), zlib.crc32(part))):
                         c.append(v)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
+        enc.forget()
 
     text = text_or_empty()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text")).mapInArrow(run, PIECES)

@@ -278,6 +278,7 @@ def write_token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
                     if size >= SEGMENT:
                         yield segment()
                         seq, held, size = seq + 1, [], 0
+        enc.forget()
         if held:
             yield segment()
 

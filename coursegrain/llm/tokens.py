@@ -2,8 +2,8 @@
 
 The tokenizer splits at white space before anything else looks at a text, so the ids of a
 text are the ids of its white-space-free chunks, one after the other. Each chunk is encoded
-by the tokenizers library once for each worker and looked up from then on. The memo is
-emptied when it is full, which changes no result."""
+by the tokenizers library once for each task and looked up from then on. The memo is emptied
+when it is full and at a task's end, which changes no result."""
 
 from __future__ import annotations
 
@@ -80,6 +80,12 @@ class ChunkEncoder:
             else:
                 memo[c] = self._whole(c)
 
+    def forget(self) -> None:
+        """Empties the memo, as a task does at its end: its worker goes on to other stages."""
+        for held in (self.memo, self.stems, self.tails):
+            held.clear()
+        self.tails[""] = b""
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text, END_ID last."""
         memo = self.memo
@@ -90,9 +96,7 @@ class ChunkEncoder:
                 out.append(np.frombuffer(self._whole(t) + end, dtype="<u4"))
                 continue
             if len(memo) > self.memo_chunks:
-                for held in (memo, self.stems, self.tails):
-                    held.clear()
-                self.tails[""] = b""
+                self.forget()
             words = (t.lower() if _latin(t) and "<|" not in t else t).split()
             if unknown := {w for w in words if w not in memo}:
                 self._learn(unknown)
