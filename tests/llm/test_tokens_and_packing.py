@@ -66,7 +66,7 @@ def test_packing_is_whole_and_gapless(spark, plain):
 
 
 def test_local_search_empties_bins():
-    lengths = [60, 60, 45, 45, 40, 30, 20]  # best fit alone needs four bins of 100
+    lengths = [60, 60, 40, 40, 50, 30, 20]  # three full bins of 100, by an exchange and a move
     bins = P.local_search([[0], [1], [2, 3], [4, 5, 6]], lengths, 100)
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(7))
     r = random.Random(8)
