@@ -7,8 +7,11 @@ node. Nodes that share a sketch are linked through one of them, the leader; a pa
 after a banded alignment of the two shingle sequences (or, for moved passages, the overlap of
 the shingle sets) gives SIMILARITY or more. Where a bucket's nodes are in different components
 after that, it is parted by other sketches and gets new leaders, as a link may have been missed
-because the leader was near to neither text. Pairs of a group are never listed: each bucket
-and each part gives one pair for a node."""
+because the leader was near to neither text. What is in several components even then is
+compared whole: a bucket's nodes are dealt into blocks of bounded size, and each pair of blocks
+is a task's group in which every two texts of different components are looked at. So any two
+near copies that share a sketch end up in one class; only groups of texts that share sketches
+and are no near copies cost the square of their size."""
 
 from __future__ import annotations
 
@@ -28,6 +31,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 20
 PICKED = 2
+#: Texts, and shingles of texts, that a block of a bucket has on average at most.
+BLOCK = 256
+BLOCK_SHINGLES = 500_000
 
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _BASE = 0x9E3779B97F4A7C15
@@ -222,6 +228,116 @@ def _refined(mixed: DataFrame) -> DataFrame:
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
+def _block_pairs(apart: DataFrame) -> DataFrame:
+    """pid, side, t, node, root, sketches: pairs of blocks of rows (bucket, t, node, root, n, sketches).
+
+    A component that fills a good part of a block has blocks of its own, which are not paired
+    with each other; the others of a bucket are pooled, a component in one block. A block that
+    meets itself is there with side 0 only."""
+    size = lambda k, n: F.ceil(F.greatest(F.col(k) / F.lit(BLOCK), F.col(n) / F.lit(BLOCK_SHINGLES), F.lit(1e-9)))
+    roots = apart.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    roots = written(roots.withColumn("large", (F.col("k") * 4 > BLOCK) | (F.col("s") * 4 > BLOCK_SHINGLES)), "block-roots")
+    pool = roots.filter("not large").groupBy("bucket").agg(F.sum("k").alias("pk"), F.sum("s").alias("ps"))
+    roots = roots.join(pool.select("bucket", size("pk", "ps").alias("pools")), "bucket", "left")
+    roots = roots.select("bucket", "root", F.when(F.col("large"), F.col("root")).alias("own"), F.when(F.col("large"), size("k", "s")).otherwise(F.col("pools")).alias("parts"))
+    salt = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("root")).otherwise(F.col("node"))), F.col("parts"))
+    rows = apart.join(roots, ["bucket", "root"]).withColumn("block", F.xxhash64("own", salt))
+    rows = written(rows.select("bucket", "block", "own", "t", "node", "root", "sketches"), "blocks")
+
+    blocks = rows.select("bucket", "block", "own").distinct()
+    other = blocks.select("bucket", F.col("block").alias("block2"), F.col("own").alias("own2"))
+    pairs = blocks.join(other, "bucket").filter((F.col("block") <= F.col("block2")) & ~F.coalesce(F.col("own") == F.col("own2"), F.lit(False)))
+    pairs = written(pairs.select(F.xxhash64("bucket", "block", "block2").alias("pid"), "bucket", "block", "block2"), "block-pairs")
+    two = pairs.filter("block <> block2").select("pid", "bucket", F.col("block2").alias("block"), F.lit(1).alias("side"))
+    sides = pairs.select("pid", "bucket", "block", F.lit(0).alias("side")).unionByName(two)
+    return sides.join(rows, ["bucket", "block"]).select("pid", "side", "t", "node", "root", "sketches")
+
+
+def _compared(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Links between the components of one pair of blocks, of rows (side, t, node, root, sketches, shingles).
+
+    Two texts are looked at in the first table they share. Links that the others imply are
+    left out."""
+    t = rows[0][1]
+    one = [r for r in rows if r[0] == 0]
+    two = [r for r in rows if r[0] == 1] or one
+    up: dict[bytes, bytes] = {}
+
+    def find(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    cut = [np.frombuffer(r[5], np.uint64) for r in two]
+    n = np.array([len(s) for s in cut])
+    flat = np.concatenate([labelled(s) for s in cut])
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    distinct = np.array([len(np.unique(s)) for s in cut])
+    marks = np.array([r[4] for r in two])
+    names = {x: i for i, x in enumerate(dict.fromkeys(r[3] for r in rows))}
+    root = np.array([names[r[3]] for r in two])
+    links = []
+    for i, (_, _, a, ra, sketch, raw) in enumerate(one):
+        s = np.frombuffer(raw, np.uint64)
+        same = marks == np.array(sketch)
+        wanted = (root != names[ra]) & same[:, t] & (same.argmax(1) == t)
+        wanted &= np.minimum(n, len(s)) >= SIMILARITY * 0.8 * np.maximum(n, len(s))
+        if two is one:
+            wanted[: i + 1] = False
+        if not wanted.any():
+            continue
+        own = np.sort(labelled(s))
+        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, starts, dtype=np.int64)
+        # Neither of the two measures of similar reaches its threshold with fewer in common.
+        wanted &= both >= SIMILARITY * np.maximum(distinct, len(np.unique(s))) - 1e-6
+        for j in np.flatnonzero(wanted):
+            x, y = find(ra), find(two[j][3])
+            if x != y and similar(s, cut[j]):
+                up[x] = y
+                links.append((a, two[j][2]))
+    return links
+
+
+def _all_across(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between all near copies of one bucket in different components.
+
+    Takes rows (bucket, t, node, root, n, sketches) and texts (node, text)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [shingles(word_hashes(t.encode().translate(_LOWERED))).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(raw, pa.binary())], names=["node", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def out():
+            links = _compared(held) if held else []
+            return pa.record_batch([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for pid, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if pid != at:
+                    yield out()
+                    at, held = pid, []
+                held.append(tuple(row))
+        yield out()
+
+    n = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = texts.join(apart.select("node").distinct(), "node", "left_semi").select("node", "text")
+    cuts = written(wanted.mapInArrow(cut, "node binary, s binary"), "shingles")
+    rows = _block_pairs(apart).join(cuts, "node").select("pid", "side", "t", "node", "root", "sketches", "s")
+    return rows.repartition(4 * n, "pid").sortWithinPartitions("pid", "side").mapInArrow(run, "a binary, b binary")
+
+
+def _undecided(shared: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """bucket, t, node, root, n, sketches of the buckets whose nodes are in several components."""
+    placed = shared.select("bucket", "t", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = written(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("bucket")
+    return written(placed.join(mixed, "bucket").join(nodes.select("node", "n", "sketches"), "node"), "mixed-buckets")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, node, class_id, kept for each row of docs.
 
@@ -236,7 +352,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = written(rows.groupBy("node").agg(first, F.min("n").alias("n"), F.min("sketches").alias("sketches")), "nodes")
 
     # The least node leads, so that the buckets of one large group have few leaders in common.
-    members = nodes.select("node", F.posexplode("sketches").alias("t", "sketch")).select("node", F.xxhash64("t", "sketch").alias("bucket"))
+    members = nodes.select("node", F.posexplode("sketches").alias("t", "sketch")).select("node", "t", F.xxhash64("t", "sketch").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     shared = written(members.join(buckets.select("bucket", "leader"), "bucket"), "buckets")
     pairs = shared.filter(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
@@ -250,14 +366,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(verified(pairs, texts), "near-links")
     found = components(links)
 
-    placed = shared.select("bucket", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("bucket")
-    apart = placed.join(mixed, "bucket").join(nodes.select("node", "n", "sketches"), "node")
-    more = written(_refined(written(apart, "mixed-buckets")).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    apart = _undecided(shared, found, nodes)
+    more = written(_refined(apart.drop("t")).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     late = written(verified(more, texts), "late-links")
     if not late.isEmpty():
-        found = components(links.unionByName(late))
+        links = links.unionByName(late)
+        found = components(links)
+        apart = _undecided(shared, found, nodes)
+    last = written(_all_across(apart, texts), "last-links")
+    if not last.isEmpty():
+        found = components(links.unionByName(last))
 
     ids = nodes.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = written(ids, "roots")

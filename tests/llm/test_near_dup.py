@@ -81,6 +81,31 @@ def test_classes_match_brute_force(spark):
     assert got == _brute(texts)
 
 
+def _template_group(n):
+    """Pairs of near copies among texts that share most of a long passage, and are no near copies."""
+    r = random.Random(5)
+    words = ["w%d" % i for i in range(3000)]
+    passage = r.choices(words, k=160)
+    texts = {}
+    for i in range(0, n, 2):
+        own = r.choices(words, k=42)
+        texts[i] = " ".join(passage + own)
+        texts[i + 1] = " ".join(passage[:10] + r.choices(words, k=34) + passage[44:] + own)
+    return texts
+
+
+def test_links_between_members_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 32)
+    texts = _template_group(800)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], DOC)
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(docs).collect()}
+    # Other texts have the passage in common at most: 156 of 198 shingles.
+    cut = {i: N.shingles(N.word_hashes(t.encode())) for i, t in texts.items()}
+    assert all(N.similar(cut[i], cut[i + 1]) for i in range(0, 800, 2))
+    assert not any(N.similar(cut[0], cut[i]) or N.similar(cut[1], cut[i]) for i in range(2, 800))
+    assert got == {i: i - i % 2 for i in texts}
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(None, "x y z", None, None, None), (5, "x y z", None, None, None), (5, "x y z", None, None, None), (7, None, None, None, None), (8, "", None, None, None), (None, None, None, None, None)]
     docs = spark.createDataFrame(rows, DOC).withColumnRenamed("n_chars", "node")
