@@ -7,6 +7,7 @@ when it is full and at a task's end, which changes no result."""
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +35,18 @@ def _latin(text: str) -> bool:
     return True
 
 
+class _Memo(dict):
+    """ids of chunks as bytes; a chunk that isn't there yet is learnt as it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.learn(chunk)
+        return ids
+
+
 class ChunkEncoder:
     """ids(text) for whole texts; path names a tokenizers file that splits at white space."""
 
@@ -41,9 +54,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.bpe = self.tokenizer.model.tokenize
+        self.memo = _Memo(self._learn)
+        self.stems = _Memo(self._stem)
+        self.tails = _Memo(self._whole)
         self.memo_chunks = memo_chunks
         self.letters = self._byte_letters()
 
@@ -58,49 +72,39 @@ class ChunkEncoder:
         return out
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _stem(self, stem: str) -> bytes:
+        return array("I", [t.id for t in self.bpe(stem if stem.isascii() else stem.translate(self.letters))]).tobytes()
 
-    def _learn(self, unknown: set[str]) -> None:
+    def _learn(self, chunk: str) -> bytes:
         """A chunk of letters and then marks has the ids of the letters and those of the
         marks, as the tokenizer parts the two; capitals up to U+00FF have the ids of their
         small letters. Any other chunk is encoded as it stands."""
-        memo, stems, tails, letters = self.memo, self.stems, self.tails, self.letters
-        bpe = self.tokenizer.model.tokenize
-        for c in unknown:
-            stem = c.rstrip(MARKS)
-            tail = c[len(stem) :]
-            if stem.isalpha() and max(stem) <= "\xff" and len(c) <= LONG_CHUNK:
-                stem = stem.lower()
-                if stem not in stems:
-                    ids = [t.id for t in bpe(stem if stem.isascii() else stem.translate(letters))]
-                    stems[stem] = np.array(ids, dtype="<u4").tobytes()
-                if tail not in tails:
-                    tails[tail] = self._whole(tail)
-                memo[c] = stems[stem] + tails[tail]
-            else:
-                memo[c] = self._whole(c)
+        stem = chunk.rstrip(MARKS)
+        if stem.isalpha() and max(stem) <= "\xff" and len(chunk) <= LONG_CHUNK:
+            tail = chunk[len(stem) :]
+            return self.stems[stem.lower()] + (self.tails[tail] if tail else b"")
+        return self._whole(chunk)
 
     def forget(self) -> None:
         """Empties the memo, as a task does at its end: its worker goes on to other stages."""
         for held in (self.memo, self.stems, self.tails):
             held.clear()
-        self.tails[""] = b""
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text, END_ID last."""
-        memo = self.memo
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        ids = self.memo.__getitem__
+        end = array("I", [END_ID]).tobytes()
         out = []
         for t in texts:
             if any(c in t for c in NOT_SPACE):
                 out.append(np.frombuffer(self._whole(t) + end, dtype="<u4"))
                 continue
-            if len(memo) > self.memo_chunks:
+            if len(self.memo) > self.memo_chunks:
                 self.forget()
             words = (t.lower() if _latin(t) and "<|" not in t else t).split()
-            if unknown := {w for w in words if w not in memo}:
-                self._learn(unknown)
-            out.append(np.frombuffer(b"".join(map(memo.__getitem__, words)) + end, dtype="<u4"))
+            out.append(np.frombuffer(b"".join(map(ids, words)) + end, dtype="<u4"))
         return out
 
 

@@ -65,18 +65,75 @@ def test_packing_is_whole_and_gapless(spark, plain):
     assert P.pack_documents(docs.limit(0)).count() == 0
 
 
+def _squares(bins, n):
+    return sum(sum(n[i] for i in b) ** 2 for b in bins)
+
+
 def test_local_search_empties_bins():
     lengths = [60, 60, 40, 40, 50, 30, 20]  # three full bins of 100, by an exchange and a move
-    bins = P.local_search([[0], [1], [2, 3], [4, 5, 6]], lengths, 100)
-    assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(7))
+    bins, steps = P.local_search([[0], [1], [2, 3], [4, 5, 6]], lengths, 100)
+    assert len(bins) == 3 and steps > 0 and sorted(i for b in bins for i in b) == list(range(7))
+    # Two for one: 30 + 40 take the place of 60 in a bin with room 10, and 60 then fits beside 40.
+    bins, _ = P.local_search([[0, 1], [2, 3], [4]], [30, 40, 60, 30, 40], 100)
+    assert len(bins) == 2
     r = random.Random(8)
-    for _ in range(30):
+    for _ in range(60):
         n = [r.randint(1, 100) for _ in range(r.randint(0, 60))]
-        start = P.best_fit(n, 100)
-        square = lambda bins: sum(sum(n[i] for i in b) ** 2 for b in bins)
-        out = P.local_search([list(b) for b in start], n, 100)
+        start = P.next_fit(n, 100)
+        out, steps = P.local_search([list(b) for b in start], n, 100)
         assert sorted(i for b in out for i in b) == list(range(len(n))) and all(sum(n[i] for i in b) <= 100 for b in out)
-        assert len(out) <= len(start) and square(out) >= square(start)
+        assert len(out) <= len(start) and (_squares(out, n) > _squares(start, n)) == (steps > 0)
+
+
+def _step_is_left(bins, n, size):
+    """Whether a move or an exchange of the emptiest-first kind would still raise the squares."""
+    fill = [sum(n[i] for i in b) for b in bins]
+    for b, own in enumerate(bins):
+        if fill[b] == size:
+            continue
+        offers = [(n[i], 1) for i in own] + [(n[i] + n[j], 2) for x, i in enumerate(own) for j in own[x + 1 :]]
+        for k, other in enumerate(bins):
+            if k == b or fill[k] == size or fill[k] < fill[b]:
+                continue
+            for total, pieces in offers:
+                if pieces == 1 and fill[k] + total <= size:
+                    return True
+                if any(n[j] < total and fill[k] + total - n[j] <= size and fill[k] + total - n[j] > fill[b] for j in other):
+                    return True
+    return False
+
+
+def test_local_search_ends_where_no_step_is_left():
+    r = random.Random(10)
+    ended = 0
+    for _ in range(80):
+        n = [r.randint(20, 70) for _ in range(r.randint(5, 25))]
+        out, _ = P.local_search(P.next_fit(n, 100), n, 100)
+        if len(out) > -(-sum(n) // 100):
+            ended += 1
+            assert not _step_is_left(out, n, 100)
+    assert ended > 5
+
+
+def test_a_pool_of_middle_sized_pieces_and_one_of_repeated_rows(spark):
+    r = random.Random(11)
+    n = [r.randint(1400, 2700) for _ in range(3000)]
+    out, steps = P.local_search(P.next_fit(n, 4096), n, 4096)
+    assert len(out) <= 1.02 * -(-sum(n) // 4096) and steps > 1000
+    same = spark.createDataFrame([(1, "a few words of text")] * 3000, "doc_id long, text string")
+    pieces = P.written(P.pieces(same), "t")
+    got = P.pack(pieces, pool=500).selectExpr("sequence_id >> 32 as pool").groupBy("pool").count().collect()
+    assert len(got) == 6 and max(x["count"] for x in got) < 700
+
+
+def test_the_query_packs_the_whole_table(spark, plain):
+    sf = "/root/testdata/sf0.001"
+    got = P.op2_best_fit_packing(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {(d["doc_id"], i): (lo, min(4096, len(ids) - lo), zlib.crc32(ids[lo : lo + 4096])) for d in docs for ids in [np.array(plain(d["text"]), "<u4")] for i, lo in enumerate(range(0, len(ids), 4096))}
+    assert {(x["doc_id"], x["piece"]): (x["start"], x["length"], x["ids_crc32"]) for x in got} == want
+    assert got[0]["pool_steps"] > 0 and got[0]["pool_end"] < got[0]["pool_start"]
+    assert len({x["sequence_id"] for x in got}) == -(-sum(x["length"] for x in got) // 4096)
 
 
 def test_segments_are_lossless_and_checked():
