@@ -26,14 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back.
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back; compression is the session's unless given.
 
     This cuts the lineage: lost executors cost no more than the stage at hand. The
     files of one application are under one folder, to be removed when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
