@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import table, text_or_empty, written
 
 UNIT = 576
 INTERVAL = UNIT // 64
 MOST_ROWS = 8191
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes that are coded at a time; a whole number of restart intervals.
+SLICE_BYTES = UNIT * 2048
 
 # The encoder's code lengths by rule: letters (0,5) first, then the sizes of spaces, capitals and
 # the rest of ASCII; all other (run, size) symbols have 12 bits. A count for each of 16 lengths.
@@ -165,8 +167,10 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     """A JPEG file for each payload; lengths are positive multiples of UNIT."""
     shapes = [shape_of(len(p) // 64) for p in payloads]
     joined = b"".join(p + b"\x80" * (c * r * 64 - len(p)) for p, (c, r) in zip(payloads, shapes))
-    blocks = (np.frombuffer(joined, np.uint8).astype(np.int16) - 128).reshape(-1, 64)
-    coded = _entropy(blocks) if payloads else []
+    coded: list[bytes] = []
+    for lo in range(0, len(joined), SLICE_BYTES):  # intervals don't depend on each other
+        blocks = np.frombuffer(joined, np.uint8, min(SLICE_BYTES, len(joined) - lo), lo).astype(np.int16) - 128
+        coded += _entropy(blocks.reshape(-1, 64))
     out, at = [], 0
     for p, (c, r) in zip(payloads, shapes):
         own = coded[at : at + c * r // INTERVAL]
@@ -312,15 +316,16 @@ def decode(files: list[bytes]) -> list[tuple[Parsed, np.ndarray]]:
         alike[p.schedule].append(i)
     out: list = [None] * len(files)
     for schedule, members in alike.items():
+        blocks: dict[int, list[np.ndarray]] = {i: [] for i in members}
+        owner = [i for i in members for _ in parsed[i].intervals]
+        intervals = [x for i in members for x in parsed[i].intervals]
         mcus = np.concatenate([parsed[i].interval_mcus for i in members])
-        got = _lanes(schedule, [x for i in members for x in parsed[i].intervals], mcus)
-        at = 0
+        for lo, hi in _pieces([64 * len(schedule) * int(m) for m in mcus], SLICE_BYTES):
+            got = _lanes(schedule, intervals[lo:hi], mcus[lo:hi])
+            for i, x, m in zip(owner[lo:hi], got, mcus[lo:hi].tolist()):
+                blocks[i].append(x[: m * len(schedule)])
         for i in members:
-            own = got[at : at + len(parsed[i].intervals)]
-            at += len(own)
-            counts = np.array(parsed[i].interval_mcus) * len(schedule)
-            blocks = own.reshape(-1, 64) if (counts == own.shape[1]).all() else np.concatenate([x[:c] for x, c in zip(own, counts)])
-            out[i] = (parsed[i], blocks)
+            out[i] = (parsed[i], np.concatenate(blocks[i]))
     return out
 
 
@@ -347,11 +352,11 @@ def feature(p: Parsed, blocks: np.ndarray) -> str:
     return f"{p.width}x{p.height} {t.shape[1]}x{t.shape[0]} {difference_hash(t)} {zlib.crc32(np.ascontiguousarray(t)):08x}"
 
 
-def _pieces(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Runs of rows with CHUNK_BYTES or one row each."""
+def _pieces(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of rows with most bytes or one row each."""
     lo = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > CHUNK_BYTES:
+        if total and total + n > most:
             yield lo, i
             lo, total = i, 0
         total += n
@@ -360,7 +365,11 @@ def _pieces(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def with_media(docs: DataFrame, key: str = "doc_id", data: str = "data") -> DataFrame:
-    """key, n_bytes and media, a JPEG file that keeps the bytes in column data (null: none)."""
+    """key, n_bytes and media, a JPEG file that keeps the bytes in column data (null: none).
+
+    One row for each row of docs, repeated or not; a null key stays null. Bytes of any length
+    are coded in slices of SLICE_BYTES. Other columns are not looked at, whatever their names;
+    an empty table has no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -373,6 +382,11 @@ def with_media(docs: DataFrame, key: str = "doc_id", data: str = "data") -> Data
     return rows.mapInArrow(run, f"{key} long, n_bytes long, media binary")
 
 
+def stored_media(docs: DataFrame, key: str = "doc_id", data: str = "data") -> DataFrame:
+    """with_media(docs) in a table of the shared folder, read back."""
+    return written(with_media(docs, key, data), "media", "zstd")
+
+
 def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """What the stored files hold: the payload's digests, sizes and the thumbnail's feature.
 
@@ -396,5 +410,6 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files are stored in a table of their own, and the features come from what is read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().cast("binary").alias("data"))
-    return media_features(with_media(docs))
+    return media_features(stored_media(docs))

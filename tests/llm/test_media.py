@@ -102,3 +102,25 @@ def test_columns(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert got[1][2:] == got[2][2:] and got[None][2:] == got[4][2:]
     assert M.media_features(M.with_media(docs.limit(0))).count() == 0
+
+
+def test_a_long_payload_is_coded_in_slices(monkeypatch):
+    r = random.Random(16)
+    long = M.padded(bytes(r.choice(b"some letters, ") for _ in range(40_000)))
+    want = M.encode([long])
+    monkeypatch.setattr(M, "SLICE_BYTES", M.UNIT * 3)
+    assert M.encode([long]) == want and _back(want[0]) == long
+    assert all((a[1] == b).all() for a, b in zip(M.decode([want[0]] * 2), [_plain_decode(want[0])] * 2))
+
+
+def test_the_query_stores_all_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in M.op8_jpeg_media(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, raw in texts.items():
+        payload, file = M.padded(raw), M.encode([M.padded(raw)])[0]
+        want = (i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest())
+        assert tuple(got[i])[:7] == want
+    plan = M.media_features(M.stored_media(spark.createDataFrame([(1, b"x")], "doc_id long, data binary")))._jdf.queryExecution().toString()
+    assert "parquet" in plan and "media" in plan
