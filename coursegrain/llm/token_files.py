@@ -1,6 +1,7 @@
 """Token ids in compressed files: an adaptive context-mixing range coder.
 
-A segment holds the ids of a run of whole documents. Its ids are cut into blocks that are
+A segment holds the ids of a run of documents, SEGMENT at most; a longer document goes on in
+the next segments, so that no task holds more. Its ids are cut into blocks that are
 coded with models of their own, reset at each block's start, and carry a checksum of their
 ids, so that a block can be read without any other. The blocks of a segment are coded side by
 side, one numpy lane each.
@@ -255,29 +256,57 @@ def unpack_segment(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     return [(int(d) if k else None, ids[lo:hi]) for d, k, lo, hi in zip(names, known, edges, edges[1:])]
 
 
-def write_token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The table of segments: part, seq, n_ids, data; in doc_id order, a null one first.
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials over two elements, modulo that of crc32; bits reversed, as crc32 has them."""
+    out = 0
+    for place in range(31, -1, -1):
+        if a >> place & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def joined_crc(first: int, second: int, n_bytes: int) -> int:
+    """crc32 of two byte strings one after the other, from theirs and the second one's length."""
+    power, square, n = 1 << 31, 1 << 30, 8 * n_bytes  # the constant 1 and x
+    while n:
+        if n & 1:
+            power = _times(power, square)
+        square = _times(square, square)
+        n >>= 1
+    return _times(power, first) ^ second
+
 
-    Null and empty texts are one end token. Rows of one doc_id follow each other, sorted by a
-    hash of the text. Other columns are not looked at; an empty table has no segment."""
+def write_token_files(docs: DataFrame, path: str | None = None, segment_ids: int = SEGMENT) -> DataFrame:
+    """The table of segments: part, seq, first_doc, n_ids, data; in doc_id order, a null one first.
+
+    first_doc is the place among its part's documents of the segment's first one, which may
+    have begun in the segment before. Null and empty texts are one end token; texts of any
+    length are cut into segments of segment_ids at most. Rows of one doc_id follow each other,
+    sorted by a hash of the text. Other columns are not looked at; an empty table has no segment."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, n_docs = TaskContext.get().partitionId(), 0, 0
+        held, size, first = [], 0, 0
 
         def segment():
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([pack_segment(held)], pa.binary())], names=["part", "seq", "n_ids", "data"])
+            row = (part, seq, first, size, pack_segment(held))
+            return pa.record_batch([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "first_doc", "n_ids", "data"])
 
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 docs_ = b.column(0).slice(lo, 500).to_pylist()
                 for doc, ids in zip(docs_, enc.encode(b.column(1).slice(lo, 500).to_pylist())):
-                    held.append((doc, ids))
-                    size += len(ids)
-                    if size >= SEGMENT:
-                        yield segment()
-                        seq, held, size = seq + 1, [], 0
+                    while len(ids):
+                        own, ids = ids[: segment_ids - size], ids[segment_ids - size :]
+                        held.append((doc, own))
+                        size += len(own)
+                        if size == segment_ids:
+                            yield segment()
+                            seq, held, size, first = seq + 1, [], 0, n_docs + (not len(ids))
+                    n_docs += 1
         enc.forget()
         if held:
             yield segment()
@@ -285,30 +314,50 @@ def write_token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("key", F.xxhash64("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
-    return written(ranged.mapInArrow(run, "part int, seq int, n_ids long, data binary"), "token-files")
+    return written(ranged.mapInArrow(run, "part int, seq int, first_doc long, n_ids long, data binary"), "token-files")
 
 
 def read_token_files(segments: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document in the files."""
+    """doc_id, start, n_tokens, ids_crc32 of each document in the files.
+
+    A document that goes on over segments has its parts' checksums joined; they are a row for
+    each segment of it."""
+    names = ["part", "seq", "doc", "doc_id", "inner", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, seq, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for part, seq, first, data in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
                 found = unpack_segment(data.as_buffer())
                 sizes = np.array([len(x) for _, x in found], np.int64)
                 n = len(found)
                 yield pa.record_batch(
-                    [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array([d for d, _ in found], pa.int64()), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes), pa.array([zlib.crc32(np.ascontiguousarray(x)) for _, x in found], pa.int64())],
-                    names=["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"],
+                    [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(np.arange(first, first + n)), pa.array([d for d, _ in found], pa.int64()), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes), pa.array([zlib.crc32(np.ascontiguousarray(x)) for _, x in found], pa.int64())],
+                    names=names,
                 )
 
-    rows = segments.select("part", "seq", "data").mapInArrow(run, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            crcs = []
+            for parts in b.column(3).to_pylist():
+                crc = 0
+                for p in sorted(parts, key=lambda p: p["seq"]):
+                    crc = joined_crc(crc, p["ids_crc32"], 4 * p["n_tokens"])
+                crcs.append(crc)
+            yield pa.record_batch([*(b.column(i) for i in range(3)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    rows = segments.select("part", "seq", "first_doc", "data").mapInArrow(run, "part int, seq int, doc long, doc_id long, inner long, n_tokens long, ids_crc32 long")
     # Ids before each segment: before its part (a row for each part), then within the part.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before_part"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    places = segments.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("before")).join(parts, "part").select("part", "seq", (F.col("before") + F.col("before_part")).alias("before"))
-    return rows.join(places, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
+    order = Window.partitionBy("part").orderBy("seq")
+    places = segments.select("part", "seq", "first_doc", F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("first_doc").over(order).alias("next_doc"), F.lag("seq").over(order).isNotNull().alias("later"))
+    places = places.join(parts, "part").select("part", "seq", "first_doc", "next_doc", "later", (F.col("before") + F.col("before_part")).alias("before"))
+    placed = written(rows.join(places, ["part", "seq"]).withColumn("start", F.col("before") + F.col("inner")), "token-rows")
+    # The first document of a later segment may have begun before it, the last one may go on.
+    edge = (F.col("later") & (F.col("doc") == F.col("first_doc"))) | F.coalesce(F.col("doc") == F.col("next_doc"), F.lit(False))
+    cut = placed.filter(edge).groupBy("part", "doc").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.collect_list(F.struct("seq", "n_tokens", "ids_crc32")).alias("parts"))
+    whole = cut.select("doc_id", "start", "n_tokens", "parts").mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.filter(~edge).select("doc_id", "start", "n_tokens", "ids_crc32").unionByName(whole)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,9 +150,7 @@ def test_segments_are_lossless_and_checked():
     assert len(W.pack_segment([(1, repeated)])) < 4000 * 2 / 4
 
 
-def test_token_files_in_document_order(spark, plain):
-    rows, docs = _docs(spark)
-    got = W.read_token_files(W.write_token_files(docs)).collect()
+def _same_files(got, rows, plain):
     at = 0
     got.sort(key=lambda x: x["start"])
     assert [x["doc_id"] for x in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
@@ -161,4 +159,33 @@ def test_token_files_in_document_order(spark, plain):
     for x in got:
         assert x["start"] == at
         at += x["n_tokens"]
+
+
+def test_token_files_in_document_order(spark, plain):
+    rows, docs = _docs(spark)
+    _same_files(W.read_token_files(W.write_token_files(docs)).collect(), rows, plain)
     assert W.read_token_files(W.write_token_files(docs.limit(0))).count() == 0
+
+
+def test_documents_go_on_over_segments(spark, plain):
+    rows, docs = _docs(spark)
+    for size in (20_000, 1):
+        if size == 1:
+            rows, docs = rows[60:64], docs.filter("doc_id is null or doc_id in (100, 101) or text = 'again'").limit(4)
+            rows = [(d["doc_id"], d["text"]) for d in docs.collect()]
+        files = W.write_token_files(docs, segment_ids=size)
+        counts = [x["n_ids"] for x in files.collect()]
+        assert max(counts) <= size and files.filter("seq > 0").count() > 2 and sum(counts) == sum(len(plain(t)) for _, t in rows)
+        _same_files(W.read_token_files(files).collect(), rows, plain)
+
+
+def test_checksums_are_joined():
+    a, b = b"some bytes", bytes(range(256)) * 5
+    assert W.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    assert W.joined_crc(zlib.crc32(a), 0, 0) == zlib.crc32(a) and W.joined_crc(0, zlib.crc32(b), len(b)) == zlib.crc32(b)
+
+
+def test_the_query_reads_back_all_ids(spark, plain):
+    sf = "/root/testdata/sf0.001"
+    rows = [(d["doc_id"], d["text"]) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    _same_files(W.op3_token_files(spark, sf).collect(), rows, plain)
