@@ -125,3 +125,26 @@ def test_near_vectors_match_brute_force(spark):
     want = sorted((-1 if d is None else d, links[i], least(ids[find(i)])) for i, (d, _, _) in enumerate(everything))
     assert got == want
     assert E.near_vectors(df.limit(0)).count() == 0
+
+
+def test_one_group_of_thousands_is_split(spark):
+    r = np.random.default_rng(15)
+    centre = r.standard_normal(16)
+    rows = [(i, [float(x) for x in np.float32(centre + 0.01 * r.standard_normal(16))], 1) for i in range(5000)]
+    rows += [(10_000 + i, [float(x) for x in np.float32(r.standard_normal(16))], 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in E.near_vectors(df, block=700, tables=8).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= E.MIN_COSINE).sum(1) - 1
+    assert all(got[i] == (int(n), 0) for (i, _, _), n in zip(rows[:5000], near))
+
+
+def test_what_comes_out_of_a_bucket_grows_with_its_vectors():
+    x = np.eye(8)[0] + 0.001 * np.random.default_rng(16).standard_normal((300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, 1 + i % 2, v.tobytes()) for i, v in enumerate(x)]
+    ids, counts, links = E.linked(rows, None, 0, 4, 0.93)
+    assert len(ids) == 300 and len(links) == 299 and all(c == 450 - k for c, (_, k, _) in zip(counts.tolist(), rows))
+    ids, counts, links = E.linked(rows[:100], rows[100:], 0, 4, 0.93)
+    assert counts[:100].tolist() == [300] * 100 and counts[100:].tolist() == [150] * 200 and len(links) == 299
