@@ -12,16 +12,22 @@ SHARE = 1000
 LEAST = 100
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """left.join(right, on, how) where a key may hold any share of left's rows and few of right's.
 
     Keys of more than a thousandth of left's rows (so there are fewer than a thousand, which is
     what the broadcast is bounded by) are cut into parts of about a thousandth by a hash of the
     columns spread; right's rows of such a key are there once for each part. how is inner, left,
-    left_semi or left_anti. Null keys match nothing. left is read twice: let it be a written table."""
-    limit = max(LEAST, left.count() // SHARE)
-    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    hot = written(hot.select(*on, F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("_salts")), "hot-keys")
+    left_semi or left_anti. Null keys match nothing. left is read again to count its keys, so let
+    it be a written table, unless counts (on, k) has the rows of each key that matters."""
+    if counts is None:
+        total = left.count()
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("k"))
+    else:
+        total = counts.agg(F.sum("k")).first()[0] or 0
+    limit = max(LEAST, total // SHARE)
+    hot = counts.filter(F.col("k") > limit).select(*on, F.ceil(F.col("k") / F.lit(limit)).cast("int").alias("_salts"))
+    hot = written(hot, "hot-keys")
     if hot.isEmpty():
         return left.join(right, on, how)
     hot = F.broadcast(hot)
