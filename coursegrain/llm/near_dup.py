@@ -4,8 +4,7 @@ A text is its sequence of five-word shingles, each labelled with its occurrence
 of TABLES sketches takes the two labelled shingles of least hash and keeps their text order,
 so that agreement follows edit similarity, not only overlap. Texts of equal words are one
 node. Nodes that share a sketch are linked through one of them, the leader; a pair counts
-after a banded alignment of the two shingle sequences (or, for moved passages, the overlap of
-the shingle sets) gives SIMILARITY or more. Where a bucket's nodes are in different components
+if a banded alignment of the two shingle sequences gives SIMILARITY or more. Where a bucket's nodes are in different components
 after that, it is parted by other sketches and gets new leaders, as a link may have been missed
 because the leader was near to neither text. What is in several components even then is
 compared whole: a bucket's nodes are dealt into blocks of bounded size, and each pair of blocks
@@ -21,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import salted_join
 from .common import LOWER, UPPER, table, text_or_empty, written
 from .graph import components
 
@@ -180,27 +180,25 @@ def aligned(a: list[int], b: list[int], least: float = SIMILARITY) -> float:
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether two shingle sequences are near copies."""
+    """Whether two shingle sequences are near copies: places matched by the best alignment, over the longer length.
+
+    Sequences that have too few shingles in common for any alignment are not aligned."""
     longer = max(len(a), len(b))
-    if not longer or min(len(a), len(b)) < least * longer * 0.8:
+    if not longer or min(len(a), len(b)) < least * longer:
         return False
     x, y = a.tolist(), b.tolist()
-    sx, sy = set(x), set(y)
-    both = len(sx & sy)
-    if both >= least * (len(sx) + len(sy) - both):
-        return True
     if (Counter(x) & Counter(y)).total() < least * longer:
         return False
     return aligned(x, y, least) >= least
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) are near copies."""
+    """The pairs (a, b), a written table, whose texts (node, text) are near copies."""
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Dealt by the pair, not by a leader that many pairs share.
-    rows = pairs.join(one, "a").join(two, "b").repartition(4 * n, "a", "b")
+    rows = salted_join(pairs, one, ["a"], ["b"]).join(two, "b").repartition(4 * n, "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = lambda t: shingles(word_hashes(t.encode().translate(_LOWERED)))
@@ -211,20 +209,23 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def _fits(one: str, two: str) -> Column:
+    """Lengths that a near copy may have."""
+    return F.least(one, two) >= F.lit(SIMILARITY) * F.greatest(one, two)
+
+
 def _refined(mixed: DataFrame) -> DataFrame:
     """Pairs (a, b) across components, from buckets (bucket, node, root, n, sketches).
 
-    A bucket of several components is parted by the nodes' other sketches, half of the tables
-    for each bucket, and each part has a leader of its own, drawn by a hash. Texts that share
-    a passage part ways there, as near copies agree in many sketches. A part gives one pair
-    for each node at most."""
-    odd = F.pmod(F.xxhash64("bucket", "t"), F.lit(2)) == 0
-    parts = mixed.select("bucket", "node", "root", "n", F.posexplode("sketches").alias("t", "sketch")).filter(odd)
-    parts = parts.select(F.xxhash64("bucket", "t", "sketch").alias("part"), "node", "root", "n")
+    A bucket of several components is parted by the nodes' sketches, and each part has a leader
+    of its own, drawn by a hash. Texts that share a passage part ways there, as near copies
+    agree in many sketches. A part gives one pair for each node at most."""
+    parts = mixed.select("bucket", "node", "root", "n", F.posexplode("sketches").alias("t", "sketch"))
+    parts = written(parts.select(F.xxhash64("bucket", "t", "sketch").alias("part"), "node", "root", "n"), "parts")
     draw = F.struct(F.xxhash64("part", "node"), "node")
-    leaders = parts.groupBy("part").agg(F.min_by(F.struct("node", "root", "n"), draw).alias("l"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("part", "l")
-    fits = F.least("n", "l.n") >= F.lit(SIMILARITY * 0.8) * F.greatest("n", "l.n")
-    met = parts.join(leaders, "part").filter((F.col("root") != F.col("l.root")) & fits)
+    leaders = parts.groupBy("part").agg(F.min_by(F.struct("node", "root", "n"), draw).alias("l"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("k")).filter("r1 <> r2")
+    leaders = written(leaders.select("part", "l", "k"), "part-leaders")
+    met = salted_join(parts, leaders.drop("k"), ["part"], ["node"], counts=leaders.select("part", "k")).filter((F.col("root") != F.col("l.root")) & _fits("n", "l.n"))
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
@@ -241,7 +242,7 @@ def _block_pairs(apart: DataFrame) -> DataFrame:
     roots = roots.join(pool.select("bucket", size("pk", "ps").alias("pools")), "bucket", "left")
     roots = roots.select("bucket", "root", F.when(F.col("large"), F.col("root")).alias("own"), F.when(F.col("large"), size("k", "s")).otherwise(F.col("pools")).alias("parts"))
     salt = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("root")).otherwise(F.col("node"))), F.col("parts"))
-    rows = apart.join(roots, ["bucket", "root"]).withColumn("block", F.xxhash64("own", salt))
+    rows = salted_join(apart, roots, ["bucket", "root"], ["node"]).withColumn("block", F.xxhash64("own", salt))
     rows = written(rows.select("bucket", "block", "own", "t", "node", "root", "sketches"), "blocks")
 
     blocks = rows.select("bucket", "block", "own").distinct()
@@ -272,7 +273,6 @@ def _compared(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
     n = np.array([len(s) for s in cut])
     flat = np.concatenate([labelled(s) for s in cut])
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-    distinct = np.array([len(np.unique(s)) for s in cut])
     marks = np.array([r[4] for r in two])
     names = {x: i for i, x in enumerate(dict.fromkeys(r[3] for r in rows))}
     root = np.array([names[r[3]] for r in two])
@@ -281,15 +281,15 @@ def _compared(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
         s = np.frombuffer(raw, np.uint64)
         same = marks == np.array(sketch)
         wanted = (root != names[ra]) & same[:, t] & (same.argmax(1) == t)
-        wanted &= np.minimum(n, len(s)) >= SIMILARITY * 0.8 * np.maximum(n, len(s))
+        wanted &= np.minimum(n, len(s)) >= SIMILARITY * np.maximum(n, len(s))
         if two is one:
             wanted[: i + 1] = False
         if not wanted.any():
             continue
         own = np.sort(labelled(s))
         both = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, starts, dtype=np.int64)
-        # Neither of the two measures of similar reaches its threshold with fewer in common.
-        wanted &= both >= SIMILARITY * np.maximum(distinct, len(np.unique(s))) - 1e-6
+        # No alignment matches more places than there are shingles in common.
+        wanted &= both >= SIMILARITY * np.maximum(n, len(s)) - 1e-6
         for j in np.flatnonzero(wanted):
             x, y = find(ra), find(two[j][3])
             if x != y and similar(s, cut[j]):
@@ -334,8 +334,10 @@ def _undecided(shared: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFra
     """bucket, t, node, root, n, sketches of the buckets whose nodes are in several components."""
     placed = shared.select("bucket", "t", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("bucket")
-    return written(placed.join(mixed, "bucket").join(nodes.select("node", "n", "sketches"), "node"), "mixed-buckets")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("k")).filter("r1 <> r2")
+    mixed = written(mixed.select("bucket", "k"), "mixed")
+    inside = salted_join(placed, mixed.select("bucket"), ["bucket"], ["node"], counts=mixed)
+    return written(inside.join(nodes.select("node", "n", "sketches"), "node"), "mixed-buckets")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -352,10 +354,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = written(rows.groupBy("node").agg(first, F.min("n").alias("n"), F.min("sketches").alias("sketches")), "nodes")
 
     # The least node leads, so that the buckets of one large group have few leaders in common.
-    members = nodes.select("node", F.posexplode("sketches").alias("t", "sketch")).select("node", "t", F.xxhash64("t", "sketch").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    shared = written(members.join(buckets.select("bucket", "leader"), "bucket"), "buckets")
-    pairs = shared.filter(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    members = nodes.select("node", "n", F.posexplode("sketches").alias("t", "sketch")).select("node", "n", "t", F.xxhash64("t", "sketch").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("leader"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    buckets = written(buckets, "bucket-leaders")
+    shared = written(salted_join(members, buckets.select("bucket", "leader"), ["bucket"], ["node"], counts=buckets.select("bucket", "k")), "buckets")
+    # No near copies have lengths that are further apart.
+    pairs = shared.filter((F.col("node") != F.col("leader.node")) & _fits("n", "leader.n")).select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
     pairs = written(pairs, "pairs")
 
     wanted = shared.select("node").distinct().join(nodes.select("node", "first"), "node")
@@ -380,8 +384,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = nodes.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = written(ids, "roots")
     heads = ids.groupBy("root").agg(F.min("first").alias("head"))
-    of_node = ids.join(heads, "root").select("node", "head")
-    out = rows.select("doc_id", "text_key", "node").join(of_node, "node")
+    of_node = salted_join(ids, heads, ["root"], ["node"]).select("node", "head")
+    # A text of equal words may be a third of all rows.
+    out = salted_join(rows.select("doc_id", "text_key", "node"), of_node, ["node"], ["doc_id", "text_key"])
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key"))
     return out.select("doc_id", "text_key", "node", F.col("head.doc_id").alias("class_id"), kept.alias("kept"))
 
