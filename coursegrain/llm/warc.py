@@ -1,27 +1,32 @@
 """WARC archives with revisit records and a two-level capture index.
 
 Pages become WARC/1.1 records in gzip members, one record each, packed into archive blobs in
-the order of their reversed-host URL keys. The capture index holds one line for each record
-(key, id, offset, length) in that order; its lines go into compressed blocks, kept with their
-archive in columns of their own, and a sparse directory keeps the first key of each block, so
-that a lookup is a binary search in the directory, one block, a binary search in that, and a
-range read from the archive.
+the order of their reversed-host URL keys. The capture index is one table over all archives:
+a line for each record (key, id, archive, offset, length), sorted by key and id, BLOCK_LINES
+to a compressed block, in parts with key ranges of their own. A sparse directory has the first
+key of each block.
 
-Archives are rows of a Parquet table in the shared folder: Spark's committer writes them, so
-a lost executor leaves no half-written archive. An archive holds ARCHIVE_BYTES at most or one
-record."""
+A capture is found in three steps: its part by a binary search in the parts' first keys (a row
+for each part), its block by one in the part's directory, its line by one in the block. Then
+its record is read from the archive by its range.
+
+Archives and blocks are rows of Parquet tables in the shared folder: Spark's committer writes
+them, so a lost executor leaves no half-written one. An archive holds ARCHIVE_BYTES at most or
+one record."""
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import salted_join
 from .common import table, written
 
 MIN_REVISIT_BYTES = 1000
@@ -30,8 +35,12 @@ BLOCK_LINES = 1000
 WARC_DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-ARCHIVES = "archive_id string, n_records int, last_key string, directory array<string>, blocks array<binary>, data binary"
+ARCHIVES = "archive long, data binary"
+LINES = "key string, page_id long, archive long, offset int, length int"
+BLOCKS = "part int, block int, key string, page_id long, n_lines int, data binary"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, stored_bytes long"
+#: Sorts before any page_id; a null page_id comes before all others, as in Spark.
+_FIRST, _NULL = -(1 << 63) - 2, -(1 << 63) - 1
 
 
 def url_key(url):
@@ -47,13 +56,15 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """url_key, page_id, payload_digest, refers_to of each page that is no response.
 
     Payloads are only digested here, so that no shuffle carries them. The largest page_id of
-    each payload is found by an aggregation that combines before its shuffle."""
+    each payload is found by an aggregation that combines before its shuffle, and a payload
+    that many pages have is spread over tasks where it meets them."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    p = pages.filter(F.octet_length("html") >= min_bytes).select(url_key(F.col("url")).alias("url_key"), "page_id", F.sha1(payload).alias("payload_digest"))
+    p = pages.filter(F.octet_length("html") >= min_bytes).select(url_key(F.col("url")).alias("url_key"), F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("payload_digest"))
     p = written(p, "page-digests")
-    groups = p.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    j = p.join(groups, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    return j.select("url_key", "page_id", "payload_digest", "refers_to").distinct()
+    groups = p.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    groups = written(groups, "payload-groups")
+    j = salted_join(p, groups.drop("k"), ["payload_digest"], ["page_id", "url_key"], counts=groups.select("payload_digest", "k"))
+    return j.filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("url_key", "page_id", "payload_digest", "refers_to").distinct()
 
 
 def _header(fields: list[tuple[str, object]], body: bytes) -> bytes:
@@ -98,72 +109,196 @@ def read_record(data: bytes) -> dict:
     return out
 
 
-def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by url_key and page_id, what a page revisits before the page itself."""
-    parts: list[bytes] = []
-    lines: list[tuple] = []
-    size, place, known = 0, None, {}
+def _archives(archive_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """An archive and the lines of its records, from rows sorted by url_key and page_id, what a
+        page revisits before the page itself."""
+        number = TaskContext.get().partitionId() << 33
+        parts: list[bytes] = []
+        lines: list[dict] = []
+        size, place, known = 0, None, {}
+        kind_of = pa.list_(pa.struct([("key", pa.string()), ("page_id", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())]))
 
-    def archive():
-        data = b"".join(parts)
-        cut = [lines[i : i + BLOCK_LINES] for i in range(0, len(lines), BLOCK_LINES)]
-        blocks = [zlib.compress("\n".join("\t".join(map(str, x)) for x in c).encode()) for c in cut]
-        return pa.record_batch(
-            [pa.array([hashlib.sha1(data).hexdigest()[:16]]), pa.array([len(lines)], pa.int32()), pa.array([lines[-1][0]]), pa.array([[c[0][0] for c in cut]], pa.list_(pa.string())), pa.array([blocks], pa.list_(pa.binary())), pa.array([data], pa.binary())],
-            names=["archive_id", "n_records", "last_key", "directory", "blocks", "data"],
-        )
+        def archive():
+            return pa.record_batch([pa.array([number]), pa.array([b"".join(parts)], pa.binary()), pa.array([lines], kind_of)], names=["archive", "data", "lines"])
 
-    for b in batches:
-        for key, page_id, url, html, digest, refers_to, is_page in zip(*(c.to_pylist() for c in b.columns)):
-            if (key, page_id) != place:
-                place, known = (key, page_id), {}
-            if not is_page:
-                known[digest] = refers_to
-                continue
-            body = (html or "").encode()
-            digest = hashlib.sha1(body).hexdigest()
-            kind = "revisit" if digest in known else "response"
-            r = record_bytes(page_id, url, body, kind, known.get(digest), digest)
-            if parts and size + len(r) > ARCHIVE_BYTES:
-                yield archive()
-                parts, lines, size = [], [], 0
-            lines.append((key.replace("\t", "%09").replace("\n", "%0A"), page_id, size, len(r)))
-            parts.append(r)
-            size += len(r)
-    if parts:
-        yield archive()
-
-
-def write_archives(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """The archives' table: archive_id, n_records, last_key, directory, blocks, data.
-
-    blocks are the compressed blocks of the capture index for the archive's records and
-    directory has the first key of each. Payloads are shuffled once, with the few columns of
-    revisits sorted in between. Null urls have the key ")/" and no target header; null html is
-    an empty payload; rows of one page_id are records of their own (with equal payloads, those
-    of the largest page_id are all responses); a null page_id is the smallest. Other columns
+        for b in batches:
+            for key, page_id, url, html, digest, refers_to, is_page in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, page_id) != place:
+                    place, known = (key, page_id), {}
+                if not is_page:
+                    known[digest] = refers_to
+                    continue
+                body = (html or "").encode()
+                digest = hashlib.sha1(body).hexdigest()
+                kind = "revisit" if digest in known else "response"
+                r = record_bytes(page_id, url, body, kind, known.get(digest), digest)
+                if parts and size + len(r) > archive_bytes:
+                    yield archive()
+                    number, parts, lines, size = number + 1, [], [], 0
+                lines.append({"key": key, "page_id": page_id, "offset": size, "length": len(r)})
+                parts.append(r)
+                size += len(r)
+        if parts:
+            yield archive()
+
+    return run
+
+
+def write_archives(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """The archives' table: archive, data, and lines (key, page_id, offset, length) of its records.
+
+    Payloads are shuffled once, with the few columns of revisits sorted in between. Null urls
+    have the key ")/" and no target header; null html is an empty payload; rows of one page_id
+    are records of their own (with equal payloads, those of the largest page_id are all
+    responses); a null page_id is the smallest. A page of any size is one record. Other columns
     are not looked at; an empty table has no archive."""
     none = F.lit(None)
     later = written(revisits(pages, min_bytes), "revisits").select("url_key", "page_id", none.cast("string").alias("url"), none.cast("string").alias("html"), "payload_digest", "refers_to", F.lit(False).alias("is_page"))
     own = pages.select(url_key(F.col("url")).alias("url_key"), F.col("page_id").cast("long").alias("page_id"), "url", "html", none.cast("string").alias("payload_digest"), none.cast("long").alias("refers_to"), F.lit(True).alias("is_page"))
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = own.unionByName(later).repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id", "is_page")
-    return written(ranged.mapInArrow(_archives, ARCHIVES), "warc")
+    return written(ranged.mapInArrow(_archives(archive_bytes), ARCHIVES + ", lines array<struct<key:string,page_id:long,offset:int,length:int>>"), "warc")
+
+
+def _order(page_id: int | None) -> int:
+    return _NULL if page_id is None else page_id
+
+
+def pack_lines(lines: list[tuple]) -> bytes:
+    """Sorted lines (key, page_id, archive, offset, length), compressed; line ends and tabs in keys are escaped."""
+    escape = {"%": "%25", "\t": "%09", "\n": "%0A"}
+    return zlib.compress("\n".join("\t".join([key.translate(str.maketrans(escape)), *map(str, rest)]) for key, *rest in lines).encode())
+
+
+def unpack_lines(block: bytes) -> list[tuple]:
+    """The lines of a block, with keys as bytes."""
+    out = []
+    for x in zlib.decompress(block).decode().split("\n"):
+        key, page_id, *rest = x.split("\t")
+        key = key.replace("%0A", "\n").replace("%09", "\t").replace("%25", "%")
+        out.append((key.encode(), None if page_id == "None" else int(page_id), *map(int, rest)))
+    return out
+
+
+def _blocks(block_lines: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, held = TaskContext.get().partitionId(), 0, []
+
+        def out():
+            cols = ([part], [block], [held[0][0]], [held[0][1]], [len(held)], [pack_lines(held)])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["part", "block", "key", "page_id", "n_lines", "data"])
+
+        for b in batches:
+            for line in zip(*(c.to_pylist() for c in b.columns)):
+                held.append(line)
+                if len(held) == block_lines:
+                    yield out()
+                    block, held = block + 1, []
+        if held:
+            yield out()
+
+    return run
+
+
+def capture_index(archives: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """The index over all archives: part, block, key and page_id of its first line, n_lines, data.
 
+    part, block, key and page_id are the directory: column pruning reads them without the blocks."""
+    lines = archives.select("archive", F.inline("lines")).select("key", "page_id", "archive", "offset", "length")
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["key", "page_id", "archive", "offset"]
+    return written(lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_blocks(block_lines), BLOCKS), "capture-index")
 
-def _index_lines(block: bytes) -> list[list[str]]:
-    return [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
 
+def _span(firsts: list[tuple[bytes, int]], key: bytes, page_id, exact: bool) -> range:
+    """Places in sorted first lines where lines of a key, or of a key and a page_id, may be: by two binary searches."""
+    low = (key, _order(page_id)) if exact else (key, _FIRST)
+    high = (key, _order(page_id)) if exact else (key, 1 << 64)
+    return range(max(0, bisect_left(firsts, low) - 1), bisect_right(firsts, high))
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads every record of every archive where the index says it is."""
+
+def find_lines(lines: list[tuple], key: bytes, page_id=None, exact: bool = False) -> list[tuple]:
+    """The lines of a block that have the key (and the page_id), by binary search."""
+    at = bisect_left(lines, ((key, _order(page_id)) if exact else (key, _FIRST)), key=lambda x: (x[0], _order(x[1])))
+    out = []
+    while at < len(lines) and lines[at][0] == key and (not exact or lines[at][1] == page_id):
+        out.append(lines[at])
+        at += 1
+    return out
+
+
+def captures(wanted: DataFrame, index: DataFrame, exact: bool = False) -> DataFrame:
+    """key, page_id, archive, offset, length of each capture of the keys in wanted (key), or of
+    the keys and page_ids in wanted (key, page_id) if exact.
+
+    Keys are looked for once each. They meet the directory and the blocks of their part in two
+    shuffles of keys: a part's directory, then a block, comes first in its task and the sorted
+    keys are searched for in it, so that a task holds one directory or one block."""
+    # A row for each part: the first line of its first block.
+    bounds = [(r["part"], (r["first"]["key"].encode(), _order(r["first"]["page_id"]))) for r in index.groupBy("part").agg(F.min(F.struct("key", "page_id")).alias("first")).collect()]
+    bounds.sort(key=lambda x: x[1])
+    parts, firsts = [p for p, _ in bounds], [f for _, f in bounds]
+    none = F.lit(None)
+    wanted = wanted.select("key", (F.col("page_id") if exact else none.cast("long")).alias("page_id")).distinct()
+
+    def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for i, (key, page_id) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                for k in _span(firsts, key.encode(), page_id, exact):
+                    at.append(i)
+                    out.append(parts[k])
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.record_batch([pa.array(out, pa.int32()), rows.column(0), rows.column(1)], names=["part", "key", "page_id"])
+
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, numbers, open_part = [], [], None
+        for b in batches:
+            at, out = [], []
+            for i, (part, block, key, page_id) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
+                if part != open_part:
+                    held, numbers, open_part = [], [], part
+                if block is not None:
+                    held.append((key.encode(), _order(page_id)))
+                    numbers.append(block)
+                    continue
+                for k in _span(held, key.encode(), page_id, exact):
+                    at.append(i)
+                    out.append(numbers[k])
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.record_batch([rows.column(0), pa.array(out, pa.int32()), rows.column(2), rows.column(3)], names=["part", "block", "key", "page_id"])
+
+    def to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = []
+        for b in batches:
+            out = []
+            for key, page_id, data in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+                if data is not None:
+                    lines = unpack_lines(data)
+                    continue
+                out += find_lines(lines, key.encode(), page_id, exact)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.record_batch([pa.array([x[i].decode() if i == 0 else x[i] for x in out], t) for i, t in enumerate(kinds)], names=["key", "page_id", "archive", "offset", "length"])
+
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = wanted.mapInArrow(to_parts, "part int, key string, page_id long").select("part", none.cast("int").alias("block"), "key", "page_id")
+    rows = index.select("part", "block", "key", "page_id").unionByName(rows)
+    placed = rows.repartition(n, "part").sortWithinPartitions("part", F.col("block").asc_nulls_last()).mapInArrow(to_blocks, "part int, block int, key string, page_id long")
+    blocks = index.select("part", "block", none.cast("string").alias("key"), none.cast("long").alias("page_id"), "data")
+    met = blocks.unionByName(placed.withColumn("data", none.cast("binary")))
+    return met.repartition(n, "part", "block").sortWithinPartitions("part", "block", F.col("data").isNull()).mapInArrow(to_lines, LINES)
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads the records of archives (data, ranges) where the index says they are."""
     number = lambda x: None if x == "None" else int(x)
     for b in batches:
-        for data, blocks in zip(b.column(0), b.column(1).to_pylist()):
+        for data, ranges in zip(b.column(0), b.column(1).to_pylist()):
             view = memoryview(data.as_buffer())
             rows = []
-            for _, _, offset, length in (x for block in blocks for x in _index_lines(block)):
-                r = read_record(view[int(offset) : int(offset) + int(length)])
+            for offset, length in sorted((x["offset"], x["length"]) for x in ranges):
+                r = read_record(view[offset : offset + length])
                 digest = r["WARC-Payload-Digest"].removeprefix("sha1:")
                 kind = r["WARC-Type"]
                 if kind == "response" and hashlib.sha1(r["payload"]).hexdigest() != digest:
@@ -175,58 +310,29 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """One row for each record, as its headers and payload have it."""
-    return archives.select("data", "blocks").mapInArrow(_records, RECORDS)
+def read_captures(found: DataFrame, archives: DataFrame) -> DataFrame:
+    """One row for each capture of found (archive, offset, length), as the record's headers and payload have it.
 
+    An archive gets the ranges that are wanted from it, no more than it has records. They are
+    a written table, so that Spark broadcasts them if they are few and shuffles otherwise."""
+    ranges = found.groupBy("archive").agg(F.collect_set(F.struct("offset", "length")).alias("ranges"))
+    return archives.select("archive", "data").join(written(ranges, "ranges"), "archive").select("data", "ranges").mapInArrow(_ranges, RECORDS)
 
-def lookup(urls: DataFrame, archives: DataFrame) -> DataFrame:
-    """url, page_id, record_type, payload_digest of each capture of each row of urls (url).
 
-    Archives have key ranges of their own, so a url's key is looked for by a binary search in
-    the directory of an archive whose range holds it, then in one block or the next ones while
-    the key goes on, and the record is read by its range. Urls meet archives on the first part
-    of their key up to the host's end, as a url's captures share it."""
-    host = lambda c: F.substring_index(c, ")", 1)
-    wanted = urls.select("url", url_key(F.col("url")).alias("k")).distinct().withColumn("h", host(F.col("k")))
-    ranges = archives.select("archive_id", "last_key", F.element_at("directory", 1).alias("first_key"))
-    hits = ranges.join(wanted, (F.col("k") >= F.col("first_key")) & (F.col("k") <= F.col("last_key"))).groupBy("archive_id").agg(F.collect_list(F.struct("url", "k")).alias("wanted"))
+def lookup(urls: DataFrame, index: DataFrame, archives: DataFrame) -> DataFrame:
+    """The records of all captures of each row of urls (url), as read_captures has them.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for data, directory, blocks, keys in zip(b.column(0), *(b.column(i).to_pylist() for i in (1, 2, 3))):
-                view = memoryview(data.as_buffer())
-                first = [k.encode() for k in directory]
-                for w in keys:
-                    at = max(0, bisect.bisect_left(first, w["k"].encode()) - 1)
-                    while at < len(blocks) and directory[at].encode() <= w["k"].encode():
-                        for _, page, offset, length in find_lines(blocks[at], w["k"]):
-                            r = read_record(view[int(offset) : int(offset) + int(length)])
-                            rows.append((w["url"], None if page == "None" else int(page), r["WARC-Type"], r["WARC-Payload-Digest"].removeprefix("sha1:")))
-                        at += 1
-            types = [pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["url", "page_id", "record_type", "payload_digest"])
-
-    return archives.join(hits, "archive_id").select("data", "directory", "blocks", "wanted").mapInArrow(read, "url string, page_id long, record_type string, payload_digest string")
-
-
-def find_lines(block: bytes, key: str) -> list[list[str]]:
-    """The lines of a block that have the key, by binary search."""
-    lines = _index_lines(block)
-    keys = [x[0].encode() for x in lines]
-    at = bisect.bisect_left(keys, key.encode())
-    out = []
-    while at < len(lines) and lines[at][0] == key:
-        out.append(lines[at])
-        at += 1
-    return out
+    A url that is there twice is looked for once; null is the key of pages without one."""
+    return read_captures(captures(urls.select(url_key(F.col("url")).alias("key")), index), archives)
 
 
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record is read where the index's blocks say it is."""
-    archives = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every page is found by its key in the index, and its record read by its range."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archives = write_archives(pages)
+    wanted = pages.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"))
+    found = captures(wanted, capture_index(archives), exact=True)
+    return read_captures(found, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP9_SQL = """
