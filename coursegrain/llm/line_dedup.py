@@ -116,8 +116,10 @@ def stream_decisions(min_docs: int):
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """has_id, doc_id, text_key, pos of each line to drop."""
-    rows = line_rows(docs, min_chars)
+    """has_id, doc_id, text_key, pos of each line to drop.
+
+    A task holds the rows of one line only until min_docs documents have it."""
+    rows = written(line_rows(docs, min_chars), "line-hashes")  # once: the range bounds are drawn from them, too
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", F.col("has_id").desc(), F.col("doc_id").desc()]
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text_key", "pos")

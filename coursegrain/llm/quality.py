@@ -20,6 +20,8 @@ from .common import id_crc, table, text_or_empty, written
 SHRINK = 0.05
 FLOOR = 1e-4
 HELD_OUT = 1
+#: Labelled rows that keep_good fits on, about, where there are more; their ids are broadcast.
+FIT_ROWS = 200_000
 FOLDS = 3
 
 _SYMBOLS = np.frombuffer(b"#$%&*@^~_=+<>\\/{}[]", np.uint8)
@@ -58,7 +60,10 @@ def statistics(text: str) -> list[float]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, x: the statistics of each whole text; null texts are empty."""
+    """doc_id, x: the statistics of each whole text; null and empty texts have zeros.
+
+    One row for each row of docs, repeated or not; columns other than doc_id and text are not
+    looked at; an empty table has no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,13 +120,19 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / FEATURES, -500, 500)))
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, label (0 or 1), one row for each doc_id.
+
+    Labels that are null or neither 0 nor 1, and those of a doc_id that has both, are left out."""
+    known = labels.filter(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").cast("int").alias("label"), F.max("label").alias("most"))
+    return known.filter("label = most").select("doc_id", "label")
+
+
 def fit(x: DataFrame, labels: DataFrame, shrink: float = SHRINK) -> Discriminant:
-    """From features (doc_id, x) and labels (doc_id, label 0 or 1).
+    """From features (doc_id, x) and labels (doc_id, label): all labelled rows count, repeated ones as often.
 
-    All labelled rows count; no row is sampled. Labels that are null or neither 0 nor 1, and
-    those of a doc_id that has both, are left out."""
-    known = labels.filter(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").cast("int").alias("label"), F.max("label").alias("most")).filter("label = most").select("doc_id", "label")
-    rows = x.join(known, "doc_id").select("label", "x").mapInArrow(_moments, "label int, place int, value double")
+    Other columns are not looked at; without labelled rows all scores are 0.5."""
+    rows = x.select("doc_id", "x").join(usable_labels(labels), "doc_id").select("label", "x").mapInArrow(_moments, "label int, place int, value double")
     moments: dict[int, np.ndarray] = {}
     for r in rows.groupBy("label", "place").agg(F.sum("value").alias("value")).collect():  # two classes, FEATURES squared sums
         moments.setdefault(r["label"], np.zeros(1 + FEATURES + FEATURES**2))[r["place"]] = r["value"]
@@ -140,12 +151,24 @@ def score(x: DataFrame, model: Discriminant) -> DataFrame:
     return x.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
+def labelled_documents(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs that have a usable label; of more than most labels, about most, drawn by a hash.
+
+    So the broadcast of ids is bounded, and no text is shuffled."""
+    known = written(usable_labels(labels).select("doc_id"), "labelled")
+    n = known.count()
+    if n > most:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most)
+    return docs.join(F.broadcast(known), "doc_id", "left_semi")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, shrink: float = SHRINK) -> DataFrame:
-    """The rows of docs that a model of its labelled ones scores 0.5 or more.
+    """The rows of docs, with all columns, that a model of its labelled ones scores 0.5 or more.
 
-    No text is shuffled: statistics are taken once for the labelled rows, whose ids meet the
-    labels, and once more where the rows are scored."""
-    model = fit(features(docs), labels, shrink)
+    Null texts are scored as empty ones; repeated rows are scored alike; an empty table has no
+    rows. Statistics are taken of the labelled rows for the fit, and of all rows as they are
+    scored."""
+    model = fit(features(labelled_documents(docs, labels)), labels, shrink)
     columns = docs.columns
     place = columns.index("text")
 
@@ -164,6 +187,7 @@ def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, by a model of all training labels."""
     x = written(features(table(spark, sf_dir, "documents")), "quality-features")
     scored = score(x, fit(x, training_labels(spark, sf_dir)))
     held = F.coalesce(id_crc(F.col("doc_id")) % FOLDS == HELD_OUT, F.lit(False))

@@ -44,6 +44,10 @@ def test_quality_without_labels_and_with_odd_texts(spark):
     one = spark.createDataFrame([(3, 1), (1, 1), (1, 0), (9, None)], "doc_id long, label int")
     assert {r["score"] for r in Q.score(x, Q.fit(x, one)).collect()} == {1.0}
     assert Q.keep_good(docs, one).count() == 4 and Q.features(docs.limit(0)).count() == 0
+    assert Q.keep_good(docs.limit(0), one).count() == 0 and Q.keep_good(docs, one).columns == docs.columns
+    many = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2 as int) as label")
+    every = spark.range(3000).selectExpr("id as doc_id", "'t' as text")
+    assert Q.labelled_documents(every, many).count() == 3000 and 350 < Q.labelled_documents(every, many, 500).count() < 650
 
 
 def _tokens(text):
