@@ -68,30 +68,105 @@ def test_lm_scores(spark):
     assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)
 
 
+LONG = "y" * 70 + " "
+
+
+def _small(spark):
+    r = np.random.default_rng(20)
+    words = [f"w{i}{'ing' if i % 3 else 'ed'}" for i in range(300)]
+    p = 1 / np.arange(1, 301)
+    texts = [" ".join(r.choice(words, 60, p=p / p.sum())) + " " + LONG * (i % 3) for i in range(200)]
+    rows = [(i, t, i % 10 != 0) for i, t in enumerate(texts)] + [(500, None, True), (501, "", False), (None, "w0ed unseened " + "z" * 100, False), (3, texts[3], True)]
+    return rows, spark.createDataFrame([(*x, "n") for x in rows], "doc_id long, text string, learn boolean, tail string")
+
+
 def test_lm_probabilities_add_up(spark):
-    docs = spark.createDataFrame([(1, "a b a c a b"), (2, None), (None, "a b"), (2, "b")], "doc_id long, text string")
-    counts = L.word_counts(docs)
-    vocab = L.vocabulary(counts.cache())
-    p = L.fit(docs, vocab)
-    s = L.Scorer(spark, p)
-    log = s.near[:, None, :] + s.far[None, :, :] + s.bias - s.norm.T[:, :, None]
-    assert np.allclose(np.exp(log).sum(2), 1, atol=1e-4)
-    out = L.score(docs, counts, vocab, s).collect()
-    assert len(out) == 4 and all(math.isfinite(r["score"]) for r in out)
-    assert L.train_and_score(docs.limit(0), docs.limit(0)).count() == 0
+    rows, docs = _small(spark)
+    counts = L.written(L.word_counts(docs.filter("learn")), "t")
+    vocab = L.vocabulary(counts, tokens_per_leaf=100, dictionary=200)
+    assert vocab.tree.depth == 2 and vocab.n_shared > 5 and len(vocab.place) > vocab.first_shared - 1
+    encoded = L.written(L.encoded(docs, vocab), "t")
+    model = L.fit(encoded.filter("learn"), vocab, shard_tokens=3000)
+    leaves = np.arange(vocab.tree.leaves)
+    for far, near in ((0, 0), (3, 17), (vocab.first_shared, 1)):
+        log = L.log_odds(vocab.tree, model, np.full(len(leaves), far), np.full(len(leaves), near), leaves)
+        assert math.isclose(np.exp(log).sum(), 1, abs_tol=1e-4)
+    # In a shared leaf, the words seen and one that was not add up to the leaf.
+    c = Counter(w for _, t, learn in rows if learn for w in _tokens(t))
+    own = {w: vocab.leaf[vocab.place[w]] if w in vocab.place else vocab.shared(w) for w in c if w != b" "}
+    for k in range(vocab.n_shared):
+        total = sum(c[w] + 0.1 for w, leaf in own.items() if leaf == vocab.first_shared + k) + 0.1
+        assert math.isclose(total, vocab.mass[vocab.first_shared + k], rel_tol=1e-9)
+
+
+def test_lm_scores_are_those_of_a_slow_version(spark):
+    rows, docs = _small(spark)
+    counts = L.written(L.word_counts(docs.filter("learn")), "t")
+    vocab = L.vocabulary(counts, tokens_per_leaf=100, dictionary=200)
+    encoded = L.written(L.encoded(docs, vocab), "t")
+    model = L.fit(encoded.filter("learn"), vocab, shard_tokens=3000)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, round(r["score"], 4), round(r["base_score"], 6)) for r in L.scored(encoded, counts, vocab, model).collect())
+    c = Counter(w for _, t, learn in rows if learn for w in _tokens(t))
+    n, tree = sum(c.values()), vocab.tree
+
+    def leaf_of(w):
+        return 0 if w == b" " else int(vocab.leaf[vocab.place[w]]) if w in vocab.place else vocab.shared(w)
+
+    def slow(text):
+        total, base, far, near = 0.0, 0.0, 0, 0
+        for w in _tokens(text):
+            base += math.log10(c[w] + 0.1) - math.log10(n + 0.1 * (len(c) + 1))
+            leaf = leaf_of(w)
+            q = [float(x) + float(y) for x, y in zip(model.near[near], model.far[far])]
+            for level in range(tree.depth):
+                wide = tree.arity ** (tree.depth - level)
+                node, child = leaf // wide, leaf % wide // (wide // tree.arity)
+                e = [math.exp(sum(a * float(b) for a, b in zip(q, out)) + float(bias)) for out, bias in zip(model.out[level][node], model.bias[level][node])]
+                total += math.log10(e[child] / sum(e))
+            if leaf >= vocab.first_shared:
+                total += math.log10((c[w] + 0.1) / vocab.mass[leaf])
+            far, near = near, leaf
+        return total, base
+
+    want = []
+    for i, t, _ in rows:
+        s, base = slow(t)
+        want.append((-1 if i is None else i, s, base))
+    want.sort(key=lambda x: (x[0], x[1]))
+    assert all(g[0] == w[0] and math.isclose(g[1], w[1], abs_tol=2e-3) and math.isclose(g[2], w[2], abs_tol=1e-5) for g, w in zip(got, want))
+
+
+def test_lm_of_odd_tables(spark):
+    rows, docs = _small(spark)
+    assert L.train_and_score(docs.limit(0)).count() == 0
+    none = L.train_and_score(docs.withColumn("learn", F.lit(None).cast("boolean"))).collect()
+    assert len(none) == len(rows) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in none)
+    long = spark.createDataFrame([(1, "a b c " * 100_000, True), (1, "a b c " * 100_000, True)], "doc_id long, text string, learn boolean")
+    out = L.train_and_score(long).collect()
+    assert [r["n_tokens"] for r in out] == [300_001] * 2 and out[0]["score"] == out[1]["score"] > out[0]["base_score"]
+
+
+def test_lm_model_does_not_depend_on_partitions(spark):
+    _, docs = _small(spark)
+    counts = L.written(L.word_counts(docs.filter("learn")), "t")
+    vocab = L.vocabulary(counts, tokens_per_leaf=100, dictionary=200)
+    models = [L.fit(L.written(L.encoded(d, vocab), "t").filter("learn"), vocab, shard_tokens=3000).flat() for d in (docs.repartition(7), docs.coalesce(1))]
+    assert np.array_equal(*models)
 
 
 def test_nce_learns_what_follows():
     r = np.random.default_rng(13)
-    share = np.full(6, 1 / 6)
-    near = r.integers(0, 6, 60_000)
-    rows = np.stack([r.integers(0, 6, 60_000), near, (near + 1) % 6], axis=1)
-    p = L.initial(np.log(share))
-    squares = {k: np.full_like(v, 1e-6) for k, v in p.items()}
-    for _ in range(8):
-        L.train(rows, p, squares, share, r)
-    x = p["near"] @ p["out"].T + p["bias"]
-    assert (x.argmax(1) == (np.arange(6) + 1) % 6).all()
+    tree = L.Tree(70)
+    share = L.shares(tree, np.ones(70))
+    model = L.initial(tree, share)
+    trainer = L.Trainer(tree, model, share)
+    near = r.integers(0, 70, 300_000)
+    for lo in range(0, len(near), 50_000):
+        part = near[lo : lo + 50_000]
+        trainer.learn(r.integers(0, 70, len(part)), part, (part * 3 + 1) % 70)
+    leaves = np.arange(70)
+    log = np.array([L.log_odds(tree, model, np.zeros(70, int), np.full(70, k), leaves) for k in range(70)])
+    assert np.mean(log.argmax(1) == (leaves * 3 + 1) % 70) > 0.9
 
 
 def test_near_vectors_match_brute_force(spark):
