@@ -48,6 +48,8 @@ DIM = 16
 NOISE = 25
 GROUP = 1 << 18
 BATCH = 8192
+#: Tokens of one node that make a step of its children's vectors, at most.
+STEP = 1024
 SHARD_TOKENS = 8_000_000
 RATE = 0.1
 SMOOTH = 0.1
@@ -218,22 +220,29 @@ class Trainer:
         p[rows] -= RATE * d / np.sqrt(s)
 
     def learn(self, far: np.ndarray, near: np.ndarray, leaf: np.ndarray) -> None:
-        """One step for each token: the upper levels in minibatches of BATCH, the lowest, whose
-        nodes have few tokens each, in one for each node of all the tokens given."""
-        last = self.tree.depth - 1
-        upper = [(lo, min(lo + BATCH, len(leaf))) for lo in range(0, len(leaf), BATCH)]
-        for levels, parts in ((range(min(2, last) if last else 1), upper), (range(min(2, last), last + 1) if last else (), [(0, len(leaf))])):
-            for lo, hi in parts if len(levels) else ():
-                order = np.argsort(leaf[lo:hi], kind="stable") + lo
-                own, a, b = leaf[order], near[order], far[order]
-                q = self.m.near[a] + self.m.far[b]
-                dq = np.zeros_like(q)
-                for level in levels:
-                    child = self.tree.child(own, level)
-                    for node, i, j in _runs(self.tree.node(own, level)):
-                        dq[i:j] += self._step(level, node, q[i:j], child[i:j])
-                self._context(self.m.near, self.squares.near, a, dq)
-                self._context(self.m.far, self.squares.far, b, dq)
+        """Each token is in one step at each level: the two upper levels in minibatches of BATCH
+        tokens, the lower ones, whose nodes have few tokens each, by node over all tokens given."""
+        depth = self.tree.depth
+        for lo in range(0, len(leaf), BATCH):
+            self._pass(range(min(2, depth)), far[lo : lo + BATCH], near[lo : lo + BATCH], leaf[lo : lo + BATCH])
+        if depth > 2:
+            self._pass(range(2, depth), far, near, leaf)
+
+    def _pass(self, levels: range, far: np.ndarray, near: np.ndarray, leaf: np.ndarray) -> None:
+        order = np.argsort(leaf, kind="stable")
+        own, a, b = leaf[order], near[order], far[order]
+        q = self.m.near[a] + self.m.far[b]
+        dq = np.zeros_like(q)
+        for level in levels:
+            child = self.tree.child(own, level)
+            # Mixed within a node, as its tokens come sorted by child.
+            for node, lo, hi in _runs(self.tree.node(own, level)):
+                k = -(-(hi - lo) // STEP)
+                for i in range(k):
+                    part = slice(lo + i, hi, k)
+                    dq[part] += self._step(level, node, q[part], child[part])
+        self._context(self.m.near, self.squares.near, a, dq)
+        self._context(self.m.far, self.squares.far, b, dq)
 
 
 def log_odds(tree: Tree, model: Model, far: np.ndarray, near: np.ndarray, leaf: np.ndarray) -> np.ndarray:
