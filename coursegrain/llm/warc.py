@@ -232,9 +232,9 @@ def captures(wanted: DataFrame, index: DataFrame, exact: bool = False) -> DataFr
     """key, page_id, archive, offset, length of each capture of the keys in wanted (key), or of
     the keys and page_ids in wanted (key, page_id) if exact.
 
-    Keys are looked for once each. They meet the directory and the blocks of their part in two
-    shuffles of keys: a part's directory, then a block, comes first in its task and the sorted
-    keys are searched for in it, so that a task holds one directory or one block."""
+    Keys are looked for once each. They meet their part in one shuffle of keys and compressed
+    blocks: a part's blocks, with the directory, come first in its task, then the keys, sorted,
+    so that the block that one key has opened serves the next ones."""
     # A row for each part: the first line of its first block.
     bounds = [(r["part"], (r["first"]["key"].encode(), _order(r["first"]["page_id"]))) for r in index.groupBy("part").agg(F.min(F.struct("key", "page_id")).alias("first")).collect()]
     bounds.sort(key=lambda x: x[1])
@@ -252,42 +252,28 @@ def captures(wanted: DataFrame, index: DataFrame, exact: bool = False) -> DataFr
             rows = b.take(pa.array(at, pa.int64()))
             yield pa.record_batch([pa.array(out, pa.int32()), rows.column(0), rows.column(1)], names=["part", "key", "page_id"])
 
-    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, numbers, open_part = [], [], None
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory, blocks, open_part, open_block, lines = [], [], None, None, []
         for b in batches:
-            at, out = [], []
-            for i, (part, block, key, page_id) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
+            out = []
+            for part, block, key, page_id, data in zip(*(c.to_pylist() for c in b.columns)):
                 if part != open_part:
-                    held, numbers, open_part = [], [], part
+                    directory, blocks, open_part, open_block = [], [], part, None
                 if block is not None:
-                    held.append((key.encode(), _order(page_id)))
-                    numbers.append(block)
-                    continue
-                for k in _span(held, key.encode(), page_id, exact):
-                    at.append(i)
-                    out.append(numbers[k])
-            rows = b.take(pa.array(at, pa.int64()))
-            yield pa.record_batch([rows.column(0), pa.array(out, pa.int32()), rows.column(2), rows.column(3)], names=["part", "block", "key", "page_id"])
-
-    def to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = []
-        for b in batches:
-            out = []
-            for key, page_id, data in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
-                if data is not None:
-                    lines = unpack_lines(data)
+                    directory.append((key.encode(), _order(page_id)))
+                    blocks.append(data)
                     continue
-                out += find_lines(lines, key.encode(), page_id, exact)
+                for k in _span(directory, key.encode(), page_id, exact):
+                    if k != open_block:
+                        open_block, lines = k, unpack_lines(blocks[k])
+                    out += find_lines(lines, key.encode(), page_id, exact)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.record_batch([pa.array([x[i].decode() if i == 0 else x[i] for x in out], t) for i, t in enumerate(kinds)], names=["key", "page_id", "archive", "offset", "length"])
 
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = wanted.mapInArrow(to_parts, "part int, key string, page_id long").select("part", none.cast("int").alias("block"), "key", "page_id")
-    rows = index.select("part", "block", "key", "page_id").unionByName(rows)
-    placed = rows.repartition(n, "part").sortWithinPartitions("part", F.col("block").asc_nulls_last()).mapInArrow(to_blocks, "part int, block int, key string, page_id long")
-    blocks = index.select("part", "block", none.cast("string").alias("key"), none.cast("long").alias("page_id"), "data")
-    met = blocks.unionByName(placed.withColumn("data", none.cast("binary")))
-    return met.repartition(n, "part", "block").sortWithinPartitions("part", "block", F.col("data").isNull()).mapInArrow(to_lines, LINES)
+    rows = wanted.mapInArrow(to_parts, "part int, key string, page_id long").select("part", none.cast("int").alias("block"), "key", "page_id", none.cast("binary").alias("data"))
+    rows = index.select("part", "block", "key", "page_id", "data").unionByName(rows)
+    return rows.repartition(n, "part").sortWithinPartitions("part", F.col("block").asc_nulls_last(), "key", "page_id").mapInArrow(search, LINES)
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,10 +299,10 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_captures(found: DataFrame, archives: DataFrame) -> DataFrame:
     """One row for each capture of found (archive, offset, length), as the record's headers and payload have it.
 
-    An archive gets the ranges that are wanted from it, no more than it has records. They are
-    a written table, so that Spark broadcasts them if they are few and shuffles otherwise."""
+    An archive gets the ranges that are wanted from it, no more than it has records, in a hash
+    join that they are the small side of."""
     ranges = found.groupBy("archive").agg(F.collect_set(F.struct("offset", "length")).alias("ranges"))
-    return archives.select("archive", "data").join(written(ranges, "ranges"), "archive").select("data", "ranges").mapInArrow(_ranges, RECORDS)
+    return archives.select("archive", "data").join(ranges.hint("shuffle_hash"), "archive").select("data", "ranges").mapInArrow(_ranges, RECORDS)
 
 
 def lookup(urls: DataFrame, index: DataFrame, archives: DataFrame) -> DataFrame:
