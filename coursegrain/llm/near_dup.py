@@ -34,6 +34,8 @@ PICKED = 2
 #: Texts, and shingles of texts, that a block of a bucket has on average at most.
 BLOCK = 256
 BLOCK_SHINGLES = 500_000
+#: Columns of a matrix of shingles at a time.
+COLUMNS = 4096
 
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _BASE = 0x9E3779B97F4A7C15
@@ -218,12 +220,12 @@ def _refined(mixed: DataFrame) -> DataFrame:
     """Pairs (a, b) across components, from buckets (bucket, node, root, n, sketches).
 
     A bucket of several components is parted by the nodes' sketches, and each part has a leader
-    of its own, drawn by a hash. Texts that share a passage part ways there, as near copies
-    agree in many sketches. A part gives one pair for each node at most."""
+    of its own, its least node. Texts that share a passage part ways there, as near copies
+    agree in many sketches. A part gives one pair for each node at most, and parts of like
+    nodes give the same ones."""
     parts = mixed.select("bucket", "node", "root", "n", F.posexplode("sketches").alias("t", "sketch"))
     parts = written(parts.select(F.xxhash64("bucket", "t", "sketch").alias("part"), "node", "root", "n"), "parts")
-    draw = F.struct(F.xxhash64("part", "node"), "node")
-    leaders = parts.groupBy("part").agg(F.min_by(F.struct("node", "root", "n"), draw).alias("l"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("k")).filter("r1 <> r2")
+    leaders = parts.groupBy("part").agg(F.min(F.struct("node", "root", "n")).alias("l"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("k")).filter("r1 <> r2")
     leaders = written(leaders.select("part", "l", "k"), "part-leaders")
     met = salted_join(parts, leaders.drop("k"), ["part"], ["node"], counts=leaders.select("part", "k")).filter((F.col("root") != F.col("l.root")) & _fits("n", "l.n"))
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
@@ -254,6 +256,28 @@ def _block_pairs(apart: DataFrame) -> DataFrame:
     return sides.join(rows, ["bucket", "block"]).select("pid", "side", "t", "node", "root", "sketches")
 
 
+def in_common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many labelled shingles each of one shares with each of two: products of 0/1 matrices
+    over the shingles that more than one text has."""
+    cut = one + two if two is not one else one
+    flat = np.concatenate(cut)
+    owner = np.repeat(np.arange(len(cut)), [len(s) for s in cut])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    kept = times[column] > 1
+    owner, column = owner[kept], shared[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    first = 0 if two is one else len(one)
+    out = np.zeros((len(one), len(cut) - first), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        m = np.zeros((len(cut), COLUMNS), np.float32)
+        m[owner[part], column[part] - lo] = 1
+        out += m[: len(one)] @ m[first:].T
+    return out
+
+
 def _compared(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
     """Links between the components of one pair of blocks, of rows (side, t, node, root, sketches, shingles).
 
@@ -269,32 +293,29 @@ def _compared(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
             x = up[x]
         return x
 
-    cut = [np.frombuffer(r[5], np.uint64) for r in two]
-    n = np.array([len(s) for s in cut])
-    flat = np.concatenate([labelled(s) for s in cut])
-    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-    marks = np.array([r[4] for r in two])
     names = {x: i for i, x in enumerate(dict.fromkeys(r[3] for r in rows))}
-    root = np.array([names[r[3]] for r in two])
+    part = lambda side: ([np.frombuffer(r[5], np.uint64) for r in side], np.array([names[r[3]] for r in side]), np.array([r[4] for r in side]))
+    cut, root, marks = part(one)
+    cut2, root2, marks2 = (cut, root, marks) if two is one else part(two)
+    n, n2 = np.array([len(s) for s in cut]), np.array([len(s) for s in cut2])
+    longer = np.maximum(n[:, None], n2[None, :])
+    wanted = (root[:, None] != root2[None, :]) & (np.minimum(n[:, None], n2[None, :]) >= SIMILARITY * longer)
+    wanted &= marks[:, None, t] == marks2[None, :, t]
+    for k in range(t):
+        wanted &= marks[:, None, k] != marks2[None, :, k]
+    if two is one:
+        wanted = np.triu(wanted, 1)
+    if not wanted.any():
+        return []
+    # No alignment matches more places than there are shingles in common.
+    own = [labelled(s) for s in cut]
+    both = in_common(own, own if two is one else [labelled(s) for s in cut2])
     links = []
-    for i, (_, _, a, ra, sketch, raw) in enumerate(one):
-        s = np.frombuffer(raw, np.uint64)
-        same = marks == np.array(sketch)
-        wanted = (root != names[ra]) & same[:, t] & (same.argmax(1) == t)
-        wanted &= np.minimum(n, len(s)) >= SIMILARITY * np.maximum(n, len(s))
-        if two is one:
-            wanted[: i + 1] = False
-        if not wanted.any():
-            continue
-        own = np.sort(labelled(s))
-        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, starts, dtype=np.int64)
-        # No alignment matches more places than there are shingles in common.
-        wanted &= both >= SIMILARITY * np.maximum(n, len(s)) - 1e-6
-        for j in np.flatnonzero(wanted):
-            x, y = find(ra), find(two[j][3])
-            if x != y and similar(s, cut[j]):
-                up[x] = y
-                links.append((a, two[j][2]))
+    for i, j in np.argwhere(wanted & (both >= SIMILARITY * longer - 1e-3)):
+        x, y = find(one[i][3]), find(two[j][3])
+        if x != y and similar(cut[i], cut2[j]):
+            up[x] = y
+            links.append((one[i][2], two[j][2]))
     return links
 
 
@@ -331,8 +352,10 @@ def _all_across(apart: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _undecided(shared: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """bucket, t, node, root, n, sketches of the buckets whose nodes are in several components."""
-    placed = shared.select("bucket", "t", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """bucket, t, node, root, n, sketches of the buckets whose nodes are in several components.
+
+    A leader has been compared with all nodes of its bucket, so it isn't among them."""
+    placed = shared.filter(F.col("node") != F.col("leader.node")).select("bucket", "t", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("k")).filter("r1 <> r2")
     mixed = written(mixed.select("bucket", "k"), "mixed")

@@ -189,3 +189,13 @@ def test_one_group_of_thousands(spark):
     rows += [(5000 + i, " ".join(r.choices(base, k=80)), None, None, None) for i in range(50)]
     out = N.near_duplicates(spark.createDataFrame(rows, DOC)).collect()
     assert {x["class_id"] for x in out if x["doc_id"] < 3000} == {0} and all(x["kept"] for x in out if x["doc_id"] >= 5000)
+
+
+def test_shingles_in_common_are_counted(monkeypatch):
+    monkeypatch.setattr(N, "COLUMNS", 7)
+    r = np.random.default_rng(23)
+    cut = [N.labelled(r.integers(0, 40, r.integers(1, 60)).astype(np.uint64)) for _ in range(12)]
+    want = np.array([[len(set(a.tolist()) & set(b.tolist())) for b in cut] for a in cut])
+    assert (N.in_common(cut[:5], cut[5:]) == want[:5, 5:]).all()
+    got = N.in_common(cut, cut)
+    assert (np.triu(got, 1) == np.triu(want, 1)).all()
