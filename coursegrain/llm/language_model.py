@@ -10,8 +10,8 @@ add up to one whatever the size of the vocabulary. Within a shared leaf words ha
 their counts.
 
 Training runs in shards of the training texts, dealt by a hash of the document, from one
-common start; every token is a step of its own minibatch, against noise from its node's
-children by their counts, of which the expectation is taken in place of a sample. The shards'
+common start; every token counts in a minibatch step at each of its nodes, against noise from
+the node's children by their counts, of which the expectation is taken in place of a sample. The shards'
 parameters are averaged by their tokens. Scores come from batched matrix products.
 
 Counts of common words go to the tasks as a table of DICTIONARY words at most; all other words
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,17 +38,19 @@ from .common import LOWER, UPPER, id_crc, table, text_or_empty, written
 
 ARITY = 32
 LEAVES = 262_144
-TOKENS_PER_LEAF = 4096
+TOKENS_PER_LEAF = 8192
 #: One leaf in SHARED is for words without a leaf of their own.
 SHARED = 16
 DICTIONARY = 200_000
 LONGEST = 64
 DIM = 16
 NOISE = 25
-GROUP = 1 << 18
-BATCH = 8192
+#: Tokens between two steps of the vectors of the words before.
+GROUP = 1 << 16
 #: Tokens of one node that make a step of its children's vectors, at most.
 STEP = 1024
+#: Tokens that are scored at a time, and those of one node among them.
+SCORED, BATCH = 1 << 18, 8192
 SHARD_TOKENS = 8_000_000
 RATE = 0.1
 SMOOTH = 0.1
@@ -59,14 +60,12 @@ END = " "
 END_LEAF = 0
 _FLUSH = 400_000
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_LONG_WORD = re.compile(rb"[^\x20\x09-\x0D]{%d}" % (LONGEST + 1))
 
 
 def words_of(text: str) -> list[bytes]:
     """The words, lowered; one beyond LONGEST bytes as # and its sha256, which no shorter word equals."""
-    raw = text.encode().translate(_LOWERED)
-    words = raw.split()
-    if _LONG_WORD.search(raw):
+    words = text.encode().translate(_LOWERED).split()
+    if max(map(len, words), default=0) > LONGEST:
         return [w if len(w) <= LONGEST else b"#" + hashlib.sha256(w).hexdigest().encode() for w in words]
     return words
 
@@ -178,6 +177,12 @@ def _runs(sorted_nodes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(sorted_nodes[lo]), lo, hi
 
 
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Places of ids in their order, equal ones as they come: a plain sort of ids and places in one number."""
+    bits = max(1, len(ids) - 1).bit_length()
+    return np.sort(ids << bits | np.arange(len(ids))) & ((1 << bits) - 1)
+
+
 class Trainer:
     """Steps of noise-contrastive estimation with AdaGrad rates."""
 
@@ -210,7 +215,7 @@ class Trainer:
         return dq
 
     def _context(self, p: np.ndarray, squares: np.ndarray, ids: np.ndarray, dq: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
+        order = _order(ids)
         own = ids[order]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         d = np.add.reduceat(dq[order], first, axis=0) / np.diff(np.append(first, len(own)))[:, None].astype(np.float32)
@@ -220,20 +225,13 @@ class Trainer:
         p[rows] -= RATE * d / np.sqrt(s)
 
     def learn(self, far: np.ndarray, near: np.ndarray, leaf: np.ndarray) -> None:
-        """Each token is in one step at each level: the two upper levels in minibatches of BATCH
-        tokens, the lower ones, whose nodes have few tokens each, by node over all tokens given."""
-        depth = self.tree.depth
-        for lo in range(0, len(leaf), BATCH):
-            self._pass(range(min(2, depth)), far[lo : lo + BATCH], near[lo : lo + BATCH], leaf[lo : lo + BATCH])
-        if depth > 2:
-            self._pass(range(2, depth), far, near, leaf)
-
-    def _pass(self, levels: range, far: np.ndarray, near: np.ndarray, leaf: np.ndarray) -> None:
-        order = np.argsort(leaf, kind="stable")
+        """Each token is in one step at each level, with up to STEP - 1 others of its node; the
+        vectors of the words before take one step from all tokens given."""
+        order = _order(leaf)
         own, a, b = leaf[order], near[order], far[order]
         q = self.m.near[a] + self.m.far[b]
         dq = np.zeros_like(q)
-        for level in levels:
+        for level in range(self.tree.depth):
             child = self.tree.child(own, level)
             # Mixed within a node, as its tokens come sorted by child.
             for node, lo, hi in _runs(self.tree.node(own, level)):
@@ -247,7 +245,7 @@ class Trainer:
 
 def log_odds(tree: Tree, model: Model, far: np.ndarray, near: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """The natural log of each leaf's probability after its two words: batched products node by node."""
-    order = np.argsort(leaf, kind="stable")
+    order = _order(leaf)
     own = leaf[order]
     q = model.near[near[order]] + model.far[far[order]]
     log = np.zeros(len(own), np.float64)
@@ -378,6 +376,13 @@ def _texts(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), starts[:-1] - starts[0]
 
 
+def _spread_keys(spark: SparkSession, n: int) -> DataFrame:
+    """shard, key for n shards: keys that Spark's hash deals to n partitions one by one."""
+    keys = spark.range(0, 32 * n + 1000, 1, 4).select("id", F.pmod(F.hash("id"), F.lit(n)).cast("int").alias("shard"))
+    found = keys.groupBy("shard").agg(F.min("id").alias("key"))
+    return spark.range(n).select(F.col("id").cast("int").alias("shard")).join(found, "shard", "left").select("shard", F.coalesce("key", -F.col("shard").cast("long")).alias("key"))
+
+
 def fit(rows: DataFrame, vocab: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> Model:
     """The model's parameters: shards of the rows (deal, n_tokens, leaves), averaged by their tokens.
 
@@ -437,7 +442,7 @@ def fit(rows: DataFrame, vocab: Vocabulary, shard_tokens: int = SHARD_TOKENS) ->
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([(x / weight[k]).astype(np.float32).tobytes()], pa.binary())], names=["piece", "p"])
 
     dealt = rows.select(F.pmod("deal", F.lit(n_shards)).cast("int").alias("shard"), "deal", "n_tokens", "leaves")
-    dealt = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", "deal", "n_tokens").select("shard", "leaves")
+    dealt = dealt.join(F.broadcast(_spread_keys(spark, n_shards)), "shard").repartition(n_shards, "key").sortWithinPartitions("shard", "deal", "n_tokens").select("shard", "leaves")
     own = written(dealt.mapInArrow(learn, "piece int, shard int, n long, p binary"), "lm-shards")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     got = own.repartition(n, "piece").sortWithinPartitions("piece", "shard").select("piece", "n", "p").mapInArrow(merge, "piece int, p binary").collect()  # the parameters, once
@@ -456,8 +461,8 @@ def scored(rows: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model)
             logs = np.zeros(b.num_rows)
             sizes = np.diff(b.column(1).offsets.to_numpy())
             lo = 0
-            while lo < b.num_rows:  # about GROUP tokens at a time, or one text
-                hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), GROUP)))
+            while lo < b.num_rows:  # about SCORED tokens at a time, or one text
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), SCORED)))
                 leaf, starts = _texts(b.column(1).slice(lo, hi - lo))
                 logs[lo : lo + len(starts)] = np.add.reduceat(log_odds(tree, model, *contexts(leaf, starts), leaf), starts)
                 lo = hi
