@@ -13,9 +13,17 @@ def token_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0)))
 
 
+#: White space at which lines are trimmed.
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def fingerprint(line: Column) -> Column:
-    """Trimmed, lower case, white space collapsed; digits stay."""
-    return F.regexp_replace(F.lower(F.trim(line)), r"\s+", " ")
+    """Trimmed of any white space, lower case, white space collapsed; digits stay."""
+    return F.regexp_replace(F.lower(stripped(line)), r"\s+", " ")
 
 
 def word_list(text: Column, least: int = 1) -> Column:

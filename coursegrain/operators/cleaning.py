@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Tunables
-from ..functions.text import fingerprint
+from ..functions.text import fingerprint, stripped
 
 # Patterns of page numbers and page markers (case-insensitive, whole line).
 PAGE_NUMBER = r"^\s*(?:page\s*)?[-–—(\[]?\s*\d{1,4}\s*(?:/\s*\d{1,4})?\s*[-–—)\]]?\s*$"
@@ -41,7 +41,7 @@ def repair_hyphens(text: Column) -> Column:
 
 
 def collapse_blank_runs(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit(" \t\n\r"))
+    return stripped(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def is_page_marker(line: Column) -> Column:
@@ -67,13 +67,16 @@ def furniture(pages: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
 def clean_pages(pages: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
     """pages with text, heading and notes cleaned; numbers stay as they are.
 
-    A document's furniture is an array beside each of its pages: at most 1 / ratio lines of a
-    page can repeat on so many pages for each line a page has, so the array is short."""
+    Lines lose the white space around them. Notes are repaired as texts are, but no line of
+    them is taken out; null notes stay null. A document's furniture is an array beside each of
+    its pages: at most 1 / ratio lines of a page can repeat on so many pages for each line a
+    page has, so the array is short."""
     own = furniture(pages, t).groupBy("document_id").agg(F.collect_set("fingerprint").alias("gone"))
     d = pages.join(own, "document_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
-    kept = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("gone"), fingerprint(x)) & ~is_page_marker(x))
-    text = collapse_blank_runs(repair_hyphens(F.array_join(kept, "\n")))
-    return d.withColumn("text", restore_symbols(text)).withColumn("heading", restore_symbols(F.col("heading"))).withColumn("notes", restore_symbols(F.col("notes"))).drop("gone")
+    lines = F.transform(F.split("text", "\n", -1), stripped)
+    kept = F.filter(lines, lambda x: (x == "") | (~F.array_contains(F.col("gone"), fingerprint(x)) & ~is_page_marker(x)))
+    repaired = lambda text: restore_symbols(collapse_blank_runs(repair_hyphens(text)))
+    return d.withColumn("text", repaired(F.array_join(kept, "\n"))).withColumn("heading", restore_symbols(F.col("heading"))).withColumn("notes", repaired(F.col("notes"))).drop("gone")
 
 
 def page_spans(pages: DataFrame) -> DataFrame:

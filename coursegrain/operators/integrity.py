@@ -8,6 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What hangs on a course: child, parent, key, and what becomes of the child.
+STUDY_KEYS = [
+    ("documents", "courses", "course_id", "delete"),
+    ("topics", "courses", "course_id", "delete"),
+    ("chunks", "documents", "document_id", "delete"),
+    ("chunks", "topics", "topic_id", "set null"),
+    ("vectors", "chunks", "chunk_id", "delete"),
+    ("quizzes", "courses", "course_id", "delete"),
+    ("questions", "quizzes", "quiz_id", "delete"),
+    ("attempts", "quizzes", "quiz_id", "delete"),
+    ("answers", "attempts", "attempt_id", "delete"),
+    ("cards", "courses", "course_id", "delete"),
+    ("reviews", "cards", "card_id", "delete"),
+]
+
+
 def reconcile(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     """chunk_id, status: orphan (a vector without its passage), missing, or ok."""
     v, c = vectors.select("chunk_id").distinct().withColumn("v", F.lit(True)), chunks.select("chunk_id").withColumn("c", F.lit(True))
@@ -19,15 +35,27 @@ def without_orphans(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     return vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
 
 
-def cascade_delete(tables: dict[str, DataFrame], keys: list[tuple[str, str, str]], gone: DataFrame, root: str) -> dict[str, DataFrame]:
+def cascade_delete(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]], gone: DataFrame, root: str) -> dict[str, DataFrame]:
     """What is left of tables when the rows of root named in gone go, and what hangs on them.
 
-    keys has (child, parent, column): the column's name is that of the parent's key. They are
-    given parents first."""
+    keys has (child, parent, column, action), parents first: the column's name is that of the
+    parent's key; rows of the child that name a deleted parent go too (action "delete") or have
+    null there from then on ("set null"). Rows whose key is null, or names a parent that was
+    never there, stay as they are."""
     left = dict(tables)
+    dead = {root: tables[root].join(gone, gone.columns, "left_semi")}
     left[root] = tables[root].join(gone, gone.columns, "left_anti")
-    for child, parent, column in keys:
-        left[child] = left[child].join(left[parent].select(column).distinct(), column, "left_semi")
+    for child, parent, column, action in keys:
+        if parent not in dead:
+            continue
+        lost = dead[parent].select(column).distinct()
+        if action == "set null":
+            kept = left[child].join(lost.withColumn("_lost", F.lit(True)), column, "left")
+            left[child] = kept.withColumn(column, F.when(F.col("_lost").isNull(), F.col(column))).select(*tables[child].columns)
+            continue
+        also = left[child].join(lost, column, "left_semi")
+        dead[child] = also if child not in dead else dead[child].unionByName(also)
+        left[child] = left[child].join(lost, column, "left_anti")
     return left
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..config import DEFAULTS, Tunables
 from ..functions.text import cosine
 from ..sources.tables import written
+from .joins import salted_join
 
 OPTION = "struct<id:string,text:string,is_correct:boolean,why_wrong:string>"
 QUESTION = f"stem string, options array<{OPTION}>, explanation string, difficulty string, _corrupt string"
@@ -21,11 +22,11 @@ DIFFICULTIES = ("recall", "understanding", "analysis")
 BANNED = ("all of the above", "none of the above", "both a and b", "a and b only", "all of these", "none of these")
 NEGATION = r"(?i)(^|[^0-9A-Za-z_])(not|except|least)([^0-9A-Za-z_]|$)"
 RANKING = r"(?i)(^|[^0-9A-Za-z_])(primary|primarily|main|chief|most important|foremost)([^0-9A-Za-z_]|$)"
-NUMBER = r"(?:^|[^0-9A-Za-z_.])(\d+(?:\.\d+)?)(?=$|[^0-9A-Za-z_])"
+NUMBER = r"(?<![\p{L}\p{N}_])\d+(?:\.\d+)?(?![\p{L}\p{N}_])"
 STOPWORDS = (
-    "a an the of to in on for and or is are was were be been by with as at from that this it its which each any all "
-    "more most such into than then when where while"
-).split()
+    "a", "an", "the", "of", "to", "in", "on", "for", "and", "or", "is", "are", "was", "were", "be", "been", "by", "with", "as", "at",
+    "from", "that", "this", "it", "its", "which", "each", "any", "all", "more", "most", "such", "into", "than", "then", "when", "where", "while",
+)
 LEAK_WORDS = 3
 
 
@@ -48,6 +49,29 @@ def schema_ok(q: str = "q") -> Column:
     return (ids == F.array(*map(F.lit, "ABCD"))) & one & filled(c("stem")) & filled(c("explanation")) & c("difficulty").isin(*DIFFICULTIES)
 
 
+def attach_citations(questions: DataFrame, passages: DataFrame) -> DataFrame:
+    """questions (with chunk_id, the passage that each was made from) with source_chunk_ids and page_refs.
+
+    Both come from the passage, whatever a model may have said: its id, and all its pages from
+    page_start to page_end. A question without its passage has two empty lists."""
+    own = [c for c in questions.columns if c not in ("source_chunk_ids", "page_refs")]
+    p = passages.select("chunk_id", F.array("chunk_id").alias("source_chunk_ids"), F.sequence("page_start", "page_end").alias("page_refs"))
+    j = questions.select(*own).join(p, "chunk_id", "left")
+    kinds = dict(p.dtypes)
+    return j.select(*own, *[F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in ("source_chunk_ids", "page_refs")])
+
+
+def quiz_view(questions: DataFrame, passages: DataFrame) -> DataFrame:
+    """quiz_id, question_id, place (from 0), stem, page_refs, section_path: a quiz as students see it.
+
+    Questions are in the order of order_index; the section is that of the first passage cited,
+    and empty where there is none."""
+    nth = F.row_number().over(Window.partitionBy("quiz_id").orderBy("order_index", "question_id")) - 1
+    q = questions.select("quiz_id", "question_id", nth.alias("place"), "stem", "page_refs", F.get("source_chunk_ids", F.lit(0)).alias("chunk_id"))
+    j = q.join(passages.select("chunk_id", "section_path"), "chunk_id", "left")
+    return j.select("quiz_id", "question_id", "place", "stem", "page_refs", F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path"))
+
+
 def parse_cards(raw: DataFrame, most: int) -> DataFrame:
     """id, place, front, back of the first most cards; one blank card makes the batch invalid."""
     d = raw.withColumn("c", F.from_json("raw", CARDS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).filter(F.col("c._corrupt").isNull() & F.col("c.cards").isNotNull())
@@ -83,7 +107,7 @@ def rule_failures(stem: Column, options: Column, explanation: Column, difficulty
     leaks = F.exists(runs, lambda r: (F.size(F.array_except(r, stop)) > 0) & F.contains(joined, F.array_join(r, " ")))
     leakage = F.when((F.size(w) >= LEAK_WORDS) & leaks, "LEAKAGE")
     ranking = F.when(stem.rlike(RANKING) & ~passage.rlike(RANKING), "INVENTED_RANKING")
-    numbers = lambda x: F.regexp_extract_all(x, F.lit(NUMBER), F.lit(1))
+    numbers = lambda x: F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0))
     numeric = F.when(F.size(F.array_except(numbers(right), numbers(passage))) > 0, "NUMERIC_UNSUPPORTED")
     return F.array_compact(F.array(empty, bias, banned, negation, leakage, ranking, numeric))
 
@@ -127,52 +151,76 @@ def _bucket_keys(tables: int, hashes: int, width: float):
     return keys
 
 
-def similar_pairs(rows: DataFrame, least: float, tables: int = 48, hashes: int = 6, width: float = 1.5) -> DataFrame:
-    """a, b: ids of one course whose vectors have cosine least or more, a before b.
+def _met(spread: DataFrame, block: int) -> DataFrame:
+    """v1 < v2: nodes that share a bucket, of rows (v, course_id, bucket).
 
-    rows has id, course_id, place, embedding. Equal vectors are one candidate; pairs of the
-    others come from buckets of projections (a pair at cosine 0.92 shares none of 48 with
-    probability below 1e-6) and are checked exactly. Copies are linked to the first one."""
-    keyed = rows.withColumn("v", F.xxhash64("course_id", "embedding"))
-    first = keyed.groupBy("v").agg(F.min(F.struct("place", "id")).alias("f"), F.first("course_id").alias("course_id"), F.first("embedding").alias("embedding"))
-    first = written(first.select("v", "course_id", "embedding"), "stems")
-    spread = first.select("v", "course_id", F.explode(_bucket_keys(tables, hashes, width)("embedding")).alias("bucket"))
-    x, y = spread.alias("x"), spread.alias("y")
-    met = x.join(y, (F.col("x.course_id") == F.col("y.course_id")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.v") < F.col("y.v"))).select(F.col("x.v").alias("v1"), F.col("y.v").alias("v2")).distinct()
-    e1, e2 = first.select(F.col("v").alias("v1"), F.col("embedding").alias("e1")), first.select(F.col("v").alias("v2"), F.col("embedding").alias("e2"))
-    near = met.join(e1, "v1").join(e2, "v2").filter(cosine(F.col("e1"), F.col("e2")) >= least).select("v1", "v2")
-    own = first.filter(cosine(F.col("embedding"), F.col("embedding")) >= least).select(F.col("v").alias("v1"), F.col("v").alias("v2"))
-    both = near.unionByName(near.select(F.col("v2").alias("v1"), F.col("v1").alias("v2"))).unionByName(own)
-    ids = keyed.select("v", "id", "place")
-    p = both.join(ids.select(F.col("v").alias("v1"), F.col("id").alias("a"), F.col("place").alias("pa")), "v1").join(ids.select(F.col("v").alias("v2"), F.col("id").alias("b"), F.col("place").alias("pb")), "v2")
-    return p.filter(F.struct("pa", "a") < F.struct("pb", "b")).select("a", "b", "pa")
+    A bucket of more than block nodes is cut into parts, and each pair of parts is a key of its
+    own in the join, so that no task holds a large bucket whole."""
+    sizes = spread.groupBy("course_id", "bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    sizes = written(sizes.select("course_id", "bucket", "k", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("parts")), "stem-buckets")
+    on = ["course_id", "bucket"]
+    rows = salted_join(spread, sizes.drop("k"), on, ["v"], counts=sizes.drop("parts"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - F.lit(1))))
+    rows = rows.select(F.xxhash64("course_id", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "v", "own", "other")
+    x, y = rows.alias("x"), rows.alias("y")
+    # A pair of one part meets in the group of that part with itself only.
+    across = (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    return x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.v") < F.col("y.v")) & across).select(F.col("x.v").alias("v1"), F.col("y.v").alias("v2")).distinct()
+
+
+def similar_pairs(rows: DataFrame, least: float, tables: int = 48, hashes: int = 6, width: float = 1.5, block: int = 2048) -> DataFrame:
+    """a, b: the first rows of two vectors of one course of cosine least or more, a before b.
+
+    rows has the columns id, v, course_id, place, embedding, one row for each vector (v is its
+    hash). Pairs come from buckets of projections (a pair at cosine 0.92 shares none of 48 with
+    probability below 1e-6) and are checked exactly."""
+    spread = written(rows.select("v", "course_id", F.explode(_bucket_keys(tables, hashes, width)("embedding")).alias("bucket")), "stem-spread")
+    side = lambda i: rows.select(F.col("v").alias(f"v{i}"), F.struct("place", "id").alias(f"p{i}"), F.col("embedding").alias(f"e{i}"))
+    near = _met(spread, block).join(side(1), "v1").join(side(2), "v2").filter(cosine(F.col("e1"), F.col("e2")) >= least)
+    low, high = F.least("p1", "p2"), F.greatest("p1", "p2")
+    return near.select(low["id"].alias("a"), high["id"].alias("b"), low["place"].alias("pa"))
 
 
 def semantic_dedup(rows: DataFrame, least: float = DEFAULTS.stem_cosine) -> DataFrame:
     """id, accepted, matched: each row in its place is accepted unless an accepted one before is near.
 
-    A round accepts the rows whose earlier neighbours are all rejected and rejects the later
-    neighbours of these; it ends when every row is decided. matched is the earliest accepted
-    neighbour. This isn't the same as dropping every row with an earlier neighbour."""
-    pairs = written(similar_pairs(rows, least), "stem-pairs")
-    open_ = written(rows.select("id"), "open")
-    accepted = rejected = None
-    left = pairs
+    Equal vectors of a course are near to the same rows, so the first of them stands for all:
+    if it is accepted the others match it, and else they match what it matches. (A vector whose
+    cosine with itself is below least, as a zero vector's is, is near to nothing.) A round
+    accepts the rows whose earlier neighbours are all rejected and rejects the later neighbours
+    of these; it ends when every row is decided. matched is the earliest accepted neighbour.
+    This isn't the same as dropping every row with an earlier neighbour."""
+    keyed = rows.withColumn("v", F.xxhash64("course_id", "embedding"))
+    none = F.lit(None).cast(rows.schema["id"].dataType)
+    itself = F.coalesce(cosine(F.col("embedding"), F.col("embedding")) >= least, F.lit(False))
+    lone = keyed.filter(~itself).select("id", F.lit(True).alias("accepted"), none.alias("matched"))
+    keyed = written(keyed.filter(itself).select("id", "place", "v", "course_id", "embedding"), "stem-rows")
+    first = keyed.groupBy("v").agg(F.min(F.struct("place", "id")).alias("f"), F.first("course_id").alias("course_id"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("k"))
+    first = written(first.select("v", "f.id", "f.place", "course_id", "embedding", "k"), "stems")
+
+    pairs = written(similar_pairs(first, least), "stem-pairs")
+    open_ = written(first.select("id"), "open")
+    done, left = None, pairs
     while not open_.isEmpty():
         now = written(open_.join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "accepted")
         out = written(left.join(now.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "rejected")
-        accepted = now if accepted is None else accepted.unionByName(now)
-        rejected = out if rejected is None else rejected.unionByName(out)
-        open_ = written(open_.join(now, "id", "left_anti").join(out, "id", "left_anti"), "open")
+        round_ = now.withColumn("accepted", F.lit(True)).unionByName(out.withColumn("accepted", F.lit(False)))
+        done = round_ if done is None else done.unionByName(round_)
+        open_ = written(open_.join(round_, "id", "left_anti"), "open")
         gone = out.withColumnRenamed("id", "x")
         left = left.join(gone, left["a"] == gone["x"], "left_anti").join(gone, left["b"] == gone["x"], "left_anti")
         left = written(left, "stem-pairs")
-    if accepted is None:
-        return rows.select("id", F.lit(True).alias("accepted"), F.col("id").alias("matched")).limit(0)
-    best = pairs.join(accepted.withColumnRenamed("id", "a"), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct("pa", "a")).alias("matched"))
-    lost = rejected.distinct().join(best, "id").select("id", F.lit(False).alias("accepted"), "matched")
-    none = F.lit(None).cast(rows.schema["id"].dataType)
-    return accepted.select("id", F.lit(True).alias("accepted"), none.alias("matched")).unionByName(lost)
+    if done is None:
+        return lone
+    accepted = done.filter("accepted").select(F.col("id").alias("a"))
+    best = pairs.join(accepted, "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct("pa", "a")).alias("matched"))
+    fate = done.join(best.withColumnRenamed("id", "x"), (F.col("id") == F.col("x")) & ~F.col("accepted"), "left").select(F.col("id").alias("head"), "accepted", "matched")
+    fate = fate.join(first.select(F.col("id").alias("head"), "v", "k"), "head")
+    fate = written(fate, "stem-fates")
+    every = salted_join(keyed.select("id", "v"), fate.drop("k"), ["v"], ["id"], counts=fate.select("v", "k"))
+    is_head = F.col("id") == F.col("head")
+    every = every.select("id", (is_head & F.col("accepted")).alias("accepted"), F.when(F.col("accepted"), F.when(is_head, none).otherwise(F.col("head"))).otherwise(F.col("matched")).alias("matched"))
+    return every.unionByName(lone)
 
 
 def best_attempts(attempts: DataFrame, most: int = 2) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.functions import array_to_vector
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Tunables
+from ..functions.text import cosine
+from ..sources.tables import written
 
 
 def section_counts(chunks: DataFrame) -> DataFrame:
@@ -25,9 +27,10 @@ def topic_strategy(chunks: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
 def topic_tree(chunks: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
     """course_id, topic_key, parent_key, name, level, chunk_count, order_index.
 
-    A course of strategy unit has one topic for each unit; another has its units as parents,
-    with the sum of their passages, and one topic for each path. A key is the path's text."""
-    s = section_counts(chunks).join(topic_strategy(chunks, t).select("course_id", "strategy"), "course_id")
+    A course of strategy unit has one topic for each unit; one of strategy heading has its units
+    as parents, with the sum of their passages, and one topic for each path. A key is the path's
+    text. A course of strategy cluster has no tree of headings: see fallback_topics."""
+    s = section_counts(chunks).join(topic_strategy(chunks, t).filter("strategy <> 'cluster'").select("course_id", "strategy"), "course_id")
     unit = F.element_at("section_path", 1)
     units = s.groupBy("course_id", "strategy", F.array(unit).alias("path")).agg(F.sum("chunk_count").alias("chunk_count"))
     deep = s.filter((F.col("strategy") != "unit") & (F.size("section_path") > 1)).select("course_id", "strategy", F.col("section_path").alias("path"), "chunk_count")
@@ -40,10 +43,34 @@ def topic_tree(chunks: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
 
 
 def chunk_topics(chunks: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
-    """chunk_id, course_id, topic_key: by the unit or the whole path; null for an empty path."""
+    """chunk_id, course_id, topic_key: by the unit or the whole path.
+
+    It is null for an empty path, and in courses whose headings don't help."""
     d = chunks.select("chunk_id", "course_id", "section_path").join(topic_strategy(chunks, t).select("course_id", "strategy"), "course_id", "left")
-    key = F.when(F.size("section_path") > 0, F.when(F.col("strategy") == "unit", F.element_at("section_path", 1)).otherwise(F.array_join("section_path", " / ")))
-    return d.select("chunk_id", "course_id", key.alias("topic_key"))
+    key = F.when(F.col("strategy") == "unit", F.element_at("section_path", 1)).when(F.col("strategy") == "heading", F.array_join("section_path", " / "))
+    return d.select("chunk_id", "course_id", F.when(F.size("section_path") > 0, key).alias("topic_key"))
+
+
+def fallback_topics(chunks: DataFrame, vectors: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
+    """chunk_id, course_id, topic_key, via: every passage under a topic, by headings or by clusters.
+
+    The passages of courses whose headings don't help, those without any path among them, are
+    clustered by their vectors (chunk_id, embedding), and their keys are "cluster" and a number; a
+    passage without a vector, or without a path in a course of the others, has no topic."""
+    strategy = topic_strategy(chunks, t).select("course_id", "strategy")
+    d = chunk_topics(chunks, t).join(strategy, "course_id", "left").withColumn("strategy", F.coalesce("strategy", F.lit("cluster")))
+    lost = d.filter("strategy = 'cluster'").select("chunk_id", "course_id")
+    clusters = cluster_topics(lost.join(vectors.select("chunk_id", "embedding"), "chunk_id"), t)
+    by_cluster = lost.join(clusters.select("chunk_id", "cluster"), "chunk_id", "left").select("chunk_id", "course_id", F.concat(F.lit("cluster "), F.col("cluster")).alias("topic_key"), F.lit("cluster").alias("via"))
+    return d.filter("strategy <> 'cluster'").select("chunk_id", "course_id", "topic_key", F.lit("headings").alias("via")).unionByName(by_cluster)
+
+
+def mirror_topics(vectors: DataFrame, topics: DataFrame) -> DataFrame:
+    """vectors with topic_key set from topics (chunk_id, topic_key); nothing else changes.
+
+    A vector whose passage has no topic has null there, also if it had one before."""
+    own = [c for c in vectors.columns if c != "topic_key"]
+    return vectors.select(*own).join(topics.select("chunk_id", "topic_key"), "chunk_id", "left").select(*own, "topic_key")
 
 
 def leaf_topics(tree: DataFrame) -> DataFrame:
@@ -58,20 +85,44 @@ def clean_label(label):
     return F.coalesce(F.nullif(F.left(bare, F.lit(255)), F.lit("")), F.lit("Untitled Topic"))
 
 
-def cluster_topics(vectors: DataFrame, seed: int = 7, t: Tunables = DEFAULTS) -> DataFrame:
-    """chunk_id, course_id, cluster: bisecting k-means by cosine within each course.
-
-    k = max(2, min(n, round(n / 6))); a course of one passage is one cluster. The loop runs over
-    the courses whose headings don't help; each fit is a distributed one."""
-    d = vectors.select("chunk_id", "course_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    out = None
-    for r in d.groupBy("course_id").agg(F.count(F.lit(1)).alias("n")).sort("course_id").collect():
-        own = d.filter(F.col("course_id").eqNullSafe(F.lit(r["course_id"])))
-        if r["n"] < 2:
-            got = own.select("chunk_id", "course_id", F.lit(0).alias("cluster"))
-        else:
-            k = max(2, min(r["n"], round(r["n"] / t.chunks_per_cluster)))
-            model = BisectingKMeans(k=k, distanceMeasure="cosine", seed=seed, maxIter=5, predictionCol="cluster").fit(own)
-            got = model.transform(own).select("chunk_id", "course_id", "cluster")
-        out = got if out is None else out.unionByName(got)
-    return d.select("chunk_id", "course_id", F.lit(0).alias("cluster")) if out is None else out
+def _nearer(d: DataFrame, seeds: DataFrame) -> DataFrame:
+    """d with bit: whether a row is nearer to the second seed of its cluster; seeds has course_id, cluster, a, b."""
+    j = d.join(seeds, ["course_id", "cluster"])
+    return j.select(*d.columns, (cosine(F.col("embedding"), F.col("b")) > cosine(F.col("embedding"), F.col("a"))).cast("long").alias("bit"))
+
+
+def cluster_topics(vectors: DataFrame, t: Tunables = DEFAULTS, steps: int = 2) -> DataFrame:
+    """chunk_id, course_id, cluster: every passage in one cluster of its course, by cosine.
+
+    All clusters of all courses that have more than chunks_per_cluster passages are halved at
+    once, round by round: by the nearer of two seeds (the passage of least hash and the one
+    farthest from it), and then, in each step, of the two halves' mean directions. A course of
+    n passages so gets about n / chunks_per_cluster clusters, and the rounds are as many as the
+    largest course has doublings. Halves that come out empty end a cluster's rounds. Zero
+    vectors are as far from everything as orthogonal ones."""
+    unit = F.transform("embedding", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, v: s + v * v))
+    d = vectors.select("chunk_id", "course_id", F.when(norm > 0, F.transform(unit, lambda x: x / norm)).otherwise(unit).alias("embedding"), F.lit(1).cast("long").alias("cluster"))
+    d = written(d, "cluster-0")
+    done = None
+    most = d.groupBy("course_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(max(0, math.ceil(math.log2(max(1, most / t.chunks_per_cluster)))) + 2):
+        size = d.groupBy("course_id", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min_by("embedding", F.struct(F.xxhash64("chunk_id"), "chunk_id")).alias("a"))
+        size = written(size, "cluster-sizes")
+        small = d.join(size.filter(F.col("n") <= t.chunks_per_cluster * 1.5).select("course_id", "cluster"), ["course_id", "cluster"], "left_semi")
+        done = small if done is None else done.unionByName(small)
+        large = d.join(size.filter(F.col("n") > t.chunks_per_cluster * 1.5).select("course_id", "cluster", "a"), ["course_id", "cluster"])
+        far = large.groupBy("course_id", "cluster").agg(F.first("a").alias("a"), F.min_by("embedding", F.struct(F.round(cosine(F.col("embedding"), F.col("a")), 12), "chunk_id")).alias("b"))
+        halves = written(_nearer(large.drop("a"), far), "cluster-halves")
+        for _ in range(steps):
+            centres = halves.select("course_id", "cluster", "bit", F.posexplode("embedding").alias("i", "x")).groupBy("course_id", "cluster", "bit", "i").agg(F.sum("x").alias("x"))
+            centres = centres.groupBy("course_id", "cluster", "bit").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.round("x", 9).alias("x")))), lambda s: s["x"]).alias("c"))
+            two = centres.groupBy("course_id", "cluster").agg(F.max(F.when(F.col("bit") == 0, F.col("c"))).alias("a"), F.max(F.when(F.col("bit") == 1, F.col("c"))).alias("b")).filter("a is not null and b is not null")
+            same = halves.join(two.select("course_id", "cluster"), ["course_id", "cluster"], "left_anti")
+            halves = written(_nearer(halves.drop("bit"), two).unionByName(same), "cluster-halves")
+        d = written(halves.select("chunk_id", "course_id", "embedding", (F.col("cluster") * 2 + F.col("bit")).alias("cluster")), "cluster-round")
+        if d.isEmpty():
+            break
+    every = d if done is None else done.unionByName(d)
+    number = every.select("course_id", "cluster").distinct().withColumn("no", F.row_number().over(Window.partitionBy("course_id").orderBy("cluster")) - 1)
+    return every.join(number, ["course_id", "cluster"]).select("chunk_id", "course_id", F.col("no").alias("cluster"))

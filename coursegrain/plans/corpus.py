@@ -55,9 +55,9 @@ def vector_payload(spark, sf_dir):
 
 
 def sections(spark, sf_dir):
-    """Passages under their source and a heading of language and first letter."""
+    """Passages under their source and a heading of language and first letter; sources that end in 9 have no headings."""
     d = table(spark, sf_dir, "documents")
-    path = F.array("source", F.concat("lang", F.lit("-"), F.left("text", F.lit(1))))
+    path = F.when(F.col("source").endswith("9"), F.array("source")).otherwise(F.array("source", F.concat("lang", F.lit("-"), F.left("text", F.lit(1)))))
     return d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("course_id"), path.alias("section_path"))
 
 
@@ -97,6 +97,14 @@ def cluster_topics(spark, sf_dir):
     return P.cluster_topics(V.vectors(spark, sf_dir))
 
 
+def fallback_topics(spark, sf_dir):
+    return P.fallback_topics(sections(spark, sf_dir), V.vectors(spark, sf_dir))
+
+
+def mirror_topics(spark, sf_dir):
+    return P.mirror_topics(V.vectors(spark, sf_dir), P.chunk_topics(sections(spark, sf_dir))).select("chunk_id", "course_id", "topic_key")
+
+
 def _queries(spark, sf_dir):
     """Every row whose id is divisible by 20, against all rows of its course."""
     q = V.query_vectors(spark, sf_dir).filter(F.col("query_id") % 20 == 0)
@@ -152,19 +160,33 @@ def context_passages(spark, sf_dir):
 
 
 _SQL = {
-    "q_section": "SELECT doc_id AS chunk_id, source AS course_id, source AS unit, source || ' / ' || lang || '-' || left(text, 1) AS path FROM documents",
+    "q_section": "SELECT doc_id AS chunk_id, source AS course_id, source AS unit, CASE WHEN source LIKE '%9' THEN source ELSE source || ' / ' || lang || '-' || left(text, 1) END AS path FROM documents",
     "q_strategy": """SELECT *, CASE WHEN paths < 3 THEN 'cluster' WHEN singletons / paths >= 0.8 THEN 'unit' ELSE 'heading' END AS strategy FROM (
         SELECT course_id, count(*) AS paths, count(*) FILTER (n = 1) AS singletons FROM (SELECT course_id, path, count(*) AS n FROM q_section GROUP BY ALL) GROUP BY 1)""",
-    "q_chunk_topic": "SELECT chunk_id, course_id, CASE WHEN strategy = 'unit' THEN unit ELSE path END AS topic_key FROM q_section JOIN q_strategy USING (course_id)",
+    "q_chunk_topic": "SELECT chunk_id, course_id, CASE strategy WHEN 'unit' THEN unit WHEN 'heading' THEN path END AS topic_key FROM q_section JOIN q_strategy USING (course_id)",
     "q_tree": """SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY topic_key) AS order_index FROM (
-        SELECT course_id, unit AS topic_key, NULL AS parent_key, unit AS name, 0 AS level, count(*) AS chunk_count FROM q_section GROUP BY ALL
-        UNION ALL SELECT course_id, path, unit, split_part(path, ' / ', 2), 1, count(*) FROM q_section JOIN q_strategy USING (course_id) WHERE strategy <> 'unit' GROUP BY ALL)""",
+        SELECT course_id, unit AS topic_key, NULL AS parent_key, unit AS name, 0 AS level, count(*) AS chunk_count FROM q_section JOIN q_strategy USING (course_id) WHERE strategy <> 'cluster' GROUP BY ALL
+        UNION ALL SELECT course_id, path, unit, split_part(path, ' / ', 2), 1, count(*) FROM q_section JOIN q_strategy USING (course_id) WHERE strategy = 'heading' GROUP BY ALL)""",
     "q_hit": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
         SELECT q.query_id, v.chunk_id, v.course_id, v.topic_id, round(list_dot_product(q.query, v.e) / (sqrt(list_dot_product(q.query, q.query)) * sqrt(list_dot_product(v.e, v.e))), 9) AS score
         FROM v_query q JOIN (SELECT *, embedding::DOUBLE[] AS e FROM v_vector) v ON v.course_id = q.query_id % 5 WHERE q.query_id % 20 = 0))""",
 }
 
 
+_SQL |= {
+    "q_ask": """SELECT query_id, query_id % 5 AS course_id, query_id // 20 % 4 AS kind, query_id % 7 AS label,
+        CASE query_id // 20 % 4 WHEN 1 THEN '' WHEN 2 THEN 'topik numbr ' || (query_id % 7) ELSE 'zzzz' END AS text FROM v_query WHERE query_id % 20 = 0""",
+    "q_name": "SELECT DISTINCT course_id, topic_id, 'Topic number ' || topic_id AS name FROM v_vector",
+    # The table of common subsequences row by row: each cell is the largest of what the row above allows up to it.
+    "q_ratio": """SELECT * FROM (WITH RECURSIVE l AS (SELECT *, 0 AS i, list_transform(range(0, length(name) + 1), lambda j: 0) AS r FROM (SELECT DISTINCT text, name FROM q_ask JOIN q_name USING (course_id))
+        UNION ALL SELECT text, name, i + 1, list_transform(range(0, length(name) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k:
+            greatest(r[k + 1], CASE WHEN k > 0 AND substr(lower(name), CAST(k AS BIGINT), 1) = substr(lower(text), i + 1, 1) THEN r[k] + 1 ELSE 0 END)))) FROM l WHERE i < length(text))
+        SELECT text, name, CASE WHEN length(text) + length(name) = 0 THEN 100.0 ELSE 200.0 * r[-1] / (length(text) + length(name)) END AS ratio FROM l WHERE i = length(text))""",
+    "q_near": "SELECT query_id, kind, topic_id, ratio FROM q_ask JOIN q_name USING (course_id) JOIN q_ratio USING (text, name) WHERE ratio >= 85",
+    "q_found": "SELECT query_id, topic_id, min(rank) AS rank FROM q_hit WHERE rank <= 10 AND topic_id IS NOT NULL GROUP BY ALL",
+}
+
+
 def _sql(body: str) -> str:
     return V.with_views(body, _SQL)
 
@@ -172,7 +194,7 @@ def _sql(body: str) -> str:
 QUERIES = {
     "doc_content_hash": doc_content_hash, "ingest_dedup": ingest_dedup, "ingest_status": ingest_status, "low_text_documents": low_text_documents, "vector_upsert": vector_upsert,
     "vector_contract": vector_contract, "vector_payload": vector_payload, "section_counts": section_counts, "topic_strategy": topic_strategy, "topic_map": topic_map, "topic_tree": topic_tree,
-    "chunk_topics": chunk_topics, "leaf_topics": leaf_topics, "clean_labels": clean_labels, "cluster_topics": cluster_topics, "vector_topk": vector_topk, "vector_topk_lsh": vector_topk_lsh,
+    "chunk_topics": chunk_topics, "leaf_topics": leaf_topics, "clean_labels": clean_labels, "cluster_topics": cluster_topics, "fallback_topics": fallback_topics, "mirror_topics": mirror_topics, "vector_topk": vector_topk, "vector_topk_lsh": vector_topk_lsh,
     "vector_counts": vector_counts, "fuzzy_topic_match": fuzzy_topic_match, "resolve_scope": resolve_scope, "expand_to_topics": expand_to_topics, "context_passages": context_passages,
 }
 
@@ -198,6 +220,13 @@ ORACLE_SQL = {
     "leaf_topics": _sql("SELECT course_id, topic_key, name FROM q_tree t WHERE NOT EXISTS (SELECT 1 FROM q_tree c WHERE c.course_id = t.course_id AND c.parent_key = t.topic_key)"),
     "clean_labels": "SELECT p_partkey, CASE WHEN p_size = 50 THEN 'Untitled Topic' ELSE left(p_name, 255) END AS label FROM part",
     "vector_topk": _sql("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM q_hit WHERE rank <= 5"),
+    "mirror_topics": _sql("SELECT v.chunk_id, v.course_id, t.topic_key FROM v_vector v LEFT JOIN q_chunk_topic t USING (chunk_id)"),
+    "fuzzy_topic_match": _sql("SELECT query_id, topic_id, round(ratio, 6) AS ratio FROM q_near"),
+    "resolve_scope": _sql("""SELECT query_id, 'named' AS via, 0 AS place, CAST(label AS INT) AS topic_id FROM q_ask WHERE kind = 0
+        UNION ALL SELECT query_id, 'course', 0, NULL FROM q_ask WHERE kind = 1
+        UNION ALL SELECT query_id, 'name', row_number() OVER (PARTITION BY query_id ORDER BY ratio DESC, topic_id) - 1, topic_id FROM q_near WHERE kind > 1
+        UNION ALL SELECT query_id, 'search', row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1, topic_id FROM q_found WHERE query_id IN (SELECT query_id FROM q_ask WHERE kind > 1) AND query_id NOT IN (SELECT query_id FROM q_near)
+        UNION ALL SELECT query_id, 'course', 0, NULL FROM q_ask WHERE kind > 1 AND query_id NOT IN (SELECT query_id FROM q_near) AND query_id NOT IN (SELECT query_id FROM q_found)"""),
     "vector_counts": _sql("SELECT course_id, count(*) AS vectors FROM v_vector GROUP BY 1"),
     "expand_to_topics": _sql("SELECT DISTINCT h.query_id, v.chunk_id FROM q_hit h JOIN v_vector v ON v.course_id = h.course_id AND v.topic_id = h.topic_id WHERE h.rank <= 5"),
     "context_passages": _sql("""SELECT query_id, sha256(coalesce(string_agg('[' || rank || '] (slide ' || page_start || '-' || page_end || ', ' || array_to_string(section_path, ' / ') || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank), 'No passage matches.')) AS sha,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
@@ -121,8 +124,20 @@ def retrieval_eval(spark, sf_dir):
     return E.retrieval_eval(q.select("query_id", F.col("query_id").alias("expected_id")), R.vector_topk(q, V.vectors(spark, sf_dir)))
 
 
+def golden_eval(spark, sf_dir):
+    """Pairs keyed by section: two passages, five apart, share one, and every other query's section is gone."""
+    q = C._queries(spark, sf_dir)
+    section = lambda i: F.when(i % 5 == 0, F.array(F.lit("d"), F.floor(i / 10).cast("string"))).otherwise(F.array(F.lit("x"), i.cast("string")))
+    chunks = V.vectors(spark, sf_dir).select("chunk_id", section(F.col("chunk_id")).alias("section_path"))
+    golden = q.select("query_id", "query", F.when(F.col("query_id") % 40 == 0, F.array(F.lit("gone"))).otherwise(section(F.col("query_id"))).alias("source_section"))
+    pairs = E.golden_pairs(golden, chunks)
+    return E.retrieval_eval(pairs.select("query_id", "expected_id"), R.vector_topk(q.join(pairs.select("query_id"), "query_id", "left_semi"), V.vectors(spark, sf_dir)))
+
+
 def citation_integrity(spark, sf_dir):
-    return E.citation_integrity(V.questions(spark, sf_dir), V.chunks(spark, sf_dir))
+    """Every third passage's document is a page shorter than the passage says."""
+    short = F.when(F.col("chunk_id") % 3 == 0, 1).otherwise(0)
+    return E.citation_integrity(V.questions(spark, sf_dir), V.chunks(spark, sf_dir).withColumn("page_count", F.col("page_end") - short))
 
 
 def groundedness(spark, sf_dir):
@@ -139,7 +154,7 @@ def generation_quality(spark, sf_dir):
     return E.generation_quality(runs.select("course_id", "question_count", rate.alias("pass_rate"), F.col("duration_ms").alias("ms"), (F.col("question_count") + 1).alias("attempts")))
 
 
-def compare_runs(spark, sf_dir):
+def _run_log(spark, sf_dir):
     """Log lines made from the events, cut by a pattern again."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
@@ -147,7 +162,22 @@ def compare_runs(spark, sf_dir):
     pattern = r"^run=(\S+) attempt=(\d+) code=(\S*) ms=([0-9.]+)$"
     part = lambda i: F.regexp_extract("line", pattern, i)
     log = e.select(line.alias("line")).filter(F.col("line").rlike(pattern))
-    return E.compare_runs(log.select(part(1).alias("label"), part(2).cast("int").alias("attempt"), part(3).alias("code"), part(4).cast("double").alias("ms")))
+    return log.select(part(1).alias("label"), part(2).cast("int").alias("attempt"), part(3).alias("code"), part(4).cast("double").alias("ms"))
+
+
+def compare_runs(spark, sf_dir):
+    return E.compare_runs(_run_log(spark, sf_dir))
+
+
+def run_failures(spark, sf_dir):
+    return E.failure_histogram(_run_log(spark, sf_dir).select("label", F.array("code").alias("codes")), "label")
+
+
+def generation_failures(spark, sf_dir):
+    """A quiz's failure codes are the return flags of its lines, with their numbers."""
+    i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("quiz_id"), "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    maps = i.groupBy("quiz_id").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "n"))).alias("failure_codes"))
+    return E.failure_totals(maps.join(V.quizzes(spark, sf_dir).select("quiz_id", "course_id"), "quiz_id"))
 
 
 def quality_gate(spark, sf_dir):
@@ -164,16 +194,46 @@ def reconcile_vectors(spark, sf_dir):
 
 
 def cascade_delete(spark, sf_dir):
-    """Customers of one market segment go, with their orders and lines; rows left by table."""
+    """Customers of one market segment go, with their orders and lines; parts lose their names only.
+
+    Every 11th order has no customer and every 7th line an order that was never there; both stay.
+    Rows left, and null keys among them, by table."""
+    orders = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem")
     t = {
         "customer": table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"),
-        "orders": table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.col("o_custkey").alias("c_custkey")),
-        "lineitem": table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber"),
+        "orders": orders.select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).alias("c_custkey")),
+        "lineitem": lines.select((F.col("l_orderkey") + F.when(F.col("l_linenumber") == 7, 1_000_000_000).otherwise(0)).alias("o_orderkey"), "l_linenumber"),
+        "part": table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("c_custkey")),
     }
     gone = t["customer"].filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
-    left = I.cascade_delete(t, [("orders", "customer", "c_custkey"), ("lineitem", "orders", "o_orderkey")], gone, "customer")
-    parts = [d.agg(F.count(F.lit(1)).alias("rows_left")).select(F.lit(n).alias("table_name"), "rows_left") for n, d in left.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    keys = [("orders", "customer", "c_custkey", "delete"), ("lineitem", "orders", "o_orderkey", "delete"), ("part", "customer", "c_custkey", "set null")]
+    left = I.cascade_delete(t, keys, gone, "customer")
+    key = {"customer": "c_custkey", "orders": "c_custkey", "lineitem": "o_orderkey", "part": "c_custkey"}
+    parts = [d.agg(F.count(F.lit(1)).alias("rows_left"), F.count_if(F.col(key[n]).isNull()).alias("nulls")).select(F.lit(n).alias("table_name"), "rows_left", "nulls") for n, d in left.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def cascade_course(spark, sf_dir):
+    """A course goes, with everything that hangs on it; rows left by table."""
+    chunks, orders = V.chunks(spark, sf_dir), table(spark, sf_dir, "orders")
+    cards = _cards(spark, sf_dir)
+    t = {
+        "courses": chunks.select("course_id").distinct(),
+        "documents": chunks.select("document_id", "course_id"),
+        "topics": chunks.select("topic_id", "course_id").distinct(),
+        "chunks": chunks.select("chunk_id", "document_id", "topic_id"),
+        "vectors": V.vectors(spark, sf_dir).select("chunk_id"),
+        "quizzes": orders.select(F.col("o_orderkey").alias("quiz_id"), F.concat(F.lit("src"), F.col("o_custkey") % 20).alias("course_id")),
+        "questions": V.questions(spark, sf_dir).select("question_id", "quiz_id"),
+        "attempts": orders.select(F.col("o_orderkey").alias("attempt_id"), F.col("o_orderkey").alias("quiz_id")),
+        "answers": table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("attempt_id"), "l_linenumber"),
+        "cards": cards,
+        "reviews": V.reviews(spark, sf_dir).select("review_id", "card_id"),
+    }
+    left = I.cascade_delete(t, I.STUDY_KEYS, t["courses"].filter("course_id = 'src3'"), "courses")
+    counts = [d.agg(F.count(F.lit(1)).alias("rows_left")).select(F.lit(n).alias("table_name"), "rows_left") for n, d in left.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def discard_derived(spark, sf_dir):
@@ -225,8 +285,9 @@ _SQL = {
     "q_card_state": f"SELECT c.*, r.state, r.stability, r.due_at, TIMESTAMP '{NOW}' AS now FROM q_card c LEFT JOIN q_last_review r USING (card_id)",
     "q_eval": """SELECT count(*) AS queries, count(r) AS hits, round(count(r) / count(*), 6) AS recall, round(avg(coalesce(1 / r, 0)), 6) AS mrr FROM (
         SELECT q.query_id, min(h.rank) AS r FROM (SELECT query_id FROM v_query WHERE query_id % 20 = 0) q LEFT JOIN q_hit h ON h.query_id = q.query_id AND h.chunk_id = q.query_id AND h.rank <= 5 GROUP BY 1)""",
-    "q_cite": """SELECT count(*) AS questions, count(*) FILTER (source_chunk_ids[1] IS NOT NULL) AS cited, count(*) FILTER (c.chunk_id IS NOT NULL) AS resolvable,
-        count(*) FILTER (page_refs[1] >= c.page_start AND page_refs[1] <= c.page_end) AS in_range FROM v_question q LEFT JOIN v_chunk c ON c.chunk_id = q.source_chunk_ids[1]""",
+    "q_cite": """SELECT count(*) AS questions, count(*) FILTER (len(source_chunk_ids) > 0 AND len(page_refs) > 0) AS cited, count(*) FILTER (c.chunk_id IS NOT NULL) AS resolvable,
+        count(*) FILTER (page_refs[1] >= greatest(c.page_start, 1) AND page_refs[1] <= c.page_end AND page_refs[1] <= c.page_end - CASE WHEN c.chunk_id % 3 = 0 THEN 1 ELSE 0 END) AS in_range
+        FROM v_question q LEFT JOIN v_chunk c ON c.chunk_id = q.source_chunk_ids[1]""",
     "v_box": "SELECT l_orderkey AS slide, l_linenumber % 3 * 1000000 AS l, l_linenumber * 150000 AS t, l_returnflag || l_linenumber AS text, l_linenumber FROM lineitem",
     "q_gap": """SELECT slide, l - reach AS size, reach + (l - reach) // 2 AS middle FROM (SELECT *, max(l + 400000) OVER (PARTITION BY slide ORDER BY l, l + 400000 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_box) WHERE l > reach""",
 }
@@ -239,8 +300,8 @@ def _sql(body: str) -> str:
 QUERIES = {
     "grade_answers": grade_answers, "answer_source": answer_source, "topic_mastery": topic_mastery, "weak_topics": weak_topics, "missed_to_cards": missed_to_cards, "resume_attempts": resume_attempts,
     "quiz_progress": quiz_progress, "attempt_results": attempt_results, "latest_review": latest_review, "due_cards": due_cards, "deck_stats": deck_stats, "review_lapses": review_lapses,
-    "schedule_replay": schedule_replay, "course_inventory": course_inventory, "retrieval_eval": retrieval_eval, "citation_integrity": citation_integrity, "groundedness": groundedness,
-    "generation_quality": generation_quality, "compare_runs": compare_runs, "quality_gate": quality_gate, "reconcile_vectors": reconcile_vectors, "cascade_delete": cascade_delete,
+    "schedule_replay": schedule_replay, "course_inventory": course_inventory, "retrieval_eval": retrieval_eval, "golden_eval": golden_eval, "run_failures": run_failures, "generation_failures": generation_failures, "citation_integrity": citation_integrity, "groundedness": groundedness,
+    "generation_quality": generation_quality, "compare_runs": compare_runs, "quality_gate": quality_gate, "reconcile_vectors": reconcile_vectors, "cascade_delete": cascade_delete, "cascade_course": cascade_course,
     "discard_derived": discard_derived, "constraint_audit": constraint_audit, "interval_gaps": interval_gaps, "dominant_gap": dominant_gap, "xy_cut": xy_cut, "row_band": row_band,
 }
 
@@ -270,7 +331,12 @@ ORACLE_SQL = {
     "course_inventory": _sql("""SELECT d.course_id, d.documents, c.topics, c.chunks, coalesce(k.cards, 0) AS cards FROM (SELECT source AS course_id, count(*) AS documents FROM documents GROUP BY 1) d
         LEFT JOIN (SELECT course_id, count(DISTINCT topic_id) AS topics, count(*) AS chunks FROM v_chunk GROUP BY 1) c USING (course_id) LEFT JOIN (SELECT course_id, count(*) AS cards FROM q_card GROUP BY 1) k USING (course_id)"""),
     "retrieval_eval": _sql("SELECT * FROM q_eval"),
+    "golden_eval": _sql("""SELECT count(*) AS queries, count(r) AS hits, round(count(r) / count(*), 6) AS recall, round(avg(coalesce(1 / r, 0)), 6) AS mrr FROM (
+        SELECT q.query_id, min(h.rank) AS r FROM (SELECT g.query_id, max(v.chunk_id) AS expected FROM v_query g JOIN v_vector v ON v.chunk_id % 5 = 0 AND v.chunk_id // 10 = g.query_id // 10 WHERE g.query_id % 20 = 0 AND g.query_id % 40 <> 0 GROUP BY 1) q
+        LEFT JOIN q_hit h ON h.query_id = q.query_id AND h.chunk_id = q.expected AND h.rank <= 5 GROUP BY 1)"""),
     "citation_integrity": _sql("SELECT * FROM q_cite"),
+    "run_failures": """SELECT event_type AS label, 'C' || (k % 7) AS code, count(*) AS failures FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) WHERE k % 5 = 0 GROUP BY ALL""",
+    "generation_failures": _sql("SELECT course_id, l_returnflag AS code, count(*) AS failures FROM lineitem JOIN v_quiz ON quiz_id = l_orderkey GROUP BY ALL"),
     "groundedness": _sql("""SELECT question_id, round(len(list_intersect(e, p)) / len(e), 6) AS overlap, len(list_intersect(e, p)) / len(e) >= 0.3 AS grounded FROM (
         SELECT m.question_id, list_distinct(list_filter(regexp_extract_all(lower(m.explanation), '[a-z0-9]+'), lambda w: length(w) >= 5)) AS e,
         list_distinct(list_filter(regexp_extract_all(lower(CASE WHEN m.question_id % 2 = 0 THEN m.passage ELSE coalesce(o.passage, '') END), '[a-z0-9]+'), lambda w: length(w) >= 5)) AS p
@@ -287,8 +353,20 @@ ORACLE_SQL = {
         UNION ALL SELECT 'recall', recall, 0.8 FROM q_eval UNION ALL SELECT 'cited', cited / questions, 1.0 FROM q_cite)"""),
     "reconcile_vectors": _sql("""SELECT coalesce(v.chunk_id, c.chunk_id) AS chunk_id, CASE WHEN c.chunk_id IS NULL THEN 'orphan' WHEN v.chunk_id IS NULL THEN 'missing' ELSE 'ok' END AS status
         FROM (SELECT DISTINCT chunk_id FROM v_vector) v FULL JOIN v_chunk c ON c.chunk_id = v.chunk_id"""),
-    "cascade_delete": """WITH c AS (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
-        SELECT 'customer' AS table_name, count(*) AS rows_left FROM c UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""",
+    "cascade_delete": """WITH gone AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'),
+        o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS c FROM orders), dead AS (SELECT o_orderkey FROM o WHERE c IN (SELECT c_custkey FROM gone)),
+        l AS (SELECT l_orderkey + CASE WHEN l_linenumber = 7 THEN 1000000000 ELSE 0 END AS k FROM lineitem)
+        SELECT 'customer' AS table_name, count(*) AS rows_left, 0 AS nulls FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM gone)
+        UNION ALL SELECT 'orders', count(*), count(*) FILTER (c IS NULL) FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM dead)
+        UNION ALL SELECT 'lineitem', count(*), 0 FROM l WHERE k NOT IN (SELECT o_orderkey FROM dead)
+        UNION ALL SELECT 'part', count(*), count(*) FILTER (p_partkey IN (SELECT c_custkey FROM gone)) FROM part""",
+    "cascade_course": _sql("""SELECT 'courses' AS table_name, count(DISTINCT course_id) AS rows_left FROM v_chunk WHERE course_id <> 'src3' UNION ALL SELECT 'documents', count(*) FROM v_chunk WHERE course_id <> 'src3'
+        UNION ALL SELECT 'topics', count(DISTINCT topic_id) FROM v_chunk WHERE course_id <> 'src3' UNION ALL SELECT 'chunks', count(*) FROM v_chunk WHERE course_id <> 'src3'
+        UNION ALL SELECT 'vectors', count(*) FROM v_vector WHERE chunk_id NOT IN (SELECT chunk_id FROM v_chunk WHERE course_id = 'src3')
+        UNION ALL SELECT 'quizzes', count(*) FROM orders WHERE o_custkey % 20 <> 3 UNION ALL SELECT 'attempts', count(*) FROM orders WHERE o_custkey % 20 <> 3
+        UNION ALL SELECT 'questions', count(*) FROM v_question WHERE quiz_id NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 20 = 3)
+        UNION ALL SELECT 'answers', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 20 = 3)
+        UNION ALL SELECT 'cards', count(*) FROM q_card WHERE course_id <> 'src3' UNION ALL SELECT 'reviews', count(*) FROM v_review WHERE card_id NOT IN (SELECT card_id FROM q_card WHERE course_id = 'src3')"""),
     "discard_derived": _sql("""SELECT q.question_id, q.quiz_id, NOT EXISTS (SELECT 1 FROM v_question x WHERE x.quiz_id = q.quiz_id AND x.source_chunk_ids[1] NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) AS emptied
         FROM v_question q WHERE q.source_chunk_ids[1] IN (SELECT doc_id FROM labels WHERE quality = 0)"""),
     "constraint_audit": _sql("""SELECT 'page_start <= page_end' AS rule, count(*) AS rows, count(*) FILTER (page_start > page_end) AS violations FROM v_chunk

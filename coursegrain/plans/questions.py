@@ -23,7 +23,7 @@ def mcq(spark, sf_dir):
     why = on(12, " ", "it says otherwise")
     texts = [right, cut(24, 27), cut(28, 31), on(7, "All of the above", cut(32, 35))]
     options = F.array(*[F.struct(F.lit("ABCD"[i]).alias("id"), x.alias("text"), F.lit(i == 0).alias("is_correct"), (F.lit(None).cast("string") if i == 0 else F.lit("it says otherwise") if i < 3 else why).alias("why_wrong")) for i, x in enumerate(texts)])
-    return d.select(F.col("doc_id").alias("question_id"), F.col("source").alias("course_id"), stem.alias("stem"), options.alias("options"), cut(10, 25).alias("explanation"), on(5, "analysis", "recall").alias("difficulty"), F.col("text").alias("passage"), F.array("doc_id").alias("source_chunk_ids"))
+    return d.select(F.col("doc_id").alias("question_id"), F.col("source").alias("course_id"), stem.alias("stem"), options.alias("options"), cut(10, 25).alias("explanation"), on(5, "analysis", "recall").alias("difficulty"), F.concat("text", on(16, " see sec.8 now")).alias("passage"), F.array("doc_id").alias("source_chunk_ids"))
 
 
 def responses(spark, sf_dir):
@@ -81,6 +81,19 @@ def semantic_dedup(spark, sf_dir):
     return Q.semantic_dedup(v.select(F.col("chunk_id").alias("id"), "course_id", F.col("chunk_id").alias("place"), "embedding"))
 
 
+def attach_citations(spark, sf_dir):
+    """Every 17th question has lost its passage."""
+    made_from = F.when(F.col("question_id") % 17 == 0, F.col("question_id") + 1_000_000_000).otherwise(F.col("question_id"))
+    q = mcq(spark, sf_dir).select("question_id", "source_chunk_ids", made_from.alias("chunk_id"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return Q.attach_citations(q, V.chunks(spark, sf_dir)).select("question_id", text("source_chunk_ids").alias("cites"), text("page_refs").alias("pages"))
+
+
+def quiz_view(spark, sf_dir):
+    v = Q.quiz_view(V.questions(spark, sf_dir), V.chunks(spark, sf_dir))
+    return v.select("quiz_id", "question_id", "place", "stem", F.array_join(F.transform("page_refs", lambda x: x.cast("string")), ",").alias("pages"), F.array_join("section_path", "/").alias("section"))
+
+
 def attempts(spark, sf_dir):
     i = table(spark, sf_dir, "lineitem")
     outcome = F.when(F.col("l_returnflag") == "A", "passed").when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), "thin").otherwise("rejected")
@@ -128,9 +141,9 @@ def prompt_table(spark, sf_dir):
 
 _LIST = lambda words: ", ".join(f"'{w}'" for w in words)
 _CUT = "array_to_string(w[{}:{}], ' ')"
-_NUM = r"regexp_extract_all({}, '(?:^|[^0-9A-Za-z_.])(\d+(?:\.\d+)?)', 1)"
+_NUM = r"regexp_extract_all(regexp_replace({}, '[\p{{L}}_]', 'x', 'g'), '\b\d+(?:\.\d+)?\b')"
 _SQL = {
-    "v_mcq": f"""SELECT *, [why1, why1, why3] AS whys FROM (SELECT doc_id AS question_id, source AS course_id, text AS passage,
+    "v_mcq": f"""SELECT *, [why1, why1, why3] AS whys FROM (SELECT doc_id AS question_id, source AS course_id, text || CASE WHEN doc_id % 16 = 0 THEN ' see sec.8 now' ELSE '' END AS passage,
         {_CUT.format(1, 12)} || CASE WHEN doc_id % 9 = 0 THEN ' NOT ' ELSE '' END || CASE WHEN doc_id % 10 = 0 THEN ' main ' ELSE '' END || '?' AS stem,
         CASE WHEN doc_id % 3 = 0 THEN {_CUT.format(5, 9)} ELSE {_CUT.format(20, 23)} END || CASE WHEN doc_id % 8 = 0 THEN ' 8' ELSE '' END || CASE WHEN doc_id % 6 = 0 THEN ' ' || {_CUT.format(1, 30)} ELSE '' END AS o1,
         {_CUT.format(24, 27)} AS o2, {_CUT.format(28, 31)} AS o3, CASE WHEN doc_id % 7 = 0 THEN 'All of the above' ELSE {_CUT.format(32, 35)} END AS o4,
@@ -162,7 +175,7 @@ def _sql(body: str) -> str:
 QUERIES = {
     "parse_responses": parse_responses, "schema_check": schema_check, "parse_cards": parse_cards, "qv_rules": qv_rules, "validator_report": validator_report, "option_overlap": option_overlap,
     "recent_stems": recent_stems, "semantic_dedup": semantic_dedup, "best_attempt": best_attempt, "generation_metrics": generation_metrics, "accepted_questions": accepted_questions,
-    "public_questions": public_questions, "passage_split": passage_split, "prompt_table": prompt_table,
+    "public_questions": public_questions, "attach_citations": attach_citations, "quiz_view": quiz_view, "passage_split": passage_split, "prompt_table": prompt_table,
 }
 
 ORACLE_SQL = {
@@ -190,6 +203,10 @@ ORACLE_SQL = {
         SELECT course_id, code, count(*) AS n FROM q_attempt JOIN v_quiz ON quiz_id = passage_id WHERE outcome = 'rejected' AND attempt <= 2 GROUP BY ALL) GROUP BY 1) c USING (course_id)"""),
     "accepted_questions": _sql("SELECT * FROM (SELECT course_id, question_id, row_number() OVER (PARTITION BY course_id ORDER BY question_id) - 1 AS place FROM q_rule WHERE len(fails) = 0) WHERE place < 10"),
     "public_questions": _sql("SELECT question_id, stem, 'A=' || o1 || '|B=' || o2 || '|C=' || o3 || '|D=' || o4 AS options FROM v_mcq"),
+    "attach_citations": _sql("""SELECT question_id, coalesce(CAST(c.chunk_id AS VARCHAR), '') AS cites, coalesce(array_to_string(range(c.page_start, c.page_end + 1), ','), '') AS pages
+        FROM v_mcq LEFT JOIN v_chunk c ON c.chunk_id = question_id AND question_id % 17 <> 0"""),
+    "quiz_view": _sql("""SELECT quiz_id, question_id, row_number() OVER (PARTITION BY quiz_id ORDER BY order_index, question_id) - 1 AS place, stem, array_to_string(page_refs, ',') AS pages,
+        coalesce(array_to_string(c.section_path, '/'), '') AS section FROM v_question q LEFT JOIN v_chunk c ON c.chunk_id = q.source_chunk_ids[1]"""),
     "passage_split": _sql(r"""SELECT document_id, chunk_no, part, heading, sha256(body) AS sha, least(page_start + part, page_end) AS page FROM (
         SELECT *, row_number() OVER (PARTITION BY document_id, chunk_no ORDER BY i) - 1 AS part FROM (
         SELECT document_id, chunk_no, page_start, page_end, i, CASE WHEN i > 0 THEN trim(split_part(part, chr(10), 1)) END AS heading,

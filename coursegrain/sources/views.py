@@ -36,15 +36,18 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("i") + 1).cast("int")
     footer = F.when(F.col("doc_id") % 4 == 0, F.lit("\nCourse footer")).otherwise("")
     text = F.concat(
+        F.when(n % 19 == 0, F.lit(" \t")).otherwise(""),
         "line",
         F.when(n % 7 == 0, F.concat(F.lit("\nSlide "), n, F.lit(" of 40"))).otherwise(""),
         F.when(n % 13 == 0, F.lit("\nfoo-\nbar")).otherwise(""),
-        F.when(n % 17 == 0, F.lit("")).otherwise(""),
-        F.when(n % 3 == 0, F.lit("\n\n\n\nafter")).otherwise(""),
+        F.when(n % 17 == 0, F.lit("\uf0ce\uf061")).otherwise(""),
+        F.when(n % 3 == 0, F.lit("\n\n\n\nafter\t")).otherwise(""),
+        F.when(n % 23 == 0, F.lit("\n| a | b |\n\n| c | d |\n")).otherwise(""),
         footer,
     )
     heading = F.when(n % 11 == 0, F.lit("Outline")).when((n - 1) % 5 == 0, F.array_join(F.slice(F.split("line", " ", -1), 1, 3), " "))
-    return d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("course_id"), n.alias("number"), heading.alias("heading"), text.alias("text"), F.when(n % 4 == 0, F.concat(F.lit("note "), n)).alias("notes"))
+    notes = F.when(n % 12 == 0, F.concat(F.lit(" note distrib-\nuted\n\n\n\n"), n)).when(n % 4 == 0, F.concat(F.lit("note "), n))
+    return d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("course_id"), n.alias("number"), heading.alias("heading"), text.alias("text"), notes.alias("notes"), F.when(F.col("doc_id") % 9 == 0, "deck").otherwise("paper").alias("kind"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +123,14 @@ SQL_VIEWS = {
         len(string_split(text, chr(10))) AS page_end, CAST(doc_id % 4 AS INT) AS usage, text FROM documents""",
     "v_page": r"""SELECT doc_id AS document_id, source AS course_id, i AS number,
         CASE WHEN i % 11 = 0 THEN 'Outline' WHEN (i - 1) % 5 = 0 THEN array_to_string(list_slice(string_split(line, ' '), 1, 3), ' ') END AS heading,
-        line || CASE WHEN i % 7 = 0 THEN chr(10) || 'Slide ' || i || ' of 40' ELSE '' END
+        CASE WHEN i % 19 = 0 THEN ' ' || chr(9) ELSE '' END || line || CASE WHEN i % 7 = 0 THEN chr(10) || 'Slide ' || i || ' of 40' ELSE '' END
              || CASE WHEN i % 13 = 0 THEN chr(10) || 'foo-' || chr(10) || 'bar' ELSE '' END
              || CASE WHEN i % 17 = 0 THEN chr(61646) || chr(61537) ELSE '' END
-             || CASE WHEN i % 3 = 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || 'after' ELSE '' END
+             || CASE WHEN i % 3 = 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || 'after' || chr(9) ELSE '' END
+             || CASE WHEN i % 23 = 0 THEN chr(10) || '| a | b |' || chr(10) || chr(10) || '| c | d |' || chr(10) ELSE '' END
              || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Course footer' ELSE '' END AS text,
-        CASE WHEN i % 4 = 0 THEN 'note ' || i END AS notes
+        CASE WHEN i % 12 = 0 THEN ' note distrib-' || chr(10) || 'uted' || chr(10) || chr(10) || chr(10) || chr(10) || i WHEN i % 4 = 0 THEN 'note ' || i END AS notes,
+        CASE WHEN doc_id % 9 = 0 THEN 'deck' ELSE 'paper' END AS kind
         FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS i FROM documents)""",
     "v_answer": r"""SELECT event_id AS answer_id, 'src' || (k % 20) AS course_id, 'src' || (k % 20) || '/' || (['en', 'fr', 'de', 'es'])[user_id % 4 + 1] AS topic_id,
         k AS question_id, event_type <> 'error' AS is_correct, ts AS answered_at, user_id AS student_id, value

@@ -1,5 +1,7 @@
+import random
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from coursegrain.config import DEFAULTS
@@ -96,3 +98,58 @@ def test_even_columns_are_not_cut(spark):
     box = "slide long, left long, top long, width long, height long, text string"
     rows = [(1, i * 900_000, 0, 400_000, 100_000, str(i)) for i in range(3)]
     assert {r["block"] for r in Y.xy_cut(spark.createDataFrame(rows, box)).collect()} == {""}
+
+
+def test_lines_and_notes_are_stripped_and_repaired(spark):
+    p = _pages(spark, [(1, None, "  a  \n b\t\n\n\n\n\x0b c-\nd ", " distrib-\nuted\n\n\n\nx\n"), (2, "H\uf0ce", "", None)])
+    out = {r["number"]: (r["text"], r["notes"], r["heading"]) for r in C.clean_pages(p).collect()}
+    assert out == {1: ("a\nb\n\ncd", "distributed\n\nx", None), 2: ("", None, "H∈")}
+
+
+def test_fingerprints_trim_any_white_space(spark):
+    p = _pages(spark, [(i, None, f"Course  footer{end}\nbody {i}", None) for i, end in enumerate(["", " ", "\t", "\x0b", " \r", "\t "])])
+    assert [(r["fingerprint"], r["pages"]) for r in C.furniture(p).collect()] == [("course footer", 6)]
+
+
+def test_blank_lines_are_no_lines_of_a_table(spark):
+    rows = spark.createDataFrame([("| a |\n\n| b |\n\nprose\n \t\nmore",), ("| a |\n\n\nx\ny\nz",), ("\n \n",)], "t string")
+    assert [r[0] for r in rows.select(K.content_type(F.col("t"))).collect()] == ["table", "prose", "prose"]
+
+
+def test_a_deck_is_slide_shaped_whatever_its_pages(spark):
+    p = _pages(spark, [(1, "H", "w " * 300, None)]).withColumn("kind", F.lit("deck"))
+    assert K.doc_shape(p).first()["slide_shaped"] and not K.doc_shape(p.withColumn("kind", F.lit(None).cast("string"))).first()["slide_shaped"]
+
+
+def test_passage_spans_follow_the_rule():
+    """Against the rule said block by block: what is left of a passage goes on while it fits the overlap."""
+    r = random.Random(4)
+    for _ in range(300):
+        tokens = [r.randint(1, 12) for _ in range(r.randint(0, 30))]
+        target, overlap = r.randint(5, 30), r.randint(0, 8)
+        want, open_ = [], []
+        for i, n in enumerate(tokens):
+            if open_ and sum(tokens[j] for j in open_) + n > target:
+                want.append((open_[0], open_[-1]))
+                open_ = [j for j in open_ if sum(tokens[j : open_[-1] + 1]) <= overlap]
+            open_.append(i)
+        if open_:
+            want.append((open_[0], open_[-1]))
+        assert K.passage_spans(np.array(tokens, np.int64), target, overlap) == want
+
+
+def _cut(boxes, name=""):
+    """The cuts of one slide, recursively: by columns, then by rows."""
+    for axis, size, least in (("left", "width", Y.COLUMN_GUTTER), ("top", "height", Y.ROW_GUTTER)):
+        order = sorted(boxes, key=lambda b: b[axis])
+        gaps, reach = [], None
+        for b in order:
+            if reach is not None and b[axis] > reach:
+                gaps.append((b[axis] - reach, reach + (b[axis] - reach) // 2))
+            reach = max(reach or 0, b[axis] + b[size])
+        gaps.sort(reverse=True)
+        if gaps and gaps[0][0] >= least and (len(gaps) == 1 or gaps[0][0] >= 2 * gaps[1][0]):
+            at = gaps[0][1]
+            low, high = [b for b in boxes if b[axis] < at], [b for b in boxes if b[axis] >= at]
+            return _cut(low, name + "0") | _cut(high, name + "1")
+    return {b["text"]: name for b in boxes}

@@ -35,6 +35,10 @@ def _right(text):
         ({"options": _right("8 steps of it")}, []),
         ({"options": _right("table E8 of it")}, []),
         ({"options": _right("of O(2^m) size")}, ["NUMERIC_UNSUPPORTED"]),
+        ({"options": _right("see sec.9 now")}, ["NUMERIC_UNSUPPORTED"]),
+        ({"options": _right("see sec.8 now")}, []),
+        ({"options": _right("at 3.5 or 8")}, ["NUMERIC_UNSUPPORTED"]),
+        ({"options": _right("é9 steps of it")}, []),
     ],
 )
 def test_rules(spark, change, want):
@@ -80,3 +84,36 @@ def test_public_options_have_no_answer(spark):
 def test_a_template_needs_all_values():
     with pytest.raises(KeyError):
         Q.render("{a} {b}", {})
+
+
+def test_copies_match_the_first_one_and_are_not_paired(spark, monkeypatch):
+    rows = [(i, 0, i, [1.0, 0.0]) for i in range(400)] + [(500, 0, 500, [0.0, 1.0]), (501, 0, 501, [0.0, 0.0]), (502, 0, 502, [0.0, 0.0]), (503, 0, 503, None), (504, 1, 504, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, course_id int, place long, embedding array<double>")
+    got = {x["id"]: (x["accepted"], x["matched"]) for x in Q.semantic_dedup(df, 0.92).collect()}
+    assert got == {0: (True, None), **{i: (False, 0) for i in range(1, 400)}, **{i: (True, None) for i in range(500, 505)}}
+    heads = df.filter("id in (0, 500)").selectExpr("xxhash64(id) as v", "id", "place", "course_id", "embedding")
+    assert Q.similar_pairs(heads, 0.92).count() == 0
+
+
+def test_large_buckets_are_cut_into_parts(spark):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    rows = [(i, 0, i, [float(x) for x in np.float32(np.ones(8) + 0.05 * r.standard_normal(8))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, course_id int, place long, embedding array<float>").selectExpr("xxhash64(id) as v", "id", "place", "course_id", "embedding")
+    want = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if np.dot(a[3], b[3]) / np.sqrt(np.dot(a[3], a[3]) * np.dot(b[3], b[3])) >= 0.92}
+    assert {(x["a"], x["b"]) for x in Q.similar_pairs(df, 0.92, block=7).collect()} == want
+
+
+def test_citations_come_from_the_passage(spark):
+    q = spark.createDataFrame([(1, 10, [99], [5]), (2, 77, [10], [1])], "question_id int, chunk_id long, source_chunk_ids array<long>, page_refs array<int>")
+    p = spark.createDataFrame([(10, 3, 5)], "chunk_id long, page_start int, page_end int")
+    got = {r["question_id"]: (r["source_chunk_ids"], r["page_refs"]) for r in Q.attach_citations(q, p).collect()}
+    assert got == {1: ([10], [3, 4, 5]), 2: ([], [])}
+
+
+def test_quizzes_are_in_order_with_the_first_citations_section(spark):
+    q = spark.createDataFrame([(1, 7, 2, "b", [1], [11, 10]), (1, 5, 1, "a", [2], []), (2, 1, 9, "c", [], [10])], "quiz_id int, question_id int, order_index int, stem string, page_refs array<int>, source_chunk_ids array<long>")
+    p = spark.createDataFrame([(10, ["u", "x"]), (11, ["u", "y"])], "chunk_id long, section_path array<string>")
+    got = [(r["quiz_id"], r["place"], r["stem"], r["section_path"]) for r in Q.quiz_view(q, p).sort("quiz_id", "place").collect()]
+    assert got == [(1, 0, "a", []), (1, 1, "b", ["u", "y"]), (2, 0, "c", ["u", "x"])]
