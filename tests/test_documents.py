@@ -153,3 +153,18 @@ def _cut(boxes, name=""):
             low, high = [b for b in boxes if b[axis] < at], [b for b in boxes if b[axis] >= at]
             return _cut(low, name + "0") | _cut(high, name + "1")
     return {b["text"]: name for b in boxes}
+
+
+def test_cuts_are_those_of_the_recursion(spark):
+    r = random.Random(9)
+    rows = []
+    for slide in range(40):
+        for i in range(r.randint(1, 9)):
+            rows.append((slide, r.randrange(6) * 600_000 + r.randrange(3) * 50_000, r.randrange(6) * 500_000, r.choice([200_000, 500_000, 1_500_000]), r.choice([100_000, 400_000]), f"{slide}-{i}"))
+    names = ["slide", "left", "top", "width", "height", "text"]
+    want = {}
+    for slide in range(40):
+        want |= _cut([dict(zip(names, x)) for x in rows if x[0] == slide])
+    got = Y.xy_cut(spark.createDataFrame(rows, "slide long, left long, top long, width long, height long, text string"))
+    assert {x["text"]: x["block"] for x in got.collect()} == want
+    assert len({b for b in want.values()}) > 3
