@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,8 +105,33 @@ _SQL = {
 }
 
 
+_TAKE = """SELECT request_id, topic_id, chunk_id, rank_in_topic FROM (
+        SELECT s.request_id, s.topic_id, s.chunk_id, a.allocated,
+               row_number() OVER (PARTITION BY s.request_id, s.topic_id ORDER BY s.usage, md5('{seed}|' || s.chunk_id), s.chunk_id) AS rank_in_topic
+        FROM q_scope s JOIN q_alloc a USING (request_id, topic_id)) WHERE rank_in_topic <= allocated"""
+
+
+def _round_views(rounds: int) -> dict[str, str]:
+    """The views of each of several samples, w_..._i: what was taken before counts as used."""
+    names = [n for n in _SQL if n not in ("q_request", "q_mastery")]
+    out: dict[str, str] = {}
+    for i in range(rounds):
+        own = {n: n.replace("q_", "w_") + f"_{i}" for n in names} | ({"v_chunk": f"w_chunk_{i}"} if i else {})
+        here = lambda text: re.sub(r"\b[qv]_[a-z]+\b", lambda m: own.get(m[0], m[0]), text)  # noqa: E731, B023
+        if i:
+            before = " UNION ALL ".join(f"SELECT chunk_id FROM w_take_{j}" for j in range(i))
+            out[f"w_chunk_{i}"] = f"SELECT c.* REPLACE (c.usage + coalesce(t.n, 0) AS usage) FROM v_chunk c LEFT JOIN (SELECT chunk_id, count(*) AS n FROM ({before}) GROUP BY 1) t USING (chunk_id)"
+        out |= {own[n]: here(_SQL[n]) for n in names}
+        out[f"w_take_{i}"] = here(_TAKE.format(seed=i))
+    return out
+
+
+_ROUNDS = 5
+_SEEN = " UNION ALL ".join(f"SELECT {i} AS round, {j} AS drawn, * FROM w_take_{j}" for i in range(_ROUNDS) for j in range(i + 1))
+
+
 def _sql(body: str) -> str:
-    return V.with_views(body, _SQL)
+    return V.with_views(body, _SQL | _round_views(_ROUNDS))
 
 
 QUERIES = {
@@ -118,10 +145,12 @@ ORACLE_SQL = {
     "topic_weights": _sql("SELECT request_id, topic_id, round(weight, 6) AS weight FROM q_weight"),
     "allocate_quota": _sql("SELECT request_id, topic_id, capacity, quota FROM q_quota"),
     "allocate_capped": _sql("SELECT request_id, topic_id, capacity, allocated FROM q_alloc"),
-    "sample_chunks": _sql(f"""SELECT request_id, topic_id, chunk_id, rank_in_topic FROM (
-        SELECT s.request_id, s.topic_id, s.chunk_id, a.allocated,
-               row_number() OVER (PARTITION BY s.request_id, s.topic_id ORDER BY s.usage, md5('{SEED}|' || s.chunk_id), s.chunk_id) AS rank_in_topic
-        FROM q_scope s JOIN q_alloc a USING (request_id, topic_id)) WHERE rank_in_topic <= allocated"""),
+    "sample_chunks": _sql(_TAKE.format(seed=SEED)),
+    "coverage_eval": _sql(f"""SELECT round, request_id, topics_in_round, topics_covered, chunks_covered, round(topics_covered / topics, 6) AS topic_coverage, round(chunks_covered / chunks, 6) AS chunk_coverage,
+        round(topics_covered / nullif(able_topics, 0), 6) AS able_topic_coverage, round(chunks_covered / nullif(able_chunks, 0), 6) AS able_chunk_coverage FROM (
+        SELECT round, request_id, nullif(count(DISTINCT topic_id) FILTER (drawn = round), 0) AS topics_in_round, count(DISTINCT topic_id) AS topics_covered, count(DISTINCT chunk_id) AS chunks_covered FROM ({_SEEN}) GROUP BY ALL)
+        JOIN q_request USING (request_id) JOIN (SELECT course_id, count(DISTINCT topic_id) AS topics, count(*) AS chunks, count(DISTINCT topic_id) FILTER (token_count >= 150) AS able_topics,
+        count(*) FILTER (token_count >= 150) AS able_chunks FROM v_chunk GROUP BY 1) USING (course_id)"""),
     "sampling_report": _sql("""SELECT r.request_id, r.n AS requested, coalesce(s.in_scope, 0) AS in_scope, coalesce(s.topics_in_scope, 0) AS topics_in_scope,
         coalesce(g.delivered, 0) AS delivered, coalesce(g.topics_covered, 0) AS topics_covered,
         CASE WHEN coalesce(s.topics_in_scope, 0) = 0 THEN 0.0 ELSE round(g.topics_covered / s.topics_in_scope, 6) END AS coverage,
