@@ -4,7 +4,10 @@ Each source gets a target number of words. Its ratio r = target / size gives eve
 floor(r) certain whole copies; the rest of the target is a sample without replacement in
 which a document has inclusion odds p / (1 - p). Documents are ranked by the odds of a
 uniform number, drawn from a hash of the document, over their inclusion odds, and taken in
-that order until the target is met.
+that order until the target is met. A document that would pass the target ends a pass; the
+next one goes on with those that still fit, in the same order, so that one long document
+doesn't leave a source short. After PASSES passes the one document of the size that is nearest
+to what is missing is taken if that brings the sum nearer.
 
 No window runs over a whole source: ranks are cut into cells, sums by source and cell give
 the cell in which a target is met, and only that cell's documents are sorted."""
@@ -20,6 +23,7 @@ MAX_COPIES = 3.0
 SEED = "mix-1"
 CELLS = 4096
 FEW_SOURCES = 50_000
+PASSES = 4
 #: Inclusion odds grow as this power of a document's length.
 LENGTH_POWER = 0.25
 
@@ -79,45 +83,66 @@ def _ranked(d: DataFrame, seed: str) -> DataFrame:
     return d.withColumn("cell", F.floor(x / (x + F.lit(1.0)) * F.lit(CELLS)))
 
 
-def mixing_plan(sizes: DataFrame, max_copies: float = MAX_COPIES, seed: str = SEED) -> DataFrame:
-    """What decides about a source's documents, one row for each source.
-
-    certain whole copies; then documents of a cell before cut_cell, or of that cell up to
-    cut_rank, have one more; and so has the document named by last, whose size is nearest to
-    what is then missing, if it brings the sum nearer."""
-    t = source_targets(sizes, max_copies)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = t.withColumn("certain", F.least(F.floor(ratio + F.lit(1e-9)), F.lit(int(max_copies))).cast("long"))
-    t = t.withColumn("part", F.when(F.col("certain") < int(max_copies), F.greatest(ratio - F.col("certain"), F.lit(0.0))).otherwise(F.lit(0.0)))
-    t = written(t.withColumn("missing", F.greatest(F.col("target") - F.col("source_size") * F.col("certain"), F.lit(0.0))), "mix-targets")
-    d = _ranked(with_source_rows(sizes, t.select("source", "part", "missing")), seed).filter(F.col("rank").isNotNull())
+def _cut(d: DataFrame, gaps: DataFrame) -> DataFrame:
+    """source, room, cut_cell, cut_rank, gap: how far the documents that fit in a source's room are taken.
 
-    by_cell = d.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.first("missing").alias("missing"))
+    d has source, size, rank and cell of the documents that are free; gaps has source and gap,
+    which is the room here. A document that is larger than the room is passed over; of the others
+    those are taken, in rank order, that come before the sum passes the room."""
+    d = with_source_rows(d, gaps.select("source", F.col("gap").alias("room"))).filter(F.col("size") <= F.col("room"))
+    by_cell = d.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.first("room").alias("room"))
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     by_cell = by_cell.withColumn("reached", F.sum("cell_size").over(upto))
-    # The first cell that passes what is missing; every cell before it is taken whole.
-    passed = F.col("reached") > F.col("missing")
+    # The first cell that passes the room; every cell before it is taken whole.
+    passed = F.col("reached") > F.col("room")
     cut = by_cell.groupBy("source").agg(F.min(F.when(passed, F.col("cell"))).alias("cut_cell"), F.coalesce(F.max(F.when(~passed, F.col("reached"))), F.lit(0)).alias("reached_before"))
     cut = written(cut, "mix-cells")
 
     inside = with_source_rows(d, cut).filter(F.col("cell") == F.col("cut_cell"))
-    ranks = inside.groupBy("source", "rank").agg(F.sum("size").alias("size"), F.first("missing").alias("missing"), F.first("reached_before").alias("reached_before"))
+    ranks = inside.groupBy("source", "rank").agg(F.sum("size").alias("size"), F.first("room").alias("room"), F.first("reached_before").alias("reached_before"))
     order = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = ranks.withColumn("reached", F.sum("size").over(order) + F.col("reached_before")).filter(F.col("reached") <= F.col("missing"))
+    ranks = ranks.withColumn("reached", F.sum("size").over(order) + F.col("reached_before")).filter(F.col("reached") <= F.col("room"))
     ranks = ranks.groupBy("source").agg(F.max("rank").alias("cut_rank"), F.max("reached").alias("reached"))
     cut = with_source_rows(cut, written(ranks, "mix-ranks"))
-    cut = with_source_rows(cut.select("source", "cut_cell", "cut_rank", F.coalesce("reached", "reached_before").alias("got")), t.select("source", "missing"))
-    cut = written(cut.select("source", "cut_cell", "cut_rank", (F.col("missing") - F.col("got")).alias("gap")), "mix-cuts")
+    got = F.coalesce("reached", "reached_before", F.lit(0))
+    out = with_source_rows(gaps.select("source", F.col("gap").alias("room")), cut)
+    # Without a document that fits nothing is taken: no cell comes before the first.
+    cell = F.when(F.col("reached_before").isNull(), F.lit(-1)).otherwise(F.col("cut_cell"))
+    return written(out.select("source", "room", cell.alias("cut_cell"), "cut_rank", (F.col("room") - got).alias("gap")), "mix-cuts")
 
-    free = with_source_rows(d.drop("missing"), cut).filter(~_taken() & (F.col("size") < 2 * F.col("gap")))
-    last = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "text_key")).alias("last"))
-    plan = with_source_rows(with_source_rows(t, cut.drop("gap")), written(last, "mix-last"))
-    return written(plan.drop("missing"), "mix-plan")
+
+def _in_pass(p: Column) -> Column:
+    """Whether a document with size, rank and cell is taken by a pass (room, cut_cell, cut_rank)."""
+    cell, cut = F.col("cell"), p["cut_cell"]
+    before = cut.isNull() | (cell < cut) | ((cell == cut) & (F.col("rank") <= p["cut_rank"]))
+    return F.coalesce((F.col("size") <= p["room"]) & before, F.lit(False))
 
 
 def _taken() -> Column:
-    cell, cut = F.col("cell"), F.col("cut_cell")
-    return F.coalesce(cut.isNull() | (cell < cut) | ((cell == cut) & (F.col("rank") <= F.col("cut_rank"))), F.lit(False))
+    return F.coalesce(F.exists("passes", _in_pass), F.lit(False))
+
+
+def mixing_plan(sizes: DataFrame, max_copies: float = MAX_COPIES, seed: str = SEED, passes: int = PASSES) -> DataFrame:
+    """What decides about a source's documents, one row for each source.
+
+    certain whole copies; documents that one of the passes takes have one more; and so has the
+    document named by last, whose size is nearest to what is then missing, if it brings the sum
+    nearer."""
+    t = source_targets(sizes, max_copies)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    t = t.withColumn("certain", F.least(F.floor(ratio + F.lit(1e-9)), F.lit(int(max_copies))).cast("long"))
+    t = t.withColumn("part", F.when(F.col("certain") < int(max_copies), F.greatest(ratio - F.col("certain"), F.lit(0.0))).otherwise(F.lit(0.0)))
+    t = written(t.withColumn("gap", F.greatest(F.col("target") - F.col("source_size") * F.col("certain"), F.lit(0.0))), "mix-targets")
+    plan = written(t.select("source", "source_size", "target", "certain", "part", "gap", F.array().cast("array<struct<room:double,cut_cell:bigint,cut_rank:double>>").alias("passes")), "mix-plan")
+    for _ in range(passes):
+        free = _ranked(with_source_rows(sizes, plan.select("source", "part", "passes")), seed).filter(F.col("rank").isNotNull() & ~_taken())
+        cut = _cut(free.drop("part", "passes"), plan)
+        more = F.array(F.struct(F.col("room").cast("double").alias("room"), F.col("cut_cell").cast("long").alias("cut_cell"), F.col("cut_rank").cast("double").alias("cut_rank")))
+        joined = with_source_rows(plan.drop("gap"), cut)
+        plan = written(joined.withColumn("passes", F.concat("passes", more)).drop("room", "cut_cell", "cut_rank"), "mix-plan")
+    free = _ranked(with_source_rows(sizes, plan.select("source", "part", "passes", "gap")), seed).filter(F.col("rank").isNotNull() & ~_taken() & (F.col("size") < 2 * F.col("gap")))
+    last = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "text_key")).alias("last"))
+    return written(with_source_rows(plan, written(last, "mix-last")).drop("gap"), "mix-plan")
 
 
 def with_copies(rows: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
@@ -125,7 +150,7 @@ def with_copies(rows: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame
     d = _ranked(with_source_rows(rows, plan), seed)
     last = (F.col("rank") == F.col("last.rank")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("text_key") == F.col("last.text_key"))
     extra = F.col("rank").isNotNull() & (_taken() | F.coalesce(last, F.lit(False)))
-    return d.withColumn("copies", F.col("certain") + extra.cast("int")).drop("certain", "part", "cut_cell", "cut_rank", "last", "rank", "cell")
+    return d.withColumn("copies", F.col("certain") + extra.cast("int")).drop("certain", "part", "passes", "last", "rank", "cell")
 
 
 def doc_sizes(docs: DataFrame) -> DataFrame:
@@ -158,6 +183,19 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _passes(n: int) -> str:
+    """SQL of the passes: g0 has all documents with their gap, g1 to gn what each pass takes and leaves."""
+    out = ["g0 AS (SELECT *, missing AS gap, false AS taken_in FROM r)"]
+    for i in range(1, n + 1):
+        out.append(f"""c{i} AS (
+  SELECT *, rank IS NOT NULL AND NOT taken_in AND size <= gap AS fits,
+         sum(size) FILTER (rank IS NOT NULL AND NOT taken_in AND size <= gap) OVER (PARTITION BY source ORDER BY rank NULLS LAST RANGE UNBOUNDED PRECEDING) AS reached FROM g{i - 1}),
+x{i} AS (SELECT *, fits AND reached <= gap AS now_in FROM c{i}),
+g{i} AS (
+  SELECT * EXCLUDE (fits, reached, now_in, gap, taken_in), gap - coalesce(max(CASE WHEN now_in THEN reached END) OVER (PARTITION BY source), 0) AS gap, taken_in OR now_in AS taken_in FROM x{i})""")
+    return ",\n".join(out)
+
+
 OP4_SQL = f"""
 WITH sizes AS (
   SELECT doc_id, source, md5(coalesce(text, '')) AS text_key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
@@ -182,14 +220,9 @@ d AS (
   FROM sizes z JOIN p ON z.source IS NOT DISTINCT FROM p.source),
 r AS (
   SELECT *, CASE WHEN part > 1e-9 AND size > 0 THEN u / (1 - u) / (part / greatest(1 - part, 1e-12) * pow(size::DOUBLE, {LENGTH_POWER})) END AS rank FROM d),
-c AS (
-  SELECT *, sum(size) FILTER (rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank NULLS LAST RANGE UNBOUNDED PRECEDING) AS reached FROM r),
-x AS (
-  SELECT *, rank IS NOT NULL AND reached <= missing AS taken_in FROM c),
-g AS (
-  SELECT *, missing - coalesce(max(CASE WHEN taken_in THEN reached END) OVER (PARTITION BY source), 0) AS gap FROM x),
+{_passes(PASSES)},
 e AS (
   SELECT *, CASE WHEN rank IS NOT NULL AND NOT taken_in AND size < 2 * gap
-                 THEN row_number() OVER (PARTITION BY source, rank IS NOT NULL AND NOT taken_in AND size < 2 * gap ORDER BY abs(gap - size), rank, doc_id, text_key) = 1 ELSE false END AS is_last FROM g)
+                 THEN row_number() OVER (PARTITION BY source, rank IS NOT NULL AND NOT taken_in AND size < 2 * gap ORDER BY abs(gap - size), rank, doc_id, text_key) = 1 ELSE false END AS is_last FROM g{PASSES})
 SELECT doc_id, size, source_size, target, CAST((certain + CASE WHEN taken_in OR is_last THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM e
 """

@@ -65,3 +65,14 @@ def test_empty_and_wordless(spark):
     assert M.mix(docs).count() == 0 and M.mixed_documents(docs).count() == 0
     none = spark.createDataFrame([(1, "", "a", None, None), (2, None, None, None, None)], DOC)
     assert {(r["target"], r["copies"]) for r in M.mix(none).collect()} == {(0.0, 0)}
+
+
+def test_a_long_document_leaves_no_gap(spark):
+    """Whatever comes first in rank order, small documents fill up what a long one would pass."""
+    for seed in ("a", "b", "c", "d"):
+        rows = [(i, "w " * 100, "s1", None, None) for i in range(250)] + [(500, "w " * 20_000, "s1", None, None)] + [(1000 + i, "w " * 50, "s2", None, None) for i in range(400)]
+        out = M.mix(spark.createDataFrame(rows, DOC), seed=seed).collect()
+        for source in ("s1", "s2"):
+            own = [r for r in out if r["source"] == source]
+            taken = sum(r["copies"] * r["size"] for r in own)
+            assert abs(taken - own[0]["target"]) <= 100, (seed, source, taken, own[0]["target"])
