@@ -15,7 +15,7 @@ from coursegrain.llm.common import table, text_or_empty, written
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects.
 
-    A null text is scored as an empty one."""
+    A null text is scored as an empty one; rows alike are kept or rejected alike."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.keep_good(docs, labels)
 
@@ -39,12 +39,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in the shares of their weights: documents left out, taken, or repeated."""
+    """Sources in the shares of their weights: documents left out, taken, or repeated.
+
+    A null source is a source; null and empty texts, which have no words, come as often as
+    their source's certain whole copies; rows alike in doc_id and text have the same fate."""
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of 4096 tokens."""
+    """The pieces of the documents in sequences of 4096 tokens.
+
+    Null and empty texts are one end token; a null doc_id and repeated rows are documents as
+    any others."""
     return packing.pack_documents(docs).drop("row_key")
 
 
