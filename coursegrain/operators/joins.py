@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
-
 #: A key of more than one in SHARE rows, and of more than LEAST, is spread over several tasks.
 SHARE = 1000
 LEAST = 100
@@ -22,15 +20,16 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
     it be a written table, unless counts (on, k) has the rows of each key that matters."""
     if counts is None:
         total = left.count()
-        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("k"))
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     else:
-        total = counts.agg(F.sum("k")).first()[0] or 0
+        counts = counts.select(*on, F.col("k").alias("_rows"))
+        total = counts.agg(F.sum("_rows")).first()[0] or 0
     limit = max(LEAST, total // SHARE)
-    hot = counts.filter(F.col("k") > limit).select(*on, F.ceil(F.col("k") / F.lit(limit)).cast("int").alias("_salts"))
-    hot = written(hot, "hot-keys")
-    if hot.isEmpty():
+    hot = counts.filter(F.col("_rows") > limit).select(*on, F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("_salts"))
+    rows = hot.collect()  # fewer than SHARE
+    if not rows:
         return left.join(right, on, how)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
     parts = F.coalesce("_salts", F.lit(1))
     one = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_salts")
     many = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - F.lit(1)))).drop("_salts")
