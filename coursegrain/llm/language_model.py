@@ -58,7 +58,9 @@ HELD_OUT = 0
 FOLDS = 10
 END = " "
 END_LEAF = 0
-_FLUSH = 400_000
+_FLUSH = 250_000
+#: Texts that a task holds as Python strings at a time.
+SLICE = 250
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -81,12 +83,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(words_of(t))
-                held[end] += 1
-                if len(held) > _FLUSH:
-                    yield out()
-                    held.clear()
+            for lo in range(0, b.num_rows, SLICE):
+                for t in b.column(0).slice(lo, SLICE).to_pylist():
+                    held.update(words_of(t))
+                    held[end] += 1
+                    if len(held) > _FLUSH:
+                        yield out()
+                        held.clear()
         if held:
             yield out()
 
@@ -337,12 +340,11 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         get, none = v.place.get, len(v.place)
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo in range(0, b.num_rows, 1000):
-                ids, learns, deals = (b.column(i).slice(lo, 1000) for i in (0, 2, 3))
+            for lo in range(0, b.num_rows, SLICE):
+                ids, learns, deals = (b.column(i).slice(lo, SLICE) for i in (0, 2, 3))
                 cols: list[list] = [[] for _ in range(7)]
                 leaves, ends = [], [0]
-                for t in texts[lo : lo + 1000]:
+                for t in b.column(1).slice(lo, SLICE).to_pylist():
                     words = words_of(t)
                     place = np.fromiter(map(get, words, repeat(none)), np.int64, len(words))
                     leaf = v.leaf[place]
