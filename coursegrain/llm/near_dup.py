@@ -32,7 +32,7 @@ SIMILARITY = 0.8
 TABLES = 20
 PICKED = 2
 #: Texts, and shingles of texts, that a block of a bucket has on average at most.
-BLOCK = 256
+BLOCK = 1024
 BLOCK_SHINGLES = 500_000
 #: Columns of a matrix of shingles at a time.
 COLUMNS = 4096
