@@ -21,3 +21,20 @@ def test_a_cluster_must_name_its_shared_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_dir(Cluster)
+
+
+def test_written_tables_are_removed(spark, tmp_path):
+    import os
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        assert tables.written(spark.range(5), "t", "zstd").count() == 5
+        assert os.listdir(tmp_path) == [spark.sparkContext.applicationId]
+        tables.remove_written(spark)
+        assert os.listdir(tmp_path) == []
+    finally:
+        if before is None:
+            spark.conf.unset("spark.checkpoint.dir")
+        else:
+            spark.conf.set("spark.checkpoint.dir", before)
