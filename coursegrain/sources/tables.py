@@ -12,6 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}  # the temporary folder of a local application that names none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
@@ -19,10 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     error, as executors would write to disks of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        app = spark.sparkContext.applicationId
+        if app in _own:
+            return _own[app]
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     return path.rstrip("/")
 
 

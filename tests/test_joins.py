@@ -17,24 +17,26 @@ def test_a_hot_key_joins_as_any_other(spark):
 def test_a_cluster_must_name_its_shared_folder(spark):
     class Cluster:
         conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
-        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "app-1"})
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_dir(Cluster)
 
 
-def test_written_tables_are_removed(spark, tmp_path):
+def test_written_tables_are_removed(spark, tmp_path, monkeypatch):
     import os
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert tables.written(spark.range(5), "t", "zstd").count() == 5
-        assert os.listdir(tmp_path) == [spark.sparkContext.applicationId]
-        tables.remove_written(spark)
-        assert os.listdir(tmp_path) == []
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert tables.written(spark.range(5), "t", "zstd").count() == 5
+    assert os.listdir(tmp_path) == [spark.sparkContext.applicationId]
+    tables.remove_written(spark)
+    assert os.listdir(tmp_path) == []
+
+
+def test_a_local_session_without_a_folder_gets_one():
+    class Local:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "local[4]", "applicationId": "app-of-the-test"})
+
+    path = tables.shared_dir(Local)
+    assert path.startswith("file:///tmp/") and tables.shared_dir(Local) == path
