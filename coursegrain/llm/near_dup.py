@@ -217,14 +217,14 @@ def _fits(one: str, two: str) -> Column:
 
 
 def _refined(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components, from buckets (bucket, node, root, n, sketches).
+    """Pairs (a, b) across components, from buckets (bucket, t, node, root, n, sketches).
 
     A bucket of several components is parted by the nodes' sketches, and each part has a leader
     of its own, its least node. Texts that share a passage part ways there, as near copies
     agree in many sketches. A part gives one pair for each node at most, and parts of like
-    nodes give the same ones."""
-    parts = mixed.select("bucket", "node", "root", "n", F.posexplode("sketches").alias("t", "sketch"))
-    parts = written(parts.select(F.xxhash64("bucket", "t", "sketch").alias("part"), "node", "root", "n"), "parts")
+    nodes give the same ones; two tables part each other's buckets alike, so one of the two does."""
+    parts = mixed.select("bucket", "t", "node", "root", "n", F.posexplode("sketches").alias("other", "sketch")).filter("other >= t")
+    parts = written(parts.select(F.xxhash64("bucket", "other", "sketch").alias("part"), "node", "root", "n"), "parts")
     leaders = parts.groupBy("part").agg(F.min(F.struct("node", "root", "n")).alias("l"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("k")).filter("r1 <> r2")
     leaders = written(leaders.select("part", "l", "k"), "part-leaders")
     met = salted_join(parts, leaders.drop("k"), ["part"], ["node"], counts=leaders.select("part", "k")).filter((F.col("root") != F.col("l.root")) & _fits("n", "l.n"))
@@ -394,7 +394,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links)
 
     apart = _undecided(shared, found, nodes)
-    more = written(_refined(apart.drop("t")).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    more = written(_refined(apart).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     late = written(verified(more, texts), "late-links")
     if not late.isEmpty():
         links = links.unionByName(late)
