@@ -10,6 +10,7 @@ from .packing import op2_best_fit_packing
 from .quality import op6_quality
 from .token_files import op3_token_files
 from .warc import OP9_SQL, op9_warc_index
+from .whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_jpeg_media": op8_jpeg_media,
     "op9_warc_index": op9_warc_index,
     "op10_order_minhash": op10_order_minhash,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL = {
