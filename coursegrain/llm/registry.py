@@ -7,7 +7,9 @@ from .media import op8_jpeg_media
 from .mixing import OP4_SQL, op4_source_mix
 from .near_dup import op10_order_minhash
 from .packing import op2_best_fit_packing
+from .phrases import OP12_SQL, op12_phrases
 from .quality import op6_quality
+from .secrets import op11_secret_scan
 from .token_files import op3_token_files
 from .warc import OP9_SQL, op9_warc_index
 from .whitening import op13_embedding_whitening
@@ -23,6 +25,8 @@ QUERIES = {
     "op8_jpeg_media": op8_jpeg_media,
     "op9_warc_index": op9_warc_index,
     "op10_order_minhash": op10_order_minhash,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_phrases": op12_phrases,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
@@ -31,4 +35,5 @@ ORACLE_SQL = {
     "op4_source_mix": OP4_SQL,
     "op5_embedding_near_dedup": OP5_SQL,
     "op9_warc_index": OP9_SQL,
+    "op12_phrases": OP12_SQL,
 }
