@@ -8,6 +8,7 @@ from dataclasses import dataclass
 # Results depend on them.
 @dataclass(frozen=True)
 class Tunables:
+    token_counter: str = "words"  # or a file of the tokenizers library
     target_tokens: int = 600
     min_tokens: int = 120
     max_tokens: int = 900

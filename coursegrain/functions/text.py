@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def token_count(text: Column) -> Column:
-    """Number of white-space-free runs; 0 for null and blank text."""
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0)))
+# White space of any script, as characters and inside a pattern's brackets, and what ends a line.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_END = r"\x{d}\x{a}|[\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+
+
+def any_script(pattern: str) -> str:
+    """A pattern whose white space and digits are those of any script."""
+    return pattern.replace(r"\s", f"[{BLANK}]").replace(r"\S", f"[^{BLANK}]").replace(r"\d", r"\p{Nd}")
+
 
+WORD = any_script(r"\S+")
 
-#: White space at which lines are trimmed.
-BLANKS = " \t\n\x0b\x0c\r"
+
+def token_count(text: Column) -> Column:
+    """Number of white-space-free runs; 0 for null and blank text."""
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)))
 
 
 def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def text_lines(text: Column) -> Column:
+    """The lines of a text, at line feeds, carriage returns, vertical tabs, form feeds and the other ends of lines."""
+    return F.split(text, LINE_END, -1)
+
+
 def fingerprint(line: Column) -> Column:
     """Trimmed of any white space, lower case, white space collapsed; digits stay."""
-    return F.regexp_replace(F.lower(stripped(line)), r"\s+", " ")
+    return F.regexp_replace(F.lower(stripped(line)), f"[{BLANK}]+", " ")
 
 
 def word_list(text: Column, least: int = 1) -> Column:

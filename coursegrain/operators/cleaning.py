@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Tunables
-from ..functions.text import fingerprint, stripped
+from ..functions.text import WORD, any_script, fingerprint, stripped, text_lines
 
 # Patterns of page numbers and page markers (case-insensitive, whole line).
-PAGE_NUMBER = r"^\s*(?:page\s*)?[-–—(\[]?\s*\d{1,4}\s*(?:/\s*\d{1,4})?\s*[-–—)\]]?\s*$"
-PAGE_MARKER = r"^\s*\S{0,40}?\s*(?:page|slide|pg\.?|p\.)\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?\s*$"
+PAGE_NUMBER = any_script(r"^\s*(?:page\s*)?[-–—(\[]?\s*\d{1,4}\s*(?:/\s*\d{1,4})?\s*[-–—)\]]?\s*$")
+PAGE_MARKER = any_script(r"^\s*\S{0,40}?\s*(?:page|slide|pg\.?|p\.)\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?\s*$")
+HYPHEN_BREAK = any_script(r"([\p{L}\p{N}_]+)-\s*\n\s*([\p{L}\p{N}_]+)")
 MARKER_WORDS = 6
 
 # The public Symbol font encoding, letters in order and the signs by code.
@@ -37,7 +38,7 @@ def restore_symbols(text: Column) -> Column:
 
 def repair_hyphens(text: Column) -> Column:
     """Words broken by a hyphen at a line's end are joined."""
-    return F.regexp_replace(text, r"([\p{L}\p{N}_]+)-\s*\n\s*([\p{L}\p{N}_]+)", "$1$2")
+    return F.regexp_replace(text, HYPHEN_BREAK, "$1$2")
 
 
 def collapse_blank_runs(text: Column) -> Column:
@@ -46,7 +47,7 @@ def collapse_blank_runs(text: Column) -> Column:
 
 def is_page_marker(line: Column) -> Column:
     """A page number, or a short line that ends as "Slide 3 of 10" does."""
-    words = F.size(F.regexp_extract_all(line, F.lit(r"\S+"), F.lit(0)))
+    words = F.size(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
     return line.rlike("(?i)" + PAGE_NUMBER) | ((words <= MARKER_WORDS) & line.rlike("(?i)" + PAGE_MARKER))
 
 
@@ -56,7 +57,7 @@ def page_content(text: Column, notes: Column) -> Column:
 
 def furniture(pages: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
     """document_id, fingerprint, pages of short lines that repeat on most pages of a document."""
-    lines = pages.select("document_id", "number", F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = pages.select("document_id", "number", F.explode(text_lines(F.col("text"))).alias("line"))
     seen = lines.select("document_id", "number", fingerprint(F.col("line")).alias("fingerprint")).filter((F.col("fingerprint") != "") & (F.length("fingerprint") <= t.furniture_max_chars))
     # A page counts once for a line: distinct combines before its shuffle.
     seen = seen.distinct().groupBy("document_id", "fingerprint").agg(F.count(F.lit(1)).alias("pages"))
@@ -67,13 +68,13 @@ def furniture(pages: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
 def clean_pages(pages: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
     """pages with text, heading and notes cleaned; numbers stay as they are.
 
-    Lines lose the white space around them. Notes are repaired as texts are, but no line of
+    Lines end at any end of line and lose the white space of any script around them. Notes are repaired as texts are, but no line of
     them is taken out; null notes stay null. A document's furniture is an array beside each of
     its pages: at most 1 / ratio lines of a page can repeat on so many pages for each line a
     page has, so the array is short."""
     own = furniture(pages, t).groupBy("document_id").agg(F.collect_set("fingerprint").alias("gone"))
     d = pages.join(own, "document_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
-    lines = F.transform(F.split("text", "\n", -1), stripped)
+    lines = F.transform(text_lines(F.col("text")), stripped)
     kept = F.filter(lines, lambda x: (x == "") | (~F.array_contains(F.col("gone"), fingerprint(x)) & ~is_page_marker(x)))
     repaired = lambda text: restore_symbols(collapse_blank_runs(repair_hyphens(text)))
     return d.withColumn("text", repaired(F.array_join(kept, "\n"))).withColumn("heading", restore_symbols(F.col("heading"))).withColumn("notes", repaired(F.col("notes"))).drop("gone")

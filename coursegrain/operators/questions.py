@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Tunables
-from ..functions.text import cosine
+from ..functions.text import BLANKS, any_script, cosine, stripped, text_lines
 from ..sources.tables import written
 from .joins import salted_join
 
@@ -43,7 +43,7 @@ def parse_responses(raw: DataFrame) -> DataFrame:
 def schema_ok(q: str = "q") -> Column:
     """Four options A to D, one right, nothing blank, a known difficulty."""
     c = lambda name: F.col(f"{q}.{name}")
-    filled = lambda x: F.btrim(F.coalesce(x, F.lit(""))) != ""
+    filled = lambda x: stripped(F.coalesce(x, F.lit(""))) != ""
     ids = F.array_sort(F.transform(c("options"), lambda o: o["id"]))
     one = F.size(F.filter(c("options"), lambda o: o["is_correct"])) == 1
     return (ids == F.array(*map(F.lit, "ABCD"))) & one & filled(c("stem")) & filled(c("explanation")) & c("difficulty").isin(*DIFFICULTIES)
@@ -62,20 +62,21 @@ def attach_citations(questions: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def quiz_view(questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """quiz_id, question_id, place (from 0), stem, page_refs, section_path: a quiz as students see it.
+    """quiz_id, question_id, place (from 0), stem, options, difficulty, page_refs, section_path: a quiz as students see it.
 
-    Questions are in the order of order_index; the section is that of the first passage cited,
-    and empty where there is none."""
+    Options are ids and texts; what is right, and why, isn't there at all. Questions are in the
+    order of order_index; the section is that of the first passage cited, and empty where there
+    is none. Null options are none."""
     nth = F.row_number().over(Window.partitionBy("quiz_id").orderBy("order_index", "question_id")) - 1
-    q = questions.select("quiz_id", "question_id", nth.alias("place"), "stem", "page_refs", F.get("source_chunk_ids", F.lit(0)).alias("chunk_id"))
+    q = questions.select("quiz_id", "question_id", nth.alias("place"), "stem", public_options(F.coalesce("options", F.array().cast(f"array<{OPTION}>"))).alias("options"), "difficulty", "page_refs", F.get("source_chunk_ids", F.lit(0)).alias("chunk_id"))
     j = q.join(passages.select("chunk_id", "section_path"), "chunk_id", "left")
-    return j.select("quiz_id", "question_id", "place", "stem", "page_refs", F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path"))
+    return j.select("quiz_id", "question_id", "place", "stem", "options", "difficulty", "page_refs", F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path"))
 
 
 def parse_cards(raw: DataFrame, most: int) -> DataFrame:
     """id, place, front, back of the first most cards; one blank card makes the batch invalid."""
     d = raw.withColumn("c", F.from_json("raw", CARDS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).filter(F.col("c._corrupt").isNull() & F.col("c.cards").isNotNull())
-    blank = lambda x: F.btrim(F.coalesce(x, F.lit(""))) == ""
+    blank = lambda x: stripped(F.coalesce(x, F.lit(""))) == ""
     d = d.filter(~F.exists("c.cards", lambda k: blank(k["front"]) | blank(k["back"])))
     return d.select("id", F.posexplode(F.slice("c.cards", 1, most)).alias("place", "k")).select("id", "place", "k.front", "k.back")
 
@@ -90,7 +91,7 @@ def _words(text: Column) -> Column:
 
 def rule_failures(stem: Column, options: Column, explanation: Column, difficulty: Column, passage: Column, t: Tunables = DEFAULTS) -> Column:
     """All codes that a question fails, in the order of the rules."""
-    blank = lambda x: F.btrim(F.coalesce(x, F.lit(""))) == ""
+    blank = lambda x: stripped(F.coalesce(x, F.lit(""))) == ""
     # The first fault among the options decides between the two codes.
     fault = F.get(F.filter(F.transform(options, lambda o: F.when(blank(o["text"]), F.lit("EMPTY_FIELD")).when(~o["is_correct"] & blank(o["why_wrong"]), F.lit("SCHEMA"))), lambda x: x.isNotNull()), F.lit(0))
     empty = F.when(blank(stem) | blank(explanation), "EMPTY_FIELD").otherwise(fault)
@@ -248,18 +249,31 @@ def public_options(options: Column) -> Column:
     return F.transform(options, lambda o: F.struct(o["id"].alias("id"), o["text"].alias("text")))
 
 
+#: The line that begins a slide in a passage: only line feeds end lines here.
+SLIDE_LINE = any_script(r"^###\s+")
+
+
 def split_passage(passages: DataFrame) -> DataFrame:
-    """chunk parts by lines "### heading": part, heading, body, page; blank lines of a body go."""
-    p = passages.select("document_id", "chunk_no", "page_start", "page_end", F.posexplode(F.split("text", r"(?m)^###\s+", -1)).alias("i", "part"), F.col("text").rlike(r"(?s)^###\s").alias("headed"))
-    first = F.substring_index("part", "\n", 1)
-    rest = F.when(F.contains("part", F.lit("\n")), F.substring(F.col("part"), F.length(first) + 2, F.length("part"))).otherwise("")
-    heading = F.when(F.col("i") > 0, F.btrim(first))
-    body = F.when(F.col("i") > 0, rest).otherwise(F.col("part"))
-    lines = F.array_join(F.filter(F.split(body, "\n", -1), lambda x: F.btrim(x) != ""), "\n")
-    p = p.select("document_id", "chunk_no", "page_start", "page_end", "i", heading.alias("heading"), lines.alias("body"))
-    p = p.filter((F.col("i") > 0) | (F.col("body") != ""))
+    """document_id, chunk_no, part, heading, body, page: a passage cut at its lines "### heading".
+
+    What stands before the first heading is a part without one on the first page, as it is but
+    for the white space around it. The headings' pages are counted from the first page on, up to
+    the last; their bodies lose blank lines and the white space at the ends of lines. A blank
+    heading is null; a passage without headings and text has no part."""
+    parts = F.split("text", "(?md)" + SLIDE_LINE, -1)
+    p = passages.select("document_id", "chunk_no", "page_start", "page_end", F.posexplode(parts).alias("i", "piece"))
+    first = F.substring_index("piece", "\n", 1)
+    rest = stripped(F.substring(F.col("piece"), F.length(first) + 1, F.length("piece")))
+    lines = F.transform(F.filter(text_lines(rest), lambda x: stripped(x) != ""), lambda x: F.rtrim(x, F.lit(BLANKS)))
+    headed = F.col("i") > 0
+    p = p.select(
+        "document_id", "chunk_no", "i", F.when(headed, F.nullif(stripped(first), F.lit(""))).alias("heading"),
+        F.when(headed, F.array_join(lines, "\n")).otherwise(stripped(F.col("piece"))).alias("body"),
+        F.when(headed, F.least(F.col("page_start") + F.col("i") - 1, F.col("page_end"))).otherwise(F.col("page_start")).cast("int").alias("page"),
+    )
+    p = p.filter(headed | (F.col("body") != ""))
     nth = F.row_number().over(Window.partitionBy("document_id", "chunk_no").orderBy("i")) - 1
-    return p.withColumn("part", nth).select("document_id", "chunk_no", "part", "heading", "body", F.least(F.col("page_start") + F.col("part"), F.col("page_end")).alias("page"))
+    return p.withColumn("part", nth).select("document_id", "chunk_no", "part", "heading", "body", "page")
 
 
 def render(template: str, values: dict[str, Column]) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Tunables
 from ..functions.text import cosine, fuzzy_ratio
+from ..sources.tables import written
+from .vector_index import SHORTLIST, Cells, build_index, candidates, fit_cells
 
 #: Bytes of query vectors that are broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -82,6 +84,27 @@ def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.to
     return hits.join(short.select("query_id"), "query_id", "left_anti").unionByName(vector_topk(short, vectors, k))
 
 
+def vector_topk_ivf(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.top_k, index: DataFrame | None = None, cells: Cells | None = None, probes: int | None = None) -> DataFrame:
+    """As vector_topk without restrictions, by an inverted-file index: hits may be missed.
+
+    Scores are exact, of SHORTLIST * k vectors for each query. index and cells are of
+    build_index and fit_cells, and are made here unless given. Queries that find fewer than k
+    vectors in the cells they look into are answered by vector_topk."""
+    cells = cells or fit_cells(vectors, k=k)
+    if cells is None:
+        return vector_topk(queries, vectors, k)
+    index = build_index(vectors, cells) if index is None else index
+    met = written(candidates(queries, index, cells, SHORTLIST * k, probes), "candidates")
+    v = met.join(vectors.select("chunk_id", "topic_id", _unit("embedding").alias("embedding")), "chunk_id")
+    scored = v.join(queries.select("query_id", _unit("query").alias("query")), "query_id")
+    hits = _ranked(scored.select("query_id", "chunk_id", "topic_id", F.round(_dot("query", "embedding"), 9).alias("score")), k)
+    enough = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query_id")
+    short = written(queries.join(enough, "query_id", "left_anti").select("query_id", "course_id", "query"), "short-queries")
+    if short.isEmpty():
+        return hits
+    return hits.join(enough, "query_id", "left_semi").unionByName(vector_topk(short, vectors, k))
+
+
 def fuzzy_topics(queries: DataFrame, topics: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
     """query_id, topic_id, ratio of the course's topics whose names are near the query's text.
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Tunables
-from ..functions.text import cosine
-from ..sources.tables import written
+from ..functions.text import stripped
+from .clusters import cluster_topics
 
 
 def section_counts(chunks: DataFrame) -> DataFrame:
@@ -80,49 +78,10 @@ def leaf_topics(tree: DataFrame) -> DataFrame:
 
 
 def clean_label(label):
-    """Quotes and a full stop at the end go; 255 characters at most; "Untitled Topic" for nothing."""
-    bare = F.btrim(F.regexp_replace(F.btrim(label, F.lit(" \t\n\"'")), r"\.$", ""), F.lit(" \t\n\"'"))
-    return F.coalesce(F.nullif(F.left(bare, F.lit(255)), F.lit("")), F.lit("Untitled Topic"))
+    """White space around, double quotes, single quotes and full stops at the end go, in this order; then white space again.
 
-
-def _nearer(d: DataFrame, seeds: DataFrame) -> DataFrame:
-    """d with bit: whether a row is nearer to the second seed of its cluster; seeds has course_id, cluster, a, b."""
-    j = d.join(seeds, ["course_id", "cluster"])
-    return j.select(*d.columns, (cosine(F.col("embedding"), F.col("b")) > cosine(F.col("embedding"), F.col("a"))).cast("long").alias("bit"))
-
-
-def cluster_topics(vectors: DataFrame, t: Tunables = DEFAULTS, steps: int = 2) -> DataFrame:
-    """chunk_id, course_id, cluster: every passage in one cluster of its course, by cosine.
-
-    All clusters of all courses that have more than chunks_per_cluster passages are halved at
-    once, round by round: by the nearer of two seeds (the passage of least hash and the one
-    farthest from it), and then, in each step, of the two halves' mean directions. A course of
-    n passages so gets about n / chunks_per_cluster clusters, and the rounds are as many as the
-    largest course has doublings. Halves that come out empty end a cluster's rounds. Zero
-    vectors are as far from everything as orthogonal ones."""
-    unit = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, v: s + v * v))
-    d = vectors.select("chunk_id", "course_id", F.when(norm > 0, F.transform(unit, lambda x: x / norm)).otherwise(unit).alias("embedding"), F.lit(1).cast("long").alias("cluster"))
-    d = written(d, "cluster-0")
-    done = None
-    most = d.groupBy("course_id").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(max(0, math.ceil(math.log2(max(1, most / t.chunks_per_cluster)))) + 2):
-        size = d.groupBy("course_id", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min_by("embedding", F.struct(F.xxhash64("chunk_id"), "chunk_id")).alias("a"))
-        size = written(size, "cluster-sizes")
-        small = d.join(size.filter(F.col("n") <= t.chunks_per_cluster * 1.5).select("course_id", "cluster"), ["course_id", "cluster"], "left_semi")
-        done = small if done is None else done.unionByName(small)
-        large = d.join(size.filter(F.col("n") > t.chunks_per_cluster * 1.5).select("course_id", "cluster", "a"), ["course_id", "cluster"])
-        far = large.groupBy("course_id", "cluster").agg(F.first("a").alias("a"), F.min_by("embedding", F.struct(F.round(cosine(F.col("embedding"), F.col("a")), 12), "chunk_id")).alias("b"))
-        halves = written(_nearer(large.drop("a"), far), "cluster-halves")
-        for _ in range(steps):
-            centres = halves.select("course_id", "cluster", "bit", F.posexplode("embedding").alias("i", "x")).groupBy("course_id", "cluster", "bit", "i").agg(F.sum("x").alias("x"))
-            centres = centres.groupBy("course_id", "cluster", "bit").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.round("x", 9).alias("x")))), lambda s: s["x"]).alias("c"))
-            two = centres.groupBy("course_id", "cluster").agg(F.max(F.when(F.col("bit") == 0, F.col("c"))).alias("a"), F.max(F.when(F.col("bit") == 1, F.col("c"))).alias("b")).filter("a is not null and b is not null")
-            same = halves.join(two.select("course_id", "cluster"), ["course_id", "cluster"], "left_anti")
-            halves = written(_nearer(halves.drop("bit"), two).unionByName(same), "cluster-halves")
-        d = written(halves.select("chunk_id", "course_id", "embedding", (F.col("cluster") * 2 + F.col("bit")).alias("cluster")), "cluster-round")
-        if d.isEmpty():
-            break
-    every = d if done is None else done.unionByName(d)
-    number = every.select("course_id", "cluster").distinct().withColumn("no", F.row_number().over(Window.partitionBy("course_id").orderBy("cluster")) - 1)
-    return every.join(number, ["course_id", "cluster"]).select("chunk_id", "course_id", F.col("no").alias("cluster"))
+    255 characters at most; "Untitled Topic" for nothing and for a null."""
+    bare = label
+    for step in (stripped, lambda x: F.btrim(x, F.lit('"')), lambda x: F.btrim(x, F.lit("'")), lambda x: F.rtrim(x, F.lit(".")), stripped):
+        bare = step(bare)
+    return F.coalesce(F.nullif(F.left(bare, F.lit(255)), F.lit("")), F.lit("Untitled Topic"))

@@ -86,10 +86,17 @@ def leaf_topics(spark, sf_dir):
     return P.leaf_topics(P.topic_tree(sections(spark, sf_dir))).select("course_id", "topic_key", "name")
 
 
+#: What stands before and after a label, by the size of the part.
+_AROUND = [("", ""), ('\u00a0"', '..."\t'), ('"', '"...'), ("'", "'.. "), ("\"'", "'\""), ("'\"", " .")]
+
+
 def clean_labels(spark, sf_dir):
-    """Labels are part names in quotes and with full stops; every brand's last size is blank."""
+    """Labels are part names in quotes, single quotes, full stops and white space by their size; size 50 is blank."""
     p = table(spark, sf_dir, "part")
-    raw = F.when(F.col("p_size") == 50, F.lit(' "" ')).otherwise(F.concat(F.lit(' "'), "p_name", F.lit('." ')))
+    shaped = F.lit(None).cast("string")
+    for i, (before, after) in enumerate(_AROUND):
+        shaped = F.when(F.col("p_size") % len(_AROUND) == i, F.concat(F.lit(before), "p_name", F.lit(after))).otherwise(shaped)
+    raw = F.when(F.col("p_size") == 50, F.lit(' "" ')).when(F.col("p_size") == 49, F.lit(". . ")).otherwise(shaped)
     return p.select("p_partkey", P.clean_label(raw).alias("label"))
 
 
@@ -121,6 +128,11 @@ def vector_topk_lsh(spark, sf_dir):
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def vector_topk_ivf(spark, sf_dir):
+    hits = R.vector_topk_ivf(_queries(spark, sf_dir), V.vectors(spark, sf_dir))
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def vector_counts(spark, sf_dir):
     return V.vectors(spark, sf_dir).groupBy("course_id").agg(F.count(F.lit(1)).alias("vectors"))
 
@@ -191,10 +203,15 @@ def _sql(body: str) -> str:
     return V.with_views(body, _SQL)
 
 
+def _quoted(side: int) -> str:
+    """The texts before or after labels as a list in SQL."""
+    return ", ".join("'" + x[side].replace("'", "''") + "'" for x in _AROUND)
+
+
 QUERIES = {
     "doc_content_hash": doc_content_hash, "ingest_dedup": ingest_dedup, "ingest_status": ingest_status, "low_text_documents": low_text_documents, "vector_upsert": vector_upsert,
     "vector_contract": vector_contract, "vector_payload": vector_payload, "section_counts": section_counts, "topic_strategy": topic_strategy, "topic_map": topic_map, "topic_tree": topic_tree,
-    "chunk_topics": chunk_topics, "leaf_topics": leaf_topics, "clean_labels": clean_labels, "cluster_topics": cluster_topics, "fallback_topics": fallback_topics, "mirror_topics": mirror_topics, "vector_topk": vector_topk, "vector_topk_lsh": vector_topk_lsh,
+    "chunk_topics": chunk_topics, "leaf_topics": leaf_topics, "clean_labels": clean_labels, "cluster_topics": cluster_topics, "fallback_topics": fallback_topics, "mirror_topics": mirror_topics, "vector_topk": vector_topk, "vector_topk_lsh": vector_topk_lsh, "vector_topk_ivf": vector_topk_ivf,
     "vector_counts": vector_counts, "fuzzy_topic_match": fuzzy_topic_match, "resolve_scope": resolve_scope, "expand_to_topics": expand_to_topics, "context_passages": context_passages,
 }
 
@@ -218,7 +235,10 @@ ORACLE_SQL = {
     "topic_tree": _sql("SELECT course_id, topic_key, parent_key, name, level, chunk_count, order_index FROM q_tree"),
     "chunk_topics": _sql("SELECT * FROM q_chunk_topic"),
     "leaf_topics": _sql("SELECT course_id, topic_key, name FROM q_tree t WHERE NOT EXISTS (SELECT 1 FROM q_tree c WHERE c.course_id = t.course_id AND c.parent_key = t.topic_key)"),
-    "clean_labels": "SELECT p_partkey, CASE WHEN p_size = 50 THEN 'Untitled Topic' ELSE left(p_name, 255) END AS label FROM part",
+    "clean_labels": f"""WITH raw AS (SELECT p_partkey, CASE WHEN p_size = 50 THEN ' "" ' WHEN p_size = 49 THEN '. . ' ELSE list_extract([{_quoted(0)}], p_size % {len(_AROUND)} + 1) || p_name
+            || list_extract([{_quoted(1)}], p_size % {len(_AROUND)} + 1) END AS label FROM part),
+        bare AS (SELECT p_partkey, {V.STRIP.format("rtrim(trim(trim(" + V.STRIP.format("label") + ", chr(34)), chr(39)), '.')")} AS label FROM raw)
+        SELECT p_partkey, coalesce(nullif(left(label, 255), ''), 'Untitled Topic') AS label FROM bare""",
     "vector_topk": _sql("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM q_hit WHERE rank <= 5"),
     "mirror_topics": _sql("SELECT v.chunk_id, v.course_id, t.topic_key FROM v_vector v LEFT JOIN q_chunk_topic t USING (chunk_id)"),
     "fuzzy_topic_match": _sql("SELECT query_id, topic_id, round(ratio, 6) AS ratio FROM q_near"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as T
+from ..functions.tokens import counter
 from ..operators import chunking as K
 from ..operators import cleaning as C
 from ..sources import views as V
@@ -21,12 +22,20 @@ def token_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
 
 
+def token_counts_bpe(spark, sf_dir):
+    """By a public tokenizer's vocabulary."""
+    import public_tokenizers
+
+    count = counter(public_tokenizers.path("byte_bpe_50k.json"))
+    return table(spark, sf_dir, "documents").select("doc_id", count(F.col("text")).alias("tokens"))
+
+
 def hyphen_repair(spark, sf_dir):
     return V.pages(spark, sf_dir).select("document_id", "number", F.sha2(C.repair_hyphens(F.col("text")), 256).alias("sha"))
 
 
 def page_marker_filter(spark, sf_dir):
-    lines = V.pages(spark, sf_dir).select("document_id", "number", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    lines = V.pages(spark, sf_dir).select("document_id", "number", F.posexplode(T.text_lines(F.col("text"))).alias("i", "line"))
     return lines.filter(C.is_page_marker(F.col("line"))).select("document_id", "number", "i", "line")
 
 
@@ -94,16 +103,16 @@ def chunk_corpus(spark, sf_dir):
 
 
 _FROM, _TO = C.symbol_tables()
-_HYPHEN = r"regexp_replace({}, '([\p{{L}}\p{{N}}_]+)-\s*\n\s*([\p{{L}}\p{{N}}_]+)', '\1\2', 'g')"
-_TOKENS = r"len(regexp_extract_all({}, '\S+'))"
-_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_FINGER = rf"regexp_replace(lower(trim(line, {_BLANKS})), '\s+', ' ', 'g')"
-_MARKER = rf"(regexp_matches(line, '(?i){C.PAGE_NUMBER}') OR (len(regexp_extract_all(line, '\S+')) <= {C.MARKER_WORDS} AND regexp_matches(line, '(?i){C.PAGE_MARKER}')))"
-_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"
+_HYPHEN = "regexp_replace({}, '" + C.HYPHEN_BREAK.replace("{", "{{").replace("}", "}}") + r"', '\1\2', 'g')"
+_TOKENS = "len(regexp_extract_all({}, '" + T.WORD.replace("{", "{{").replace("}", "}}") + "'))"
+_BLANKS = V.BLANK_CHARS
+_FINGER = f"regexp_replace(lower(trim(line, {_BLANKS})), '{V.BLANK_RUN}', ' ', 'g')"
+_MARKER = rf"(regexp_matches(line, '(?i){C.PAGE_NUMBER}') OR (len(regexp_extract_all(line, '{T.WORD}')) <= {C.MARKER_WORDS} AND regexp_matches(line, '(?i){C.PAGE_MARKER}')))"
+_TRIM = V.STRIP
 _CONTENT = "CASE WHEN length(notes) > 0 THEN text || chr(10) || chr(10) || '[notes] ' || notes ELSE text END"
-_LINES = f"list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANKS}) <> '')"
-_TYPE = rf"""CASE WHEN len(list_filter({_LINES}, lambda x: regexp_matches(x, '^\s*\|.*\|\s*$'))) >= greatest(2, len({_LINES}) // 2) THEN 'table'
-    WHEN len(list_filter({_LINES}, lambda x: regexp_matches(x, '^\s*```'))) > 0 THEN 'code' ELSE 'prose' END"""
+_LINES = f"list_filter({V.LINES.format('text')}, lambda x: trim(x, {_BLANKS}) <> '')"
+_TYPE = rf"""CASE WHEN len(list_filter({_LINES}, lambda x: regexp_matches(x, '{K.TABLE_LINE}'))) >= greatest(2, len({_LINES}) // 2) THEN 'table'
+    WHEN len(list_filter({_LINES}, lambda x: regexp_matches(x, '{K.FENCE}'))) > 0 THEN 'code' ELSE 'prose' END"""
 
 
 def _repaired(text: str) -> str:
@@ -116,9 +125,9 @@ def _block_view(source: str) -> str:
     return rf"""SELECT document_id, number, row_number() OVER (PARTITION BY document_id, number ORDER BY b) AS block_no, text AS block, {_TOKENS.format("text")} AS tokens FROM (
         SELECT document_id, number, b, {_TRIM.format("string_agg(line, chr(10) ORDER BY i)")} AS text FROM (
         SELECT *, sum(cut) OVER (PARTITION BY document_id, number ORDER BY i) AS b FROM (
-        SELECT *, CASE WHEN fences % 2 = 0 AND fence = 0 AND trim(line, ' ' || chr(9) || chr(13)) = '' THEN 1 ELSE 0 END AS cut FROM (
+        SELECT *, CASE WHEN fences % 2 = 0 AND fence = 0 AND {V.STRIP.format("line")} = '' THEN 1 ELSE 0 END AS cut FROM (
         SELECT *, sum(fence) OVER (PARTITION BY document_id, number ORDER BY i) AS fences FROM (
-        SELECT *, CASE WHEN regexp_matches(line, '^\s*```') THEN 1 ELSE 0 END AS fence FROM (
+        SELECT *, CASE WHEN regexp_matches(line, '{K.FENCE}') THEN 1 ELSE 0 END AS fence FROM (
         SELECT document_id, number, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM {source}))))) WHERE cut = 0
         GROUP BY ALL) WHERE text <> ''"""
 
@@ -158,7 +167,7 @@ def _merge_view(chunks: str) -> str:
         SELECT document_id, chunk_no, merged_no FROM f) m USING (document_id, chunk_no) GROUP BY document_id, merged_no"""
 
 _SQL = {
-    "q_line": "SELECT document_id, number, i - 1 AS i, line FROM (SELECT document_id, number, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS i FROM v_page)",
+    "q_line": f"SELECT document_id, number, i - 1 AS i, line FROM (SELECT document_id, number, unnest({V.LINES.format('text')}) AS line, CAST(generate_subscripts({V.LINES.format('text')}, 1) AS INT) AS i FROM v_page)",
     "q_furniture": f"""SELECT s.document_id, s.fingerprint, s.pages FROM (SELECT document_id, fingerprint, count(DISTINCT number) AS pages FROM (SELECT document_id, number, {_FINGER} AS fingerprint FROM q_line)
         WHERE fingerprint <> '' AND length(fingerprint) <= 120 GROUP BY ALL) s JOIN (SELECT document_id, count(*) AS n FROM v_page GROUP BY 1 HAVING count(*) >= 5) USING (document_id) WHERE s.pages > n * 0.6""",
     "q_clean": f"""SELECT p.document_id, p.number, translate(p.heading, '{_FROM}', '{_TO}') AS heading, {_repaired("p.notes")} AS notes, {_repaired("coalesce(k.kept, '')")} AS text
@@ -201,7 +210,7 @@ def _sql(body: str) -> str:
 
 
 QUERIES = {
-    "token_counts": token_counts, "hyphen_repair": hyphen_repair, "page_marker_filter": page_marker_filter, "symbol_restore": symbol_restore, "content_type": content_types,
+    "token_counts": token_counts, "token_counts_bpe": token_counts_bpe, "hyphen_repair": hyphen_repair, "page_marker_filter": page_marker_filter, "symbol_restore": symbol_restore, "content_type": content_types,
     "furniture_lines": furniture_lines, "clean_pages": clean_pages, "page_spans": page_spans, "offset_to_page": offset_to_page, "doc_shape": doc_shape, "chunk_slides": chunk_slides,
     "paragraph_blocks": paragraph_blocks, "chunk_prose": chunk_prose, "merge_undersized": merge_undersized, "chunk_corpus": chunk_corpus,
 }

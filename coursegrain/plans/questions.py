@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import WORD
 from ..operators import chunking as K
 from ..operators import questions as Q
 from ..sources import views as V
@@ -15,7 +16,7 @@ TEMPLATE = "Write one {difficulty} question on {topic} from this passage:\n{pass
 
 def mcq(spark, sf_dir):
     """A question from each document of 40 words or more, with faults put in by rule."""
-    d = table(spark, sf_dir, "documents").withColumn("w", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).filter(F.size("w") >= 40)
+    d = table(spark, sf_dir, "documents").withColumn("w", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).filter(F.size("w") >= 40)
     cut = lambda lo, hi: F.array_join(F.slice("w", lo, hi - lo + 1), " ")
     on = lambda n, yes, no="": F.when(F.col("doc_id") % n == 0, yes).otherwise(no)
     stem = F.concat(cut(1, 12), on(9, " NOT "), on(10, " main "), F.lit("?"))
@@ -91,7 +92,8 @@ def attach_citations(spark, sf_dir):
 
 def quiz_view(spark, sf_dir):
     v = Q.quiz_view(V.questions(spark, sf_dir), V.chunks(spark, sf_dir))
-    return v.select("quiz_id", "question_id", "place", "stem", F.array_join(F.transform("page_refs", lambda x: x.cast("string")), ",").alias("pages"), F.array_join("section_path", "/").alias("section"))
+    options = F.array_join(F.transform("options", lambda o: F.concat_ws("=", o["id"], o["text"])), "|")
+    return v.select("quiz_id", "question_id", "place", "stem", options.alias("options"), "difficulty", F.array_join(F.transform("page_refs", lambda x: x.cast("string")), ",").alias("pages"), F.array_join("section_path", "/").alias("section"))
 
 
 def attempts(spark, sf_dir):
@@ -130,7 +132,10 @@ def public_questions(spark, sf_dir):
 
 
 def passage_split(spark, sf_dir):
-    return Q.split_passage(K.chunk_slides(V.pages(spark, sf_dir), D.SMALL)).select("document_id", "chunk_no", "part", "heading", F.sha2("body", 256).alias("sha"), "page")
+    """Passages of odd documents begin with a line before their headings, and have other ends of lines and blanks."""
+    chunks = K.chunk_slides(V.pages(spark, sf_dir), D.SMALL)
+    odd = F.concat(F.lit("intro\n\n to it \n"), F.replace("text", F.lit("\n\n"), F.lit(" \u00a0\r\n\n")), F.lit("\n###  \nno heading\x0b\u00a0\x0bends"))
+    return Q.split_passage(chunks.withColumn("text", F.when(F.col("document_id") % 2 == 1, odd).otherwise(F.col("text")))).select("document_id", "chunk_no", "part", "heading", F.sha2("body", 256).alias("sha"), "page")
 
 
 def prompt_table(spark, sf_dir):
@@ -149,7 +154,7 @@ _SQL = {
         {_CUT.format(24, 27)} AS o2, {_CUT.format(28, 31)} AS o3, CASE WHEN doc_id % 7 = 0 THEN 'All of the above' ELSE {_CUT.format(32, 35)} END AS o4,
         'it says otherwise' AS why1, CASE WHEN doc_id % 12 = 0 THEN ' ' ELSE 'it says otherwise' END AS why3, {_CUT.format(10, 25)} AS explanation,
         CASE WHEN doc_id % 5 = 0 THEN 'analysis' ELSE 'recall' END AS difficulty
-        FROM (SELECT *, regexp_extract_all(text, '\\S+') AS w FROM documents) WHERE len(w) >= 40)""",
+        FROM (SELECT *, regexp_extract_all(text, '{WORD}') AS w FROM documents) WHERE len(w) >= 40)""",
     "q_rule": rf"""SELECT question_id, course_id, list_filter([
         CASE WHEN trim(stem) = '' OR trim(explanation) = '' OR trim(o1) = '' OR trim(o2) = '' OR trim(o3) = '' OR trim(o4) = '' THEN 'EMPTY_FIELD' WHEN trim(why3) = '' THEN 'SCHEMA' END,
         CASE WHEN length(o1) > 1.5 * (length(o2) + length(o3) + length(o4)) / 3 THEN 'LENGTH_BIAS' END,
@@ -160,6 +165,8 @@ _SQL = {
         CASE WHEN regexp_matches(stem, '{Q.RANKING}') AND NOT regexp_matches(passage, '{Q.RANKING}') THEN 'INVENTED_RANKING' END,
         CASE WHEN len(list_filter({_NUM.format("o1 || ' '")}, lambda x: NOT list_contains({_NUM.format("passage || ' '")}, x))) > 0 THEN 'NUMERIC_UNSUPPORTED' END
         ], lambda x: x IS NOT NULL) AS fails FROM (SELECT *, regexp_extract_all(lower(o1), '[a-z0-9]+') AS ow, regexp_extract_all(lower(stem), '[a-z0-9]+') AS sw FROM v_mcq)""",
+    "q_split_chunk": """SELECT document_id, chunk_no, page_start, page_end, CASE WHEN document_id % 2 = 1 THEN 'intro' || chr(10) || chr(10) || ' to it ' || chr(10) || replace(text, chr(10) || chr(10), ' ' || chr(160) || chr(13) || chr(10) || chr(10))
+        || chr(10) || '###  ' || chr(10) || 'no heading' || chr(11) || chr(160) || chr(11) || 'ends' ELSE text END AS text FROM q_slide_chunk""",
     "q_kind": "SELECT question_id AS id, CASE WHEN question_id % 13 = 0 THEN 'thin' WHEN question_id % 11 = 0 THEN 'invalid' ELSE 'question' END AS kind, stem FROM v_mcq",
     "q_attempt": """SELECT l_orderkey AS passage_id, l_linenumber AS attempt, 'CODE' || (l_suppkey % 5) AS code,
         CASE WHEN l_returnflag = 'A' THEN 'passed' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'thin' ELSE 'rejected' END AS outcome FROM lineitem""",
@@ -205,13 +212,15 @@ ORACLE_SQL = {
     "public_questions": _sql("SELECT question_id, stem, 'A=' || o1 || '|B=' || o2 || '|C=' || o3 || '|D=' || o4 AS options FROM v_mcq"),
     "attach_citations": _sql("""SELECT question_id, coalesce(CAST(c.chunk_id AS VARCHAR), '') AS cites, coalesce(array_to_string(range(c.page_start, c.page_end + 1), ','), '') AS pages
         FROM v_mcq LEFT JOIN v_chunk c ON c.chunk_id = question_id AND question_id % 17 <> 0"""),
-    "quiz_view": _sql("""SELECT quiz_id, question_id, row_number() OVER (PARTITION BY quiz_id ORDER BY order_index, question_id) - 1 AS place, stem, array_to_string(page_refs, ',') AS pages,
+    "quiz_view": _sql("""SELECT quiz_id, question_id, row_number() OVER (PARTITION BY quiz_id ORDER BY order_index, question_id) - 1 AS place, stem, difficulty,
+        array_to_string(list_transform(option_texts, lambda x: left(x, 1) || '=' || x), '|') AS options, array_to_string(page_refs, ',') AS pages,
         coalesce(array_to_string(c.section_path, '/'), '') AS section FROM v_question q LEFT JOIN v_chunk c ON c.chunk_id = q.source_chunk_ids[1]"""),
-    "passage_split": _sql(r"""SELECT document_id, chunk_no, part, heading, sha256(body) AS sha, least(page_start + part, page_end) AS page FROM (
-        SELECT *, row_number() OVER (PARTITION BY document_id, chunk_no ORDER BY i) - 1 AS part FROM (
-        SELECT document_id, chunk_no, page_start, page_end, i, CASE WHEN i > 0 THEN trim(split_part(part, chr(10), 1)) END AS heading,
-            array_to_string(list_filter(string_split(CASE WHEN i > 0 THEN CASE WHEN contains(part, chr(10)) THEN substr(part, length(split_part(part, chr(10), 1)) + 2) ELSE '' END ELSE part END, chr(10)), lambda x: trim(x) <> ''), chr(10)) AS body
-        FROM (SELECT document_id, chunk_no, page_start, page_end, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS i FROM (SELECT *, string_split_regex(text, '(?m)^###\s+') AS parts FROM q_slide_chunk)))
-        WHERE i > 0 OR body <> '')"""),
+    "passage_split": _sql(rf"""SELECT document_id, chunk_no, row_number() OVER (PARTITION BY document_id, chunk_no ORDER BY i) - 1 AS part, heading, sha256(body) AS sha, page FROM (
+        SELECT document_id, chunk_no, i, CASE WHEN i > 0 THEN nullif({V.STRIP.format("split_part(piece, chr(10), 1)")}, '') END AS heading,
+            CASE WHEN i > 0 THEN coalesce(array_to_string(list_transform(list_filter({V.LINES.format("rest")}, lambda x: {V.STRIP.format("x")} <> ''), lambda x: rtrim(x, {V.BLANK_CHARS})), chr(10)), '') ELSE {V.STRIP.format("piece")} END AS body,
+            CASE WHEN i > 0 THEN least(page_start + i - 1, page_end) ELSE page_start END AS page
+        FROM (SELECT *, {V.STRIP.format("substr(piece, length(split_part(piece, chr(10), 1)) + 1)")} AS rest FROM (
+            SELECT document_id, chunk_no, page_start, page_end, unnest(parts) AS piece, generate_subscripts(parts, 1) - 1 AS i FROM (SELECT *, string_split_regex(text, '(?m){Q.SLIDE_LINE}') AS parts FROM q_split_chunk))))
+        WHERE i > 0 OR body <> ''"""),
     "prompt_table": _sql("""SELECT question_id, sha256(t) AS sha, length(t) AS chars FROM (SELECT question_id, 'Write one ' || difficulty || ' question on ' || course_id || ' from this passage:' || chr(10) || passage || chr(10) || 'Use its words only.' AS t FROM v_mcq)"""),
 }

@@ -9,7 +9,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import token_count
+from ..functions.text import BLANK, BLANKS, LINE_END, WORD, token_count
 from .tables import table
 
 
@@ -34,7 +34,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages: a line of a document is a page; markers, breaks and footers are put in by rule."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     n = (F.col("i") + 1).cast("int")
-    footer = F.when(F.col("doc_id") % 4 == 0, F.lit("\nCourse footer")).otherwise("")
+    footer = F.when(F.col("doc_id") % 4 != 0, "").when(n % 2 == 0, "\x0b\u00a0COURSE\u2003 footer\u00a0").otherwise("\nCourse footer")
     text = F.concat(
         F.when(n % 19 == 0, F.lit(" \t")).otherwise(""),
         "line",
@@ -43,6 +43,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 17 == 0, F.lit("\uf0ce\uf061")).otherwise(""),
         F.when(n % 3 == 0, F.lit("\n\n\n\nafter\t")).otherwise(""),
         F.when(n % 23 == 0, F.lit("\n| a | b |\n\n| c | d |\n")).otherwise(""),
+        F.when(n % 10 == 0, F.lit("\x0bsoft\u00a0 break\rof a\u2028line \x0c")).otherwise(""),
+        F.when(n % 9 == 0, F.concat(F.lit("\r\nSlide\u00a0"), n, F.lit("\u2003of\u00a040\x85\u3000"))).otherwise(""),
+        F.when(n % 14 == 0, F.lit("\n\u00a0\n\x0c\n| a |\x0b\u00a0| b |\x0c")).otherwise(""),
         footer,
     )
     heading = F.when(n % 11 == 0, F.lit("Outline")).when((n - 1) % 5 == 0, F.array_join(F.slice(F.split("line", " ", -1), 1, 3), " "))
@@ -113,13 +116,21 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("l_linenumber")).alias("page_refs"),
         F.concat_ws(" ", F.lit("stem"), "l_returnflag", "l_linestatus", F.col("l_partkey").cast("string")).alias("stem"),
         (F.col("l_suppkey") % 10).cast("int").alias("topic_id"),
+        F.when(F.col("l_linenumber") % 3 == 0, "analysis").when(F.col("l_linenumber") % 3 == 1, "recall").otherwise("understanding").alias("difficulty"),
+        F.when(F.col("l_suppkey") % 11 != 0, F.array(*[F.struct(F.lit(i).alias("id"), F.concat(F.lit(f"{i}: "), F.col(c).cast("string")).alias("text"), (F.col("l_linenumber") % 4 == k).alias("is_correct"), F.lit("why").alias("why_wrong")) for k, (i, c) in enumerate(zip("ABCD", ("l_returnflag", "l_linestatus", "l_partkey", "l_suppkey")))])).alias("options"),
     )
 
 
+#: What the SQL strips from both ends of a text, and its lines.
+BLANK_CHARS = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+STRIP = f"trim({{}}, {BLANK_CHARS})"
+LINES = f"string_split_regex({{}}, '{LINE_END.replace('{', '{{').replace('}', '}}')}')"
+BLANK_RUN = f"[{BLANK}]+"
+
 # DuckDB's text of each view.
 SQL_VIEWS = {
-    "v_chunk": r"""SELECT doc_id AS chunk_id, doc_id AS document_id, source AS course_id, source || '/' || lang AS topic_id,
-        [source, lang] AS section_path, len(regexp_extract_all(text, '\S+')) AS token_count, 1 AS page_start,
+    "v_chunk": rf"""SELECT doc_id AS chunk_id, doc_id AS document_id, source AS course_id, source || '/' || lang AS topic_id,
+        [source, lang] AS section_path, len(regexp_extract_all(text, '{WORD}')) AS token_count, 1 AS page_start,
         len(string_split(text, chr(10))) AS page_end, CAST(doc_id % 4 AS INT) AS usage, text FROM documents""",
     "v_page": r"""SELECT doc_id AS document_id, source AS course_id, i AS number,
         CASE WHEN i % 11 = 0 THEN 'Outline' WHEN (i - 1) % 5 = 0 THEN array_to_string(list_slice(string_split(line, ' '), 1, 3), ' ') END AS heading,
@@ -128,7 +139,10 @@ SQL_VIEWS = {
              || CASE WHEN i % 17 = 0 THEN chr(61646) || chr(61537) ELSE '' END
              || CASE WHEN i % 3 = 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || 'after' || chr(9) ELSE '' END
              || CASE WHEN i % 23 = 0 THEN chr(10) || '| a | b |' || chr(10) || chr(10) || '| c | d |' || chr(10) ELSE '' END
-             || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Course footer' ELSE '' END AS text,
+             || CASE WHEN i % 10 = 0 THEN chr(11) || 'soft' || chr(160) || ' break' || chr(13) || 'of a' || chr(8232) || 'line ' || chr(12) ELSE '' END
+             || CASE WHEN i % 9 = 0 THEN chr(13) || chr(10) || 'Slide' || chr(160) || i || chr(8195) || 'of' || chr(160) || '40' || chr(133) || chr(12288) ELSE '' END
+             || CASE WHEN i % 14 = 0 THEN chr(10) || chr(160) || chr(10) || chr(12) || chr(10) || '| a |' || chr(11) || chr(160) || '| b |' || chr(12) ELSE '' END
+             || CASE WHEN doc_id % 4 <> 0 THEN '' WHEN i % 2 = 0 THEN chr(11) || chr(160) || 'COURSE' || chr(8195) || ' footer' || chr(160) ELSE chr(10) || 'Course footer' END AS text,
         CASE WHEN i % 12 = 0 THEN ' note distrib-' || chr(10) || 'uted' || chr(10) || chr(10) || chr(10) || chr(10) || i WHEN i % 4 = 0 THEN 'note ' || i END AS notes,
         CASE WHEN doc_id % 9 = 0 THEN 'deck' ELSE 'paper' END AS kind
         FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS i FROM documents)""",
@@ -145,7 +159,9 @@ SQL_VIEWS = {
         WHERE query_id >= 0 GROUP BY query_id""",
     "v_quiz": r"""SELECT o_orderkey AS quiz_id, CAST(o_custkey % 20 AS INT) AS course_id, o_orderdate AS created_at, o_totalprice AS duration_ms, o_orderstatus AS status FROM orders""",
     "v_question": r"""SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS question_id, l_orderkey AS quiz_id, l_linenumber AS order_index, [l_partkey] AS source_chunk_ids,
-        [l_linenumber] AS page_refs, 'stem ' || l_returnflag || ' ' || l_linestatus || ' ' || l_partkey AS stem, CAST(l_suppkey % 10 AS INT) AS topic_id FROM lineitem""",
+        [l_linenumber] AS page_refs, 'stem ' || l_returnflag || ' ' || l_linestatus || ' ' || l_partkey AS stem, CAST(l_suppkey % 10 AS INT) AS topic_id,
+        CASE l_linenumber % 3 WHEN 0 THEN 'analysis' WHEN 1 THEN 'recall' ELSE 'understanding' END AS difficulty,
+        CASE WHEN l_suppkey % 11 <> 0 THEN ['A: ' || l_returnflag, 'B: ' || l_linestatus, 'C: ' || l_partkey, 'D: ' || l_suppkey] ELSE [] END AS option_texts FROM lineitem""",
 }
 
 
