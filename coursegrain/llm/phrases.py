@@ -4,14 +4,16 @@ Texts become blocks of word numbers once. A phrase of k words that is frequent b
 with a frequent phrase of k - 1 words, so level k counts pairs of neighbours among these and
 nothing else, which leaves no frequent phrase out. A task counts a block in a HAT-trie: hash
 containers under a shallow trie of the number paths, which burst into smaller ones when full;
-when all of it holds too much, the largest subtree leaves whole as a sorted run. Runs are merged
-in partitions of path prefixes (the first number and the upper part of the second, so that the
-phrases of one very common word are in many partitions), and what is frequent there goes back
-to the blocks that have it. No dictionary is broadcast: each block gets its own share of the
-frequent words and phrases, so the plan is the same at every size."""
+when all of it holds too much, the largest subtree leaves whole as a sorted run. Runs travel
+packed, as differences of their keys, and are merged in partitions of path prefixes (the first
+number and the upper part of the second, so that the phrases of one very common word are in
+many partitions). What is frequent there goes back to the blocks that have it. No dictionary is
+broadcast: each block gets its own share of the frequent words and phrases, so the plan is the
+same at every size."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +28,14 @@ MOST_WORDS = 5
 LEAST = 100
 TOP = 2000
 #: Words of a block, bytes of text that become words at a time, keys that are sorted at a time.
-BLOCK_WORDS = 4_000_000
-SLICE_BYTES = 4 << 20
+BLOCK_WORDS = 1_000_000
+SLICE_BYTES = 2 << 20
 SLICE_KEYS = 1 << 18
 #: Entries of a container, and of all containers of a trie.
 BURST = 16_384
-MOST_ENTRIES = 600_000
+MOST_ENTRIES = 300_000
+#: Keys that are laid together at a time when runs are merged.
+MERGE_KEYS = 2_000_000
 #: Second numbers that share a path prefix.
 PATH_BITS = 8
 #: Parts into which a lang's phrases are dealt before the last ranking.
@@ -156,121 +160,227 @@ def _pieces(texts: list[bytes]) -> Iterator[bytes]:
         at = cut + 1
 
 
-BLOCKS = "block long, ids binary, lang string, word string, local int, k long"
+# Packed runs: a row holds a block's share of one prefix partition, keys ascending.
+RUNS = "part int, block long, lang string, ids binary, keys binary, more binary, k binary"
+_RUN_NAMES = ["part", "block", "lang", "ids", "keys", "more", "k"]
+#: What the merge of a level says: rows with a block tell it the numbers of its keys, the others are the frequent keys.
+MERGED = "part int, block long, lang string, keys binary, more binary, word string, first long, second long, f long, nth long"
+_MERGED_NAMES = ["part", "block", "lang", "keys", "more", "word", "first", "second", "f", "nth"]
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to blocks: one row with the numbers of all its words, -1 between pieces, and one row for each word."""
-    names = ["block", "ids", "lang", "word", "local", "k"]
-    part = TaskContext.get().partitionId()
-    state: dict = {}
+def _squeezed(x: np.ndarray) -> bytes:
+    """Ascending numbers as the zlib of their differences' bytes, plane by plane."""
+    d = np.diff(x, prepend=x.dtype.type(0))
+    return zlib.compress(d.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
 
-    def reset(no: int) -> None:
-        state.update(no=no, names=[], langs={}, arrays=[], size=0, owners=[])
 
-    def block() -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate(state["arrays"]) if state["arrays"] else np.zeros(0, np.int32)
-        counts = np.bincount(ids[ids >= 0], minlength=len(state["names"]))
-        n, no = len(counts), part << 33 | state["no"]
-        yield pa.record_batch([pa.array([no]), pa.array([ids.tobytes()], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names=names)
-        if n:
-            words = pa.array(state["names"], pa.binary()).cast(pa.string())
-            owners = pa.array(state["owners"], pa.string())
-            yield pa.record_batch([pa.array(np.full(n, no)), pa.nulls(n, pa.binary()), owners, words, pa.array(np.arange(n, dtype=np.int32)), pa.array(counts.astype(np.int64))], names=names)
-        reset(state["no"] + 1)
+def _loosened(b: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(b), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel(), dtype=kind)
 
-    reset(0)
-    for b in batches:
-        by_lang: dict[str, list[int]] = {}
-        for i, lang in enumerate(b.column(0).to_pylist()):
-            by_lang.setdefault(lang, []).append(i)
-        texts = b.column(1).cast(pa.binary())
-        for lang, at in by_lang.items():
-            for piece in _pieces(texts.take(pa.array(at)).to_pylist()):
-                tokens = piece.replace(b"\n", b" " + _END + b" ").split()
-                own = state["langs"].get(lang)
-                if own is None:
-                    own = state["langs"][lang] = _Words(state["names"])
-                ids = np.fromiter(map(own.__getitem__, tokens), np.int32, len(tokens))
-                state["owners"] += [lang] * (len(state["names"]) - len(state["owners"]))
-                state["arrays"] += [ids, np.array([-1], np.int32)]
-                state["size"] += len(ids)
-                if state["size"] >= BLOCK_WORDS:
-                    yield from block()
-    if state["size"]:
-        yield from block()
-
-
-def _frequent(rows: DataFrame, key: list[str], least: int, name: str) -> DataFrame:
-    """The rows (block, *key, k, ...) of keys with a sum of k of least or more, with that sum f and the key's number id.
-
-    rows are parted by the key or a part of it, in which one window sums and ranks them."""
-    by = Window.partitionBy(*key)
-    kept = rows.withColumns({"f": F.sum("k").over(by), "head": F.row_number().over(by.orderBy("block")) == 1}).filter(F.col("f") >= least).drop("k")
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of a key follow each other: each head has the next number of this partition."""
-        part, at = TaskContext.get().partitionId(), -1
+
+def _run_row(part: int | None, block: int, lang: str | None, ids: bytes | None, keys: bytes | None, more: bytes | None, k: bytes | None) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.record_batch([pa.array([v], t) for v, t in zip((part, block, lang, ids, keys, more, k), kinds)], names=_RUN_NAMES)
+
+
+def _paths(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The prefix partition of each key: by the first number and the upper bits of the second."""
+    h = (keys >> np.uint64(PATH_BITS)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _encode(parts: int):
+    """(lang, text) to blocks: one row with the numbers of all its words, -1 between pieces, and
+    for each lang and partition the words that it has there, their numbers and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        state: dict = {}
+
+        def reset(no: int) -> None:
+            state.update(no=no, names=[], langs={}, arrays=[], size=0)
+
+        def block() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate(state["arrays"])
+            counts = np.bincount(ids[ids >= 0], minlength=len(state["names"]))
+            no = task << 33 | state["no"]
+            yield _run_row(None, no, None, ids.tobytes(), None, None, None)
+            for lang, own in state["langs"].items():
+                words = sorted(w for w in own if w != _END)
+                of: list[list[bytes]] = [[] for _ in range(parts)]
+                for w in words:
+                    of[zlib.crc32(w) % parts].append(w)
+                for p, some in enumerate(of):
+                    if some:
+                        local = np.fromiter(map(own.__getitem__, some), np.int32, len(some))
+                        yield _run_row(p, no, lang, None, zlib.compress(b"\n".join(some), 1), zlib.compress(local.tobytes(), 1), zlib.compress(counts[local].tobytes(), 1))
+            reset(state["no"] + 1)
+
+        reset(0)
         for b in batches:
-            n = at + np.cumsum(b.column("head").to_numpy(zero_copy_only=False).astype(np.int64))
-            if len(n):
-                at = int(n[-1])
-            yield pa.record_batch([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(n)], names=[*b.schema.names, "part", "nth"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
-    kept = written(kept.mapInArrow(number, f"{schema}, part int, nth long"), name)
-    # One row for each partition.
-    sizes = sorted((r["part"], r["n"]) for r in kept.groupBy("part").agg((F.max("nth") + 1).alias("n")).collect())
+            by_lang: dict[str, list[int]] = {}
+            for i, lang in enumerate(b.column(0).to_pylist()):
+                by_lang.setdefault(lang, []).append(i)
+            texts = b.column(1).cast(pa.binary())
+            for lang, at in by_lang.items():
+                for piece in _pieces(texts.take(pa.array(at)).to_pylist()):
+                    tokens = piece.replace(b"\n", b" " + _END + b" ").split()
+                    own = state["langs"].get(lang)
+                    if own is None:
+                        own = state["langs"][lang] = _Words(state["names"])
+                    state["arrays"] += [np.fromiter(map(own.__getitem__, tokens), np.int32, len(tokens)), np.array([-1], np.int32)]
+                    state["size"] += len(tokens)
+                    if state["size"] >= BLOCK_WORDS:
+                        yield from block()
+        if state["size"]:
+            yield from block()
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(part, lang) and the rows (block, keys, more, k) of each, of rows sorted by them."""
+    at, held = None, []
+    for b in batches:
+        for i in range(b.num_rows):
+            part, block, lang, _, keys, more, k = (b.column(j)[i].as_py() for j in range(7))
+            if (part, lang) != at:
+                if held:
+                    yield at, held
+                at, held = (part, lang), []
+            held.append((block, keys, more, k))
+    if held:
+        yield at, held
+
+
+def _told(part: int, block: int, lang: str | None, keys: bytes, more: bytes) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string(), *[pa.int64()] * 4]
+    return pa.record_batch([pa.array([v], t) for v, t in zip((part, block, lang, keys, more, None, None, None, None, None), kinds)], names=_MERGED_NAMES)
+
+
+def _frequent_rows(part: int, lang: str | None, nth: int, words: pa.Array | None, first: pa.Array | None, second: pa.Array | None, f: np.ndarray) -> pa.RecordBatch:
+    n = len(f)
+    null = lambda kind: pa.nulls(n, kind)
+    columns = [pa.array(np.full(n, part, np.int32)), null(pa.int64()), pa.array([lang] * n, pa.string()), null(pa.binary()), null(pa.binary()), words or null(pa.string()), first or null(pa.int64()), second or null(pa.int64()), pa.array(f.astype(np.int64)), pa.array(np.arange(nth, nth + n))]
+    return pa.record_batch(columns, names=_MERGED_NAMES)
+
+
+def _merge_words(least: int):
+    """The runs of words of a partition and lang: frequent ones get numbers, and their blocks hear of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        next_of: dict[int, int] = {}
+        for (part, lang), rows in _groups(batches):
+            total: dict[bytes, int] = {}
+            get = total.get
+            for _, keys, _, k in rows:
+                for w, c in zip(zlib.decompress(keys).split(b"\n"), np.frombuffer(zlib.decompress(k), np.int64).tolist()):
+                    total[w] = get(w, 0) + c
+            # The sum over all words, rare ones too, stands in a row of its own, without a word.
+            yield _frequent_rows(part, lang, -1, None, None, None, np.array([sum(total.values())]))
+            some = sorted(w for w, c in total.items() if c >= least)
+            if not some:
+                continue
+            nth = next_of.get(part, 0)
+            number = {w: nth + i for i, w in enumerate(some)}
+            next_of[part] = nth + len(some)
+            yield _frequent_rows(part, lang, nth, pa.array(some, pa.binary()).cast(pa.string()), None, None, np.array([total[w] for w in some]))
+            for block, keys, more, _ in rows:
+                of = np.array([number.get(w, -1) for w in zlib.decompress(keys).split(b"\n")], np.int64)
+                ok = of >= 0
+                if ok.any():
+                    yield _told(part, block, lang, np.frombuffer(zlib.decompress(more), np.int32)[ok].astype(np.uint64).tobytes(), of[ok].tobytes())
+
+    return run
+
+
+def _merge_pairs(least: int):
+    """As _merge_words for runs of pairs: sorted runs are laid together and their counts added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part, _), rows in _groups(batches):
+            keys, counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+            def settle():
+                every, at = np.unique(np.concatenate([keys, *(x for x, _ in waiting)]), return_inverse=True)
+                return every, np.bincount(at, np.concatenate([counts, *(c for _, c in waiting)]), len(every)).astype(np.int64)
+
+            size = 0
+            for _, own, _, k in rows:
+                waiting.append((_loosened(own, np.uint64), np.frombuffer(zlib.decompress(k), np.int64)))
+                size += len(waiting[-1][0])
+                if size > MERGE_KEYS:
+                    keys, counts = settle()
+                    waiting, size = [], 0
+            keys, counts = settle()
+            some, f = keys[counts >= least], counts[counts >= least]
+            if not len(some):
+                continue
+            yield _frequent_rows(part, None, 0, None, pa.array((some >> np.uint64(32)).astype(np.int64)), pa.array((some & np.uint64(0xFFFFFFFF)).astype(np.int64)), f)
+            for block, own, _, _ in rows:
+                hit = np.flatnonzero(np.isin(some, _loosened(own, np.uint64), assume_unique=True))
+                if len(hit):
+                    yield _told(part, block, None, some[hit].tobytes(), hit.astype(np.int64).tobytes())
+
+    return run
+
+
+def _merged(runs: DataFrame, merge, name: str) -> tuple[DataFrame, dict[int, int]]:
+    """What merge tells of the runs, and where each partition's numbers begin."""
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = runs.filter("part is not null").repartition(n, "part").sortWithinPartitions("part", "lang", "block")
+    told = written(rows.mapInArrow(merge, MERGED), name)
+    # A row for each partition: fewer than there are tasks.
+    sizes = sorted((r["part"], r["n"]) for r in told.filter("nth >= 0").groupBy("part").agg((F.max("nth") + 1).alias("n")).collect())
     ends = np.cumsum([n for _, n in sizes]).tolist()
-    starts = [(p, end - n) for (p, n), end in zip(sizes, ends)]
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start long"))
-    return kept.join(offsets, "part").withColumn("id", F.col("start") + F.col("nth")).drop("part", "start", "nth")
+    return told, {p: end - n for (p, n), end in zip(sizes, ends)}
 
 
-def _runs(first: bool, burst: int, most: int):
-    """(block, ids, words, news) to the block in the new numbers and the runs of its neighbours' pairs.
+def _count_blocks(first: bool, starts: dict[int, int], parts: int, burst: int, most: int):
+    """(block, ids, told) to the block in the new numbers and the packed runs of its neighbours' pairs.
 
-    words and news are the numbers (in the first level the local ones, then pairs) that have new
-    numbers; others become -1. Numbers without a neighbour on either side make no pair and go."""
+    told lists a block's keys and their numbers by partition. In the first level keys are the
+    numbers that words have in the block, later they are pairs; what isn't told becomes -1.
+    Numbers without a neighbour on either side make no pair and go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "ids", "first", "second", "k"]
         for b in batches:
             for i in range(b.num_rows):
-                block, old = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                routed = b.column(2)[i].values
-                a, c, new = (x.to_numpy(zero_copy_only=False) for x in routed.flatten()) if routed is not None and len(routed) else (np.zeros(0, np.int64),) * 3
-                ids = np.frombuffer(old, np.int32 if first else np.int64)
-                if first:
-                    names_of = np.full(int(max(ids.max(initial=-1), a.max(initial=-1))) + 2, -1, np.int64)
-                    names_of[a] = new
-                    grams = names_of[ids]
-                else:
-                    pairs = _pairs(ids)
-                    known = a.astype(np.uint64) << np.uint64(32) | c.astype(np.uint64)
-                    order = np.argsort(known)
-                    known, new = known[order], new[order]
-                    grams = np.full(max(len(ids) - 1, 0), -1, np.int64)
-                    if len(known):
-                        ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                        at = np.searchsorted(known, pairs)
-                        at[at == len(known)] = 0
-                        grams[ok] = np.where(known[at] == pairs, new[at], -1)
-                grams = _packed(grams)
+                block, told = b.column(0)[i].as_py(), b.column(2)[i].as_py()
+                known = np.concatenate([np.frombuffer(t["keys"], np.uint64) for t in told])
+                new = np.concatenate([np.frombuffer(t["more"], np.int64) + starts[t["part"]] for t in told])
+                grams = _packed(_renamed(np.frombuffer(b.column(1)[i].as_py(), np.int32 if first else np.int64), known, new, first))
                 out: list[tuple[np.ndarray, np.ndarray]] = []
                 trie = HatTrie(lambda k, n: out.append((k, n)), burst, most)
                 keys = _pairs(grams)
                 for lo in range(0, len(keys), SLICE_KEYS):
                     trie.add(*np.unique(keys[lo : lo + SLICE_KEYS], return_counts=True))
-                    yield from _emitted(block, out, names)
                 trie.drain()
-                yield from _emitted(block, out, names)
-                if len(grams):
-                    yield pa.record_batch([pa.array([block]), pa.array([grams.tobytes()], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(3))], names=names)
+                yield from _packed_runs(block, out, parts)
+                if len(keys):
+                    yield _run_row(None, block, None, grams.tobytes(), None, None, None)
 
     return run
 
 
+def _renamed(ids: np.ndarray, known: np.ndarray, new: np.ndarray, first: bool) -> np.ndarray:
+    """For each place (each pair of neighbours, after the first level) the new number, or -1."""
+    if first:
+        of = np.full(int(max(ids.max(initial=-1), known.max(initial=0))) + 2, -1, np.int64)
+        of[known.astype(np.int64)] = new
+        return of[ids]
+    order = np.argsort(known)
+    known, new = known[order], new[order]
+    grams = np.full(max(len(ids) - 1, 0), -1, np.int64)
+    pairs = _pairs(ids)
+    at = np.searchsorted(known, pairs)
+    at[at == len(known)] = 0
+    grams[(ids[:-1] >= 0) & (ids[1:] >= 0)] = np.where(known[at] == pairs, new[at], -1)
+    return grams
+
+
 def _pairs(grams: np.ndarray) -> np.ndarray:
     """Neighbours as one key each, where neither is -1."""
     ok = (grams[:-1] >= 0) & (grams[1:] >= 0)
@@ -285,19 +395,24 @@ def _packed(grams: np.ndarray) -> np.ndarray:
     return np.where(paired, grams, -1)[paired | after]
 
 
-def _emitted(block: int, out: list, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for keys, counts in out:
-        n = len(keys)
-        yield pa.record_batch([pa.array(np.full(n, block)), pa.nulls(n, pa.binary()), pa.array((keys >> np.uint64(32)).astype(np.int64)), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(counts)], names=names)
-    out.clear()
+def _packed_runs(block: int, runs: list[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """A row for each prefix partition that the runs of a block reach; runs of one block are sums of one key."""
+    if not runs:
+        return
+    keys, counts = (np.concatenate(x) for x in zip(*runs))
+    to = _paths(keys, parts)
+    order = np.lexsort((keys, to))
+    keys, counts, to = keys[order], counts[order], to[order]
+    cuts = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield _run_row(int(to[lo]), block, None, None, _squeezed(keys[lo:hi]), None, zlib.compress(counts[lo:hi].tobytes(), 1))
 
 
-def _level(blocks: DataFrame, routed: DataFrame, first: bool, burst: int, most: int) -> DataFrame:
-    """Blocks in the numbers of the frequent keys routed to them, and the runs of their pairs."""
-    a, c = ("local", "local") if first else ("first", "second")
-    own = routed.groupBy("block").agg(F.collect_list(F.struct(F.col(a).cast("long").alias("a"), F.col(c).cast("long").alias("c"), "id")).alias("routed"))
-    met = blocks.join(own, "block").select("block", "ids", "routed")
-    return written(met.mapInArrow(_runs(first, burst, most), "block long, ids binary, first long, second long, k long"), "phrase-runs")
+def _level(blocks: DataFrame, told: DataFrame, starts: dict[int, int], first: bool, parts: int, burst: int, most: int) -> DataFrame:
+    """Blocks in the numbers of the frequent keys they have, and the packed runs of their pairs."""
+    own = told.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "keys", "more")).alias("told"))
+    met = blocks.join(own, "block").select("block", "ids", "told")
+    return written(met.mapInArrow(_count_blocks(first, starts, parts, burst, most), RUNS), "phrase-runs", "zstd")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, burst: int = BURST, most: int = MOST_ENTRIES) -> tuple[DataFrame, list[DataFrame]]:
@@ -305,27 +420,26 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST
 
     Phrases occur least times or more within pieces. heads are the counts of their first one,
     two, ... words, tails those of their last ones; both end with the phrase's own count."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = written(d.mapInArrow(_encode, BLOCKS), "phrase-blocks")
-    words = coded.filter("word is not null").select("block", "lang", "word", "local", "k")
-    totals = words.groupBy("lang").agg(F.sum("k").alias("n"))
-    routed = _frequent(words, ["lang", "word"], least, "frequent-words")
-    heads = routed.filter("head")
-    one = written(heads.select("id", "lang", F.array("word").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails")), "phrases-1")
-    levels = [one]
-    blocks = coded.filter("ids is not null").select("block", "ids")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = written(d.mapInArrow(_encode(parts), RUNS), "phrase-blocks", "zstd")
+
+    def numbered(told: DataFrame, starts: dict[int, int]) -> DataFrame:
+        """The frequent keys with their number id."""
+        at = F.broadcast(docs.sparkSession.createDataFrame(sorted(starts.items()), "part int, start long"))
+        return told.filter("nth >= 0").join(at, "part").withColumn("id", F.col("start") + F.col("nth"))
+
+    told, starts = _merged(runs, _merge_words(least), "frequent-words")
+    totals = told.filter("nth = -1").groupBy("lang").agg(F.sum("f").alias("n")).filter("n > 0")
+    levels = [written(numbered(told, starts).select("id", "lang", F.array("word").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails")), "phrases-1")]
     for k in range(2, most_words + 1):
-        runs = _level(blocks, routed, k == 2, burst, most)
-        pairs = runs.filter("first is not null").select("block", "first", "second", "k").withColumn("path", F.shiftright("second", PATH_BITS))
-        merged = pairs.repartition(n, "first", "path")
-        routed = _frequent(merged, ["first", "path", "second"], least, f"frequent-{k}")
+        runs = _level(runs.filter("ids is not null").select("block", "ids"), told, starts, k == 2, parts, burst, most)
+        told, starts = _merged(runs, _merge_pairs(least), f"frequent-{k}")
         before = levels[-1]
-        p = before.select(F.col("id").alias("first"), "lang", F.col("words").alias("w"), F.col("heads").alias("h"))
+        p = before.select(F.col("id").alias("first"), F.col("lang").alias("of"), F.col("words").alias("w"), F.col("heads").alias("h"))
         s = before.select(F.col("id").alias("second"), F.element_at("words", -1).alias("last"), F.col("tails").alias("t"))
-        grams = routed.filter("head").select("id", "first", "second", "f").join(p, "first").join(s, "second")
-        levels.append(written(grams.select("id", "lang", F.array_append("w", F.col("last")).alias("words"), F.array_append("h", F.col("f")).alias("heads"), F.array_append("t", F.col("f")).alias("tails"), "first", "second"), f"phrases-{k}"))
-        blocks = runs.filter("ids is not null").select("block", "ids")
+        grams = numbered(told, starts).select("id", "first", "second", "f").join(p, "first").join(s, "second")
+        levels.append(written(grams.select("id", F.col("of").alias("lang"), F.array_append("w", F.col("last")).alias("words"), F.array_append("h", F.col("f")).alias("heads"), F.array_append("t", F.col("f")).alias("tails"), "first", "second"), f"phrases-{k}"))
     return totals, levels
 
 

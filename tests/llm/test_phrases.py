@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -78,11 +79,15 @@ def test_blocks_and_slices_end_between_pieces():
 
         with mock.patch.object(P, "TaskContext") as context:
             context.get.return_value.partitionId.return_value = 2
-            got = [b for b in P._encode(iter([pa.record_batch([pa.array([x or "und" for x, _ in rows]), pa.array([t for _, t in rows])], names=["lang", "text"])]))]
+            got = [b for b in P._encode(3)(iter([pa.record_batch([pa.array([x or "und" for x, _ in rows]), pa.array([t for _, t in rows])], names=["lang", "text"])]))]
     finally:
         P.BLOCK_WORDS, P.SLICE_BYTES = before
     table = pa.Table.from_batches(got).to_pylist()
-    words = {(r["block"], r["local"]): r["word"] for r in table if r["word"] is not None}
+    words = {}
+    for r in table:
+        if r["keys"] is not None:
+            own = zlib.decompress(r["keys"]).decode().split("\n")
+            words.update({(r["block"], int(i)): w for i, w in zip(np.frombuffer(zlib.decompress(r["more"]), np.int32), own)})
     runs = Counter()
     for r in table:
         if r["ids"] is not None:
@@ -116,6 +121,16 @@ def test_the_trie_counts_as_a_dictionary_does():
         assert got == want and trie.size == 0
 
 
+def test_packed_keys_come_back():
+    r = np.random.default_rng(8)
+    for n in (0, 1, 1000):
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        assert (P._loosened(P._squeezed(x), np.uint64) == x).all()
+    x = np.unique(r.integers(0, 1 << 62, 500).astype(np.uint64))
+    rows = [b.to_pylist()[0] for b in P._packed_runs(5, [(x[::2], np.arange(len(x[::2])) + 1), (x[1::2], np.arange(len(x[1::2])) + 1)], 7)]
+    assert sorted(k for row in rows for k in P._loosened(row["keys"], np.uint64).tolist()) == x.tolist() and len({row["part"] for row in rows}) == len(rows)
+
+
 def test_products_beyond_64_bits(spark):
     one = spark.createDataFrame([("en", 9 * 10**15)], "lang string, n long")
     levels = [None, spark.createDataFrame([(1, "en", ["a", "b"], [4 * 10**15, 3 * 10**15], [3 * 10**15, 3 * 10**15], 1, 2)], "id long, lang string, words array<string>, heads array<long>, tails array<long>, first long, second long")]
