@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Tunables
 from ..functions.text import word_list
+from .ranks import quantiles
 
 
 def retrieval_eval(expected: DataFrame, hits: DataFrame, k: int = DEFAULTS.top_k) -> DataFrame:
@@ -59,18 +60,12 @@ def groundedness(rows: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
 def compare_runs(log: DataFrame) -> DataFrame:
     """label, questions, first_attempt, failures, p50, p95 from log (label, code, attempt, ms).
 
-    p95 is the value sorted[min(n - 1, floor(0.95 n))]. Equal values are counted before any
-    window, so that no task sorts a whole run."""
-    counts = log.groupBy("label", "ms").agg(F.count(F.lit(1)).alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("label").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("k").over(Window.partitionBy("label"))
-    place = counts.withColumn("upto", upto).withColumn("wanted", F.least(n - 1, F.floor(n * 0.95)))
-    high = place.filter(F.col("upto") > F.col("wanted")).groupBy("label").agg(F.round(F.min("ms"), 6).alias("p95"))
-    d = log.groupBy("label").agg(
-        F.count(F.lit(1)).alias("questions"), F.count_if((F.col("code") == "") & (F.col("attempt") == 1)).alias("first_attempt"), F.count_if(F.col("code") != "").alias("failures"),
-        F.round(F.percentile("ms", 0.5), 6).alias("p50"),
-    )
-    return d.join(high, "label")
+    p95 is the value sorted[min(n - 1, floor(0.95 n))]. Both are exact, and no task sorts or
+    holds a run. A run without any ms has nulls there; a null label is a run."""
+    spots = quantiles(log, ["label"], F.col("ms"), {"p50": 0.5, "p95": ("floor", 0.95)})
+    spots = spots.select(F.col("label").alias("of"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+    d = log.groupBy("label").agg(F.count(F.lit(1)).alias("questions"), F.count_if((F.col("code") == "") & (F.col("attempt") == 1)).alias("first_attempt"), F.count_if(F.col("code") != "").alias("failures"))
+    return d.join(spots, d["label"].eqNullSafe(spots["of"]), "left").drop("of")
 
 
 def failure_histogram(failures: DataFrame, by: str) -> DataFrame:
@@ -86,13 +81,16 @@ def failure_totals(runs: DataFrame) -> DataFrame:
 def generation_quality(runs: DataFrame) -> DataFrame:
     """course_id, quizzes, questions, pass_rate weighted by questions, latency p50, p95 and most.
 
-    runs has course_id, question_count, pass_rate, ms and attempts."""
+    runs has course_id, question_count, pass_rate, ms and attempts. Quantiles are exact, and no
+    task sorts or holds a course; a course without attempts has nulls there."""
     each = F.col("ms") / F.nullif(F.col("attempts"), F.lit(0))
-    return runs.groupBy("course_id").agg(
+    spots = quantiles(runs, ["course_id"], each, {"latency_p50": 0.5, "latency_p95": 0.95})
+    spots = spots.select(F.col("course_id").alias("of"), *[F.round(c, 6).alias(c) for c in ("latency_p50", "latency_p95")])
+    d = runs.groupBy("course_id").agg(
         F.count(F.lit(1)).alias("quizzes"), F.sum("question_count").alias("questions"),
-        F.round(F.sum(F.col("pass_rate") * F.col("question_count")) / F.sum("question_count"), 6).alias("pass_rate"),
-        F.round(F.percentile(each, 0.5), 6).alias("latency_p50"), F.round(F.percentile(each, 0.95), 6).alias("latency_p95"), F.round(F.max(each), 6).alias("latency_max"),
+        F.round(F.sum(F.col("pass_rate") * F.col("question_count")) / F.sum("question_count"), 6).alias("pass_rate"), F.round(F.max(each), 6).alias("latency_max"),
     )
+    return d.join(spots, d["course_id"].eqNullSafe(spots["of"]), "left").drop("of")
 
 
 def gate(metrics: list[tuple[DataFrame, str, float]]) -> DataFrame:

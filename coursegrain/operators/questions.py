@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Tunables
 from ..functions.text import BLANKS, any_script, cosine, stripped, text_lines
-from ..sources.tables import written
-from .joins import salted_join
+from .stems import semantic_dedup
 
 OPTION = "struct<id:string,text:string,is_correct:boolean,why_wrong:string>"
 QUESTION = f"stem string, options array<{OPTION}>, explanation string, difficulty string, _corrupt string"
@@ -128,102 +124,6 @@ def recent_stems(quizzes: DataFrame, questions: DataFrame, t: Tunables = DEFAULT
     return questions.join(last.select("course_id", "quiz_id"), "quiz_id").select("course_id", "quiz_id", "question_id", "stem")
 
 
-def _bucket_keys(tables: int, hashes: int, width: float):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keys(vectors: pd.Series) -> pd.Series:
-        """Quantised Gaussian projections of normalised vectors, hashes of them to a key."""
-        out = []
-        for v in vectors:
-            x = np.zeros(0) if v is None else np.asarray(v, np.float64)
-            size = np.sqrt((x * x).sum())
-            if not np.isfinite(size) or size == 0:
-                out.append([])
-                continue
-            r = np.random.default_rng([11, len(x)])
-            a, shift = r.standard_normal((len(x), tables * hashes)), r.random(tables * hashes)
-            cells = np.floor(x / size @ a / width + shift).astype(np.int64).reshape(tables, hashes)
-            key = np.arange(tables, dtype=np.int64)
-            for j in range(hashes):
-                key = key * np.int64(6364136223846793005) + cells[:, j] * np.int64(1442695040888963407)
-                key ^= key >> np.int64(29)
-            out.append(key.tolist())
-        return pd.Series(out)
-
-    return keys
-
-
-def _met(spread: DataFrame, block: int) -> DataFrame:
-    """v1 < v2: nodes that share a bucket, of rows (v, course_id, bucket).
-
-    A bucket of more than block nodes is cut into parts, and each pair of parts is a key of its
-    own in the join, so that no task holds a large bucket whole."""
-    sizes = spread.groupBy("course_id", "bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    sizes = written(sizes.select("course_id", "bucket", "k", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("parts")), "stem-buckets")
-    on = ["course_id", "bucket"]
-    rows = salted_join(spread, sizes.drop("k"), on, ["v"], counts=sizes.drop("parts"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - F.lit(1))))
-    rows = rows.select(F.xxhash64("course_id", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "v", "own", "other")
-    x, y = rows.alias("x"), rows.alias("y")
-    # A pair of one part meets in the group of that part with itself only.
-    across = (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
-    return x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.v") < F.col("y.v")) & across).select(F.col("x.v").alias("v1"), F.col("y.v").alias("v2")).distinct()
-
-
-def similar_pairs(rows: DataFrame, least: float, tables: int = 48, hashes: int = 6, width: float = 1.5, block: int = 2048) -> DataFrame:
-    """a, b: the first rows of two vectors of one course of cosine least or more, a before b.
-
-    rows has the columns id, v, course_id, place, embedding, one row for each vector (v is its
-    hash). Pairs come from buckets of projections (a pair at cosine 0.92 shares none of 48 with
-    probability below 1e-6) and are checked exactly."""
-    spread = written(rows.select("v", "course_id", F.explode(_bucket_keys(tables, hashes, width)("embedding")).alias("bucket")), "stem-spread")
-    side = lambda i: rows.select(F.col("v").alias(f"v{i}"), F.struct("place", "id").alias(f"p{i}"), F.col("embedding").alias(f"e{i}"))
-    near = _met(spread, block).join(side(1), "v1").join(side(2), "v2").filter(cosine(F.col("e1"), F.col("e2")) >= least)
-    low, high = F.least("p1", "p2"), F.greatest("p1", "p2")
-    return near.select(low["id"].alias("a"), high["id"].alias("b"), low["place"].alias("pa"))
-
-
-def semantic_dedup(rows: DataFrame, least: float = DEFAULTS.stem_cosine) -> DataFrame:
-    """id, accepted, matched: each row in its place is accepted unless an accepted one before is near.
-
-    Equal vectors of a course are near to the same rows, so the first of them stands for all:
-    if it is accepted the others match it, and else they match what it matches. (A vector whose
-    cosine with itself is below least, as a zero vector's is, is near to nothing.) A round
-    accepts the rows whose earlier neighbours are all rejected and rejects the later neighbours
-    of these; it ends when every row is decided. matched is the earliest accepted neighbour.
-    This isn't the same as dropping every row with an earlier neighbour."""
-    keyed = rows.withColumn("v", F.xxhash64("course_id", "embedding"))
-    none = F.lit(None).cast(rows.schema["id"].dataType)
-    itself = F.coalesce(cosine(F.col("embedding"), F.col("embedding")) >= least, F.lit(False))
-    lone = keyed.filter(~itself).select("id", F.lit(True).alias("accepted"), none.alias("matched"))
-    keyed = written(keyed.filter(itself).select("id", "place", "v", "course_id", "embedding"), "stem-rows")
-    first = keyed.groupBy("v").agg(F.min(F.struct("place", "id")).alias("f"), F.first("course_id").alias("course_id"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("k"))
-    first = written(first.select("v", "f.id", "f.place", "course_id", "embedding", "k"), "stems")
-
-    pairs = written(similar_pairs(first, least), "stem-pairs")
-    open_ = written(first.select("id"), "open")
-    done, left = None, pairs
-    while not open_.isEmpty():
-        now = written(open_.join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "accepted")
-        out = written(left.join(now.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "rejected")
-        round_ = now.withColumn("accepted", F.lit(True)).unionByName(out.withColumn("accepted", F.lit(False)))
-        done = round_ if done is None else done.unionByName(round_)
-        open_ = written(open_.join(round_, "id", "left_anti"), "open")
-        gone = out.withColumnRenamed("id", "x")
-        left = left.join(gone, left["a"] == gone["x"], "left_anti").join(gone, left["b"] == gone["x"], "left_anti")
-        left = written(left, "stem-pairs")
-    if done is None:
-        return lone
-    accepted = done.filter("accepted").select(F.col("id").alias("a"))
-    best = pairs.join(accepted, "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct("pa", "a")).alias("matched"))
-    fate = done.join(best.withColumnRenamed("id", "x"), (F.col("id") == F.col("x")) & ~F.col("accepted"), "left").select(F.col("id").alias("head"), "accepted", "matched")
-    fate = fate.join(first.select(F.col("id").alias("head"), "v", "k"), "head")
-    fate = written(fate, "stem-fates")
-    every = salted_join(keyed.select("id", "v"), fate.drop("k"), ["v"], ["id"], counts=fate.select("v", "k"))
-    is_head = F.col("id") == F.col("head")
-    every = every.select("id", (is_head & F.col("accepted")).alias("accepted"), F.when(F.col("accepted"), F.when(is_head, none).otherwise(F.col("head"))).otherwise(F.col("matched")).alias("matched"))
-    return every.unionByName(lone)
-
-
 def best_attempts(attempts: DataFrame, most: int = 2) -> DataFrame:
     """passage_id, attempt, outcome: the first that passed, else the last failure.
 

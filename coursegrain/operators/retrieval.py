@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Tunables
-from ..functions.text import cosine, fuzzy_ratio
 from ..sources.tables import written
+from .fuzzy import fuzzy_matches
 from .vector_index import SHORTLIST, Cells, build_index, candidates, fit_cells
 
 #: Bytes of query vectors that are broadcast.
@@ -108,11 +108,8 @@ def vector_topk_ivf(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.to
 def fuzzy_topics(queries: DataFrame, topics: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
     """query_id, topic_id, ratio of the course's topics whose names are near the query's text.
 
-    Pairs whose lengths rule the threshold out are left before the ratio is taken."""
-    j = queries.join(topics, "course_id")
-    a, b = F.length("text"), F.length("name")
-    j = j.filter(200.0 * F.least(a, b) >= t.fuzzy_threshold * (a + b))
-    return j.withColumn("ratio", fuzzy_ratio("text", "name")).filter(F.col("ratio") >= t.fuzzy_threshold).select("query_id", "topic_id", "ratio")
+    Texts and names meet by their rarest runs of characters, not query by topic."""
+    return fuzzy_matches(queries, topics, t.fuzzy_threshold)
 
 
 def resolve_scope(requests: DataFrame, topics: DataFrame, vectors: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:

@@ -55,16 +55,27 @@ def allocate_quota(topics: DataFrame, capacity: Column | None = None) -> DataFra
 def allocate_capped(quotas: DataFrame) -> DataFrame:
     """quota cut to capacity; what is over goes round by weight, one at a time, to who has room.
 
-    No loop: a topic's r-th extra unit is a row, and the first units in the order of round and
-    weight are given out."""
+    No loop, and no row for a unit: the surplus rises like water over the topics' room. After
+    level full rounds every topic has got level units or is full. The level is found from the
+    rooms in ascending order and their running sums: where i of m topics are full, the others
+    share what is left of the surplus evenly. What doesn't make a full round goes to the first
+    topics by weight that still have room."""
     own = Window.partitionBy("request_id")
     d = quotas.withColumn("taken", F.least("quota", "capacity"))
     d = d.withColumn("slack", F.col("capacity") - F.col("taken")).withColumn("surplus", F.sum(F.col("quota") - F.col("taken")).over(own))
-    units = d.filter("slack > 0 and surplus > 0").select("request_id", "topic_id", "weight", "surplus", F.explode(F.sequence(F.lit(1).cast("long"), F.least("slack", "surplus"))).alias("r"))
-    given = units.withColumn("nth", F.row_number().over(own.orderBy("r", F.desc("weight"), "topic_id"))).filter("nth <= surplus")
-    extra = given.groupBy("request_id", "topic_id").agg(F.count(F.lit(1)).alias("extra"))
-    out = d.join(extra, ["request_id", "topic_id"], "left")
-    return out.withColumn("allocated", F.col("taken") + F.coalesce("extra", F.lit(0))).drop("taken", "slack", "surplus", "extra")
+    up = own.orderBy("slack", "topic_id")
+    before = F.coalesce(F.sum("slack").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = F.count(F.lit(1)).over(own) - F.row_number().over(up) + 1
+    # With the smaller rooms full, this topic and those above would be at this height.
+    height = F.floor((F.col("surplus") - before) / above)
+    d = d.withColumn("height", height).withColumn("level", F.max(F.when(F.col("slack") > F.col("height"), F.col("height"))).over(own))
+    # No topic with more room than that: the surplus fills all of them.
+    d = d.withColumn("level", F.greatest(F.coalesce("level", F.max("slack").over(own)), F.lit(0)))
+    d = d.withColumn("extra", F.least("slack", "level")).withColumn("over", F.col("surplus") - F.sum("extra").over(own))
+    room = F.col("slack") > F.col("level")
+    nth = F.row_number().over(own.orderBy(room.desc(), F.desc("weight"), "topic_id"))
+    one = (room & (nth <= F.col("over"))).cast("long")
+    return d.withColumn("allocated", F.col("taken") + F.col("extra") + one).drop("taken", "slack", "surplus", "height", "level", "extra", "over")
 
 
 def pick(scoped: DataFrame, allocation: DataFrame, seed: Column) -> DataFrame:

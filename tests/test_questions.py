@@ -91,18 +91,48 @@ def test_copies_match_the_first_one_and_are_not_paired(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, course_id int, place long, embedding array<double>")
     got = {x["id"]: (x["accepted"], x["matched"]) for x in Q.semantic_dedup(df, 0.92).collect()}
     assert got == {0: (True, None), **{i: (False, 0) for i in range(1, 400)}, **{i: (True, None) for i in range(500, 505)}}
-    heads = df.filter("id in (0, 500)").selectExpr("xxhash64(id) as v", "id", "place", "course_id", "embedding")
-    assert Q.similar_pairs(heads, 0.92).count() == 0
 
 
-def test_large_buckets_are_cut_into_parts(spark):
+def test_large_buckets_are_cut_into_blocks(spark):
     import numpy as np
 
     r = np.random.default_rng(6)
-    rows = [(i, 0, i, [float(x) for x in np.float32(np.ones(8) + 0.05 * r.standard_normal(8))]) for i in range(120)]
-    df = spark.createDataFrame(rows, "id long, course_id int, place long, embedding array<float>").selectExpr("xxhash64(id) as v", "id", "place", "course_id", "embedding")
-    want = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if np.dot(a[3], b[3]) / np.sqrt(np.dot(a[3], a[3]) * np.dot(b[3], b[3])) >= 0.92}
-    assert {(x["a"], x["b"]) for x in Q.similar_pairs(df, 0.92, block=7).collect()} == want
+    rows = [(i, [float(x) for x in np.float32(np.ones(8) + 0.12 * r.standard_normal(8))]) for i in range(120)]
+    df = spark.createDataFrame([(i, 0, i // 2, v) for i, v in rows], "id long, course_id int, place long, embedding array<float>")
+    got = {x["id"]: (x["accepted"], x["matched"]) for x in Q.semantic_dedup(df, 0.97, block=7, tables=30).collect()}
+    assert got == _greedy(rows, 0.97) and 1 < sum(a for a, _ in got.values()) < 100
+
+
+def test_chains_take_rounds_and_keep_the_earliest_match(spark):
+    """Each vector is near the next one only, so every second one is accepted."""
+    import math
+
+    rows = [(i, [math.cos(0.3 * i), math.sin(0.3 * i)]) for i in range(9)]
+    df = spark.createDataFrame([(i, "c", i, v) for i, v in rows], "id long, course_id string, place long, embedding array<double>")
+    got = {x["id"]: (x["accepted"], x["matched"]) for x in Q.semantic_dedup(df, 0.94, tables=30).collect()}
+    assert got == {i: (i % 2 == 0, None if i % 2 == 0 else i - 1) for i, _ in rows}
+
+
+def test_near_stems_give_rows_in_the_order_of_their_number(spark, monkeypatch):
+    import numpy as np
+
+    from coursegrain.operators import stems as S
+
+    r = np.random.default_rng(9)
+    rows = [(i, 0, i, [float(x) for x in np.ones(16) + 0.01 * r.standard_normal(16)]) for i in range(5000)]
+    made = {}
+
+    def counted(df, name, *more):
+        out = written(df, name, *more)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    written = S.written
+    monkeypatch.setattr(S, "written", counted)
+    got = S.semantic_dedup(spark.createDataFrame(rows, "id long, course_id int, place long, embedding array<double>"), 0.92, tables=8).collect()
+    assert sorted((x["accepted"], x["matched"]) for x in got if x["id"]) == [(False, 0)] * 4999
+    # A row for each table and each of the blocks of its bucket; no pairs, of which there are twelve million.
+    assert max(made.values()) <= 8 * 5 * 5000
 
 
 def test_citations_come_from_the_passage(spark):
@@ -113,7 +143,7 @@ def test_citations_come_from_the_passage(spark):
 
 
 def test_quizzes_are_in_order_with_the_first_citations_section(spark):
-    q = spark.createDataFrame([(1, 7, 2, "b", [1], [11, 10]), (1, 5, 1, "a", [2], []), (2, 1, 9, "c", [], [10])], "quiz_id int, question_id int, order_index int, stem string, page_refs array<int>, source_chunk_ids array<long>")
+    q = spark.createDataFrame([(1, 7, 2, "b", [1], [11, 10], None, "recall"), (1, 5, 1, "a", [2], [], None, "recall"), (2, 1, 9, "c", [], [10], None, None)], "quiz_id int, question_id int, order_index int, stem string, page_refs array<int>, source_chunk_ids array<long>, options array<struct<id:string,text:string,is_correct:boolean,why_wrong:string>>, difficulty string")
     p = spark.createDataFrame([(10, ["u", "x"]), (11, ["u", "y"])], "chunk_id long, section_path array<string>")
     got = [(r["quiz_id"], r["place"], r["stem"], r["section_path"]) for r in Q.quiz_view(q, p).sort("quiz_id", "place").collect()]
     assert got == [(1, 0, "a", []), (1, 1, "b", ["u", "y"]), (2, 0, "c", ["u", "x"])]

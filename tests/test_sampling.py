@@ -58,6 +58,14 @@ def test_allocation_is_the_loop(spark):
         assert _allocate(spark, weights, caps, n) == _by_hand(weights, caps, n)
 
 
+def test_a_large_request_needs_no_row_for_each_unit(spark):
+    """10 ** 8 passages: two topics fill up, the others share what is over evenly."""
+    m = 10**8
+    got = _allocate(spark, [50, 30, 1, 1, 2], [10, 1000, 4 * m, 4 * m, 4 * m], m)
+    assert got[:2] == [10, 1000] and sum(got) == m and abs(got[2] - got[3]) <= 1
+    assert _allocate(spark, [9, 1], [3, 2], m) == [3, 2]
+
+
 def test_sample_does_not_depend_on_partitions(spark):
     chunks = V.chunks(spark, SF).drop("text")
     none = F.array().cast("array<string>")
