@@ -3,24 +3,45 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 
-#: What hangs on a course: child, parent, key, and what becomes of the child.
+
+class Key(NamedTuple):
+    """A column of child that names a row of parent by its key, and what becomes of a child whose parent goes."""
+
+    child: str
+    column: str
+    parent: str
+    key: str
+    action: str = "delete"
+
+
+SET_NULL = "set null"
+#: What hangs on a course.
 STUDY_KEYS = [
-    ("documents", "courses", "course_id", "delete"),
-    ("topics", "courses", "course_id", "delete"),
-    ("chunks", "documents", "document_id", "delete"),
-    ("chunks", "topics", "topic_id", "set null"),
-    ("vectors", "chunks", "chunk_id", "delete"),
-    ("quizzes", "courses", "course_id", "delete"),
-    ("questions", "quizzes", "quiz_id", "delete"),
-    ("attempts", "quizzes", "quiz_id", "delete"),
-    ("answers", "attempts", "attempt_id", "delete"),
-    ("cards", "courses", "course_id", "delete"),
-    ("reviews", "cards", "card_id", "delete"),
+    Key("documents", "course_id", "courses", "course_id"),
+    Key("topics", "course_id", "courses", "course_id"),
+    Key("topics", "parent_topic_id", "topics", "topic_id", SET_NULL),
+    Key("chunks", "document_id", "documents", "document_id"),
+    Key("chunks", "course_id", "courses", "course_id"),
+    Key("chunks", "topic_id", "topics", "topic_id", SET_NULL),
+    Key("vectors", "chunk_id", "chunks", "chunk_id"),
+    Key("quizzes", "course_id", "courses", "course_id"),
+    Key("questions", "quiz_id", "quizzes", "quiz_id"),
+    Key("questions", "topic_id", "topics", "topic_id", SET_NULL),
+    Key("attempts", "quiz_id", "quizzes", "quiz_id"),
+    Key("answers", "attempt_id", "attempts", "attempt_id"),
+    Key("answers", "question_id", "questions", "question_id"),
+    Key("cards", "course_id", "courses", "course_id"),
+    Key("cards", "topic_id", "topics", "topic_id", SET_NULL),
+    Key("reviews", "card_id", "cards", "card_id"),
+    Key("mastery", "course_id", "courses", "course_id"),
+    Key("mastery", "topic_id", "topics", "topic_id"),
 ]
 
 
@@ -35,27 +56,55 @@ def without_orphans(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     return vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
 
 
-def cascade_delete(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]], gone: DataFrame, root: str) -> dict[str, DataFrame]:
+def dead_keys(tables: dict[str, DataFrame], keys: list[Key], gone: DataFrame, root: str) -> dict[str, DataFrame]:
+    """The keys, by parent table, of all rows that go with those of root named in gone.
+
+    A round follows each key from the rows that went in the round before to the rows that name
+    them, until a round finds none: a table may hang on itself, to any depth, or on several
+    others, and a row that is reached twice goes once. Only keys are kept, as written tables."""
+    used = [k for k in keys if k.child in tables and k.parent in tables]
+    own = {k.parent: k.key for k in used} | {root: gone.columns[0]}
+    follow = [k for k in used if k.action != SET_NULL and k.child in own]
+    dead: dict[str, list[DataFrame]] = {}
+    fresh = {root: written(tables[root].join(gone, gone.columns, "left_semi").select(own[root]).distinct(), f"gone-{root}")}
+    while fresh:
+        for name, d in fresh.items():
+            dead.setdefault(name, []).append(d)
+        found: dict[str, DataFrame] = {}
+        for k in follow:
+            if k.parent in fresh:
+                lost = fresh[k.parent].select(F.col(k.key).alias(k.column))
+                also = tables[k.child].join(lost, k.column, "left_semi").select(own[k.child])
+                found[k.child] = also if k.child not in found else found[k.child].unionByName(also)
+        fresh = {}
+        for name, d in found.items():
+            d = d.distinct()
+            for known in dead.get(name, []):
+                d = d.join(known, own[name], "left_anti")
+            d = written(d, f"gone-{name}")
+            if not d.isEmpty():
+                fresh[name] = d
+    return {name: reduce(DataFrame.unionByName, parts) for name, parts in dead.items()}
+
+
+def cascade_delete(tables: dict[str, DataFrame], keys: list[Key], gone: DataFrame, root: str) -> dict[str, DataFrame]:
     """What is left of tables when the rows of root named in gone go, and what hangs on them.
 
-    keys has (child, parent, column, action), parents first: the column's name is that of the
-    parent's key; rows of the child that name a deleted parent go too (action "delete") or have
-    null there from then on ("set null"). Rows whose key is null, or names a parent that was
-    never there, stay as they are."""
+    gone has one column, the key of root. Rows that name a deleted row go too, or have null there
+    from then on ("set null"), whatever the order of keys. Rows whose key is null, or names a
+    parent that was never there, stay as they are. Keys of tables that aren't given are left out."""
+    dead = dead_keys(tables, keys, gone, root)
     left = dict(tables)
-    dead = {root: tables[root].join(gone, gone.columns, "left_semi")}
     left[root] = tables[root].join(gone, gone.columns, "left_anti")
-    for child, parent, column, action in keys:
-        if parent not in dead:
-            continue
-        lost = dead[parent].select(column).distinct()
-        if action == "set null":
-            kept = left[child].join(lost.withColumn("_lost", F.lit(True)), column, "left")
-            left[child] = kept.withColumn(column, F.when(F.col("_lost").isNull(), F.col(column))).select(*tables[child].columns)
+    for k in keys:
+        if k.child not in tables or k.parent not in dead:
             continue
-        also = left[child].join(lost, column, "left_semi")
-        dead[child] = also if child not in dead else dead[child].unionByName(also)
-        left[child] = left[child].join(lost, column, "left_anti")
+        lost = dead[k.parent].select(F.col(k.key).alias(k.column))
+        if k.action == SET_NULL:
+            kept = left[k.child].join(lost.withColumn("_lost", F.lit(True)), k.column, "left")
+            left[k.child] = kept.withColumn(k.column, F.when(F.col("_lost").isNull(), F.col(k.column))).select(*tables[k.child].columns)
+        else:
+            left[k.child] = left[k.child].join(lost, k.column, "left_anti").select(*tables[k.child].columns)
     return left
 
 

@@ -207,33 +207,57 @@ def cascade_delete(spark, sf_dir):
         "part": table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("c_custkey")),
     }
     gone = t["customer"].filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
-    keys = [("orders", "customer", "c_custkey", "delete"), ("lineitem", "orders", "o_orderkey", "delete"), ("part", "customer", "c_custkey", "set null")]
+    keys = [I.Key("orders", "c_custkey", "customer", "c_custkey"), I.Key("lineitem", "o_orderkey", "orders", "o_orderkey"), I.Key("part", "c_custkey", "customer", "c_custkey", I.SET_NULL)]
     left = I.cascade_delete(t, keys, gone, "customer")
     key = {"customer": "c_custkey", "orders": "c_custkey", "lineitem": "o_orderkey", "part": "c_custkey"}
     parts = [d.agg(F.count(F.lit(1)).alias("rows_left"), F.count_if(F.col(key[n]).isNull()).alias("nulls")).select(F.lit(n).alias("table_name"), "rows_left", "nulls") for n, d in left.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def cascade_closure(spark, sf_dir):
+    """Parts are a tree by their numbers, each 13th a root of its own; every 97th goes with all below it.
+
+    A line has a part and a stand-in part, which is only forgotten; rows left and nulls by table."""
+    k = F.col("p_partkey")
+    t = {
+        "part": table(spark, sf_dir, "part").select("p_partkey", F.when((k > 1) & (k % 13 != 0), F.floor(k / 2)).alias("whole")),
+        "lineitem": table(spark, sf_dir, "lineitem").select("l_partkey", F.floor(F.col("l_partkey") / 3).alias("other")),
+    }
+    keys = [I.Key("part", "whole", "part", "p_partkey"), I.Key("lineitem", "l_partkey", "part", "p_partkey"), I.Key("lineitem", "other", "part", "p_partkey", I.SET_NULL)]
+    left = I.cascade_delete(t, keys, t["part"].filter(k % 97 == 0).select("p_partkey"), "part")
+    return _left(left, {"part": ["whole"], "lineitem": ["other"]})
+
+
+def _left(left, nullable):
+    """table_name, rows_left, nulls: the last by column, comma-joined."""
+    one = lambda n: F.concat_ws(",", *[F.count_if(F.col(c).isNull()).cast("string") for c in nullable.get(n, [])])
+    return reduce(DataFrame.unionByName, [d.agg(F.count(F.lit(1)).alias("rows_left"), one(n).alias("nulls")).select(F.lit(n).alias("table_name"), "rows_left", "nulls") for n, d in left.items()])
+
+
 def cascade_course(spark, sf_dir):
-    """A course goes, with everything that hangs on it; rows left by table."""
+    """A course goes, with everything that hangs on it; rows left and nulls by table.
+
+    Topics of the course next to it have parents in it, its passages cite topics of others, and
+    questions of other quizzes, cards and answers name what goes."""
     chunks, orders = V.chunks(spark, sf_dir), table(spark, sf_dir, "orders")
-    cards = _cards(spark, sf_dir)
+    number = F.substring("course_id", 4, 9).cast("int")
+    topic_of = lambda n: F.concat(F.lit("src"), n, F.lit("/en"))
     t = {
         "courses": chunks.select("course_id").distinct(),
         "documents": chunks.select("document_id", "course_id"),
-        "topics": chunks.select("topic_id", "course_id").distinct(),
-        "chunks": chunks.select("chunk_id", "document_id", "topic_id"),
+        "topics": chunks.select("topic_id", "course_id").distinct().withColumn("parent_topic_id", topic_of(number - 1)),
+        "chunks": chunks.select("chunk_id", "document_id", "course_id", F.when(F.col("chunk_id") % 7 == 0, topic_of(F.lit(3))).otherwise(F.col("topic_id")).alias("topic_id")),
         "vectors": V.vectors(spark, sf_dir).select("chunk_id"),
         "quizzes": orders.select(F.col("o_orderkey").alias("quiz_id"), F.concat(F.lit("src"), F.col("o_custkey") % 20).alias("course_id")),
-        "questions": V.questions(spark, sf_dir).select("question_id", "quiz_id"),
-        "attempts": orders.select(F.col("o_orderkey").alias("attempt_id"), F.col("o_orderkey").alias("quiz_id")),
-        "answers": table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("attempt_id"), "l_linenumber"),
-        "cards": cards,
+        "questions": V.questions(spark, sf_dir).select("question_id", "quiz_id", topic_of(F.col("question_id") % 20).alias("topic_id")),
+        "attempts": orders.select(F.col("o_orderkey").alias("attempt_id"), (F.col("o_orderkey") + F.col("o_orderkey") % 2).alias("quiz_id")),
+        "answers": V.questions(spark, sf_dir).select(F.col("quiz_id").alias("attempt_id"), "question_id"),
+        "cards": _cards(spark, sf_dir).withColumn("topic_id", topic_of(F.col("card_id") % 20)),
         "reviews": V.reviews(spark, sf_dir).select("review_id", "card_id"),
+        "mastery": V.answers(spark, sf_dir).select("course_id", "topic_id").distinct().withColumn("topic_id", F.when(F.col("course_id") == "src5", topic_of(F.lit(3))).otherwise(F.col("topic_id"))),
     }
     left = I.cascade_delete(t, I.STUDY_KEYS, t["courses"].filter("course_id = 'src3'"), "courses")
-    counts = [d.agg(F.count(F.lit(1)).alias("rows_left")).select(F.lit(n).alias("table_name"), "rows_left") for n, d in left.items()]
-    return reduce(DataFrame.unionByName, counts)
+    return _left(left, {"topics": ["parent_topic_id"], "chunks": ["topic_id"], "questions": ["topic_id"], "cards": ["topic_id"]})
 
 
 def discard_derived(spark, sf_dir):
@@ -301,7 +325,7 @@ QUERIES = {
     "grade_answers": grade_answers, "answer_source": answer_source, "topic_mastery": topic_mastery, "weak_topics": weak_topics, "missed_to_cards": missed_to_cards, "resume_attempts": resume_attempts,
     "quiz_progress": quiz_progress, "attempt_results": attempt_results, "latest_review": latest_review, "due_cards": due_cards, "deck_stats": deck_stats, "review_lapses": review_lapses,
     "schedule_replay": schedule_replay, "course_inventory": course_inventory, "retrieval_eval": retrieval_eval, "golden_eval": golden_eval, "run_failures": run_failures, "generation_failures": generation_failures, "citation_integrity": citation_integrity, "groundedness": groundedness,
-    "generation_quality": generation_quality, "compare_runs": compare_runs, "quality_gate": quality_gate, "reconcile_vectors": reconcile_vectors, "cascade_delete": cascade_delete, "cascade_course": cascade_course,
+    "generation_quality": generation_quality, "compare_runs": compare_runs, "quality_gate": quality_gate, "reconcile_vectors": reconcile_vectors, "cascade_delete": cascade_delete, "cascade_course": cascade_course, "cascade_closure": cascade_closure,
     "discard_derived": discard_derived, "constraint_audit": constraint_audit, "interval_gaps": interval_gaps, "dominant_gap": dominant_gap, "xy_cut": xy_cut, "row_band": row_band,
 }
 
@@ -360,13 +384,26 @@ ORACLE_SQL = {
         UNION ALL SELECT 'orders', count(*), count(*) FILTER (c IS NULL) FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM dead)
         UNION ALL SELECT 'lineitem', count(*), 0 FROM l WHERE k NOT IN (SELECT o_orderkey FROM dead)
         UNION ALL SELECT 'part', count(*), count(*) FILTER (p_partkey IN (SELECT c_custkey FROM gone)) FROM part""",
-    "cascade_course": _sql("""SELECT 'courses' AS table_name, count(DISTINCT course_id) AS rows_left FROM v_chunk WHERE course_id <> 'src3' UNION ALL SELECT 'documents', count(*) FROM v_chunk WHERE course_id <> 'src3'
-        UNION ALL SELECT 'topics', count(DISTINCT topic_id) FROM v_chunk WHERE course_id <> 'src3' UNION ALL SELECT 'chunks', count(*) FROM v_chunk WHERE course_id <> 'src3'
-        UNION ALL SELECT 'vectors', count(*) FROM v_vector WHERE chunk_id NOT IN (SELECT chunk_id FROM v_chunk WHERE course_id = 'src3')
-        UNION ALL SELECT 'quizzes', count(*) FROM orders WHERE o_custkey % 20 <> 3 UNION ALL SELECT 'attempts', count(*) FROM orders WHERE o_custkey % 20 <> 3
-        UNION ALL SELECT 'questions', count(*) FROM v_question WHERE quiz_id NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 20 = 3)
-        UNION ALL SELECT 'answers', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 20 = 3)
-        UNION ALL SELECT 'cards', count(*) FROM q_card WHERE course_id <> 'src3' UNION ALL SELECT 'reviews', count(*) FROM v_review WHERE card_id NOT IN (SELECT card_id FROM q_card WHERE course_id = 'src3')"""),
+    "cascade_closure": """WITH RECURSIVE t AS (SELECT p_partkey AS p, CASE WHEN p_partkey > 1 AND p_partkey % 13 <> 0 THEN p_partkey // 2 END AS whole FROM part),
+        dead AS (SELECT p FROM t WHERE p % 97 = 0 UNION SELECT t.p FROM t JOIN dead ON t.whole = dead.p)
+        SELECT 'part' AS table_name, count(*) AS rows_left, CAST(count(*) FILTER (whole IS NULL) AS VARCHAR) AS nulls FROM t WHERE p NOT IN (SELECT p FROM dead)
+        UNION ALL SELECT 'lineitem', count(*), CAST(count(*) FILTER (l_partkey // 3 IN (SELECT p FROM dead)) AS VARCHAR) FROM lineitem WHERE l_partkey NOT IN (SELECT p FROM dead)""",
+    "cascade_course": _sql("""WITH lost_topic AS (SELECT DISTINCT topic_id FROM v_chunk WHERE course_id = 'src3'), lost_quiz AS (SELECT o_orderkey FROM orders WHERE o_custkey % 20 = 3),
+        lost_question AS (SELECT question_id FROM v_question WHERE quiz_id IN (SELECT o_orderkey FROM lost_quiz)), lost_attempt AS (SELECT o_orderkey FROM orders WHERE o_orderkey + o_orderkey % 2 IN (SELECT o_orderkey FROM lost_quiz)),
+        left_rows AS (SELECT 'courses' AS table_name, count(DISTINCT course_id) AS rows_left, NULL AS nulls FROM v_chunk WHERE course_id <> 'src3'
+        UNION ALL SELECT 'documents', count(*), NULL FROM v_chunk WHERE course_id <> 'src3'
+        UNION ALL SELECT 'topics', count(*), count(*) FILTER ('src' || (CAST(substr(course_id, 4) AS INT) - 1) || '/en' IN (SELECT topic_id FROM lost_topic)) FROM (SELECT DISTINCT course_id, topic_id FROM v_chunk WHERE course_id <> 'src3')
+        UNION ALL SELECT 'chunks', count(*), count(*) FILTER (CASE WHEN chunk_id % 7 = 0 THEN 'src3/en' ELSE topic_id END IN (SELECT topic_id FROM lost_topic)) FROM v_chunk WHERE course_id <> 'src3'
+        UNION ALL SELECT 'vectors', count(*), NULL FROM v_vector WHERE chunk_id NOT IN (SELECT chunk_id FROM v_chunk WHERE course_id = 'src3')
+        UNION ALL SELECT 'quizzes', count(*), NULL FROM orders WHERE o_custkey % 20 <> 3
+        UNION ALL SELECT 'attempts', count(*), NULL FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM lost_attempt)
+        UNION ALL SELECT 'questions', count(*), count(*) FILTER ('src' || (question_id % 20) || '/en' IN (SELECT topic_id FROM lost_topic)) FROM v_question WHERE question_id NOT IN (SELECT question_id FROM lost_question)
+        UNION ALL SELECT 'answers', count(*), NULL FROM v_question WHERE quiz_id NOT IN (SELECT o_orderkey FROM lost_attempt) AND question_id NOT IN (SELECT question_id FROM lost_question)
+        UNION ALL SELECT 'cards', count(*), count(*) FILTER ('src' || (card_id % 20) || '/en' IN (SELECT topic_id FROM lost_topic)) FROM q_card WHERE course_id <> 'src3'
+        UNION ALL SELECT 'reviews', count(*), NULL FROM v_review WHERE card_id NOT IN (SELECT card_id FROM q_card WHERE course_id = 'src3')
+        UNION ALL SELECT 'mastery', count(*), NULL FROM (SELECT course_id, CASE WHEN course_id = 'src5' THEN 'src3/en' ELSE topic_id END AS topic_id FROM (SELECT DISTINCT course_id, topic_id FROM v_answer))
+            WHERE course_id <> 'src3' AND topic_id NOT IN (SELECT topic_id FROM lost_topic))
+        SELECT table_name, rows_left, coalesce(CAST(nulls AS VARCHAR), '') AS nulls FROM left_rows"""),
     "discard_derived": _sql("""SELECT q.question_id, q.quiz_id, NOT EXISTS (SELECT 1 FROM v_question x WHERE x.quiz_id = q.quiz_id AND x.source_chunk_ids[1] NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) AS emptied
         FROM v_question q WHERE q.source_chunk_ids[1] IN (SELECT doc_id FROM labels WHERE quality = 0)"""),
     "constraint_audit": _sql("""SELECT 'page_start <= page_end' AS rule, count(*) AS rows, count(*) FILTER (page_start > page_end) AS violations FROM v_chunk

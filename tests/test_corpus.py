@@ -52,15 +52,37 @@ def test_orphans_go(spark):
 def test_a_cascade_deletes_what_hangs_on_deleted_rows_and_nothing_else(spark):
     t = {
         "courses": spark.createDataFrame([(1,), (2,)], "course_id int"),
-        "topics": spark.createDataFrame([(1, 10), (2, 20)], "course_id int, topic_id int"),
+        "topics": spark.createDataFrame([(1, 10, None), (2, 20, 10), (2, 21, 20), (2, 22, 404)], "course_id int, topic_id int, parent_topic_id int"),
         "documents": spark.createDataFrame([(1, 5), (2, 6), (None, 7), (9, 8)], "course_id int, document_id int"),
-        "chunks": spark.createDataFrame([(5, 50, 10), (6, 60, 20), (6, 61, 10), (None, 70, None), (404, 71, 20)], "document_id int, chunk_id int, topic_id int"),
-        "vectors": spark.createDataFrame([(50,), (60,), (None,)], "chunk_id int"),
+        "chunks": spark.createDataFrame([(5, 50, 10, 1), (6, 60, 20, 2), (6, 61, 10, 2), (None, 70, None, None), (404, 71, 20, 2), (6, 72, 20, 1)], "document_id int, chunk_id int, topic_id int, course_id int"),
+        "vectors": spark.createDataFrame([(50,), (60,), (72,), (None,)], "chunk_id int"),
+        "quizzes": spark.createDataFrame([(1, 100), (2, 200)], "course_id int, quiz_id int"),
+        "questions": spark.createDataFrame([(100, 1000, 20), (200, 2000, 10), (200, 2001, None)], "quiz_id int, question_id int, topic_id int"),
+        "attempts": spark.createDataFrame([(100, 1), (200, 2)], "quiz_id int, attempt_id int"),
+        "answers": spark.createDataFrame([(1, 1000), (2, 1000), (1, 2000), (2, 2000), (2, None)], "attempt_id int, question_id int"),
+        "cards": spark.createDataFrame([(2, 7, 10), (1, 8, 20), (2, 9, 20)], "course_id int, card_id int, topic_id int"),
+        "reviews": spark.createDataFrame([(7,), (8,), (9,)], "card_id int"),
+        "mastery": spark.createDataFrame([(1, 10), (2, 10), (2, 20)], "course_id int, topic_id int"),
     }
-    left = I.cascade_delete(t, [k for k in I.STUDY_KEYS if k[0] in t], t["courses"].filter("course_id = 1"), "courses")
-    rows = {n: {tuple(r) for r in d.collect()} for n, d in left.items()}
-    assert rows["documents"] == {(2, 6), (None, 7), (9, 8)} and rows["topics"] == {(2, 20)}
-    assert rows["chunks"] == {(6, 60, 20), (6, 61, None), (None, 70, None), (404, 71, 20)} and rows["vectors"] == {(60,), (None,)}
+    for keys in (I.STUDY_KEYS, I.STUDY_KEYS[::-1]):
+        left = I.cascade_delete(t, keys, t["courses"].filter("course_id = 1"), "courses")
+        assert {n: d.columns for n, d in left.items()} == {n: d.columns for n, d in t.items()}
+        rows = {n: {tuple(r) for r in d.collect()} for n, d in left.items()}
+        assert rows["documents"] == {(2, 6), (None, 7), (9, 8)} and rows["topics"] == {(2, 20, None), (2, 21, 20), (2, 22, 404)}
+        assert rows["chunks"] == {(6, 60, 20, 2), (6, 61, None, 2), (None, 70, None, None), (404, 71, 20, 2)} and rows["vectors"] == {(60,), (None,)}
+        assert rows["quizzes"] == {(2, 200)} and rows["questions"] == {(200, 2000, None), (200, 2001, None)} and rows["attempts"] == {(200, 2)}
+        assert rows["answers"] == {(2, 2000), (2, None)} and rows["cards"] == {(2, 7, None), (2, 9, 20)} and rows["reviews"] == {(7,), (9,)} and rows["mastery"] == {(2, 20)}
+
+
+def test_a_cascade_follows_a_table_that_hangs_on_itself(spark):
+    """A chain of six, a ring of three, and rows that hang on two others."""
+    rows = [(i, i - 1 if i else None, None) for i in range(6)] + [(10, 12, None), (11, 10, None), (12, 11, None)] + [(20, None, 3), (21, 20, 404), (22, None, None)]
+    t = {"nodes": spark.createDataFrame(rows, "node int, up int, other int")}
+    keys = [I.Key("nodes", "up", "nodes", "node"), I.Key("nodes", "other", "nodes", "node")]
+    left = lambda gone: {r["node"] for r in I.cascade_delete(t, keys, spark.createDataFrame([(g,) for g in gone], "node int"), "nodes")["nodes"].collect()}
+    assert left([2]) == {0, 1, 10, 11, 12, 22} and left([11]) == {0, 1, 2, 3, 4, 5, 20, 21, 22} and left([21, 999]) == {r[0] for r in rows} - {21}
+    keep = [I.Key("nodes", "up", "nodes", "node", I.SET_NULL)]
+    assert {tuple(r) for r in I.cascade_delete(t, keep, spark.createDataFrame([(0,), (1,)], "node int"), "nodes")["nodes"].collect()} >= {(2, None, None), (3, 2, None)}
 
 
 def _sections(spark):
