@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -52,6 +52,35 @@ def reconcile(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     return j.select("chunk_id", F.when(F.col("c").isNull(), "orphan").when(F.col("v").isNull(), "missing").otherwise("ok").alias("status"))
 
 
+def upload_folders(spark: SparkSession, root: str) -> DataFrame:
+    """course_id, files: the folders right under root and how many files are in each, at any depth.
+
+    Spark lists the files and reads nothing of them. Folders without a file aren't seen, as in
+    stores where a folder is no more than the beginning of names."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    # Paths are urls: names come back as they are on disk.
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    inner = F.substring(plain, F.instr(plain, F.lit(top)) + len(top), F.length(plain))
+    return f.select(F.split(inner, "/").alias("names")).filter(F.size("names") > 1).groupBy(F.col("names")[0].alias("course_id")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def stray_folders(folders: DataFrame, courses: DataFrame) -> DataFrame:
+    """course_id, files, status stray: folders of courses that are no longer there."""
+    known = courses.select(F.col("course_id").cast("string").alias("course_id")).filter("course_id is not null").distinct()
+    return folders.join(known, "course_id", "left_anti").withColumn("status", F.lit("stray"))
+
+
+def remove_folders(spark: SparkSession, root: str, folders: DataFrame) -> int:
+    """Removes the folders named in course_id from root; how many went. One call for each folder, none for its files."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sum(fs.delete(jvm.org.apache.hadoop.fs.Path(top, r["course_id"]), True) for r in folders.select("course_id").toLocalIterator())
+
+
 def without_orphans(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     return vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
 

@@ -110,20 +110,39 @@ def coverage_rounds(chunks: DataFrame, requests: DataFrame, mastery: DataFrame,
     """round, request_id, topics, chunks, and both coverages so far, over consecutive samples.
 
     Round i is drawn with seed i, and what it took counts as used in the next one; nothing is
-    stored back. The denominators are the course's topics and passages that can be asked for,
-    and all of them."""
-    used, seen, out = chunks, None, None
+    stored back. Scopes, accuracies and counts are taken once. From then on the topics' usage
+    follows by what a round has added to it, passages that no round took keep theirs, and only
+    topics that get passages are ranked. The denominators are the course's topics and passages
+    that can be asked for, and all of them."""
+    able = F.col("token_count") >= t.min_tokens_for_generation
+    slim = written(chunks.select("chunk_id", "document_id", "course_id", "topic_id", "token_count", "usage"), "passages")
+    scoped = written(in_scope(slim, requests, t).select("request_id", "course_id", "topic_id", "chunk_id", "usage", "n"), "scopes")
+    stats = scoped.groupBy("request_id", "course_id", "topic_id", "n").agg(F.count(F.lit(1)).alias("chunk_count"), F.sum("usage").alias("used"))
+    stats = written(stats.join(mastery.select("course_id", "topic_id", "accuracy"), ["course_id", "topic_id"], "left"), "topic-stats")
+    seen = None
     for i in range(rounds):
-        got = sample_chunks(used, requests, mastery, i, t).select("request_id", "topic_id", "chunk_id")
-        got = written(got.withColumn("round", F.lit(i)), "round")
+        weights = topic_weights(stats.withColumn("mean_usage", F.col("used") / F.col("chunk_count")), t)
+        allocation = allocate_capped(allocate_quota(weights)).filter("allocated > 0")
+        now = scoped
+        if seen is not None:
+            taken = seen.groupBy("chunk_id").agg(F.count(F.lit(1)).cast("int").alias("more"))
+            now = scoped.join(taken, "chunk_id", "left").withColumn("usage", F.col("usage") + F.coalesce("more", F.lit(0))).drop("more")
+        got = written(pick(now, allocation, F.lit(i)).select("request_id", "topic_id", "chunk_id", F.lit(i).alias("round")), "round")
         seen = got if seen is None else seen.unionByName(got)
-        more = seen.groupBy("chunk_id").agg(F.count(F.lit(1)).cast("int").alias("more"))
-        used = chunks.join(more, "chunk_id", "left").withColumn("usage", F.col("usage") + F.coalesce("more", F.lit(0))).drop("more")
-        now = seen.groupBy("request_id").agg(F.countDistinct("topic_id").alias("topics_covered"), F.countDistinct("chunk_id").alias("chunks_covered"))
-        this = got.groupBy("request_id").agg(F.countDistinct("topic_id").alias("topics_in_round"))
-        row = now.join(this, "request_id", "left").withColumn("round", F.lit(i))
-        out = row if out is None else out.unionByName(row)
-    able = F.col("token_count") >= t.min_tokens_for_generation
+        # A passage that one request took is used for every request that has it in scope.
+        delta = scoped.join(got.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("more")), "chunk_id").groupBy("request_id", "topic_id").agg(F.sum("more").alias("more"))
+        stats = written(stats.join(delta, ["request_id", "topic_id"], "left").withColumn("used", F.col("used") + F.coalesce("more", F.lit(0))).drop("more"), "topic-stats")
+    return _coverages(seen, slim, requests, rounds, able)
+
+
+def _coverages(seen: DataFrame, chunks: DataFrame, requests: DataFrame, rounds: int, able: Column) -> DataFrame:
+    """The figures of each round: what came up in it or before, by the round of each first time."""
+    new = lambda what, name: seen.groupBy("request_id", what).agg(F.min("round").alias("first")).groupBy("request_id", "first").agg(F.count(F.lit(1)).alias(name))
+    first = seen.groupBy("request_id").agg(F.min("round").alias("begins")).withColumn("round", F.explode(F.sequence(F.col("begins"), F.lit(rounds - 1)))).drop("begins")
+    out = first.join(seen.groupBy("request_id", "round").agg(F.countDistinct("topic_id").alias("topics_in_round")), ["request_id", "round"], "left")
+    for what, name in (("topic_id", "topics_covered"), ("chunk_id", "chunks_covered")):
+        upto = first.join(new(what, name), "request_id").filter(F.col("first") <= F.col("round")).groupBy("request_id", "round").agg(F.sum(name).alias(name))
+        out = out.join(upto, ["request_id", "round"])
     total = chunks.groupBy("course_id").agg(F.countDistinct("topic_id").alias("topics"), F.count(F.lit(1)).alias("chunks"), F.countDistinct(F.when(able, F.col("topic_id"))).alias("able_topics"), F.count_if(able).alias("able_chunks"))
     d = out.join(requests.select("request_id", "course_id"), "request_id").join(total, "course_id")
     share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 6)

@@ -66,12 +66,12 @@ REPLAYED = "card_id long, reviews int, stability double, difficulty double, stat
 
 
 def schedule_replay(reviews: DataFrame, retention: float = DEFAULTS.desired_retention) -> DataFrame:
-    """The state of each card after its reviews in order of time and id.
+    """The state of each card after its reviews in order of time and id; a review_id counts once.
 
     One card's reviews are a task's group: a person's answers to one card."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["reviewed_at", "review_id"])
+        pdf = pdf.sort_values(["reviewed_at", "review_id"]).drop_duplicates("review_id")
         card = Card()
         for rating, at in zip(pdf["rating"], pdf["reviewed_at"]):
             card = review(card, int(rating), at.timestamp(), retention)

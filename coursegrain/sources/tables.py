@@ -42,6 +42,15 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_table(df: DataFrame) -> None:
+    """Removes one table that written() gave, once no later step reads it: what was made from it has been written."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_written(spark: SparkSession) -> None:
     """Removes all tables that this application has written: call it when its results are saved."""
     jvm = spark.sparkContext._jvm

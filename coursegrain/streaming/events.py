@@ -1,8 +1,9 @@
 """Streams of answers and reviews: mastery, cards of missed questions, schedules.
 
 State can be rebuilt from the log of events, so a stream and a batch over the same events end
-with the same tables. Inputs may come twice: answers are deduplicated within the watermark, and
-every effect is keyed by what it stands for and by its batch."""
+with the same tables. Inputs may come twice and out of order: answers are deduplicated within
+the watermark, reviews are put in order within it, and every effect is keyed by what it stands
+for and by its batch."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import learning as L
 from ..operators.scheduling import REPLAYED, Card, review
+from .tables import BatchTable
 
 LATENESS = "1 day"
 SUMS = "course_id string, topic_id string, attempts long, correct long, last_practised timestamp"
@@ -26,22 +28,35 @@ def once(answers: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return timed.withWatermark("answered_at", lateness).dropDuplicatesWithinWatermark(["answer_id"])
 
 
+def _summed(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("course_id", "topic_id").agg(F.sum("attempts").alias("attempts"), F.sum("correct").alias("correct"), F.max("last_practised").alias("last_practised"))
+
+
+def mastery_table(path: str) -> BatchTable:
+    return BatchTable(path, SUMS, _summed)
+
+
 def mastery_stream(answers: DataFrame, path: str, checkpoint: str, lateness: str = LATENESS):
-    """Starts the query that keeps the sums of each batch under path/batch_id=N.
+    """Starts the query that keeps the sums of each batch in the table at path.
 
-    A batch that is run again overwrites its own folder, so its answers count once; mastery_of
-    adds the folders up."""
+    A batch that is run again replaces its own sums, so its answers count once; mastery_of adds
+    the batches up."""
+    table = mastery_table(path)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         sums = batch.filter(F.col("topic_id").isNotNull()).groupBy("course_id", "topic_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if("is_correct").alias("correct"), F.max("answered_at").alias("last_practised"))
-        sums.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        table.write(sums, batch_id)
 
     return once(answers, lateness).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def mastery_of(spark, path: str) -> DataFrame:
-    sums = spark.read.schema(SUMS).parquet(path).groupBy("course_id", "topic_id").agg(F.sum("attempts").alias("attempts"), F.sum("correct").alias("correct"), F.max("last_practised").alias("last_practised"))
-    return sums.withColumn("accuracy", F.col("correct") / F.col("attempts"))
+    return _summed(mastery_table(path).read(spark)).withColumn("accuracy", F.col("correct") / F.col("attempts"))
+
+
+def cards_table(path: str, schema: str) -> BatchTable:
+    """Cards of earlier batches are never written again, so batches are merged as they are."""
+    return BatchTable(path, schema, lambda cards: cards)
 
 
 def missed_cards_stream(answers: DataFrame, questions: DataFrame, path: str, checkpoint: str, lateness: str = LATENESS):
@@ -51,37 +66,58 @@ def missed_cards_stream(answers: DataFrame, questions: DataFrame, path: str, che
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).select("course_id", "front")
-        except Exception as e:  # no batch has been written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = spark.createDataFrame([], "course_id string, front string")
-        L.missed_cards(batch, questions, old).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        none = spark.createDataFrame([], "course_id string, front string")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in L.missed_cards(batch, questions, none).schema)
+        table = cards_table(path, schema)
+        old = table.read(spark, before=batch_id).select("course_id", "front")
+        table.write(L.missed_cards(batch, questions, old), batch_id)
 
     return once(answers, lateness).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-STATE = "stability double, difficulty double, state string, lapses int, last double, due double, reviews int"
+STATE = "stability double, difficulty double, state string, lapses int, last double, due double, settled int, times array<long>, ids array<long>, ratings array<int>"
 
 
-def schedule_stream(reviews: DataFrame) -> DataFrame:
+def schedule_stream(reviews: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """The state of each card after each batch of its reviews (card_id, review_id, rating, reviewed_at).
 
-    Reviews of a card are taken in the order of their times within a batch; between batches in
-    the order in which they come."""
+    Reviews that come late, up to the lateness, take the place that their time gives them: a
+    card's reviews after the watermark are kept beside the state that those before it have led
+    to, and its schedule is replayed from there. When the watermark passes a review, by a timer
+    if no other comes, it becomes part of that state. A review_id counts once; later repeats of
+    settled reviews are older than the watermark, as are all that come later than the lateness,
+    and Spark leaves these out. Reviews without a card, a rating or a time are left out, too."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        card, n = Card(), 0
+        card, settled, waiting = Card(), 0, []
         if state.exists:
-            *parts, n = state.get
+            *parts, settled, times, ids, ratings = state.get
             card = Card(*parts)
-        rows = pd.concat(list(batches)).sort_values(["reviewed_at", "review_id"])
-        for rating, at in zip(rows["rating"], rows["reviewed_at"]):
-            card, n = review(card, int(rating), at.timestamp()), n + 1
-        state.update((card.stability, card.difficulty, card.state, card.lapses, card.last, card.due, n))
-        times = [pd.Timestamp(round(x * 1e6), unit="us") for x in (card.last, card.due)]
-        yield pd.DataFrame([[key[0], n, card.stability, card.difficulty, card.state, card.lapses, *times]], columns=[x.split()[0] for x in REPLAYED.split(", ")])
-
-    rows = reviews.select("card_id", "review_id", "rating", reviews["reviewed_at"].cast("timestamp").alias("reviewed_at"))
-    return rows.groupBy("card_id").applyInPandasWithState(fold, REPLAYED, STATE, "update", GroupStateTimeout.NoTimeout)
+            waiting = list(zip(times, ids, ratings))
+        new = 0
+        if not state.hasTimedOut:
+            known = {i for _, i, _ in waiting}
+            for rows in batches:
+                for at, i, rating in zip(rows["reviewed_at"], rows["review_id"], rows["rating"]):
+                    if i not in known:
+                        known.add(i)
+                        waiting.append((at.value // 1000, int(i), int(rating)))
+                        new += 1
+        waiting.sort()
+        past = state.getCurrentWatermarkMs() * 1000
+        n = sum(at <= past for at, *_ in waiting)
+        for at, _, rating in waiting[:n]:
+            card, settled = review(card, rating, at / 1e6), settled + 1
+        waiting = waiting[n:]
+        times, ids, ratings = ([w[j] for w in waiting] for j in range(3))
+        state.update((card.stability, card.difficulty, card.state, card.lapses, card.last, card.due, settled, times, ids, ratings))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, past // 1000) + 1)
+        if new:
+            for at, _, rating in waiting:
+                card = review(card, rating, at / 1e6)
+            spots = [pd.Timestamp(round(x * 1e6), unit="us") for x in (card.last, card.due)]
+            yield pd.DataFrame([[key[0], settled + len(waiting), card.stability, card.difficulty, card.state, card.lapses, *spots]], columns=[x.split()[0] for x in REPLAYED.split(", ")])
+
+    rows = reviews.select("card_id", "review_id", "rating", reviews["reviewed_at"].cast("timestamp").alias("reviewed_at")).dropna()
+    return rows.withWatermark("reviewed_at", lateness).groupBy("card_id").applyInPandasWithState(fold, REPLAYED, STATE, "update", GroupStateTimeout.EventTimeTimeout)

@@ -44,6 +44,19 @@ def test_vectors_are_rewritten_by_course(spark, tmp_path):
     assert {(r["course_id"], r["chunk_id"]) for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {(1, 1), (2, 12)}
 
 
+def test_stray_upload_folders_are_found_and_removed(spark, tmp_path):
+    top = tmp_path / "up loads" / "uploads"
+    for name in ("c1/a.pdf", "c1/deep/b.pdf", "gone one/c.pdf", "gone one/d.pdf", "c+2/e.pdf", "loose.pdf", "was/uploads/f.pdf"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(b"x")
+    folders = I.upload_folders(spark, str(top))
+    courses = spark.createDataFrame([("c1",), ("c+2",), (None,)], "course_id string")
+    strays = I.stray_folders(folders, courses)
+    assert {tuple(r) for r in folders.collect()} == {("c1", 2), ("gone one", 2), ("c+2", 1), ("was", 1)}
+    assert {tuple(r) for r in strays.collect()} == {("gone one", 2, "stray"), ("was", 1, "stray")}
+    assert I.remove_folders(spark, str(top), strays) == 2 and {p.name for p in top.iterdir()} == {"c1", "c+2", "loose.pdf"}
+
+
 def test_orphans_go(spark):
     v, c = spark.createDataFrame([(1,), (2,), (2,), (None,)], "chunk_id long"), spark.createDataFrame([(2,), (3,)], "chunk_id long")
     assert [r[0] for r in I.without_orphans(v, c).collect()] == [2, 2]
