@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import remove_table
 from .common import table, written
 
 MOST_WORDS = 5
@@ -180,6 +181,16 @@ def _loosened(b: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel(), dtype=kind)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of which most are small as the zlib of their bytes, plane by plane; -1 counts as the smallest."""
+    return zlib.compress((x + 1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def _numbers(b: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel() - 1
+
+
 def _run_row(part: int | None, block: int, lang: str | None, ids: bytes | None, keys: bytes | None, more: bytes | None, k: bytes | None) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     return pa.record_batch([pa.array([v], t) for v, t in zip((part, block, lang, ids, keys, more, k), kinds)], names=_RUN_NAMES)
@@ -205,8 +216,12 @@ def _encode(parts: int):
         def block() -> Iterator[pa.RecordBatch]:
             ids = np.concatenate(state["arrays"])
             counts = np.bincount(ids[ids >= 0], minlength=len(state["names"]))
+            # Frequent words get small numbers, which pack well.
+            order = np.argsort(-counts, kind="stable")
+            rank = np.full(len(order) + 1, -1, np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             no = task << 33 | state["no"]
-            yield _run_row(None, no, None, ids.tobytes(), None, None, None)
+            yield _run_row(None, no, None, _planes(rank[ids]), None, None, None)
             for lang, own in state["langs"].items():
                 words = sorted(w for w in own if w != _END)
                 of: list[list[bytes]] = [[] for _ in range(parts)]
@@ -215,7 +230,7 @@ def _encode(parts: int):
                 for p, some in enumerate(of):
                     if some:
                         local = np.fromiter(map(own.__getitem__, some), np.int32, len(some))
-                        yield _run_row(p, no, lang, None, zlib.compress(b"\n".join(some), 1), zlib.compress(local.tobytes(), 1), zlib.compress(counts[local].tobytes(), 1))
+                        yield _run_row(p, no, lang, None, zlib.compress(b"\n".join(some), 1), zlib.compress(rank[local].tobytes(), 1), _planes(counts[local]))
             reset(state["no"] + 1)
 
         reset(0)
@@ -260,10 +275,10 @@ def _told(part: int, block: int, lang: str | None, keys: bytes, more: bytes) ->
     return pa.record_batch([pa.array([v], t) for v, t in zip((part, block, lang, keys, more, None, None, None, None, None), kinds)], names=_MERGED_NAMES)
 
 
-def _frequent_rows(part: int, lang: str | None, nth: int, words: pa.Array | None, first: pa.Array | None, second: pa.Array | None, f: np.ndarray) -> pa.RecordBatch:
+def _frequent_rows(part: int, lang: str | None, nth: np.ndarray, words: pa.Array | None, first: pa.Array | None, second: pa.Array | None, f: np.ndarray) -> pa.RecordBatch:
     n = len(f)
     null = lambda kind: pa.nulls(n, kind)
-    columns = [pa.array(np.full(n, part, np.int32)), null(pa.int64()), pa.array([lang] * n, pa.string()), null(pa.binary()), null(pa.binary()), words or null(pa.string()), first or null(pa.int64()), second or null(pa.int64()), pa.array(f.astype(np.int64)), pa.array(np.arange(nth, nth + n))]
+    columns = [pa.array(np.full(n, part, np.int32)), null(pa.int64()), pa.array([lang] * n, pa.string()), null(pa.binary()), null(pa.binary()), words or null(pa.string()), first or null(pa.int64()), second or null(pa.int64()), pa.array(f.astype(np.int64)), pa.array(nth.astype(np.int64))]
     return pa.record_batch(columns, names=_MERGED_NAMES)
 
 
@@ -276,17 +291,17 @@ def _merge_words(least: int):
             total: dict[bytes, int] = {}
             get = total.get
             for _, keys, _, k in rows:
-                for w, c in zip(zlib.decompress(keys).split(b"\n"), np.frombuffer(zlib.decompress(k), np.int64).tolist()):
+                for w, c in zip(zlib.decompress(keys).split(b"\n"), _numbers(k, np.int64).tolist()):
                     total[w] = get(w, 0) + c
             # The sum over all words, rare ones too, stands in a row of its own, without a word.
-            yield _frequent_rows(part, lang, -1, None, None, None, np.array([sum(total.values())]))
-            some = sorted(w for w, c in total.items() if c >= least)
+            yield _frequent_rows(part, lang, np.array([-1]), None, None, None, np.array([sum(total.values())]))
+            some = sorted((w for w, c in total.items() if c >= least), key=lambda w: (-total[w], w))
             if not some:
                 continue
             nth = next_of.get(part, 0)
             number = {w: nth + i for i, w in enumerate(some)}
             next_of[part] = nth + len(some)
-            yield _frequent_rows(part, lang, nth, pa.array(some, pa.binary()).cast(pa.string()), None, None, np.array([total[w] for w in some]))
+            yield _frequent_rows(part, lang, np.arange(nth, nth + len(some)), pa.array(some, pa.binary()).cast(pa.string()), None, None, np.array([total[w] for w in some]))
             for block, keys, more, _ in rows:
                 of = np.array([number.get(w, -1) for w in zlib.decompress(keys).split(b"\n")], np.int64)
                 ok = of >= 0
@@ -309,7 +324,7 @@ def _merge_pairs(least: int):
 
             size = 0
             for _, own, _, k in rows:
-                waiting.append((_loosened(own, np.uint64), np.frombuffer(zlib.decompress(k), np.int64)))
+                waiting.append((_loosened(own, np.uint64), _numbers(k, np.int64)))
                 size += len(waiting[-1][0])
                 if size > MERGE_KEYS:
                     keys, counts = settle()
@@ -318,27 +333,26 @@ def _merge_pairs(least: int):
             some, f = keys[counts >= least], counts[counts >= least]
             if not len(some):
                 continue
-            yield _frequent_rows(part, None, 0, None, pa.array((some >> np.uint64(32)).astype(np.int64)), pa.array((some & np.uint64(0xFFFFFFFF)).astype(np.int64)), f)
+            # Frequent ones get small numbers, which pack well.
+            nth = np.empty(len(f), np.int64)
+            nth[np.argsort(-f, kind="stable")] = np.arange(len(f))
+            yield _frequent_rows(part, None, nth, None, pa.array((some >> np.uint64(32)).astype(np.int64)), pa.array((some & np.uint64(0xFFFFFFFF)).astype(np.int64)), f)
             for block, own, _, _ in rows:
                 hit = np.flatnonzero(np.isin(some, _loosened(own, np.uint64), assume_unique=True))
                 if len(hit):
-                    yield _told(part, block, None, some[hit].tobytes(), hit.astype(np.int64).tobytes())
+                    yield _told(part, block, None, some[hit].tobytes(), nth[hit].tobytes())
 
     return run
 
 
-def _merged(runs: DataFrame, merge, name: str) -> tuple[DataFrame, dict[int, int]]:
-    """What merge tells of the runs, and where each partition's numbers begin."""
+def _merged(runs: DataFrame, merge, name: str) -> DataFrame:
+    """What merge tells of the runs, partition by partition."""
     n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = runs.filter("part is not null").repartition(n, "part").sortWithinPartitions("part", "lang", "block")
-    told = written(rows.mapInArrow(merge, MERGED), name)
-    # A row for each partition: fewer than there are tasks.
-    sizes = sorted((r["part"], r["n"]) for r in told.filter("nth >= 0").groupBy("part").agg((F.max("nth") + 1).alias("n")).collect())
-    ends = np.cumsum([n for _, n in sizes]).tolist()
-    return told, {p: end - n for (p, n), end in zip(sizes, ends)}
+    return written(rows.mapInArrow(merge, MERGED), name)
 
 
-def _count_blocks(first: bool, starts: dict[int, int], parts: int, burst: int, most: int):
+def _count_blocks(first: bool, parts: int, burst: int, most: int):
     """(block, ids, told) to the block in the new numbers and the packed runs of its neighbours' pairs.
 
     told lists a block's keys and their numbers by partition. In the first level keys are the
@@ -350,8 +364,8 @@ def _count_blocks(first: bool, starts: dict[int, int], parts: int, burst: int, m
             for i in range(b.num_rows):
                 block, told = b.column(0)[i].as_py(), b.column(2)[i].as_py()
                 known = np.concatenate([np.frombuffer(t["keys"], np.uint64) for t in told])
-                new = np.concatenate([np.frombuffer(t["more"], np.int64) + starts[t["part"]] for t in told])
-                grams = _packed(_renamed(np.frombuffer(b.column(1)[i].as_py(), np.int32 if first else np.int64), known, new, first))
+                new = np.concatenate([np.frombuffer(t["more"], np.int64) * parts + t["part"] for t in told])
+                grams = _packed(_renamed(_numbers(b.column(1)[i].as_py(), np.int32 if first else np.int64), known, new, first))
                 out: list[tuple[np.ndarray, np.ndarray]] = []
                 trie = HatTrie(lambda k, n: out.append((k, n)), burst, most)
                 keys = _pairs(grams)
@@ -360,7 +374,7 @@ def _count_blocks(first: bool, starts: dict[int, int], parts: int, burst: int, m
                 trie.drain()
                 yield from _packed_runs(block, out, parts)
                 if len(keys):
-                    yield _run_row(None, block, None, grams.tobytes(), None, None, None)
+                    yield _run_row(None, block, None, _planes(grams), None, None, None)
 
     return run
 
@@ -405,14 +419,14 @@ def _packed_runs(block: int, runs: list[tuple[np.ndarray, np.ndarray]], parts: i
     keys, counts, to = keys[order], counts[order], to[order]
     cuts = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]).tolist()
     for lo, hi in zip(cuts[:-1], cuts[1:]):
-        yield _run_row(int(to[lo]), block, None, None, _squeezed(keys[lo:hi]), None, zlib.compress(counts[lo:hi].tobytes(), 1))
+        yield _run_row(int(to[lo]), block, None, None, _squeezed(keys[lo:hi]), None, _planes(counts[lo:hi]))
 
 
-def _level(blocks: DataFrame, told: DataFrame, starts: dict[int, int], first: bool, parts: int, burst: int, most: int) -> DataFrame:
+def _level(blocks: DataFrame, told: DataFrame, first: bool, parts: int, burst: int, most: int) -> DataFrame:
     """Blocks in the numbers of the frequent keys they have, and the packed runs of their pairs."""
     own = told.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "keys", "more")).alias("told"))
     met = blocks.join(own, "block").select("block", "ids", "told")
-    return written(met.mapInArrow(_count_blocks(first, starts, parts, burst, most), RUNS), "phrase-runs", "zstd")
+    return written(met.mapInArrow(_count_blocks(first, parts, burst, most), RUNS), "phrase-runs", "zstd")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, burst: int = BURST, most: int = MOST_ENTRIES) -> tuple[DataFrame, list[DataFrame]]:
@@ -424,22 +438,23 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST
     d = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     runs = written(d.mapInArrow(_encode(parts), RUNS), "phrase-blocks", "zstd")
 
-    def numbered(told: DataFrame, starts: dict[int, int]) -> DataFrame:
-        """The frequent keys with their number id."""
-        at = F.broadcast(docs.sparkSession.createDataFrame(sorted(starts.items()), "part int, start long"))
-        return told.filter("nth >= 0").join(at, "part").withColumn("id", F.col("start") + F.col("nth"))
+    def numbered(told: DataFrame) -> DataFrame:
+        """The frequent keys with their number id: the partitions take turns."""
+        return told.filter("nth >= 0").withColumn("id", F.col("nth") * F.lit(parts) + F.col("part"))
 
-    told, starts = _merged(runs, _merge_words(least), "frequent-words")
+    told = _merged(runs, _merge_words(least), "frequent-words")
     totals = told.filter("nth = -1").groupBy("lang").agg(F.sum("f").alias("n")).filter("n > 0")
-    levels = [written(numbered(told, starts).select("id", "lang", F.array("word").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails")), "phrases-1")]
+    levels = [written(numbered(told).select("id", "lang", F.array("word").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails")), "phrases-1")]
     for k in range(2, most_words + 1):
-        runs = _level(runs.filter("ids is not null").select("block", "ids"), told, starts, k == 2, parts, burst, most)
-        told, starts = _merged(runs, _merge_pairs(least), f"frequent-{k}")
+        last, runs = runs, _level(runs.filter("ids is not null").select("block", "ids"), told, k == 2, parts, burst, most)
+        remove_table(last)  # the blocks are in the next table now
+        told = _merged(runs, _merge_pairs(least), f"frequent-{k}")
         before = levels[-1]
         p = before.select(F.col("id").alias("first"), F.col("lang").alias("of"), F.col("words").alias("w"), F.col("heads").alias("h"))
         s = before.select(F.col("id").alias("second"), F.element_at("words", -1).alias("last"), F.col("tails").alias("t"))
-        grams = numbered(told, starts).select("id", "first", "second", "f").join(p, "first").join(s, "second")
+        grams = numbered(told).select("id", "first", "second", "f").join(p, "first").join(s, "second")
         levels.append(written(grams.select("id", F.col("of").alias("lang"), F.array_append("w", F.col("last")).alias("words"), F.array_append("h", F.col("f")).alias("heads"), F.array_append("t", F.col("f")).alias("tails"), "first", "second"), f"phrases-{k}"))
+    remove_table(runs)
     return totals, levels
 
 

@@ -92,7 +92,7 @@ def test_blocks_and_slices_end_between_pieces():
     for r in table:
         if r["ids"] is not None:
             run = []
-            for i in [*np.frombuffer(r["ids"], np.int32).tolist(), -1]:
+            for i in [*P._numbers(r["ids"], np.int32).tolist(), -1]:
                 if i < 0:
                     runs[tuple(run)] += bool(run)
                     run = []
@@ -123,6 +123,9 @@ def test_the_trie_counts_as_a_dictionary_does():
 
 def test_packed_keys_come_back():
     r = np.random.default_rng(8)
+    for kind in (np.int32, np.int64):
+        x = np.array([-1, 0, 5, 70_000, -1, 2**31 - 2], kind)
+        assert (P._numbers(P._planes(x), kind) == x).all() and P._numbers(P._planes(x[:0]), kind).dtype == kind
     for n in (0, 1, 1000):
         x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
         assert (P._loosened(P._squeezed(x), np.uint64) == x).all()
