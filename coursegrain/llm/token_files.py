@@ -6,11 +6,13 @@ coded with models of their own, reset at each block's start, and carry a checksu
 ids, so that a block can be read without any other. The blocks of a segment are coded side by
 side, one numpy lane each.
 
-For each id three predictions are mixed: the id that last followed the same two ids, the id
-that last followed the same one, and the block's own distribution of ids. The mix's weights
-are adapted for each confidence of the first two; the distribution of ids is a tree of
-nibbles with adapted cumulative frequencies. The mix drives a carry-less range coder with a
-48-bit window that gives 16 bits at a time.
+For each id there are three predictions: the id that last followed the same two ids, the id
+that last followed the same one, and the block's own distribution of ids. Which of them holds
+is coded first, as a symbol of three whose frequencies are adapted for each confidence of the
+first two, so that they weigh against each other symbol by symbol; they aren't summed to one
+distribution. If neither guess holds, the id follows from the distribution of ids, a tree of
+nibbles with adapted cumulative frequencies. All drive a carry-less range coder with a 48-bit
+window that gives 16 bits at a time.
 
 Segments are rows of a Parquet table in the shared folder: Spark's committer writes them, so
 that a lost executor leaves no half-written file."""

@@ -227,3 +227,46 @@ def test_what_comes_out_of_a_bucket_grows_with_its_vectors():
     assert len(ids) == 300 and len(links) == 299 and all(c == 450 - k for c, (_, k, _) in zip(counts.tolist(), rows))
     ids, counts, links = E.linked(rows[:100], rows[100:], 0, 4, 0.93)
     assert counts[:100].tolist() == [300] * 100 and counts[100:].tolist() == [150] * 200 and len(links) == 299
+
+
+def _slow_statistics(text):
+    """One byte, word and line at a time."""
+    import math
+
+    raw = text.encode()
+    if not raw:
+        return [0.0] * len(Q.NAMES)
+    n, words = len(raw), text.split()
+    runs, start = [], None
+    for i, c in enumerate(raw + b" "):
+        if chr(c) in " \t\n\x0b\x0c\r":
+            if start is not None:
+                runs.append((start, i))
+            start = None
+        elif start is None:
+            start = i
+    sizes = [b - a for a, b in runs] or [0]
+    mean = sum(sizes) / len(sizes)
+    symbols, stops = "#$%&*@^~_=+<>\\/{}[]", ".,;:!?"
+    of = lambda test: math.sqrt(sum(bool(test(chr(c))) for c in raw) / n)
+    ascii_in = lambda low, high: lambda c: low <= c <= high
+    counts = [raw.count(bytes([c])) for c in range(256)]
+    upper = lambda c: ord("A") <= c <= ord("Z")
+    lines = text.split("\n")
+    return [
+        math.log(1 + n) / 4, math.log(1 + len(words)) / 4, math.log(1 + mean), math.log(1 + math.sqrt(sum((s - mean) ** 2 for s in sizes) / len(sizes))),
+        of(ascii_in("A", "Z")), of(ascii_in("0", "9")), of(lambda c: c in symbols), of(lambda c: c in stops), of(lambda c: c == "|"), of(lambda c: c == "!"),
+        of(lambda c: c == "\n"), of(lambda c: c == " "), of(lambda c: c >= "\x80"), len(set(words)) / max(1, len(words)), len(set(lines)) / len(lines),
+        -sum(k / n * math.log(k / n) for k in counts if k), math.sqrt(sum(chr(raw[b - 1]) in symbols for _, b in runs) / max(1, len(runs))),
+        math.sqrt(sum(upper(raw[a]) and upper(raw[min(a + 1, n - 1)]) for a, _ in runs) / max(1, len(runs))),
+    ]
+
+
+def test_statistics_are_those_counted_one_by_one():
+    import random
+
+    r = random.Random(8)
+    texts = ["", " \n\t", "A", "ok A", "ÉÉ été naïve", "a\xa0b", "#1 | two|| three!!", "x" * 3000]
+    texts += ["".join(r.choice("aB9 é#|!.\n\t@ZZ ") for _ in range(r.randint(1, 120))) for _ in range(300)]
+    for t in texts:
+        assert np.allclose(Q.statistics(t), _slow_statistics(t), rtol=0, atol=1e-12), t
