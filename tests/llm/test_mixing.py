@@ -76,3 +76,25 @@ def test_a_long_document_leaves_no_gap(spark):
             own = [r for r in out if r["source"] == source]
             taken = sum(r["copies"] * r["size"] for r in own)
             assert abs(taken - own[0]["target"]) <= 100, (seed, source, taken, own[0]["target"])
+
+
+def test_many_sources_and_a_hot_one(spark, monkeypatch):
+    """Beyond FEW_SOURCES sources meet their rows in shuffled joins, with the same result."""
+    import random
+
+    r = random.Random(3)
+    rows = [(i, " ".join(["w"] * r.randint(0, 30)), r.choice([None, *(f"s{k}" for k in range(40))]), None, None) for i in range(300)] + [(1000 + i, "w " * (i % 25), "hot", None, None) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOC)
+    few = sorted(map(str, M.mix(docs).collect()))
+    monkeypatch.setattr(M, "FEW_SOURCES", 5)
+    assert sorted(map(str, M.mix(docs).collect())) == few
+
+
+def test_the_fill_goes_on_until_nothing_fits(spark):
+    """Sizes of powers of two, the largest first in any order: every pass can take one more."""
+    rows = [(i, "w " * 2**k, "a", None, None) for i, k in enumerate(range(13))] + [(100, "w " * 6000, "b", None, None)]
+    for seed in ("x", "y", "z"):
+        out = [r for r in M.mix(spark.createDataFrame(rows, DOC), seed=seed).collect() if r["source"] == "a"]
+        missing = out[0]["target"] - sum(r["copies"] * r["size"] for r in out)
+        free = [r["size"] for r in out if r["copies"] == min(x["copies"] for x in out)]
+        assert missing < 1 or not any(size <= missing for size in free), (seed, missing, free)
