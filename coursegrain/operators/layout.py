@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -51,18 +54,28 @@ def xy_cut(boxes: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
 def row_bands(boxes: DataFrame, by: list[str], band: int = ROW_BAND) -> DataFrame:
     """by, row, line: boxes within a band of the row's first top share it; cells left to right.
 
-    Where a row begins depends on the row before, so the tops of a block are folded in order."""
-    g = boxes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("top", "left", "text"))).alias("b"))
-    kind = g.schema["b"].dataType.elementType
-    tops = kind["top"].dataType.simpleString()
-    start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast(tops).alias("anchor"), F.array().cast("array<int>").alias("rows"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        new = acc["anchor"].isNull() | (F.abs(x["top"] - acc["anchor"]) > band)
-        row = acc["row"] + new.cast("int")
-        return F.struct(row.alias("row"), F.when(new, x["top"]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    g = g.withColumn("rows", F.aggregate("b", start, fold)["rows"])
-    cells = g.select(*by, F.posexplode(F.arrays_zip("b", "rows")).alias("i", "z")).select(*by, F.col("z.rows").alias("row"), F.col("z.b.left").alias("left"), "i", F.col("z.b.text").alias("text"))
+    Where a row begins depends on the row before: boxes stream in the order of their tops within
+    their block, and only the open row's first top is held. A box without a top is a row."""
+    kinds = dict(boxes.dtypes)
+    columns = [*by, "top", "left", "text"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = anchor = None
+        row = i = -1
+        for b in batches:
+            out, places = [], []
+            for *own, top in zip(*(b.column(j).to_pylist() for j in range(len(by) + 1))):
+                if own != key:
+                    key, anchor, row, i = own, None, -1, -1
+                i += 1
+                if anchor is None or top is None or abs(top - anchor) > band:
+                    row, anchor = row + 1, top
+                out.append(row)
+                places.append(i)
+            yield pa.record_batch([*b.columns, pa.array(out, pa.int32()), pa.array(places, pa.int64())], names=[*columns, "row", "i"])
+
+    n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    cells = boxes.select(*columns).repartition(n, *by).sortWithinPartitions(*columns).mapInArrow(rows, f"{schema}, row int, i long")
     lines = cells.groupBy(*by, "row").agg(F.array_sort(F.collect_list(F.struct("left", "i", "text"))).alias("c"))
     return lines.select(*by, "row", F.array_join(F.transform("c", lambda x: x["text"]), " | ").alias("line"))
