@@ -88,7 +88,8 @@ def test_large_entries_stay_exact(spark):
     assert got == {i: d if d < 1 << 63 else None for (i, _), d in zip(rows, deviations)}
 
 
-def test_many_parts_and_reruns_agree(spark):
+def test_many_parts_and_reruns_agree(spark, monkeypatch):
+    monkeypatch.setattr(W, "MOST_PARTS", 24)
     r = np.random.default_rng(5)
     df = spark.createDataFrame([(i, v.tolist(), "", 0) for i, v in enumerate(r.standard_normal((64, 6)))], ROWS)
     blocks = W.written(df.select("embedding").mapInArrow(W._blocks, "dim int, n long, x binary"), "test-blocks")
