@@ -12,3 +12,8 @@ def _plan(spark, name):
 def test_cards_are_parsed_once(spark):
     plan = _plan(spark, "parse_cards")
     assert plan.count("from_json(") == 1 and plan.count("regexp_extract_all(") == 1
+
+
+def test_responses_are_parsed_once(spark):
+    plan = _plan(spark, "schema_check")
+    assert plan.count("from_json(") == 1 and plan.count("regexp_extract_all(") == 1
