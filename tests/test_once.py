@@ -17,3 +17,9 @@ def test_cards_are_parsed_once(spark):
 def test_responses_are_parsed_once(spark):
     plan = _plan(spark, "schema_check")
     assert plan.count("from_json(") == 1 and plan.count("regexp_extract_all(") == 1
+
+
+def test_rules_read_a_passage_once(spark):
+    """Words, numbers and their array stand in the filter, not the question's making."""
+    plan = _plan(spark, "accepted_questions")
+    assert plan.count("regexp_extract_all(") <= 7 and plan.count("slice(") <= 10
