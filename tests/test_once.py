@@ -23,3 +23,7 @@ def test_rules_read_a_passage_once(spark):
     """Words, numbers and their array stand in the filter, not the question's making."""
     plan = _plan(spark, "accepted_questions")
     assert plan.count("regexp_extract_all(") <= 7 and plan.count("slice(") <= 10
+
+
+def test_word_lists_are_made_once(spark):
+    assert _plan(spark, "groundedness").count("array_distinct(") == 2
