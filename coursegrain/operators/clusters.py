@@ -15,16 +15,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Tunables
-from ..sources.tables import written
+from ..sources.tables import remove_table, written
 from .ranks import ranked
 
-#: Clusters that a task finishes by itself, and vectors of a block.
+#: Clusters that a task finishes by itself; vectors of a block, numbers in them, and vectors multiplied at a time.
 FEW = 2048
-BLOCK = 1024
+BLOCK = 8192
+BLOCK_NUMBERS = 1 << 20
+TILE = 256
+#: Merges of a round that are broadcast.
+SENT = 2000
 DIGITS = 12
 
 
@@ -102,60 +107,115 @@ def _small_courses(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("course_id").applyInPandas(one, schema)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column as a matrix; shorter ones end in zeros."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False))
+    wide = int(sizes.max(initial=0))
+    if len(flat) == wide * len(sizes):
+        return flat.reshape(len(sizes), wide)
+    out = np.zeros((len(sizes), wide))
+    out[np.arange(wide) < sizes[:, None]] = flat
+    return out
+
+
+def _under(parts: list[np.ndarray], wide: int) -> np.ndarray:
+    """Matrices one under the other, of so many columns."""
+    return np.concatenate([np.pad(m, ((0, 0), (0, wide - m.shape[1]))) if m.shape[1] < wide else m for m in parts])
+
+
+def _row_best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's first place of the most, in rounded numbers, and the most; only rows with near ties are rounded whole."""
+    at = s.argmax(1)
+    top = s[np.arange(len(s)), at]
+    for i in np.flatnonzero(np.count_nonzero(s >= (top - 2 * 10.0**-DIGITS)[:, None], axis=1) > 1).tolist():
+        at[i] = np.round(s[i], DIGITS).argmax()
+    return at, np.round(top, DIGITS)
+
+
+def _met(a: np.ndarray, b: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(place, similarity) of the nearest of b for each row of a, and of a for each of b; without b of a's others for each of a.
+
+    TILE rows are multiplied at a time."""
+    c = a if b is None else b
+    own, sims = np.zeros(len(a), np.int64), np.zeros(len(a))
+    back, most = np.zeros(len(c), np.int64), np.full(len(c), -np.inf)
+    for lo in range(0, len(a), TILE):
+        s = a[lo : lo + TILE] @ c.T
+        if b is None:
+            s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
+        own[lo : lo + TILE], sims[lo : lo + TILE] = _row_best(s)
+        if b is not None:
+            at, top = _row_best(np.ascontiguousarray(s.T))
+            more = top > most
+            back[more], most[more] = at[more] + lo, top[more]
+    return [(own, sims)] if b is None else [(own, sims), (back, most)]
+
+
 def _nearest_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(course_id, low, high, side, rep, mean), sorted by all but the last, to each row's nearest of the other side."""
     names = ["course_id", "rep", "other", "sim"]
     key, sides = None, ([], [])
 
     def close():
-        one, two = sides
-        if one and (two or len(one) > 1):
-            m = _stacked([x[1] for x in one + two])
-            a, b = m[: len(one)], m[len(one) :] if two else m
-            s = np.round(a @ b.T, DIGITS)
-            if not two:
-                np.fill_diagonal(s, -np.inf)
-            for rows, cols, t in [(one, two, s), (two, one, s.T)] if two else [(one, one, s)]:
-                at = t.argmax(1)
-                yield pa.record_batch([pa.array([key[0]] * len(rows), kinds[0]), pa.array([x[0] for x in rows], kinds[1]), pa.array([cols[i][0] for i in at.tolist()], kinds[1]), pa.array(t[np.arange(len(rows)), at])], names=names)
-
-    kinds = None
+        if not sides[0] or not sides[1] and sum(len(r) for r, _ in sides[0]) < 2:
+            return
+        wide = max(m.shape[1] for side in sides for _, m in side)
+        reps = [pa.concat_arrays([r for r, _ in side]) for side in sides if side]
+        ms = [_under([m for _, m in side], wide) for side in sides if side]
+        for rows, cols, (at, sims) in zip(reps, reps[::-1], _met(ms[0], ms[1] if len(ms) > 1 else None)):
+            yield pa.record_batch([pa.repeat(key[0], len(rows)), rows, cols.take(pa.array(at)), pa.array(sims)], names=names)
+
     for b in batches:
-        kinds = kinds or (b.schema.field("course_id").type, b.schema.field("rep").type)
-        for course, low, high, side, rep, mean in zip(*(c.to_pylist() for c in b.columns)):
-            if (course, low, high) != key:
-                if key is not None:
-                    yield from close()
-                key, sides = (course, low, high), ([], [])
-            sides[side].append((rep, mean))
-    if key is not None:
-        yield from close()
-
-
-def nearest_clusters(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+        course, low, high, side, reps, means = b.columns
+        marks = [pc.dictionary_encode(course).indices.to_numpy(), *(c.to_numpy() for c in (low, high, side))]
+        cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1 if len(reps) else []
+        for lo, hi in zip([0, *cuts], [*cuts, len(reps)]):
+            if lo == hi:
+                continue
+            now = (course[int(lo)], int(marks[1][lo]), int(marks[2][lo]))
+            if now != key:
+                yield from close()
+                key, sides = now, ([], [])
+            n = int(hi - lo)
+            sides[marks[3][lo]].append((reps.slice(lo, n), _matrix(means.slice(lo, n))))
+    yield from close()
+
+
+def nearest_clusters(nodes: DataFrame, block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """course_id, rep, other, sim: of each cluster the most similar one of its course.
 
-    Of equally similar ones the pair of the least rep counts, so that some pair is always mutual."""
-    parts = nodes.groupBy("course_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
-    d = nodes.join(parts, "course_id").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    d = d.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - F.lit(1))))
+    Of equally similar ones the pair of the least rep counts, so that some pair is always mutual.
+    Of nodes (course_id, rep, mean, fresh) the fresh ones meet all others, and the rest meet only
+    these: known has what was nearest to each of the rest, which it is but for what is fresh."""
+    number = lambda of: F.ceil(F.count_if(of) / F.lit(block)).cast("int")
+    parts = nodes.groupBy("course_id").agg(number(F.col("fresh")).alias("new"), number(~F.col("fresh")).alias("old"))
+    pairs = parts.agg(F.sum(F.col("new") * (F.col("new") + F.lit(1)) / F.lit(2) + F.col("new") * F.col("old"))).first()[0] or 0
+    d = nodes.join(parts, "course_id").filter("new > 0")
+    place = lambda among: F.pmod(F.xxhash64("rep"), F.greatest(among, F.lit(1))).cast("int")
+    d = d.withColumn("own", F.when(F.col("fresh"), place(F.col("new"))).otherwise(F.col("new") + place(F.col("old"))))
+    d = d.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("fresh"), F.col("new") + F.col("old")).otherwise(F.col("new")) - F.lit(1))))
     d = d.select("course_id", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), (F.col("own") > F.col("with")).cast("int").alias("side"), "rep", "mean")
     kinds = dict(nodes.dtypes)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = d.repartition(4 * n, "course_id", "low", "high").sortWithinPartitions("course_id", "low", "high", "side", "rep")
+    near = d.repartition(max(1, min(4 * n, int(pairs))), "course_id", "low", "high").sortWithinPartitions("course_id", "low", "high", "side", "rep")
     near = near.mapInArrow(_nearest_in_blocks, f"course_id {kinds['course_id']}, rep {kinds['rep']}, other {kinds['rep']}, sim double")
+    if known is not None:
+        near = near.unionByName(known)
     best = near.groupBy("course_id", "rep").agg(F.min(F.struct((-F.col("sim")).alias("far"), F.least("rep", "other").alias("low"), F.greatest("rep", "other").alias("high"), "other")).alias("b"))
     return best.select("course_id", "rep", F.col("b.other").alias("other"), (-F.col("b.far")).alias("sim"))
 
 
 def _large_courses(vectors: DataFrame, few: int, block: int) -> DataFrame:
     """As _small_courses, for courses of any size."""
-    nodes = vectors.select("course_id", F.col("chunk_id").alias("rep"), F.lit(1).cast("long").alias("n"), "mean")
+    dims = vectors.agg(F.max(F.size("mean"))).first()[0] or 1
+    block = max(1, min(block, BLOCK_NUMBERS // max(1, dims)))
+    nodes = vectors.select("course_id", F.col("chunk_id").alias("rep"), F.lit(1).cast("long").alias("n"), "mean", F.lit(True).alias("fresh"))
     goal = written(vectors.groupBy("course_id").agg((F.count(F.lit(1)) - F.max("wanted")).alias("merges")), "cluster-goals")
     left, merges, turn = written(nodes, "clusters"), None, 0
-    rest = None
+    rest = known = before = None
     while not left.isEmpty():
-        best = written(nearest_clusters(left, block), "nearest")
+        best = written(nearest_clusters(left, block, known), "nearest")
         now = best.groupBy("course_id").agg(F.count(F.lit(1)).alias("open"), F.max("sim").alias("top"))
         if merges is not None:
             sure = merges.join(now, "course_id").filter(F.col("sim") >= F.col("top")).groupBy("course_id").agg(F.count(F.lit(1)).alias("sure"))
@@ -164,20 +224,38 @@ def _large_courses(vectors: DataFrame, few: int, block: int) -> DataFrame:
             now = now.withColumn("sure", F.lit(0).cast("long"))
         # What is left can only merge at less: enough merges above that are all that is asked for.
         state = written(now.join(goal, "course_id").select("course_id", (F.coalesce("sure", F.lit(0)) >= F.col("merges")).alias("ended"), (F.col("open") <= few).alias("few")), "cluster-state")
-        small = left.join(state.filter("few and not ended").select("course_id"), "course_id", "left_semi")
-        rest = small if rest is None else rest.unionByName(small)
+        if rest is None or not state.filter("few and not ended").isEmpty():
+            small = written(left.join(state.filter("few and not ended").select("course_id"), "course_id", "left_semi").select("course_id", "rep", "n", "mean"), "few-clusters")
+            rest = small if rest is None else rest.unionByName(small)
         on = state.filter("not few and not ended").select("course_id")
         a = best.join(on, "course_id", "left_semi")
-        b = a.select("course_id", F.col("rep").alias("other"), F.col("other").alias("rep"))
-        pairs = written(a.filter(F.col("rep") < F.col("other")).join(b, ["course_id", "rep", "other"]).select("course_id", F.col("rep").alias("kept"), F.col("other").alias("gone"), "sim", F.lit(turn).cast("long").alias("turn")), "merges")
+        ends = a.groupBy("course_id", F.least("rep", "other").alias("kept"), F.greatest("rep", "other").alias("gone")).agg(F.count(F.lit(1)).alias("ends"), F.min("sim").alias("sim"))
+        pairs = written(ends.filter("ends = 2").select("course_id", "kept", "gone", "sim", F.lit(turn).cast("long").alias("turn")), "merges")
         merges = pairs if merges is None else merges.unionByName(pairs)
+        if turn % 8 == 7:
+            merges = written(merges, "merges")
+        # Many rounds make few merges, which are sent along; tables of many rows don't go by way of the driver.
+        beside = F.broadcast if pairs.count() <= SENT else (lambda d: d.hint("merge"))
         kept = pairs.select("course_id", F.col("kept").alias("rep"), "gone")
-        other = left.select("course_id", F.col("rep").alias("gone"), F.col("n").alias("n2"), F.col("mean").alias("mean2"))
-        live = left.withColumnRenamed("n", "n1").join(on, "course_id", "left_semi").join(pairs.select("course_id", F.col("gone").alias("rep")), ["course_id", "rep"], "left_anti")
-        live = live.join(kept, ["course_id", "rep"], "left").join(other, ["course_id", "gone"], "left")
+        gone = pairs.select("course_id", F.col("gone").alias("rep"))
+        both = kept.select("course_id", F.explode(F.array("rep", "gone")).alias("other"))
+        # A merged cluster is nobody's nearest if neither of its two was: average linkage has no inversions.
+        moved = a.join(beside(both), ["course_id", "other"], "left_semi").select("course_id", "rep").unionByName(kept.select("course_id", "rep")).distinct()
+        moved = written(moved.withColumn("fresh", F.lit(True)), "moved")
+        moved = moved.hint("merge") if moved.count() > 10 * SENT else F.broadcast(moved)
+        known = best.join(moved, ["course_id", "rep"], "left_anti")
+        two = left.select("course_id", F.col("rep").alias("gone"), F.col("n").alias("n2"), F.col("mean").alias("mean2")).join(beside(kept), ["course_id", "gone"])
+        live = left.withColumnRenamed("n", "n1").drop("fresh").join(on, "course_id", "left_semi").join(beside(gone), ["course_id", "rep"], "left_anti")
+        live = live.join(beside(two), ["course_id", "rep"], "left").join(moved, ["course_id", "rep"], "left")
         # Means of different lengths are as if the shorter one ended in zeros.
         blend = F.zip_with("mean", "mean2", lambda x, y: (F.coalesce(x, F.lit(0.0)) * F.col("n1") + F.coalesce(y, F.lit(0.0)) * F.col("n2")) / (F.col("n1") + F.col("n2")))
-        left = written(live.select("course_id", "rep", (F.col("n1") + F.coalesce("n2", F.lit(0))).alias("n"), F.when(F.col("n2").isNull(), F.col("mean")).otherwise(blend).alias("mean")), "clusters")
+        last = left
+        left = written(live.select("course_id", "rep", (F.col("n1") + F.coalesce("n2", F.lit(0))).alias("n"), F.when(F.col("n2").isNull(), F.col("mean")).otherwise(blend).alias("mean"), F.coalesce("fresh", F.lit(False)).alias("fresh")), "clusters")
+        known = known.join(on, "course_id", "left_semi")
+        remove_table(last)
+        if before is not None:
+            remove_table(before)
+        before = best
         turn += 1
 
     def finish(g: pd.DataFrame) -> pd.DataFrame:

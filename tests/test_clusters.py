@@ -75,3 +75,26 @@ def test_halves_to_even(spark):
     n = [1, 2, 3, 9, 15, 21, 27, 33]
     got = spark.createDataFrame([(x,) for x in n], "n long").select(G.wanted_clusters(F.col("n"), 6)).collect()
     assert [r[0] for r in got] == [1] + [max(2, min(x, round(x / 6))) for x in n[1:]]
+
+
+def test_clusters_that_stay_only_meet_the_fresh_ones(spark):
+    """What was nearest among those that stay is taken over, and equals a search among all."""
+    r = np.random.default_rng(3)
+    x = np.round(r.standard_normal((60, 4)), 1)
+    x[50:] = x[:10]
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    nodes = spark.createDataFrame([(c, i, v.tolist(), i % 7 == 0) for c in "ab" for i, v in enumerate(x)], "course_id string, rep long, mean array<double>, fresh boolean")
+    rows = lambda d: sorted((y["course_id"], y["rep"], y["other"], y["sim"]) for y in d.collect())
+    known = G.nearest_clusters(nodes.filter("not fresh").withColumn("fresh", F.lit(True)), 9)
+    want = []
+    for c in "ab":
+        for i in range(60):
+            s = np.round(x @ x[i], 12)
+            s[i] = -np.inf
+            j = min(np.flatnonzero(s == s.max()).tolist(), key=lambda j: (min(i, j), max(i, j)))
+            want.append((c, i, j, s[j]))
+    assert rows(G.nearest_clusters(nodes, 9, known)) == want
+    some = nodes.filter("fresh or course_id = 'a'")
+    marked = known.filter("course_id = 'a'").withColumn("sim", F.lit(2.0).cast("double"))
+    got = {(y["course_id"], y["rep"]): y["sim"] for y in G.nearest_clusters(some, 9, marked).collect()}
+    assert all((got[c, i] == 2.0) == (i % 7 != 0) for c, i in got) and len(got) == 60 + 9
