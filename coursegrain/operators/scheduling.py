@@ -5,10 +5,12 @@ The published FSRS description (version 5), without fuzz; weights are configurat
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 
@@ -68,13 +70,37 @@ REPLAYED = "card_id long, reviews int, stability double, difficulty double, stat
 def schedule_replay(reviews: DataFrame, retention: float = DEFAULTS.desired_retention) -> DataFrame:
     """The state of each card after its reviews in order of time and id; a review_id counts once.
 
-    One card's reviews are a task's group: a person's answers to one card."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["reviewed_at", "review_id"]).drop_duplicates("review_id")
-        card = Card()
-        for rating, at in zip(pdf["rating"], pdf["reviewed_at"]):
-            card = review(card, int(rating), at.timestamp(), retention)
-        return pd.DataFrame([[pdf["card_id"].iloc[0], len(pdf), card.stability, card.difficulty, card.state, card.lapses, pd.Timestamp(round(card.last * 1e6), unit="us"), pd.Timestamp(round(card.due * 1e6), unit="us")]], columns=[x.split()[0] for x in REPLAYED.split(", ")])
-
-    return reviews.select("card_id", "review_id", "rating", reviews["reviewed_at"].cast("timestamp").alias("reviewed_at")).groupBy("card_id").applyInPandas(fold, REPLAYED)
+    Cards lie in order within partitions, which are streamed over: only the open card's state is
+    held. Of a review_id that is there more than once, the earliest counts."""
+    types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.timestamp("us", "UTC"), pa.timestamp("us", "UTC")]
+    names = [x.split()[0] for x in REPLAYED.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, n, card, out = (), 0, Card(), []
+
+        def row():
+            return (*open_, n, card.stability, card.difficulty, card.state, card.lapses, round(card.last * 1e6), round(card.due * 1e6))
+
+        def batch():
+            return pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(types)], names=names)
+
+        for b in batches:
+            for card_id, at, rating in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
+                if (card_id,) != open_:
+                    if open_:
+                        out.append(row())
+                    open_, n, card = (card_id,), 0, Card()
+                card, n = review(card, rating, at / 1e6, retention), n + 1
+            yield batch()
+            out.clear()
+        if open_:
+            out.append(row())
+        yield batch()
+
+    at = F.unix_micros(reviews["reviewed_at"].cast("timestamp"))
+    rows = reviews.select("card_id", "review_id", F.col("rating").cast("int").alias("rating"), at.alias("at"))
+    n = int(reviews.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # One shuffle: rows of a card meet, so those of a review do.
+    first = rows.repartition(n, "card_id").groupBy("card_id", "review_id").agg(F.min(F.struct("at", "rating")).alias("r"))
+    rows = first.select("card_id", F.col("r.at").alias("at"), "review_id", F.col("r.rating").alias("rating"))
+    return rows.sortWithinPartitions("card_id", "at", "review_id").mapInArrow(fold, REPLAYED)

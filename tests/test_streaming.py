@@ -122,3 +122,18 @@ def test_intervals_grow_with_the_rating():
         assert due == sorted(due)
     card = H.review(H.review(H.Card(), 3, 0.0), 1, 5 * H.DAY)
     assert card.lapses == 1 and card.state == "relearning"
+
+
+def test_many_cards_are_replayed_in_one_pass(spark):
+    """A group for each card cost milliseconds a card; cards follow each other in a partition."""
+    rows = [(c, 10 * c + k, (c + k) % 4 + 1, dt.datetime(2024, 1, 1) + dt.timedelta(days=(3 * k + c) % 11, hours=c % 5)) for c in range(3000) for k in range(4)]
+    rows += [(c, 10 * c, 1, dt.datetime(2025, 1, 1)) for c in range(0, 3000, 3)]
+    d = H.schedule_replay(spark.createDataFrame(rows, "card_id long, review_id long, rating int, reviewed_at timestamp").repartition(3))
+    assert "FlatMapGroupsInPandas" not in d._jdf.queryExecution().toString()
+    got = {r["card_id"]: r for r in d.collect()}
+    assert len(got) == 3000
+    for c in range(0, 3000, 37):
+        card = H.Card()
+        for _, _, rating, at in sorted(rows[4 * c : 4 * c + 4], key=lambda r: (r[3], r[1])):
+            card = H.review(card, rating, at.replace(tzinfo=dt.timezone.utc).timestamp())
+        assert (got[c]["reviews"], got[c]["stability"], got[c]["state"], got[c]["lapses"]) == (4, card.stability, card.state, card.lapses)
