@@ -168,3 +168,31 @@ def test_cuts_are_those_of_the_recursion(spark):
     got = Y.xy_cut(spark.createDataFrame(rows, "slide long, left long, top long, width long, height long, text string"))
     assert {x["text"]: x["block"] for x in got.collect()} == want
     assert len({b for b in want.values()}) > 3
+
+
+def test_fast_patterns_find_what_the_plain_ones_do(spark):
+    """Patterns that look at visible ASCII or at the hyphen first, against those of the SQL, on random texts of odd characters."""
+    r = random.Random(5)
+    signs = ["a", "B", "é", "\U0001d4b3", "-", "-\n", "-\n", " ", "  ", "\n", "\r\n", "\x0b", "\x85", " ", " ", "　", "7", "٣", "_", "page", "Slide ", " of ", "/", "(", ")", "–", "", "", "|", "```"]
+    rows = [(i, "".join(r.choice(signs) for _ in range(r.randint(0, 24)))) for i in range(20000)] + [(-1, None), (-2, "foo-\nb-\nbaz"), (-3, "a -\nb"), (-4, "\U0001d4b3-\n  y-\nz")]
+    x = spark.createDataFrame(rows, "id long, x string")
+    c = F.col("x")
+    bare = T.stripped(c)
+    words = F.size(F.regexp_extract_all(c, F.lit(T.WORD), F.lit(0)))
+    pairs = {
+        "hyphens": (C.repair_hyphens(c), F.regexp_replace(c, C.HYPHEN_BREAK, "$1$2")),
+        "lines": (T.text_lines(c), F.split(c, T.LINE_END, -1)),
+        "finger": (T.fingerprint(c), F.regexp_replace(F.lower(bare), f"[{T.BLANK}]+", " ")),
+        "marker": (C.is_page_marker(c), c.rlike("(?i)" + C.PAGE_NUMBER) | ((words <= C.MARKER_WORDS) & c.rlike("(?i)" + C.PAGE_MARKER))),
+        "symbols": (C.restore_symbols(c), F.translate(c, *C.symbol_tables())),
+    }
+    found = x.select(*[F.count_if(~fast.eqNullSafe(plain)).alias(n) for n, (fast, plain) in pairs.items()], F.count_if(C.is_page_marker(c)).alias("markers")).first().asDict()
+    assert found.pop("markers") > 20
+    assert found == dict.fromkeys(pairs, 0)
+
+
+def test_a_line_is_fingerprinted_once(spark):
+    """In a plain select, filters copied the fingerprint to three places."""
+    p = spark.createDataFrame([(1, n, "Head  er\nbody", None, None) for n in range(6)], "document_id long, number int, text string, heading string, notes string")
+    plan = C.furniture(p)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
