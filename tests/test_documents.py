@@ -196,3 +196,11 @@ def test_a_line_is_fingerprinted_once(spark):
     p = spark.createDataFrame([(1, n, "Head  er\nbody", None, None) for n in range(6)], "document_id long, number int, text string, heading string, notes string")
     plan = C.furniture(p)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
+
+
+def test_a_passage_of_slides_is_joined_once(spark):
+    """In a plain select, the filter and each column that reads the text joined it again."""
+    p = spark.createDataFrame([(1, n, "s", "H", f"| a |\n| {n} |", None) for n in range(1, 4)], "document_id long, number int, course_id string, heading string, text string, notes string")
+    d = K.chunk_slides(p)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("array_join(") == 1
+    assert [(r["page_end"], r["content_type"]) for r in d.collect()] == [(3, "table")]
