@@ -31,6 +31,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 20
 PICKED = 2
+#: Tables that part a bucket: those after its own.
+AHEAD = 4
 #: Texts, and shingles of texts, that a block of a bucket has on average at most.
 BLOCK = 1024
 BLOCK_SHINGLES = 500_000
@@ -216,15 +218,22 @@ def _fits(one: str, two: str) -> Column:
     return F.least(one, two) >= F.lit(SIMILARITY) * F.greatest(one, two)
 
 
+def _parts(mixed: DataFrame) -> DataFrame:
+    """part, node, root, n: rows of buckets (bucket, t, node, root, n, sketches), parted by the AHEAD tables after t.
+
+    Tables go round, so two nodes that agree in TABLES // AHEAD of them are in a part together."""
+    ahead = mixed.select("bucket", "t", "node", "root", "n", F.posexplode("sketches").alias("other", "sketch")).filter(F.pmod(F.col("other") - F.col("t"), F.lit(TABLES)).between(1, AHEAD))
+    return ahead.select(F.xxhash64("bucket", "other", "sketch").alias("part"), "node", "root", "n")
+
+
 def _refined(mixed: DataFrame) -> DataFrame:
     """Pairs (a, b) across components, from buckets (bucket, t, node, root, n, sketches).
 
     A bucket of several components is parted by the nodes' sketches, and each part has a leader
     of its own, its least node. Texts that share a passage part ways there, as near copies
-    agree in many sketches. A part gives one pair for each node at most, and parts of like
-    nodes give the same ones; two tables part each other's buckets alike, so one of the two does."""
-    parts = mixed.select("bucket", "t", "node", "root", "n", F.posexplode("sketches").alias("other", "sketch")).filter("other >= t")
-    parts = written(parts.select(F.xxhash64("bucket", "other", "sketch").alias("part"), "node", "root", "n"), "parts")
+    agree in many sketches. A part gives one pair for each node at most, so the pairs are
+    AHEAD for each row of the buckets at most, whatever a bucket's size."""
+    parts = written(_parts(mixed), "parts")
     leaders = parts.groupBy("part").agg(F.min(F.struct("node", "root", "n")).alias("l"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("k")).filter("r1 <> r2")
     leaders = written(leaders.select("part", "l", "k"), "part-leaders")
     met = salted_join(parts, leaders.drop("k"), ["part"], ["node"], counts=leaders.select("part", "k")).filter((F.col("root") != F.col("l.root")) & _fits("n", "l.n"))

@@ -138,6 +138,24 @@ def test_links_between_members_of_a_large_bucket(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in texts}
 
 
+def test_buckets_are_parted_by_a_few_tables(spark):
+    """Four parts for each row, and one at least in common for nodes that agree in five tables."""
+    r = random.Random(24)
+    rows, sets = [], [sorted(r.sample(range(20), 5)) for _ in range(40)] + [list(range(0, 20, 4))]
+    for i, same in enumerate(sets):
+        for side in range(2):
+            sketches = [i * 1000 + t if t in same else i * 1000 + 100 * (side + 1) + t for t in range(20)]
+            rows += [(i * 100 + t, t, bytes([i, side]), bytes([i, side]), 9, sketches) for t in same]
+    mixed = spark.createDataFrame(rows, "bucket long, t int, node binary, root binary, n long, sketches array<long>")
+    parts = N._parts(mixed).collect()
+    assert len(parts) == 4 * len(rows)
+    held = defaultdict(set)
+    for x in parts:
+        held[x["part"]].add(bytes(x["node"]))
+    assert {x for x in map(frozenset, held.values()) if len(x) > 1} == {frozenset({bytes([i, 0]), bytes([i, 1])}) for i in range(len(sets))}
+    assert sum(len(x) == 2 for x in map(tuple, N._refined(mixed).collect())) == len(sets)
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(None, "x y z", None, None, None), (5, "x y z", None, None, None), (5, "x y z", None, None, None), (7, None, None, None, None), (8, "", None, None, None), (None, None, None, None, None)]
     docs = spark.createDataFrame(rows, DOC).withColumnRenamed("n_chars", "node")
