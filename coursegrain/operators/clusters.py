@@ -237,20 +237,24 @@ def _large_courses(vectors: DataFrame, few: int, block: int) -> DataFrame:
         # Many rounds make few merges, which are sent along; tables of many rows don't go by way of the driver.
         beside = F.broadcast if pairs.count() <= SENT else (lambda d: d.hint("merge"))
         kept = pairs.select("course_id", F.col("kept").alias("rep"), "gone")
-        gone = pairs.select("course_id", F.col("gone").alias("rep"))
         both = kept.select("course_id", F.explode(F.array("rep", "gone")).alias("other"))
         # A merged cluster is nobody's nearest if neither of its two was: average linkage has no inversions.
         moved = a.join(beside(both), ["course_id", "other"], "left_semi").select("course_id", "rep").unionByName(kept.select("course_id", "rep")).distinct()
         moved = written(moved.withColumn("fresh", F.lit(True)), "moved")
         moved = moved.hint("merge") if moved.count() > 10 * SENT else F.broadcast(moved)
         known = best.join(moved, ["course_id", "rep"], "left_anti")
-        two = left.select("course_id", F.col("rep").alias("gone"), F.col("n").alias("n2"), F.col("mean").alias("mean2")).join(beside(kept), ["course_id", "gone"])
-        live = left.withColumnRenamed("n", "n1").drop("fresh").join(on, "course_id", "left_semi").join(beside(gone), ["course_id", "rep"], "left_anti")
-        live = live.join(beside(two), ["course_id", "rep"], "left").join(moved, ["course_id", "rep"], "left")
+        # Of merges only the names are sent along: the means of two meet where their rows are dealt to.
+        names = kept.select("course_id", "rep", F.col("rep").alias("into")).unionByName(kept.select("course_id", F.col("gone").alias("rep"), F.col("rep").alias("into")))
+        open_ = left.drop("fresh").join(on, "course_id", "left_semi")
+        side = lambda stays: F.first(F.when((F.col("rep") == F.col("into")) == F.lit(stays), F.struct("n", "mean")), ignorenulls=True)
+        met = open_.join(beside(names), ["course_id", "rep"]).groupBy("course_id", "into").agg(side(True).alias("one"), side(False).alias("two"))
         # Means of different lengths are as if the shorter one ended in zeros.
-        blend = F.zip_with("mean", "mean2", lambda x, y: (F.coalesce(x, F.lit(0.0)) * F.col("n1") + F.coalesce(y, F.lit(0.0)) * F.col("n2")) / (F.col("n1") + F.col("n2")))
+        n = F.col("one.n") + F.col("two.n")
+        blend = F.zip_with("one.mean", "two.mean", lambda x, y: (F.coalesce(x, F.lit(0.0)) * F.col("one.n") + F.coalesce(y, F.lit(0.0)) * F.col("two.n")) / n)
+        met = met.select("course_id", F.col("into").alias("rep"), n.alias("n"), blend.alias("mean"))
+        live = open_.join(beside(names), ["course_id", "rep"], "left_anti").select("course_id", "rep", "n", "mean").unionByName(met)
         last = left
-        left = written(live.select("course_id", "rep", (F.col("n1") + F.coalesce("n2", F.lit(0))).alias("n"), F.when(F.col("n2").isNull(), F.col("mean")).otherwise(blend).alias("mean"), F.coalesce("fresh", F.lit(False)).alias("fresh")), "clusters")
+        left = written(live.join(moved, ["course_id", "rep"], "left").select("course_id", "rep", "n", "mean", F.coalesce("fresh", F.lit(False)).alias("fresh")), "clusters")
         known = known.join(on, "course_id", "left_semi")
         remove_table(last)
         if before is not None:

@@ -98,3 +98,14 @@ def test_clusters_that_stay_only_meet_the_fresh_ones(spark):
     marked = known.filter("course_id = 'a'").withColumn("sim", F.lit(2.0).cast("double"))
     got = {(y["course_id"], y["rep"]): y["sim"] for y in G.nearest_clusters(some, 9, marked).collect()}
     assert all((got[c, i] == 2.0) == (i % 7 != 0) for c, i in got) and len(got) == 60 + 9
+
+
+def test_only_names_of_merges_are_sent_along(spark, monkeypatch):
+    """A course of 60 vectors in rounds: what is broadcast has no means."""
+    sent = []
+    plain = F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda d: sent.append(set(d.columns)) or plain(d))
+    x = np.random.default_rng(7).standard_normal((60, 6))
+    got = _clustered(spark, [(i, "one", v.tolist()) for i, v in enumerate(x)], few=40, block=32)
+    assert {frozenset(g) for g in _found(got).values()} == _slow(x, 10)
+    assert {"course_id", "rep", "into"} in sent and not any(c & {"mean", "mean2"} for c in sent)
