@@ -1,18 +1,20 @@
 """Token ids in compressed files: an adaptive context-mixing range coder.
 
 A segment holds the ids of a run of documents, SEGMENT at most; a longer document goes on in
-the next segments, so that no task holds more. Its ids are cut into blocks that are
-coded with models of their own, reset at each block's start, and carry a checksum of their
-ids, so that a block can be read without any other. The blocks of a segment are coded side by
-side, one numpy lane each.
-
-For each id there are three predictions: the id that last followed the same two ids, the id
-that last followed the same one, and the block's own distribution of ids. Which of them holds
-is coded first, as a symbol of three whose frequencies are adapted for each confidence of the
-first two, so that they weigh against each other symbol by symbol; they aren't summed to one
-distribution. If neither guess holds, the id follows from the distribution of ids, a tree of
-nibbles with adapted cumulative frequencies. All drive a carry-less range coder with a 48-bit
-window that gives 16 bits at a time.
+the next segments, so that no task holds more. Its ids are cut into blocks with models of
+their own, reset at each block's start, and with checksums of their bytes and of their ids, so
+that a block can be read without any other. A block is cut into lanes of LANE ids, which are
+coded side by side in numpy, an id of each at a step. They share the block's models: all see
+them as they stood before the step and then teach them what they got.
+
+Three predictions of an id are mixed to one distribution, by which a range coder codes the id
+in one go: the id that last followed the same two ids, the id that last followed the same one,
+and the block's own distribution of ids so far. The weights are adapted for each confidence of
+the first two, and for whether they agree, by how often each of them held.
+
+A range coder has a 64-bit window and gives 32 bits at a time. Lanes have no streams of their
+own: a block's words are in the order in which reading asks for them. Ids beyond 16 bits are
+coded as two halves.
 
 Segments are rows of a Parquet table in the shared folder: Spark's committer writes them, so
 that a lost executor leaves no half-written file."""
@@ -32,208 +34,228 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty, written
 from .tokens import encoder, tokenizer_path
 
-MAGIC = b"CGTI"
-BLOCK = 4096
-SEGMENT = 1024 * BLOCK
-HEAD = struct.Struct("<4sBxHIIQ")
-
-_ONE, _ALL = 12, 1 << 12  # frequencies add up to 2**12
-_MASK = np.uint64((1 << 48) - 1)
-_FIRST, _SECOND = 2048, 4096  # slots for one and for two ids before
-_GROWTH = np.array([1, 1, 2, 2, 3, 3, 3, 3, 4], np.int16)  # how fast frequencies follow, by visits
-
-
-def _targets(k: int, wide: int) -> np.ndarray:
-    """Cumulative frequencies that give all but a little to one of k symbols."""
-    least = 8
-    out = np.full((k, wide), _ALL, np.int16)
-    for s in range(k):
-        for i in range(k):
-            out[s, i] = i * least if i <= s else _ALL - (k - i) * least
-    return out
-
+MAGIC = b"CGTM"
+LANE = 512
+BLOCK = 4096 * LANE
+SEGMENT = 2 * BLOCK
+HEAD = struct.Struct("<4sBxxxIIIIQ")
 
-_NIBBLES, _CHOICES = _targets(16, 16), _targets(3, 4)
-_EVEN = (np.arange(16) * (_ALL // 16)).astype(np.int16)
-_CHOICE_START = np.array([0, 1365, 2730, _ALL], np.int16)
-_ROW = np.dtype("V32")  # a row of sixteen frequencies, moved as one item
+_OWN = 18  # frequencies of the block's own distribution add up to 2**18
+_ALL = _OWN + 6  # those of the mixed one to 2**24: the block's own weighs 1 to 64
+_FIRST, _SECOND = 1 << 16, 1 << 18  # slots for one and for two ids before
+_WORD, _FULL = np.uint64(32), np.uint64(1 << 32)
+# A slot is id * 8 + confidence. What is added to it by confidence, without and with a hit: a miss
+# halves the confidence; one of 1 at most puts in the new id.
+_CHANGE = np.array([0, 0] + [(c >> 1) - c for c in range(2, 8)] + [1] * 7 + [0], np.int32)
+_OVER = np.array([0] + [-(-(1 << 32) // w) for w in range(1, 65)])  # x * _OVER[w] >> 32 is x // w below 2**24
 
 
-class Coder:
-    """Range coders side by side. With data it decodes, without it encodes."""
+class Writer:
+    """Range coders side by side."""
 
-    def __init__(self, lanes: int, data: list[bytes] | None = None, room: int = 0):
+    def __init__(self, lanes: int, steps: int):
+        self.lanes = lanes
         self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 1 << 48, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        self.decodes = data is not None
-        if data is None:
-            self.words = np.zeros((lanes, room), np.uint16)
-        else:
-            longest = max(map(len, data), default=0) // 2 + 4
-            self.words = np.zeros((lanes, longest), np.uint16)
-            for i, d in enumerate(data):
-                self.words[i, : len(d) // 2] = np.frombuffer(d, "<u2")
-            self.code_ = np.zeros(lanes, np.uint64)
-            for _ in range(3):
-                self._read(np.arange(lanes))
-
-    def _read(self, lanes: np.ndarray) -> None:
-        word = self.words[lanes, np.minimum(self.at[lanes], self.words.shape[1] - 1)].astype(np.uint64)
-        self.code_[lanes] = ((self.code_[lanes] << np.uint64(16)) | word) & _MASK
-        self.at[lanes] += 1
-
-    def code(self, lanes: np.ndarray, cdf: np.ndarray, symbol: np.ndarray | None, k: int) -> np.ndarray:
-        """Codes a symbol in each lane by its row of cdf (k starts); returns the symbols."""
-        low, r = self.low[lanes], self.range[lanes] >> np.uint64(_ONE)
-        if self.decodes:
-            v = np.minimum(((self.code_[lanes] - low) & _MASK) // r, np.uint64(_ALL - 1)).astype(np.int16)
-            under = np.bitwise_count((cdf <= v[:, None]).view(f"u{min(8, cdf.shape[1])}"))
-            symbol = under.sum(1, dtype=np.int64) - 1
-        flat = cdf.ravel()
-        at = np.arange(0, flat.size, cdf.shape[1]) + symbol
-        start = flat.take(at).astype(np.uint64)
-        end = np.where(symbol + 1 < k, flat.take(at + 1, mode="clip"), np.int16(_ALL)).astype(np.uint64)
-        low = low + start * r
-        size = (end - start) * r
-        self.low[lanes], self.range[lanes] = low, size
-        # low stays below 2**48, as the range never crosses the window's end.
-        todo = np.flatnonzero((((low ^ (low + size - np.uint64(1))) >> np.uint64(32)) == 0) | (size < np.uint64(1 << 24)))
-        while len(todo):
-            own = lanes[todo]
-            low, size = self.low[own], self.range[own]
-            crossing = (((low ^ (low + size - np.uint64(1))) >> np.uint64(32)) != 0) & (size < np.uint64(1 << 24))
-            size = np.where(crossing, np.uint64(1 << 32) - (low & np.uint64((1 << 32) - 1)), size)
-            if self.decodes:
-                self._read(own)
-            else:
-                self.words[own, self.at[own]] = (low >> np.uint64(32)).astype(np.uint16)
-                self.at[own] += 1
-            low, size = (low << np.uint64(16)) & _MASK, size << np.uint64(16)
-            self.low[own], self.range[own] = low, size
-            todo = todo[(((low ^ (low + size - np.uint64(1))) >> np.uint64(32)) == 0) | (size < np.uint64(1 << 24))]
-        return symbol
-
-    def finish(self) -> list[bytes]:
-        for _ in range(3):
-            lanes = np.arange(len(self.low))
-            self.words[lanes, self.at] = (self.low >> np.uint64(32)).astype(np.uint16)
-            self.at += 1
-            self.low = (self.low << np.uint64(16)) & _MASK
-        return [w[:n].astype("<u2").tobytes() for w, n in zip(self.words, self.at.tolist())]
+        self.range = np.full(lanes, 2**64 - 1, np.uint64)
+        # Words as they come, and where the word of the same lane before is; two for each lane stand for its start.
+        self.words = np.empty(lanes * (steps + 4), np.uint32)
+        self.before = np.empty(lanes * (steps + 4), np.int64)
+        self.before[lanes : 2 * lanes] = np.arange(lanes)
+        self.last = np.arange(lanes, 2 * lanes)
+        self.n = 2 * lanes
+
+    def put(self, start: np.ndarray, size: np.ndarray) -> None:
+        """Codes an interval of 2**_ALL in each of the first lanes."""
+        low, range_ = self.low[: len(start)], self.range[: len(start)]
+        part = range_ >> np.uint64(_ALL)
+        add = part * start.view(np.uint64)
+        low += add
+        at = self.last.take(np.flatnonzero(low < add))
+        while len(at):  # carries
+            self.words[at] += np.uint32(1)
+            at = self.before[at[self.words[at] == 0]]
+        np.multiply(part, size.view(np.uint64), out=range_)
+        todo = np.flatnonzero(range_ < _FULL)
+        held = low.take(todo)
+        self._give(todo, held)
+        low[todo] = held << _WORD
+        range_[todo] = range_.take(todo) << _WORD
+
+    def _give(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        end = self.n + len(lanes)
+        self.words[self.n : end] = low >> _WORD
+        self.before[self.n : end] = self.last.take(lanes)
+        self.last[lanes] = np.arange(self.n, end)
+        self.n = end
+
+    def finish(self) -> np.ndarray:
+        """All words; reading is two words ahead of writing."""
+        for _ in range(2):
+            self._give(np.arange(self.lanes), self.low)
+            self.low <<= _WORD
+        after = np.empty(self.n, np.int64)
+        after[self.before[self.lanes : self.n]] = np.arange(self.lanes, self.n)
+        return self.words[after[after[: self.n - 2 * self.lanes]]]
+
+
+class Reader:
+    """Reads what a Writer of as many lanes gave."""
+
+    def __init__(self, lanes: int, words: np.ndarray):
+        self.words = words.astype(np.uint64)
+        self.code = self.words[:lanes] << _WORD | self.words[lanes : 2 * lanes]
+        self.range = np.full(lanes, 2**64 - 1, np.uint64)
+        self.n = 2 * lanes
+
+    def place(self, lanes: int) -> np.ndarray:
+        """Where in 2**_ALL the next interval of each of the first lanes lies."""
+        self.part = self.range[:lanes] >> np.uint64(_ALL)
+        return np.minimum(self.code[:lanes] // self.part, np.uint64((1 << _ALL) - 1)).view(np.int64)
+
+    def narrow(self, start: np.ndarray, size: np.ndarray) -> None:
+        code, range_ = self.code[: len(start)], self.range[: len(start)]
+        code -= self.part * start.view(np.uint64)
+        np.multiply(self.part, size.view(np.uint64), out=range_)
+        todo = np.flatnonzero(range_ < _FULL)
+        end = self.n + len(todo)
+        code[todo] = code.take(todo) << _WORD | self.words[self.n : end]
+        range_[todo] = range_.take(todo) << _WORD
+        self.n = end
 
 
 class Models:
-    """The adapted tables of each lane."""
-
-    def __init__(self, lanes: int, nibbles: int):
-        self.nibbles = nibbles
-        self.contexts = 1 + 16 + 256 + 4096
-        self.tree = np.empty((lanes * self.contexts, 16), np.int16)
-        self.tree[:] = _EVEN
-        self.rows = self.tree.view(_ROW).ravel()
-        self.visits = np.zeros(lanes * self.contexts, np.int8)
-        self.weights = np.tile(_CHOICE_START, (lanes * 32, 1))
-        self.first = np.zeros(lanes * _FIRST, np.int64)
-        self.second = np.zeros(lanes * _SECOND, np.int64)
-
-    @staticmethod
-    def _learn(slots: np.ndarray, at: np.ndarray, held: np.ndarray, ids: np.ndarray) -> None:
-        """A slot is id * 8 + confidence; a miss halves the confidence or puts in the new id."""
-        trust = held & 7
-        same = (held >> 3) == ids
-        new = np.where(same & (trust > 0), held + (trust < 7), np.where(trust > 1, (held & ~np.int64(7)) | (trust >> 1), ids * 8 + 1))
-        slots[at] = new
-
-    def step(self, coder: Coder, n: int, far: np.ndarray, near: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Codes the next id of lanes 0 to n."""
-        lanes = np.arange(n)
-        at1 = lanes * _FIRST + ((near * 0x9E3779B1 >> 7) & (_FIRST - 1))
-        at2 = lanes * _SECOND + (((near * 0x9E3779B1 + far * 0x85EBCA6B) >> 9) & (_SECOND - 1))
-        held1, held2 = self.first.take(at1), self.second.take(at2)
-        guess1, guess2 = held1 >> 3, held2 >> 3
-        agree = guess1 == guess2
-        at = lanes * 32 + np.minimum(held2 & 7, 3) * 8 + np.minimum(held1 & 7, 3) * 2 + agree
-        mix = self.weights.take(at, axis=0)
-        choice = None
-        if ids is not None:
-            choice = np.where((guess2 == ids) & ((held2 & 7) > 0), 0, np.where((guess1 == ids) & ((held1 & 7) > 0), 1, 2))
-        choice = coder.code(lanes, mix, choice, 3)
-        self.weights[at] = mix + ((_CHOICES.take(choice, axis=0) - mix) >> 4)
-        out = np.where(choice == 0, guess2, guess1) if ids is None else ids
-        rest = np.flatnonzero(choice == 2)
-        if len(rest):
-            prefix = np.zeros(len(rest), np.int64)
-            base = 0
-            wanted = None if ids is None else ids[rest]
-            for level in range(self.nibbles):
-                if level < 4:
-                    place = base + prefix
-                    base += 16**level
-                else:
-                    place = 273 + ((prefix * 0x9E3779B1 >> 11) & 4095)
-                at = rest * self.contexts + place
-                cdf = self.tree.take(at, axis=0)
-                nibble = None if wanted is None else (wanted >> 4 * (self.nibbles - 1 - level)) & 15
-                nibble = coder.code(rest, cdf, nibble, 16)
-                seen = self.visits.take(at)
-                change = _NIBBLES.take(nibble, axis=0)
-                change -= cdf
-                change >>= _GROWTH.take(seen)[:, None]
-                cdf += change
-                self.rows[at] = cdf.view(_ROW).ravel()
-                self.visits[at] = np.minimum(seen + 1, len(_GROWTH) - 1)
-                prefix = prefix << 4 | nibble
-            if ids is None:
-                out[rest] = prefix
-        self._learn(self.first, at1, held1, out)
-        self._learn(self.second, at2, held2, out)
-        return out
-
-
-def _run(coder: Coder, lengths: np.ndarray, nibbles: int, ids: np.ndarray | None) -> np.ndarray:
-    """ids (lanes, most) coded lane by lane; all lanes but the last are of one length."""
-    lanes, most = len(lengths), int(lengths.max(initial=0))
-    models = Models(lanes, nibbles)
-    out = np.zeros((lanes, most), np.int64)
-    far, near = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    for t in range(most):
-        n = lanes if t < lengths[-1] else lanes - 1
-        got = models.step(coder, n, far[:n], near[:n], None if ids is None else ids[:n, t])
-        out[:n, t] = got
-        far = near
-        near = got
-    return out
+    """The adapted tables of a block."""
+
+    def __init__(self, symbols: int):
+        self.symbols = symbols
+        self.slots = np.zeros(_FIRST + _SECOND, np.int32)
+        self.counts = np.zeros(symbols, np.int64)
+        # For confidence of the first, of the second and whether they agree: how often neither, one, two, both held.
+        self.held = np.tile([4, 1, 1, 0], (128, 1))
+        self.weigh(np.zeros(0, np.int64))
+        self.spread(np.zeros(0, np.int64))
+
+    def weigh(self, outcomes: np.ndarray) -> None:
+        """Weights of the three predictions; they add up to 2**_ALL with the block's own as 2**_OWN times own."""
+        self.held += np.bincount(outcomes, minlength=512).reshape(128, 4)
+        neither, first, second = self.held[:, 0], self.held[:, 1], self.held[:, 2] + self.held[:, 3]
+        n = neither + first + second
+        self.own = np.clip((128 * neither + n) // (2 * n), 1, 64)
+        rest = (64 - self.own) << _OWN
+        self.second = rest * second // (first + second)
+        self.first = rest - self.second
+
+    def spread(self, ids: np.ndarray) -> None:
+        """The block's own distribution, with more ids in it; each id has a frequency of 1 at least."""
+        self.counts += np.bincount(ids, minlength=self.symbols)
+        spare = (1 << _OWN) - self.symbols
+        n = int(self.counts.sum())
+        self.size = 1 + (self.counts * spare // n if n else np.full(self.symbols, spare // self.symbols))
+        self.size[self.counts.argmax()] += (1 << _OWN) - int(self.size.sum())
+        self.start = np.cumsum(self.size) - self.size
+        self.ids = None
+
+    def expect(self, far: np.ndarray, near: np.ndarray) -> None:
+        """Both guesses and the weights for the next id of each lane; far and near are the two ids before."""
+        n = len(near)
+        self.at = np.empty(2 * n, np.int64)
+        self.at[:n] = near
+        self.at[n:] = _FIRST + ((near * 0x9E3779B1 + far * 0x85EBCA6B >> 9) & (_SECOND - 1))
+        self.slot = self.slots.take(self.at)
+        self.trust = self.slot & 7
+        guess = self.slot >> 3
+        self.guess = guess[:n], guess[n:]
+        self.context = self.trust[:n] * 16 + self.trust[n:] * 2 + (self.guess[0] == self.guess[1])
+        self.weights = self.own.take(self.context), self.first.take(self.context), self.second.take(self.context)
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold these places of 2**_ALL."""
+        (g1, g2), (own, w1, w2) = self.guess, self.weights
+        if self.ids is None:
+            self.ids = np.repeat(np.arange(self.symbols, dtype=np.uint16), self.size)
+        # A guess's weight comes first in its interval; it is taken out, the smaller id's before the other's.
+        order = g1 < g2
+        for guess, w in ((np.minimum(g1, g2), np.where(order, w1, w2)), (np.maximum(g1, g2), np.where(order, w2, w1))):
+            place = place - np.minimum(np.maximum(place - own * self.start.take(guess), 0), w)
+        return self.ids.take(place * _OVER.take(own) >> 32).astype(np.int64)
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (g1, g2), (own, w1, w2) = self.guess, self.weights
+        self.hits = g1 == ids, g2 == ids
+        start = own * self.start.take(ids) + w1 * (g1 < ids) + w2 * (g2 < ids)
+        return start, own * self.size.take(ids) + w1 * self.hits[0] + w2 * self.hits[1]
+
+    def learn(self, ids: np.ndarray) -> np.ndarray:
+        """Teaches the slots; where lanes meet in one, the last lane's id stays. Returns what held, by context."""
+        hit = np.concatenate(self.hits)
+        new = self.slot + _CHANGE.take(self.trust + 8 * hit)
+        fresh = (ids * 8 + 1).astype(np.int32)
+        self.slots[self.at] = np.where(hit | (self.trust > 1), new, np.concatenate([fresh, fresh]))
+        return self.context * 4 + self.hits[0] + 2 * self.hits[1]
+
+
+def _run(n: int, symbols: int, ids: np.ndarray | None = None, words: np.ndarray | None = None) -> np.ndarray:
+    """The words of n ids below symbols, or the ids of words. All lanes but the last are of one length."""
+    steps = min(n, LANE)
+    lanes = -(-n // steps)
+    last = n - steps * (lanes - 1)
+    grid = np.zeros((steps, lanes), np.uint16)
+    if ids is not None:
+        grid[:, :-1] = ids[: n - last].reshape(-1, steps).T
+        grid[:last, -1] = ids[n - last :]
+    coder = Writer(lanes, steps) if words is None else Reader(lanes, words)
+    outcomes = np.zeros((steps, lanes), np.int16)
+    models = Models(symbols)
+    near = far = np.zeros(lanes, np.int64)
+    weighed = spread = 0
+
+    def since(rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        return np.concatenate([rows[lo:hi, :-1].ravel(), rows[lo : min(hi, last), -1]])
+
+    for t in range(steps):
+        k = lanes if t < last else lanes - 1
+        models.expect(far[:k], near[:k])
+        if words is None:
+            got = grid[t, :k].astype(np.int64)
+            coder.put(*models.interval(got))
+        else:
+            grid[t, :k] = got = models.find(coder.place(k))
+            coder.narrow(*models.interval(got))
+        outcomes[t, :k] = models.learn(got)
+        far, near = near, got
+        done = t + 1
+        if done < 16 or done % 8 == 0:
+            models.weigh(since(outcomes, weighed, done))
+            weighed = done
+        if done & (done - 1) == 0 or done % 64 == 0:
+            models.spread(since(grid, spread, done))
+            spread = done
+    return coder.finish() if words is None else grid.T.ravel()[:n]
 
 
 def pack_segment(documents: list[tuple[int | None, np.ndarray]], block: int = BLOCK) -> bytes:
     """A segment of documents (id, ids): head, directory, table of blocks, blocks."""
     ids = np.concatenate([x for _, x in documents]).astype("<u4") if documents else np.zeros(0, "<u4")
     n_blocks = -(-len(ids) // block)
-    nibbles = max(4, -(-int(ids.max(initial=0)).bit_length() // 4))
-    head = HEAD.pack(MAGIC, nibbles, block, len(documents), n_blocks, len(ids))
+    halves = 1 if int(ids.max(initial=0)) < 1 << 16 else 2
+    flat = ids.astype("<u2") if halves == 1 else ids.view("<u2")
+    symbols = int(flat.max(initial=0)) + 1
+    head = HEAD.pack(MAGIC, halves, symbols, block, len(documents), n_blocks, len(ids))
     names = np.array([0 if d is None else d for d, _ in documents], "<i8").tobytes()
     known = np.array([d is not None for d, _ in documents], np.uint8).tobytes()
     sizes = np.array([len(x) for _, x in documents], "<u8").tobytes()
-    if not n_blocks:
-        return head + names + known + sizes
-    lengths = np.full(n_blocks, block, np.int64)
-    lengths[-1] = len(ids) - block * (n_blocks - 1)
-    grid = np.zeros((n_blocks, int(lengths[0])), np.int64)
-    flat = ids.astype(np.int64)
-    grid[:-1] = flat[: block * (n_blocks - 1)].reshape(n_blocks - 1, -1) if n_blocks > 1 else grid[:-1]
-    grid[-1, : lengths[-1]] = flat[block * (n_blocks - 1) :]
-    coder = Coder(n_blocks, room=int(lengths[0]) * (nibbles + 2) + 8)
-    _run(coder, lengths, nibbles, grid)
-    coded = coder.finish()
-    sums = [zlib.crc32(ids[i * block : (i + 1) * block]) for i in range(n_blocks)]
-    places = np.array([[len(c), s] for c, s in zip(coded, sums)], "<u4").tobytes()
-    return b"".join([head, names, known, sizes, places, *coded])
+    places, coded = [], []
+    for lo in range(0, len(ids), block):
+        own = flat[lo * halves : (lo + block) * halves]
+        data = _run(len(own), symbols, ids=own).astype("<u4").tobytes()
+        places.append((len(data), zlib.crc32(data), zlib.crc32(ids[lo : lo + block])))
+        coded.append(data)
+    return b"".join([head, names, known, sizes, np.array(places, "<u4").tobytes(), *coded])
 
 
 def unpack_segment(data: bytes) -> list[tuple[int | None, np.ndarray]]:
-    """The documents of a segment; a block whose ids don't have its checksum is an error."""
-    magic, nibbles, block, n_docs, n_blocks, n_ids = HEAD.unpack_from(data)
+    """The documents of a segment; a block whose bytes or ids don't have their checksum is an error."""
+    magic, halves, symbols, block, n_docs, n_blocks, n_ids = HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a segment of token ids")
     at = HEAD.size
@@ -241,19 +263,19 @@ def unpack_segment(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     known = np.frombuffer(data, np.uint8, n_docs, at + 8 * n_docs)
     sizes = np.frombuffer(data, "<u8", n_docs, at + 9 * n_docs).astype(np.int64)
     at += 17 * n_docs
-    ids = np.zeros(0, "<u4")
-    if n_blocks:
-        places = np.frombuffer(data, "<u4", 2 * n_blocks, at).reshape(-1, 2)
-        at += 8 * n_blocks
-        ends = at + np.cumsum(places[:, 0].astype(np.int64))
-        coded = [bytes(data[e - n : e]) for e, n in zip(ends.tolist(), places[:, 0].tolist())]
-        lengths = np.full(n_blocks, block, np.int64)
-        lengths[-1] = n_ids - block * (n_blocks - 1)
-        grid = _run(Coder(n_blocks, coded), lengths, nibbles, None)
-        ids = grid.ravel()[:n_ids].astype("<u4") if n_blocks > 1 else grid[0].astype("<u4")
-        for i, crc in enumerate(places[:, 1].tolist()):
-            if zlib.crc32(ids[i * block : (i + 1) * block]) != crc:
-                raise ValueError(f"block {i} of a segment is damaged")
+    places = np.frombuffer(data, "<u4", 3 * n_blocks, at).reshape(-1, 3).tolist()
+    at += 12 * n_blocks
+    ids = np.zeros(n_ids, "<u4")
+    for i, (size, coded_crc, ids_crc) in enumerate(places):
+        coded = np.frombuffer(data, "<u4", size // 4, at)
+        own = ids[i * block : (i + 1) * block]
+        good = zlib.crc32(coded) == coded_crc
+        if good:
+            flat = _run(len(own) * halves, symbols, words=coded)
+            own[:] = flat if halves == 1 else np.ascontiguousarray(flat, "<u2").view("<u4")
+        if not good or zlib.crc32(own) != ids_crc:
+            raise ValueError(f"block {i} of a segment is damaged")
+        at += size
     edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
     return [(int(d) if k else None, ids[lo:hi]) for d, k, lo, hi in zip(names, known, edges, edges[1:])]
 

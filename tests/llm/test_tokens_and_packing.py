@@ -150,6 +150,53 @@ def test_segments_are_lossless_and_checked():
     assert len(W.pack_segment([(1, repeated)])) < 4000 * 2 / 4
 
 
+def test_three_predictions_make_one_distribution():
+    r = np.random.default_rng(12)
+    models = W.Models(50)
+    for t in range(40):  # eight lanes; the guesses are the same, in order and the other way round
+        models.expect(r.integers(0, 2, 8), r.integers(0, 4, 8))
+        lanes = models.guess, models.weights
+        start, size = np.zeros((50, 8), np.int64), np.zeros((50, 8), np.int64)
+        for i in range(50):
+            start[i], size[i] = models.interval(np.full(8, i))
+        assert (start[0] == 0).all() and (start[1:] == start[:-1] + size[:-1]).all() and (start[-1] + size[-1] == 1 << 24).all() and size.min() > 0
+        for i in range(50):
+            for place in (start[i], start[i] + size[i] - 1, start[i] + size[i] // 2):
+                assert (models.find(place) == i).all()
+        assert lanes == (models.guess, models.weights)
+        ids = np.minimum(r.geometric(0.3, 8), 49)
+        models.interval(ids)
+        models.weigh(models.learn(ids))
+        models.spread(ids)
+
+
+def test_lanes_and_blocks_of_all_lengths_and_carries():
+    r = np.random.default_rng(13)
+    for n in (1, 2, 511, 512, 513, 1024, 1537, 40_000):
+        for top in (1, 2, 300, 65_536, 65_537, 2**32):
+            x = np.minimum(r.geometric(0.01, n) * (top // 300 + 1), top - 1).astype("<u4")
+            for block in (W.BLOCK, 700)[: 1 + (n < 2000)]:
+                (_, got), = W.unpack_segment(W.pack_segment([(1, x)], block))
+                assert (got == x).all(), (n, top, block)
+    # 2**64 is passed while a word of all ones waits: both words before take the carry.
+    coder = W.Writer(1, 8)
+    coder._give(np.array([0]), np.array([7 << 32], np.uint64))
+    coder._give(np.array([0]), np.array([2**64 - 1], np.uint64))
+    coder.low[:] = 2**64 - 2
+    coder.put(np.array([1]), np.array([1]))
+    assert coder.words[2:4].tolist() == [8, 0]
+
+
+def test_an_id_is_coded_in_a_few_array_operations():
+    import time
+
+    x = np.minimum(np.random.default_rng(14).zipf(1.3, 500_000), 40_000).astype("<u4")
+    before = time.process_time()
+    (_, got), = W.unpack_segment(W.pack_segment([(1, x)]))
+    assert time.process_time() - before < 2e-6 * len(x)  # nibble by nibble it took more than 5 microseconds an id
+    assert (got == x).all()
+
+
 def _same_files(got, rows, plain):
     at = 0
     got.sort(key=lambda x: x["start"])
