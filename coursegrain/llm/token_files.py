@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty, written
-from .tokens import encoder, tokenizer_path
+from .tokens import MEMO_CHUNKS, encoder, tokenizer_path
 
 MAGIC = b"CGTM"
 LANE = 512
@@ -307,11 +307,12 @@ def write_token_files(docs: DataFrame, path: str | None = None, segment_ids: int
     first_doc is the place among its part's documents of the segment's first one, which may
     have begun in the segment before. Null and empty texts are one end token; texts of any
     length are cut into segments of segment_ids at most. Rows of one doc_id follow each other,
-    sorted by a hash of the text. Other columns are not looked at; an empty table has no segment."""
+    sorted by a hash of the text. Other columns are not looked at; an empty table has no segment.
+    A worker keeps its memo of chunks for its next task, until it reads files."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, 2 * MEMO_CHUNKS)
         part, seq, n_docs = TaskContext.get().partitionId(), 0, 0
         held, size, first = [], 0, 0
 
@@ -331,7 +332,6 @@ def write_token_files(docs: DataFrame, path: str | None = None, segment_ids: int
                             yield segment()
                             seq, held, size, first = seq + 1, [], 0, n_docs + (not len(ids))
                     n_docs += 1
-        enc.forget()
         if held:
             yield segment()
 
@@ -349,6 +349,7 @@ def read_token_files(segments: DataFrame) -> DataFrame:
     names = ["part", "seq", "doc", "doc_id", "inner", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()
         for b in batches:
             for part, seq, first, data in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
                 found = unpack_segment(data.as_buffer())

@@ -2,8 +2,8 @@
 
 The tokenizer splits at white space before anything else looks at a text, so the ids of a
 text are the ids of its white-space-free chunks, one after the other. Each chunk is encoded
-by the tokenizers library once for each task and looked up from then on. The memo is emptied
-when it is full and at a task's end, which changes no result."""
+by the tokenizers library and looked up from then on. When the memo is full, chunks that were
+not met lately leave it, and a task that ends may empty it, which changes no result."""
 
 from __future__ import annotations
 
@@ -36,16 +36,30 @@ def _latin(text: str) -> bool:
 
 
 class _Memo(dict):
-    """ids of chunks as bytes; a chunk that isn't there yet is learnt as it is asked for."""
+    """ids of chunks as bytes; a chunk that isn't there yet is learnt as it is asked for. Long ones aren't kept."""
 
     def __init__(self, learn):
         super().__init__()
         self.learn = learn
+        self.before = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.learn(chunk)
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.learn(chunk)
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = ids
         return ids
 
+    def turn(self) -> None:
+        """Drops what wasn't asked for since the turn before."""
+        self.before = dict(self)
+        self.clear()
+
+    def forget(self) -> None:
+        self.before = {}
+        self.clear()
+
 
 class ChunkEncoder:
     """ids(text) for whole texts; path names a tokenizers file that splits at white space."""
@@ -82,7 +96,7 @@ class ChunkEncoder:
         marks, as the tokenizer parts the two; capitals up to U+00FF have the ids of their
         small letters. Any other chunk is encoded as it stands."""
         stem = chunk.rstrip(MARKS)
-        if stem.isalpha() and max(stem) <= "\xff" and len(chunk) <= LONG_CHUNK:
+        if stem.isalpha() and (stem.isascii() or max(stem) <= "\xff") and len(chunk) <= LONG_CHUNK:
             tail = chunk[len(stem) :]
             return self.stems[stem.lower()] + (self.tails[tail] if tail else b"")
         return self._whole(chunk)
@@ -90,7 +104,7 @@ class ChunkEncoder:
     def forget(self) -> None:
         """Empties the memo, as a task does at its end: its worker goes on to other stages."""
         for held in (self.memo, self.stems, self.tails):
-            held.clear()
+            held.forget()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text, END_ID last."""
@@ -101,14 +115,15 @@ class ChunkEncoder:
             if any(c in t for c in NOT_SPACE):
                 out.append(np.frombuffer(self._whole(t) + end, dtype="<u4"))
                 continue
-            if len(self.memo) > self.memo_chunks:
-                self.forget()
+            if 2 * len(self.memo) > self.memo_chunks:
+                for held in (self.memo, self.stems, self.tails):
+                    held.turn()
             words = (t.lower() if _latin(t) and "<|" not in t else t).split()
             out.append(np.frombuffer(b"".join(map(ids, words)) + end, dtype="<u4"))
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, memo_chunks: int = MEMO_CHUNKS) -> ChunkEncoder:
     """One encoder for each worker process; Spark uses workers again."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, memo_chunks)

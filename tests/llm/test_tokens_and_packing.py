@@ -33,6 +33,19 @@ def test_memo_gives_the_tokenizers_ids(plain):
             assert ids.tolist() == plain(t), t
 
 
+def test_a_full_memo_keeps_what_was_met_lately(plain):
+    e = ChunkEncoder(tokenizer_path(), 40)
+    learnt = []
+    learn = e.memo.learn
+    e.memo.learn = lambda chunk: learnt.append(chunk) or learn(chunk)
+    texts = [f"often. rare{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    assert [x.tolist() for x in e.encode(texts)] == [plain(t) for t in texts]
+    assert learnt.count("often.") == 1 and len(learnt) == 401
+    assert len(e.memo) + len(e.memo.before) <= 44
+    e.forget()
+    assert not e.memo and not e.memo.before and not e.stems.before
+
+
 def _docs(spark):
     r = random.Random(7)
     rows = [(i, " ".join(r.choice(["alpha", "beta", "gamma", "delta."]) for _ in range(r.choice([3, 200, 1500, 5000])))) for i in range(60)]
